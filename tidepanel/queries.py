@@ -426,3 +426,282 @@ def feature_tag_lookup(spark, sf):
     j = join_small(li, tags, ["l_partkey"], "inner")
     return j.groupBy("tag_0", "tag_1", "tag_2").agg(F.count(F.lit(1)).cast("bigint").alias("n_lines"),
                                                     F.sum("l_quantity").alias("quantity"))
+
+
+# ------------------------------------------------------------------ splits (J, D06, E07)
+@query("holdout_split", f"""{PANEL}
+SELECT min(date_id) AS train_start, max(date_id) - {VALID_DAYS} - {GAP_DAYS} AS train_end,
+  max(date_id) - {VALID_DAYS} + 1 AS valid_start, max(date_id) AS valid_end FROM panel""")
+def holdout_split(spark, sf):
+    """Split bounds from the observed date range (date arithmetic)."""
+    from tidepanel.operators.splits import holdout_split_columns
+    rng = PN.date_range(panel(spark, sf))
+    cols = holdout_split_columns(F.col("date_min"), F.col("date_max"), VALID_DAYS, GAP_DAYS)
+    return rng.select(*[cols[k].alias(k) for k in ("train_start", "train_end", "valid_start", "valid_end")])
+
+
+@query("split_summary", f"""{PANEL}, b AS (SELECT min(date_id) AS lo, max(date_id) - {VALID_DAYS} - {GAP_DAYS} AS te,
+  max(date_id) - {VALID_DAYS} + 1 AS vs, max(date_id) AS ve FROM panel)
+SELECT lo AS train_start, te AS train_end, vs AS valid_start, ve AS valid_end,
+  CAST(count(*) FILTER (WHERE date_id BETWEEN lo AND te) AS BIGINT) AS train_rows,
+  CAST(count(*) FILTER (WHERE date_id BETWEEN vs AND ve) AS BIGINT) AS valid_rows,
+  CAST(count(DISTINCT CASE WHEN date_id BETWEEN lo AND te THEN date_id END) AS BIGINT) AS train_days,
+  CAST(count(DISTINCT CASE WHEN date_id BETWEEN vs AND ve THEN date_id END) AS BIGINT) AS valid_days
+FROM panel, b GROUP BY lo, te, vs, ve""")
+def split_summary(spark, sf):
+    """Rows and days per fold in one pass."""
+    p = panel(spark, sf)
+    dmin, dmax = PN.collect_date_range(p)
+    return SP.split_summary(p, SP.holdout_split(dmin, dmax, VALID_DAYS, GAP_DAYS))
+
+
+_FOLD = ("CASE WHEN date_id >= test_start THEN 'test' WHEN date_id >= es_start THEN 'es' "
+         "WHEN date_id > train_end THEN 'gap' ELSE 'train' END")
+
+
+@query("nested_split_labels", f"""{PANEL}, {_BOUNDS_CTE}
+SELECT {_FOLD} AS fold, min(date_id) AS first_date, max(date_id) AS last_date,
+  CAST(count(DISTINCT date_id) AS BIGINT) AS n_days, CAST(count(*) AS BIGINT) AS n_rows
+FROM panel, bounds GROUP BY 1""")
+def nested_split_labels(spark, sf):
+    """Train / gap / early-stopping / test folds."""
+    p = panel(spark, sf)
+    return SP.nested_split_labels(p, _bounds(p))
+
+
+_SCHED_K = 5
+
+
+@query("cadence_schedule", f"""{PANEL}, {_BOUNDS_CTE},
+days AS (SELECT DISTINCT date_id FROM panel, bounds WHERE date_id BETWEEN test_start AND dmax),
+s AS (SELECT date_id, CAST(row_number() OVER (ORDER BY date_id) - 1 AS BIGINT) AS day_index FROM days)
+SELECT date_id, day_index, CAST(floor(day_index / {_SCHED_K}) AS BIGINT) AS version,
+  day_index > 0 AND day_index % {_SCHED_K} = 0 AS update_before,
+  min(date_id) OVER (PARTITION BY floor(day_index / {_SCHED_K})) AS version_start FROM s""")
+def cadence_schedule(spark, sf):
+    """Observed test dates -> model version at cadence 5."""
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    return SP.cadence_schedule(p, ns.test_start, ns.test_end, _SCHED_K)
+
+
+@query("leakage_guard", f"""{PANEL}, {_BOUNDS_CTE},
+days AS (SELECT DISTINCT date_id FROM panel, bounds WHERE date_id BETWEEN test_start AND dmax),
+s AS (SELECT date_id, floor((row_number() OVER (ORDER BY date_id) - 1) / {_SCHED_K}) AS version FROM days),
+v AS (SELECT version, min(date_id) AS first_predicted, max(date_id) AS last_day FROM s GROUP BY version)
+SELECT CAST(count(*) AS BIGINT) AS n_versions,
+  coalesce(bool_and(p.last_day IS NULL OR p.last_day < v.first_predicted), true) AS no_leak
+FROM v LEFT JOIN v p ON p.version + 1 = v.version""")
+def leakage_guard(spark, sf):
+    """Each version's update days lie strictly before the days it predicts."""
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    return SP.leakage_guard(SP.cadence_schedule(p, ns.test_start, ns.test_end, _SCHED_K))
+
+
+@query("expanding_history", f"""{PANEL}
+SELECT date_id, CAST(count(*) AS BIGINT) AS n_rows FROM (
+  SELECT date_id FROM panel WHERE date_id < 60 UNION ALL SELECT date_id FROM panel WHERE date_id BETWEEN 60 AND 64)
+GROUP BY date_id""")
+def expanding_history(spark, sf):
+    """History + newly revealed days by ``unionByName`` (the expanding fit set)."""
+    p = panel(spark, sf)
+    hist = p.where(F.col("date_id") < 60)
+    new = p.where(F.col("date_id").between(60, 64))
+    return hist.unionByName(new).groupBy("date_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+@query("canonical_order_rank", f"""{PANEL}
+SELECT {IDS}, CAST(row_number() OVER (ORDER BY date_id, time_id, symbol_id) - 1 AS BIGINT) AS canonical_rank,
+  CAST(row_number() OVER (PARTITION BY symbol_id ORDER BY date_id, time_id) - 1 AS BIGINT) AS series_rank
+FROM panel""")
+def canonical_order_rank(spark, sf):
+    """canonical (date, time, symbol) and series (symbol, date, time) positions.
+
+    Both come from per-block row numbers plus offsets of a small block-count table,
+    never from one global window over all rows.
+    """
+    p = panel(spark, sf)
+    canon = FE.series_index(p.withColumn("_all", F.lit(0)), key="_all", block="date_id",
+                            order=("time_id", "symbol_id"), pos_col="canonical_rank")
+    both = FE.series_index(canon, pos_col="series_rank")
+    return both.select(*ID_COLUMNS, "canonical_rank", "series_rank")
+
+
+# ------------------------------------------------------------------ walk-forward WLS (K)
+WF_X = "feature_02"
+DECAY = 0.9
+_D1 = (f"d AS (SELECT date_id, sum(weight * {WF_X} * {WF_X}) AS a, sum(weight * {WF_X} * responder_6) AS b, "
+       f"sum(weight * responder_6 * responder_6) AS c, count(*) AS n FROM panel GROUP BY date_id), "
+       f"t AS (SELECT d.*, {_FOLD} AS fold FROM d, bounds), "
+       f"ti AS (SELECT t.*, CASE WHEN fold = 'test' THEN row_number() OVER (PARTITION BY fold ORDER BY date_id) - 1 END AS i FROM t)")
+
+
+def _wf_cfg() -> WF.WalkForwardConfig:
+    return WF.WalkForwardConfig(features=[WF_X], intercept=False, standardize=False, ridge=0.0,
+                                decay=DECAY, test_days=TEST_DAYS, valid_days=VALID_DAYS, gap_days=GAP_DAYS)
+
+
+def _prep(spark, sf, cfg=None) -> WF.PreparedPanel:
+    return WF.prepare(panel(spark, sf), cfg or _wf_cfg())
+
+
+def _betas_sql(variant: str, k: int) -> str:
+    """Version -> beta table of the one-input model, in plain SQL."""
+    if variant == "full":
+        return "beta AS (SELECT 0 AS version, sum(b) / sum(a) AS beta FROM ti WHERE fold = 'train')"
+    if variant == "retrain":
+        return (f"vm AS (SELECT *, CASE WHEN fold = 'train' THEN 0 WHEN fold = 'es' THEN 1 "
+                f"WHEN fold = 'test' THEN floor(i / {k}) + 1 END AS v FROM ti), "
+                f"per AS (SELECT v, sum(a) AS a, sum(b) AS b FROM vm WHERE v IS NOT NULL GROUP BY v), "
+                f"beta AS (SELECT v AS version, sum(b) OVER (ORDER BY v) / sum(a) OVER (ORDER BY v) AS beta FROM per)")
+    newv = (f"nv AS (SELECT floor(i / {k}) + 1 AS v, sum(a) AS a, sum(b) AS b FROM ti WHERE fold = 'test' GROUP BY 1), "
+            f"v0 AS (SELECT sum(a) AS a, sum(b) AS b FROM ti WHERE fold = 'train'), "
+            f"vers AS (SELECT DISTINCT floor(i / {k}) AS version FROM ti WHERE fold = 'test')")
+    if variant == "refit":
+        return (newv + f", beta AS (SELECT vers.version, "
+                f"(power({DECAY}, vers.version) * max(v0.b) + coalesce(sum(power({DECAY}, vers.version - nv.v) * (1 - {DECAY}) * nv.b), 0)) / "
+                f"(power({DECAY}, vers.version) * max(v0.a) + coalesce(sum(power({DECAY}, vers.version - nv.v) * (1 - {DECAY}) * nv.a), 0)) AS beta "
+                f"FROM vers CROSS JOIN v0 LEFT JOIN nv ON nv.v <= vers.version GROUP BY vers.version)")
+    if variant == "continue":
+        return (newv + ", beta AS (SELECT vers.version, CASE WHEN vers.version = 0 THEN max(v0.b) / max(v0.a) "
+                "ELSE max(nv.b) / max(nv.a) END AS beta FROM vers CROSS JOIN v0 "
+                "LEFT JOIN nv ON nv.v = vers.version GROUP BY vers.version)")
+    raise ValueError(variant)
+
+
+def _wf_sql(variant: str, k: int) -> str:
+    version = "0" if variant == "full" else f"floor(ti.i / {k})"
+    cadence = 0 if variant == "full" else k
+    return (f"SELECT '{variant}' AS variant, CAST({cadence} AS BIGINT) AS cadence, "
+            f"CAST(max(beta.version) AS BIGINT) AS n_updates, CAST(count(*) AS BIGINT) AS test_days, "
+            f"CAST(sum(ti.n) AS BIGINT) AS test_rows, "
+            f"round(1 - sum(ti.c - 2 * beta.beta * ti.b + beta.beta * beta.beta * ti.a) / sum(ti.c), 6) AS score "
+            f"FROM ti JOIN beta ON beta.version = {version} WHERE ti.fold = 'test'")
+
+
+def _wf_one(variant: str, k: int) -> str:
+    return f"{PANEL}, {_BOUNDS_CTE}, {_D1}, {_betas_sql(variant, k)} {_wf_sql(variant, k)}"
+
+
+def _wf_many(pairs: list[tuple[str, int]], with_delta: bool = False) -> str:
+    parts = [f"SELECT * FROM ({_wf_sql_in(v, k)})" for v, k in pairs]
+    body = " UNION ALL ".join(parts)
+    if with_delta:
+        body = (f"SELECT *, score - max(CASE WHEN variant = 'full' THEN score END) OVER () AS delta_vs_full "
+                f"FROM ({body})")
+    return f"{PANEL}, {_BOUNDS_CTE}, {_D1} {body}"
+
+
+def _wf_sql_in(variant: str, k: int) -> str:
+    # Self-contained sub-query: its own beta CTE, sharing the panel/bounds/day CTEs.
+    return f"WITH {_betas_sql(variant, k)} {_wf_sql(variant, k)}"
+
+
+def _score(prep, variant, k):
+    s = WF.score_variant(prep, variant, k)
+    return s.select("variant", "cadence", "n_updates", "test_days", "test_rows", r6(F.col("score")).alias("score"))
+
+
+def _suite(prep, pairs, with_delta=False):
+    out = None
+    for v, k in pairs:
+        s = _score(prep, v, k)
+        out = s if out is None else out.unionByName(s)
+    if with_delta:
+        from tidepanel.operators.experiments import delta_vs
+        out = delta_vs(out, "variant", "full")
+    return out
+
+
+@query("walk_forward_full", _wf_one("full", 1))
+def walk_forward_full(spark, sf):
+    """Static model over the test block."""
+    return _score(_prep(spark, sf), "full", 1)
+
+
+@query("walk_forward_retrain", _wf_one("retrain", 5))
+def walk_forward_retrain(spark, sf):
+    """Expanding retrain every 5 test days."""
+    return _score(_prep(spark, sf), "retrain", 5)
+
+
+@query("wls_expanding", _wf_one("retrain", 1))
+def wls_expanding(spark, sf):
+    """Daily expanding refit (cumulative day statistics)."""
+    return _score(_prep(spark, sf), "retrain", 1)
+
+
+@query("wls_decay", _wf_one("refit", 1))
+def wls_decay(spark, sf):
+    """K03 (linear form): exponentially decayed statistics, daily."""
+    return _score(_prep(spark, sf), "refit", 1)
+
+
+@query("wls_continue", _wf_one("continue", 5))
+def wls_continue(spark, sf):
+    """K04 (linear form): residual fit on the newly revealed days."""
+    return _score(_prep(spark, sf), "continue", 5)
+
+
+_VARIANTS = [("full", 1), ("retrain", 5), ("refit", 5), ("continue", 5)]
+
+
+@query("variant_summary", _wf_many(_VARIANTS))
+def variant_summary(spark, sf):
+    """Variant suite over one day-statistics table."""
+    return _suite(_prep(spark, sf), _VARIANTS)
+
+
+_IVF = [("full", 1), ("refit", 1), ("continue", 1), ("retrain", 10)]
+
+
+@query("incremental_vs_full", _wf_many(_IVF, with_delta=True))
+def incremental_vs_full(spark, sf):
+    """Methods at their cadences, with the delta against ``full``."""
+    return _suite(_prep(spark, sf), _IVF, with_delta=True)
+
+
+_CAD = [("retrain", 1), ("retrain", 5), ("retrain", 10)]
+
+
+@query("cadence_sweep", _wf_many(_CAD))
+def cadence_sweep(spark, sf):
+    """Retrain-cadence sweep."""
+    return _suite(_prep(spark, sf), _CAD)
+
+
+@query("walk_forward_by_date", f"""{PANEL}, {_BOUNDS_CTE}, {_D1}, {_betas_sql('retrain', 5)}
+SELECT ti.date_id, CAST(ti.n AS BIGINT) AS n_rows, CAST(beta.version AS BIGINT) AS version,
+  round(1 - (ti.c - 2 * beta.beta * ti.b + beta.beta * beta.beta * ti.a) / ti.c, 6) AS r2
+FROM ti JOIN beta ON beta.version = floor(ti.i / 5) WHERE ti.fold = 'test'""")
+def walk_forward_by_date(spark, sf):
+    """Flagship: per test date R² of the expanding-retrain (cadence 5) model, scored
+    from day statistics without touching rows again."""
+    from tidepanel.plans import wls
+    prep = _prep(spark, sf)
+    betas = WF.version_betas(prep, "retrain", 5)
+    test = prep.days.where(F.col("fold") == "test").select("*", F.floor(F.col("day_index") / 5).cast("bigint").alias("version"))
+    j = test.join(betas, "version")
+    sse = wls.sse_column(F.col("beta"), prep.p, prep.cfg.target)
+    return j.select("date_id", F.col("n").alias("n_rows"), "version",
+                    r6(1 - sse / F.col(f"c_{prep.cfg.target}")).alias("r2"))
+
+
+@query("prediction_summary", f"""{PANEL}, {_BOUNDS_CTE}, {_D1}, {_betas_sql('full', 1)},
+pr AS (SELECT beta.beta * panel.{WF_X} AS p FROM panel, bounds, beta WHERE panel.date_id >= bounds.test_start)
+SELECT round(coalesce(avg(p), 0.0), 6) + 0.0 AS prediction_mean, round(coalesce(stddev_pop(p), 0.0), 6) + 0.0 AS prediction_std,
+  round(coalesce(min(p), 0.0), 6) + 0.0 AS prediction_min, round(coalesce(max(p), 0.0), 6) + 0.0 AS prediction_max,
+  CAST(count(*) FILTER (WHERE abs(p) > 5) AS BIGINT) AS n_over_clip FROM pr""")
+def prediction_summary(spark, sf):
+    """Distribution of out-of-sample predictions (population std) and over-clip count."""
+    p = panel(spark, sf)
+    prep = WF.prepare(p, _wf_cfg())
+    preds = WF.predictions(p, prep, "full")
+    # D07 (``distribution_summary``) and D13 (``over_clip``) fused into one pass.
+    return preds.agg(*[r6(e).alias(n) for n, e in (
+        ("prediction_mean", F.coalesce(F.avg("prediction"), F.lit(0.0))),
+        ("prediction_std", F.coalesce(F.stddev_pop("prediction"), F.lit(0.0))),
+        ("prediction_min", F.coalesce(F.min("prediction"), F.lit(0.0))),
+        ("prediction_max", F.coalesce(F.max("prediction"), F.lit(0.0))))],
+        F.count_if(F.abs(F.col("prediction")) > 5).cast("bigint").alias("n_over_clip"))
