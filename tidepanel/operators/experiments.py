@@ -136,12 +136,12 @@ def seeded_fit_days(seed: int) -> Column:
 
 def seeded_runs(day_stats: DataFrame, specs: list[dict], seeds: list[int], fit_end: int,
                 test_start: int) -> DataFrame:
-    """Score run specs ``{kind, window, subset, candidate}`` for every seed.
+    """Score run specs ``{kind, window, subset, candidate}`` (window -> ``roll_window``) for every seed.
 
     Specs x seeds are attached to the per-day statistics by ``explode`` (parameter
     sized), so all runs come out of one aggregation.
     """
-    arr = F.array(*[F.struct(F.lit(s["kind"]).alias("kind"), F.lit(s.get("window")).cast("int").alias("window"),
+    arr = F.array(*[F.struct(F.lit(s["kind"]).alias("kind"), F.lit(s.get("window")).cast("int").alias("roll_window"),
                              F.lit(s.get("subset")).cast("string").alias("subset"),
                              F.lit(s["candidate"]).alias("want"), F.lit(seed).alias("seed"))
                     for s in specs for seed in seeds])
@@ -149,12 +149,12 @@ def seeded_runs(day_stats: DataFrame, specs: list[dict], seeds: list[int], fit_e
     d = d.where(F.col("candidate") == F.col("want"))
     fit = (F.col(DATE) <= fit_end) & (F.pmod(F.col(DATE) * 7 + F.col("seed") * 13, F.lit(10)) < 8)
     ev = F.col(DATE) >= test_start
-    s = d.groupBy("kind", "window", "subset", "seed").agg(
+    s = d.groupBy("kind", "roll_window", "subset", "seed").agg(
         F.sum(F.when(fit, F.col("a"))).alias("a_fit"), F.sum(F.when(fit, F.col("b"))).alias("b_fit"),
         F.sum(F.when(ev, F.col("a"))).alias("a_ev"), F.sum(F.when(ev, F.col("b"))).alias("b_ev"),
         F.sum(F.when(ev, F.col("c"))).alias("c_ev"))
     beta = F.col("b_fit") / F.col("a_fit")
-    return s.select("kind", "window", "subset", "seed",
+    return s.select("kind", "roll_window", "subset", "seed",
                     score_from_sums(beta, F.col("a_ev"), F.col("b_ev"), F.col("c_ev")).alias("score"))
 
 
@@ -163,18 +163,18 @@ def paired_delta(runs: DataFrame) -> DataFrame:
     base = runs.where(F.col("kind") == "baseline").select("seed", F.col("score").alias("baseline_score"))
     cand = runs.where(F.col("kind") != "baseline")
     j = join_small(cand, base, ["seed"], "inner")
-    return j.select("window", "subset", "seed", F.col("score").alias("marketroll_score"), "baseline_score",
+    return j.select("roll_window", "subset", "seed", F.col("score").alias("marketroll_score"), "baseline_score",
                     (F.col("score") - F.col("baseline_score")).alias("delta"))
 
 
 def cell_summary(paired: DataFrame) -> DataFrame:
     """Per (window, subset) cell, best mean delta first."""
-    return (paired.groupBy("window", "subset").agg(
+    return (paired.groupBy("roll_window", "subset").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_seeds"), F.avg("delta").alias("mean_delta"),
         F.coalesce(F.stddev_samp("delta"), F.lit(0.0)).alias("std_delta"),
         F.count_if(F.col("delta") > 0).cast("bigint").alias("n_positive"),
         F.avg("marketroll_score").alias("mean_marketroll"), F.avg("baseline_score").alias("mean_baseline"))
-        .orderBy(F.desc("mean_delta"), "window", "subset"))
+        .orderBy(F.desc("mean_delta"), "roll_window", "subset"))
 
 
 def best_cell(summary: DataFrame, label_cols: list[str], score_col: str) -> DataFrame:

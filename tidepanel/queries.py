@@ -705,3 +705,217 @@ def prediction_summary(spark, sf):
         ("prediction_min", F.coalesce(F.min("prediction"), F.lit(0.0))),
         ("prediction_max", F.coalesce(F.max("prediction"), F.lit(0.0))))],
         F.count_if(F.abs(F.col("prediction")) > 5).cast("bigint").alias("n_over_clip"))
+
+
+# ------------------------------------------------------------------ experiment algebra
+from tidepanel.operators import experiments as EX  # noqa: E402
+
+GRID_VALID, GRID_GAP = [6, 12, 24], [0, 2, 5]
+CAND = [f"feature_{i:02d}" for i in range(7)]
+
+
+def _grid_sql(valid, gap) -> str:
+    vv = ", ".join(f"({v})" for v in valid)
+    gg = ", ".join(f"({g})" for g in gap)
+    return (f"rng AS (SELECT min(date_id) AS dmin, max(date_id) AS dmax FROM panel), "
+            f"grid AS (SELECT 'split_v' || CAST(v.valid_days AS VARCHAR) || '_g' || CAST(g.gap_days AS VARCHAR) AS run_name, "
+            f"CAST(v.valid_days AS BIGINT) AS valid_days, CAST(g.gap_days AS BIGINT) AS gap_days, dmin AS train_start, "
+            f"dmax - v.valid_days - g.gap_days AS train_end, dmax - v.valid_days + 1 AS valid_start, dmax AS valid_end, "
+            f"(dmax - v.valid_days + 1 > dmin) AND (dmax - v.valid_days - g.gap_days >= dmin) AS feasible "
+            f"FROM rng, (VALUES {vv}) v(valid_days), (VALUES {gg}) g(gap_days))")
+
+
+def _cand_sql(cands: dict[str, str]) -> str:
+    wide = ", ".join(f"sum(weight * coalesce({x}, 0) * coalesce({x}, 0)) AS a_{n}, "
+                     f"sum(weight * coalesce({x}, 0) * responder_6) AS b_{n}" for n, x in cands.items())
+    longs = " UNION ALL ".join(f"SELECT date_id, c, n, '{n}' AS candidate, a_{n} AS a, b_{n} AS b FROM dw"
+                               for n in cands)
+    return (f"dw AS (SELECT date_id, sum(weight * responder_6 * responder_6) AS c, count(*) AS n, {wide} "
+            f"FROM src GROUP BY date_id), dl AS ({longs})")
+
+
+_GRID_SCORES = (f"{PANEL}, src AS (SELECT * FROM panel), {_cand_sql({c: c for c in CAND})}, {_grid_sql(GRID_VALID, GRID_GAP)}, "
+                f"s AS (SELECT run_name, valid_days, gap_days, candidate, "
+                f"sum(CASE WHEN date_id BETWEEN train_start AND train_end THEN a END) AS a_fit, "
+                f"sum(CASE WHEN date_id BETWEEN train_start AND train_end THEN b END) AS b_fit, "
+                f"sum(CASE WHEN date_id BETWEEN valid_start AND valid_end THEN a END) AS a_ev, "
+                f"sum(CASE WHEN date_id BETWEEN valid_start AND valid_end THEN b END) AS b_ev, "
+                f"sum(CASE WHEN date_id BETWEEN valid_start AND valid_end THEN c END) AS c_ev, "
+                f"sum(CASE WHEN date_id BETWEEN valid_start AND valid_end THEN n END) AS valid_rows "
+                f"FROM dl JOIN grid ON grid.feasible AND dl.date_id BETWEEN grid.train_start AND grid.valid_end "
+                f"GROUP BY run_name, valid_days, gap_days, candidate), "
+                f"sc AS (SELECT run_name, valid_days, gap_days, candidate, CAST(valid_rows AS BIGINT) AS valid_rows, "
+                f"b_fit / a_fit AS beta, 1 - (c_ev - 2 * (b_fit / a_fit) * b_ev + (b_fit / a_fit) * (b_fit / a_fit) * a_ev) / c_ev AS score FROM s)")
+
+
+def _grid_scores(spark, sf) -> DataFrame:
+    p = panel(spark, sf)
+    ds = EX.candidate_day_stats(p, {c: F.col(c) for c in CAND})
+    grid = EX.split_grid(ds, GRID_VALID, GRID_GAP)
+    return EX.split_grid_scores(ds, grid)
+
+
+@query("split_grid", f"""{PANEL}, {_grid_sql(GRID_VALID + [80], GRID_GAP)}
+SELECT run_name, valid_days, gap_days, train_start, train_end, valid_start, valid_end, feasible FROM grid""")
+def split_grid(spark, sf):
+    """Valid x gap grid of holdout splits with run names; infeasible cells flagged."""
+    ds = PN.date_range(panel(spark, sf)).select(F.col("date_min").alias("date_id")).unionByName(
+        PN.date_range(panel(spark, sf)).select(F.col("date_max").alias("date_id")))
+    return EX.split_grid(ds, GRID_VALID + [80], GRID_GAP)
+
+
+@query("split_grid_scores", f"""{_GRID_SCORES}
+SELECT run_name, valid_days, gap_days, candidate, valid_rows, round(beta, 6) AS beta, round(score, 6) AS score FROM sc""")
+def split_grid_scores(spark, sf):
+    """Every feasible split x every one-input candidate, from per-day sums."""
+    s = _grid_scores(spark, sf)
+    return s.select("run_name", "valid_days", "gap_days", "candidate", "valid_rows",
+                    r6(F.col("beta")).alias("beta"), r6(F.col("score")).alias("score"))
+
+
+@query("split_stability", f"""{_GRID_SCORES}
+SELECT CAST(count(*) AS BIGINT) AS n_splits, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS pstdev,
+  round(min(score), 6) AS min, round(max(score), 6) AS max, bool_and(score > 0) AS all_positive
+FROM sc WHERE candidate = 'feature_02'""")
+def split_stability(spark, sf):
+    """Stability of the feature_02 model over the split grid."""
+    s = EX.split_stability(_grid_scores(spark, sf).where(F.col("candidate") == "feature_02"))
+    return s.select("n_splits", *[r6(F.col(c)).alias(c) for c in ("mean", "pstdev", "min", "max")], "all_positive")
+
+
+@query("valid_days_trend", f"""{_GRID_SCORES},
+m AS (SELECT valid_days, avg(score) AS mean_score FROM sc WHERE candidate = 'feature_02' GROUP BY valid_days),
+u AS (SELECT valid_days, mean_score, lag(mean_score) OVER (ORDER BY valid_days) IS NULL
+        OR mean_score >= lag(mean_score) OVER (ORDER BY valid_days) AS up FROM m)
+SELECT valid_days, round(mean_score, 6) AS mean_score, bool_and(up) OVER () AS monotone_increasing FROM u""")
+def valid_days_trend(spark, sf):
+    """Mean score per validation length and a monotone-trend flag."""
+    t = EX.valid_days_trend(_grid_scores(spark, sf).where(F.col("candidate") == "feature_02"))
+    return t.select("valid_days", r6(F.col("mean_score")).alias("mean_score"), "monotone_increasing")
+
+
+@query("gap_effect", f"""{_GRID_SCORES},
+g AS (SELECT valid_days, arg_min(score, gap_days) AS s_lo, arg_max(score, gap_days) AS s_hi,
+        count(DISTINCT gap_days) AS n_gaps FROM sc WHERE candidate = 'feature_02' GROUP BY valid_days)
+SELECT CAST(count(*) AS BIGINT) AS n_windows, round(avg((s_hi - s_lo) / abs(s_lo)), 6) AS mean_relative_change
+FROM g WHERE n_gaps > 1""")
+def gap_effect(spark, sf):
+    """Relative score change from the smallest to the largest gap, averaged."""
+    g = EX.gap_effect(_grid_scores(spark, sf).where(F.col("candidate") == "feature_02"))
+    return g.select("n_windows", r6(F.col("mean_relative_change")).alias("mean_relative_change"))
+
+
+@query("rank_stability", f"""{_GRID_SCORES},
+r AS (SELECT run_name, candidate, row_number() OVER (PARTITION BY run_name ORDER BY score DESC, candidate) AS rank FROM sc)
+SELECT candidate, CAST(count(*) FILTER (WHERE rank = 1) AS BIGINT) AS n_first,
+  CAST(count(*) FILTER (WHERE rank <= 5) AS BIGINT) AS n_top FROM r GROUP BY candidate""")
+def rank_stability(spark, sf):
+    """How often each input ranks first / in the top 5 across the split runs."""
+    return EX.rank_stability(EX.rank_candidates(_grid_scores(spark, sf)), 5)
+
+
+@query("ranked_subset", f"""{_GRID_SCORES},
+imp AS (SELECT candidate AS feature, round(score, 6) AS importance FROM sc WHERE run_name = 'split_v{VALID_DAYS}_g{GAP_DAYS}')
+SELECT feature, importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS BIGINT) AS rank
+FROM imp QUALIFY rank <= 3""")
+def ranked_subset(spark, sf):
+    """top-k inputs of an importance ranking (univariate holdout R² here)."""
+    s = _grid_scores(spark, sf).where(F.col("run_name") == f"split_v{VALID_DAYS}_g{GAP_DAYS}")
+    imp = s.select(F.col("candidate").alias("feature"), r6(F.col("score")).alias("importance"))
+    return FE.ranked_subset(imp, 3)
+
+
+# Seeded window x subset sweep (K18): one-input models on rolling means vs a raw baseline.
+SWEEP_W = [W_SMALL, W_LARGE]
+SWEEP_SUBSETS = ["feature_02", "feature_03"]
+SEEDS = [1, 2, 3]
+
+
+def _sweep_specs() -> list[dict]:
+    specs = [{"kind": "baseline", "window": None, "subset": None, "candidate": "base"}]
+    for w in SWEEP_W:
+        for s in SWEEP_SUBSETS:
+            specs.append({"kind": "marketroll", "window": w, "subset": s, "candidate": f"{s}_w{w}"})
+    return specs
+
+
+def _sweep_runs(spark, sf) -> DataFrame:
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    cands = {"base": F.col("feature_02")}
+    frame = p
+    for w in SWEEP_W:
+        r = FE.rolling_stats(frame, SWEEP_SUBSETS, window=w)
+        frame = r.select(*frame.columns, *[F.col(f"{s}_roll_mean").alias(f"{s}_w{w}") for s in SWEEP_SUBSETS])
+        for s in SWEEP_SUBSETS:
+            cands[f"{s}_w{w}"] = F.col(f"{s}_w{w}")
+    ds = EX.candidate_day_stats(frame, cands)
+    return EX.seeded_runs(ds, _sweep_specs(), SEEDS, ns.train.train_end, ns.test_start)
+
+
+def _sweep_sql() -> str:
+    frames = []
+    for w in SWEEP_W:
+        for s in SWEEP_SUBSETS:
+            frames.append(f"avg({s}) OVER (PARTITION BY symbol_id ORDER BY date_id, time_id "
+                          f"ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS {s}_w{w}")
+    cands = {"base": "feature_02"} | {f"{s}_w{w}": f"{s}_w{w}" for w in SWEEP_W for s in SWEEP_SUBSETS}
+    specs = ", ".join(
+        f"('{sp['kind']}', {sp['window'] if sp['window'] is not None else 'NULL'}, "
+        f"{repr(sp['subset']) if sp['subset'] else 'NULL'}, '{sp['candidate']}')" for sp in _sweep_specs())
+    seeds = ", ".join(f"({s})" for s in SEEDS)
+    return (f"{PANEL}, {_BOUNDS_CTE}, src AS (SELECT *, {', '.join(frames)} FROM panel), {_cand_sql(cands)}, "
+            f"specs AS (SELECT * FROM (VALUES {specs}) t(kind, roll_window, subset, want)), "
+            f"seeds AS (SELECT * FROM (VALUES {seeds}) t(seed)), "
+            f"s AS (SELECT kind, roll_window, subset, seed, "
+            f"sum(CASE WHEN date_id <= train_end AND (date_id * 7 + seed * 13) % 10 < 8 THEN a END) AS a_fit, "
+            f"sum(CASE WHEN date_id <= train_end AND (date_id * 7 + seed * 13) % 10 < 8 THEN b END) AS b_fit, "
+            f"sum(CASE WHEN date_id >= test_start THEN a END) AS a_ev, sum(CASE WHEN date_id >= test_start THEN b END) AS b_ev, "
+            f"sum(CASE WHEN date_id >= test_start THEN c END) AS c_ev "
+            f"FROM dl, bounds, specs, seeds WHERE dl.candidate = specs.want GROUP BY kind, roll_window, subset, seed), "
+            f"runs AS (SELECT kind, CAST(roll_window AS INT) AS roll_window, subset, seed, "
+            f"1 - (c_ev - 2 * (b_fit / a_fit) * b_ev + (b_fit / a_fit) * (b_fit / a_fit) * a_ev) / c_ev AS score FROM s), "
+            f"paired AS (SELECT r.roll_window, r.subset, r.seed, r.score AS marketroll_score, b.score AS baseline_score, "
+            f"r.score - b.score AS delta FROM runs r JOIN runs b ON b.kind = 'baseline' AND b.seed = r.seed "
+            f"WHERE r.kind <> 'baseline'), "
+            f"cells AS (SELECT roll_window, subset, CAST(count(*) AS BIGINT) AS n_seeds, avg(delta) AS mean_delta, "
+            f"coalesce(stddev_samp(delta), 0.0) AS std_delta, CAST(count(*) FILTER (WHERE delta > 0) AS BIGINT) AS n_positive, "
+            f"avg(marketroll_score) AS mean_marketroll, avg(baseline_score) AS mean_baseline FROM paired GROUP BY roll_window, subset)")
+
+
+@query("marketroll_sweep", f"""{_sweep_sql()}
+SELECT kind, roll_window, subset, seed, round(score, 6) AS score FROM runs""")
+def marketroll_sweep(spark, sf):
+    """Window x subset x seed runs plus same-seed baselines, from one aggregation."""
+    r = _sweep_runs(spark, sf)
+    return r.select("kind", "roll_window", "subset", "seed", r6(F.col("score")).alias("score"))
+
+
+@query("paired_delta", f"""{_sweep_sql()}
+SELECT roll_window, subset, seed, round(marketroll_score, 6) AS marketroll_score, round(baseline_score, 6) AS baseline_score,
+  round(delta, 6) AS delta FROM paired""")
+def paired_delta(spark, sf):
+    """Candidate runs joined to their same-seed baseline."""
+    d = EX.paired_delta(_sweep_runs(spark, sf))
+    return d.select("roll_window", "subset", "seed", *[r6(F.col(c)).alias(c) for c in ("marketroll_score", "baseline_score", "delta")])
+
+
+@query("cell_summary", f"""{_sweep_sql()}
+SELECT roll_window, subset, n_seeds, round(mean_delta, 6) AS mean_delta, round(std_delta, 6) AS std_delta, n_positive,
+  round(mean_marketroll, 6) AS mean_marketroll, round(mean_baseline, 6) AS mean_baseline FROM cells""")
+def cell_summary(spark, sf):
+    """Per-cell paired statistics, best mean delta first."""
+    c = EX.cell_summary(EX.paired_delta(_sweep_runs(spark, sf)))
+    return c.select("roll_window", "subset", "n_seeds", r6(F.col("mean_delta")).alias("mean_delta"),
+                    r6(F.col("std_delta")).alias("std_delta"), "n_positive",
+                    r6(F.col("mean_marketroll")).alias("mean_marketroll"), r6(F.col("mean_baseline")).alias("mean_baseline"))
+
+
+@query("best_variant", f"""{_sweep_sql()}
+SELECT CAST(roll_window AS VARCHAR) || '/' || subset AS best, round(mean_delta, 6) AS mean_delta FROM cells
+ORDER BY mean_delta DESC, best LIMIT 1""")
+def best_variant(spark, sf):
+    """Best cell of the sweep (arg-max, ties by label)."""
+    c = EX.cell_summary(EX.paired_delta(_sweep_runs(spark, sf)))
+    b = EX.best_cell(c, ["roll_window", "subset"], "mean_delta")
+    return b.select("best", r6(F.col("mean_delta")).alias("mean_delta"))
