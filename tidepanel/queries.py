@@ -919,3 +919,46 @@ def best_variant(spark, sf):
     c = EX.cell_summary(EX.paired_delta(_sweep_runs(spark, sf)))
     b = EX.best_cell(c, ["roll_window", "subset"], "mean_delta")
     return b.select("best", r6(F.col("mean_delta")).alias("mean_delta"))
+
+
+# ------------------------------------------------------------------ sequences
+SEQ_FEATURES = ["feature_00", "feature_02", "feature_03"]
+
+
+@query("day_sequences", f"""{PANEL}
+SELECT date_id, symbol_id, CAST(count(*) AS BIGINT) AS seq_len, min(time_id) AS first_time, max(time_id) AS last_time,
+  sum((time_id + 1) * coalesce(responder_6, 0.0)) AS checksum FROM panel GROUP BY date_id, symbol_id""")
+def day_sequences(spark, sf):
+    """Per (date, symbol) time-ordered step arrays, compared through scalars."""
+    seqs = SQ.day_sequences(panel(spark, sf), SEQ_FEATURES)
+    return SQ.sequence_scalars(seqs)
+
+
+@query("flatten_sequences", f"{PANEL} SELECT {IDS}, responder_6 AS y, weight AS w, feature_02 AS x1 FROM panel")
+def flatten_sequences(spark, sf):
+    """Sequences back to rows (``inline``); round trip equals the panel."""
+    flat = SQ.flatten_sequences(SQ.day_sequences(panel(spark, sf), SEQ_FEATURES))
+    return flat.select(*ID_COLUMNS, "y", "w", F.element_at("x", 2).alias("x1"))
+
+
+@query("rectangularity", f"""{PANEL}
+SELECT date_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT symbol_id) AS BIGINT) AS n_symbols,
+  CAST(max(time_id) + 1 AS BIGINT) AS n_times,
+  count(*) = count(DISTINCT symbol_id) * (max(time_id) + 1) AS rectangular,
+  count(*) % (max(time_id) + 1) = 0 AS divisible FROM panel GROUP BY date_id""")
+def rectangularity(spark, sf):
+    """Exact rectangularity vs the divisibility test."""
+    return SQ.rectangularity(panel(spark, sf))
+
+
+@query("densify_day", f"""{PANEL},
+g AS (SELECT date_id, max(time_id) + 1 AS nt FROM panel GROUP BY date_id),
+m AS (SELECT DISTINCT date_id, symbol_id FROM panel)
+SELECT m.date_id, CAST(count(*) * 0 + sum(g.nt) AS BIGINT) AS n_cells,
+  CAST((SELECT count(*) FROM panel p WHERE p.date_id = m.date_id) AS BIGINT) AS n_filled
+FROM m JOIN g ON g.date_id = m.date_id GROUP BY m.date_id""")
+def densify_day(spark, sf):
+    """I02 option: (date, symbol) series completed to the day's time grid."""
+    d = SQ.densify_days(panel(spark, sf), ["responder_6"])
+    return d.groupBy("date_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_cells"),
+                                    F.count_if("filled").cast("bigint").alias("n_filled"))
