@@ -962,3 +962,83 @@ def densify_day(spark, sf):
     d = SQ.densify_days(panel(spark, sf), ["responder_6"])
     return d.groupBy("date_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_cells"),
                                     F.count_if("filled").cast("bigint").alias("n_filled"))
+
+
+# ------------------------------------------------------------------ boosted trees
+from tidepanel.plans import gbt as GB  # noqa: E402
+
+GBT_PARAMS = GB.GBTParams(max_iter=10, max_depth=4, max_bins=32, step_size=0.2, seed=7)
+
+
+def _gbt_summary(preds: DataFrame, variant: str, cadence: int, n_updates: int) -> DataFrame:
+    r = ME.weighted_r2(preds, "prediction")
+    return r.select(F.lit(variant).alias("variant"), F.lit(cadence).cast("bigint").alias("cadence"),
+                    F.lit(n_updates).cast("bigint").alias("n_updates"), F.col("n_rows").alias("test_rows"),
+                    r6(F.col("r2")).alias("score"))
+
+
+def _gbt_wf(spark, sf, variant, cadence):
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    preds, n = GB.walk_forward(p, PANEL_FEATURES, ns, variant, cadence, GBT_PARAMS)
+    return _gbt_summary(preds, variant, 0 if variant == "full" else cadence, n)
+
+
+@query("gbt_fit_predict")
+def gbt_fit_predict(spark, sf):
+    """Boosted trees with early stopping; test-block predictions keyed by ids."""
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    preds, _ = GB.walk_forward(p, PANEL_FEATURES, ns, "full", 1, GBT_PARAMS)
+    return preds.select(*ID_COLUMNS, "responder_6", "weight", "prediction")
+
+
+@query("gbt_leaf_refit")
+def gbt_leaf_refit(spark, sf):
+    """Leaf-value refit on revealed days every 10 test days."""
+    return _gbt_wf(spark, sf, "refit", 10)
+
+
+@query("gbt_continue")
+def gbt_continue(spark, sf):
+    """Extra residual trees on revealed days every 10 test days."""
+    return _gbt_wf(spark, sf, "continue", 10)
+
+
+@query("gbt_retrain")
+def gbt_retrain(spark, sf):
+    """Expanding refit of the booster every 10 test days."""
+    return _gbt_wf(spark, sf, "retrain", 10)
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    """Importance ranking of the fitted booster (top 5)."""
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    train = p.where(F.col("date_id").between(ns.train.train_start, ns.train.train_end))
+    es = p.where(F.col("date_id").between(ns.es_start, ns.es_end))
+    return GB.feature_importance(GB.fit(train, PANEL_FEATURES, GBT_PARAMS, valid=es), 5)
+
+
+@query("oof_predictions")
+def oof_predictions(spark, sf):
+    """A10: out-of-fold predictions (ids, target, weight, prediction) written to parquet."""
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    preds, _ = GB.walk_forward(p, PANEL_FEATURES, ns, "full", 1, GBT_PARAMS)
+    out = checkpoint_path(spark, f"oof_{uuid.uuid4().hex[:10]}")
+    PN.write_table(preds.select(*ID_COLUMNS, "responder_6", "weight", "prediction"), out)
+    return spark.read.parquet(out)
+
+
+@query("baseline_run")
+def baseline_run(spark, sf):
+    """Load -> lags + engineered features -> split -> fit -> score, one summary row."""
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    mf = FE.model_frame(p, use_lags=True, use_market_avg=True, use_rolling=True,
+                        engineered=["feature_02", "feature_03"], window=W_SMALL)
+    feats = PANEL_FEATURES + ["responder_6_lag_1"] + FE.engineered_columns(["feature_02", "feature_03"], True, True)
+    preds, n = GB.walk_forward(mf, feats, ns, "full", 1, GBT_PARAMS)
+    return _gbt_summary(preds, "full", 0, n)
