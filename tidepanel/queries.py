@@ -1042,3 +1042,97 @@ def baseline_run(spark, sf):
     feats = PANEL_FEATURES + ["responder_6_lag_1"] + FE.engineered_columns(["feature_02", "feature_03"], True, True)
     preds, n = GB.walk_forward(mf, feats, ns, "full", 1, GBT_PARAMS)
     return _gbt_summary(preds, "full", 0, n)
+
+
+# ------------------------------------------------------------------ multi-target and online
+from tidepanel.plans import multitarget as MT  # noqa: E402
+
+
+def _multi_cfg(extra_targets=None, **kw) -> WF.WalkForwardConfig:
+    return WF.WalkForwardConfig(features=PANEL_FEATURES, intercept=True, standardize=True, ridge=1e-3,
+                                test_days=TEST_DAYS, valid_days=VALID_DAYS, gap_days=GAP_DAYS,
+                                extra_targets=extra_targets or [], **kw)
+
+
+def _aux_panel(spark, sf) -> DataFrame:
+    return FE.add_aux_targets(panel(spark, sf))
+
+
+@query("multitarget_stack")
+def multitarget_stack(spark, sf):
+    """Auxiliary heads (base4 / target_family / all9 / all11) stacked into the target."""
+    heads = sorted({h for s in MT.AUX_TARGET_SETS.values() for h in s})
+    prep = WF.prepare(_aux_panel(spark, sf), _multi_cfg(heads))
+    s = MT.aux_sweep(prep, list(MT.AUX_TARGET_SETS), [0])
+    return s.select("aux_set", "n_heads", r6(F.col("score")).alias("score"))
+
+
+@query("aux_sweep")
+def aux_sweep(spark, sf):
+    """Aux set x seed on one maximal statistics table, paired against base4."""
+    heads = sorted({h for s in MT.AUX_TARGET_SETS.values() for h in s})
+    prep = WF.prepare(_aux_panel(spark, sf), _multi_cfg(heads))
+    runs = MT.aux_sweep(prep, list(MT.AUX_TARGET_SETS), SEEDS)
+    base = runs.where(F.col("aux_set") == "base4").select("seed", F.col("score").alias("base_score"))
+    j = runs.where(F.col("aux_set") != "base4").join(base, "seed")
+    return j.select("aux_set", "seed", r6(F.col("score")).alias("score"), r6(F.col("base_score")).alias("base_score"),
+                    r6(F.col("score") - F.col("base_score")).alias("delta"))
+
+
+@query("wls_online_step")
+def wls_online_step(spark, sf):
+    """One gradient step per revealed day (sgd, fresh AdamW, kept AdamW)."""
+    p = panel(spark, sf)
+    out = None
+    for opt in ("sgd", "adamw_fresh", "adamw_kept"):
+        prep = WF.prepare(p, _multi_cfg(optimizer=opt, lr=0.01, grad_clip=1.0))
+        s = _score(prep, "online", 1).withColumn("optimizer", F.lit(opt))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("walk_forward_multi")
+def walk_forward_multi(spark, sf):
+    """K10/K11 with all panel inputs (standardised, intercept, ridge): every variant."""
+    prep = WF.prepare(panel(spark, sf), _multi_cfg())
+    return _suite(prep, [("full", 1), ("retrain", 5), ("refit", 5), ("continue", 5), ("online", 1)])
+
+
+# ------------------------------------------------------------------ streaming (L01-L05), rows-only checks
+from tidepanel.streaming import operators as STR  # noqa: E402
+
+
+@query("stream_market_avg")
+def stream_market_avg(spark, sf):
+    """Hourly cross-sectional average of the event stream with a watermark."""
+    return STR.stream_market_avg(spark, STR.stage_events_by_day(spark, sf))
+
+
+@query("stream_market_avg_sliding")
+def stream_market_avg_sliding(spark, sf):
+    """L01 (sliding): 2-hour windows every hour."""
+    return STR.stream_market_avg(spark, STR.stage_events_by_day(spark, sf), "2 hours", "1 hour")
+
+
+@query("stream_rolling")
+def stream_rolling(spark, sf):
+    """Per-user trailing 10-event mean / std held in keyed state."""
+    return STR.stream_rolling(spark, STR.stage_events_by_day(spark, sf), 10)
+
+
+@query("stream_day_lag")
+def stream_day_lag(spark, sf):
+    """Previous-day (user, hour) mean handed over at the day boundary."""
+    return STR.stream_day_lag(spark, STR.stage_events_by_day(spark, sf))
+
+
+@query("stream_running_r2")
+def stream_running_r2(spark, sf):
+    """Running weighted R² of the previous-day predictor."""
+    return STR.stream_running_r2(spark, STR.stage_events_by_day(spark, sf))
+
+
+@query("stream_predict_update")
+def stream_predict_update(spark, sf):
+    """Predict each day, then update the model, one day per trigger."""
+    return STR.stream_predict_update(spark, STR.stage_events_by_day(spark, sf))
