@@ -34,6 +34,8 @@ from tidepanel.operators.schema import require_columns
 from tidepanel.plans.joins import bounded_broadcast, join_small
 
 POS = "_pos"
+# Longest trailing window evaluated as a sliding frame; longer ones use prefix sums.
+FRAME_MAX_WINDOW = 64
 
 
 def present_features(df: DataFrame, features: Iterable[str] | None = None) -> list[str]:
@@ -61,6 +63,26 @@ def market_average(df: DataFrame, features: list[str] | None = None,
     return join_small(df, agg, list(keys), "left")
 
 
+# ------------------------------------------------------------ per-symbol series strategy
+def series_strategy(df: DataFrame, key: str = SYMBOL) -> str:
+    """Pick how to walk per-``key`` series: ``window`` or ``blocks``.
+
+    A window partitioned by ``key`` runs each series in one task: fine when there are
+    many keys and none holds more than a fair task share, fatal when a few keys carry
+    the data (the real panel has ~40 symbols). The check is one aggregation over the
+    key column alone (partial aggregation, no hot key); above the bound the
+    (key, date)-block plan is used, whose shuffles are keyed by (key, date) or
+    (key, position) and spread evenly whatever the key distribution.
+    """
+    par = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    st = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.count(F.lit(1)).alias("keys"), F.max("n").alias("mx"), F.sum("n").alias("tot")).first()
+    if st is None or not st["keys"]:
+        return "window"
+    fair = st["tot"] / par
+    return "window" if (st["keys"] >= 4 * par and st["mx"] <= fair) else "blocks"
+
+
 # ------------------------------------------------------------ per-symbol series index
 def series_index(df: DataFrame, key: str = SYMBOL, block: str = DATE,
                  order: tuple[str, ...] = (TIME,), pos_col: str = POS,
@@ -117,7 +139,7 @@ def _lead_names(leads: dict[str, list[int]]) -> list[str]:
 
 
 # ------------------------------------------------------------------------- E04/E05
-def add_aux_targets(df: DataFrame, method: str = "index") -> DataFrame:
+def add_aux_targets(df: DataFrame, method: str = "auto") -> DataFrame:
     """``responder_9 = r8 + r8[+4]`` and ``responder_10 = r6 + r6[+20] + r6[+40]``.
 
     Shifts count rows of the symbol's (date, time)-ordered series and cross day
@@ -125,6 +147,8 @@ def add_aux_targets(df: DataFrame, method: str = "index") -> DataFrame:
     """
     require_columns(df, ["responder_6", "responder_8", SYMBOL, DATE, TIME], "aux targets")
     r6, r8 = "responder_6", "responder_8"
+    if method == "auto":
+        method = "window" if series_strategy(df) == "window" else "index"
     if method == "window":
         w = Window.partitionBy(SYMBOL).orderBy(DATE, TIME)
         s9 = F.col(r8)
@@ -148,11 +172,13 @@ def add_aux_targets(df: DataFrame, method: str = "index") -> DataFrame:
 
 # ------------------------------------------------------------------------- E02/E03
 def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int = 1000,
-                  method: str = "prefix", key: str = SYMBOL) -> DataFrame:
+                  method: str = "auto", key: str = SYMBOL) -> DataFrame:
     """Trailing ``window``-row mean (min 1 sample) and std (ddof 1, min 2, null -> 0).
 
+    ``auto`` (default) picks ``frame`` for short windows over many evenly sized
+    symbols and ``prefix`` otherwise.
     ``frame``: ``rowsBetween(-(W-1), 0)`` over a symbol window (O(n*W), one task per
-    symbol). ``prefix`` (default): running count / sum / centred sum of squares per
+    symbol). ``prefix``: running count / sum / centred sum of squares per
     symbol built from (symbol, date) blocks, and the value ``W`` rows back fetched with
     an equi-join on (symbol, position); cost independent of ``W`` and no hot symbol.
     Nulls occupy a row of the window but are not samples; NaN is treated as null.
@@ -160,6 +186,15 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
     feats = present_features(df, features)
     if window < 1:
         raise ValueError("window must be >= 1")
+    if method == "auto":
+        # Frames cost O(n*W): only for short windows; symbol windows only for
+        # well-spread symbols, (symbol, date) blocks otherwise.
+        if series_strategy(df, key) == "window":
+            method = "frame" if window <= FRAME_MAX_WINDOW else "prefix_window"
+        else:
+            method = "prefix"
+    if method == "prefix_window":
+        return _rolling_prefix_window(df, feats, window, key)
     if method == "frame":
         w = Window.partitionBy(key).orderBy(DATE, TIME).rowsBetween(-(window - 1), 0)
         out = []
@@ -236,6 +271,36 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
     return j.select(*cols, *out)
 
 
+def _rolling_prefix_window(df: DataFrame, feats: list[str], window: int, key: str) -> DataFrame:
+    """Prefix-sum rolling over one symbol window (for many, evenly sized symbols):
+    running count / sum / centred sum of squares minus their value ``window`` rows
+    back. Three Window nodes share one exchange and one sort; O(n) for any W."""
+    cols = df.columns
+    w = Window.partitionBy(key).orderBy(DATE, TIME)
+    cum = w.rowsBetween(Window.unboundedPreceding, 0)
+    v = {f: nan_to_null(F.col(f)) for f in feats}
+    centred = df.select("*", *[F.first(v[f], ignorenulls=True).over(cum).alias(f"_c_{f}") for f in feats])
+    run = []
+    for f in feats:
+        d = v[f] - F.col(f"_c_{f}")
+        run += [F.count(v[f]).over(cum).alias(f"_N_{f}"),
+                F.coalesce(F.sum(v[f]).over(cum), F.lit(0.0)).alias(f"_S_{f}"),
+                F.coalesce(F.sum(d * d).over(cum), F.lit(0.0)).alias(f"_Q_{f}")]
+    pref = centred.select("*", *run)
+    lagged = pref.select("*", *[F.coalesce(F.lag(f"_{t}_{f}", window).over(w), F.lit(0)).alias(f"_p{t}_{f}")
+                                for f in feats for t in "NSQ"])
+    out = []
+    for f in feats:
+        n = F.col(f"_N_{f}") - F.col(f"_pN_{f}")
+        s_ = F.col(f"_S_{f}") - F.col(f"_pS_{f}")
+        q = F.col(f"_Q_{f}") - F.col(f"_pQ_{f}")
+        sc = s_ - n * F.coalesce(F.col(f"_c_{f}"), F.lit(0.0))
+        var = F.greatest((q - sc * sc / n) / (n - 1), F.lit(0.0))
+        out += [F.when(n >= 1, s_ / n).alias(f"{f}_roll_mean"),
+                F.when(n >= 2, F.sqrt(var)).otherwise(F.lit(0.0)).alias(f"{f}_roll_std")]
+    return lagged.select(*cols, *out)
+
+
 # ----------------------------------------------------------------------------- C01
 def responder_lag(df: DataFrame, responders: list[str] | None = None,
                   assert_unique: bool = False) -> DataFrame:
@@ -309,7 +374,7 @@ def ranked_subset(importance: DataFrame, k: int | None, feature_col: str = "feat
 def model_frame(df: DataFrame, *, features: list[str] | None = None,
                 use_aux: bool = False, use_lags: bool = False, use_market_avg: bool = False,
                 use_rolling: bool = False, engineered: list[str] | None = None,
-                window: int = 1000, rolling_method: str = "prefix") -> DataFrame:
+                window: int = 1000, rolling_method: str = "auto") -> DataFrame:
     """Model-input chain in the reference order: placeholders -> aux -> lags -> market
     average -> rolling; returns ids, weight, responders and the model inputs."""
     feats = present_features(df, features)
