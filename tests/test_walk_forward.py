@@ -93,3 +93,14 @@ def test_predictions_match_day_scores(prepared):
     s = WF.score_variant(prep, "retrain", 5).first()["score"]
     assert r == pytest.approx(s, rel=1e-9)
     assert rows.where(F.col("date_id") < prep.split.test_start).count() == 0
+
+
+def test_suite_matches_variants(prepared):
+    cfg, prep, pdf = prepared
+    specs = [("full", 1), ("retrain", 3), ("refit", 2), ("continue", 4), ("online", 1)]
+    suite = {(r["variant"], r["cadence"]): r for r in WF.score_suite(prep, specs).collect()}
+    for v, k in specs:
+        one = WF.score_variant(prep, v, k).first()
+        s = suite[(v, 0 if v == "full" else k)]
+        assert s["score"] == pytest.approx(one["score"], rel=1e-9)
+        assert s["n_updates"] == one["n_updates"] and s["test_rows"] == one["test_rows"]

@@ -62,4 +62,4 @@ def aux_sweep(prep: PreparedPanel, aux_sets: list[str], seeds: list[int]) -> Dat
                     out.append((name, int(row["seed"]), len(heads), float(1 - sse / ct[target])))
             yield pd.DataFrame(out, columns=["aux_set", "seed", "n_heads", "score"])
 
-    return sums.mapInPandas(solve, schema)
+    return sums.coalesce(1).mapInPandas(solve, schema)  # one row per seed
