@@ -87,3 +87,16 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` holds a fully committed Spark write (its ``_SUCCESS`` marker).
+
+    Works for any file system Spark can read; a partially written folder left by a
+    lost job is not mistaken for a finished table.
+    """
+    try:
+        spark.read.text(path.rstrip("/") + "/_SUCCESS").limit(1).collect()
+        return True
+    except Exception:  # noqa: BLE001 - missing marker
+        return False

@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.session import checkpoint_path
+from tidepanel.session import checkpoint_path, committed
 
 PANEL_SQL = """
 SELECT date_id, CAST(row_number() OVER (PARTITION BY date_id, symbol_id
@@ -111,11 +111,8 @@ def panel_path(spark: SparkSession, sf_dir: str) -> str:
     """
     tag = hashlib.sha1(f"{_PANEL_VERSION}:{os.path.abspath(sf_dir)}".encode()).hexdigest()[:12]
     path = checkpoint_path(spark, f"panel_{tag}")
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - existence probe
+    if committed(spark, path):
         return path
-    except Exception:  # noqa: BLE001 - not written yet
-        pass
     lineitem = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
     (panel_from_lineitem(lineitem).repartitionByRange("date_id")
         .sortWithinPartitions("date_id", "symbol_id", "time_id")

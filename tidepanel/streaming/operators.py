@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tidepanel.session import checkpoint_path
+from tidepanel.session import checkpoint_path, committed
 from tidepanel.sources.fixtures import load_events
 
 EVENT_SCHEMA = T.StructType([
@@ -34,23 +34,23 @@ EVENT_SCHEMA = T.StructType([
 def stage_events_by_day(spark: SparkSession, sf_dir: str) -> str:
     """Replay folder: the event table written one day after another (file age = day
     order, which the file source follows). Written once per input folder."""
-    tag = hashlib.sha1(f"events-v1:{os.path.abspath(sf_dir)}".encode()).hexdigest()[:12]
+    tag = hashlib.sha1(f"events-v2:{os.path.abspath(sf_dir)}".encode()).hexdigest()[:12]
     path = checkpoint_path(spark, f"events_by_day_{tag}")
-    done = os.path.join(path, "_STAGED")
-    if "://" not in path and os.path.exists(done):
+    done = os.path.join(path, "_staged")
+    if committed(spark, done):
         return path
     ev = load_events(spark, sf_dir).select(*[f.name for f in EVENT_SCHEMA.fields])
     days = [r["date_id"] for r in ev.select("date_id").distinct().orderBy("date_id").collect()]  # one row per day
     for d in days:
-        ev.where(F.col("date_id") == d).write.mode("append").parquet(os.path.join(path, "data"))
-    if "://" not in path:
-        open(done, "w").close()
+        # One folder per day, overwritten on a re-run: staging is idempotent.
+        ev.where(F.col("date_id") == d).write.mode("overwrite").parquet(os.path.join(path, "data", f"d{d:06d}"))
+    spark.createDataFrame([(len(days),)], "n_days int").write.mode("overwrite").parquet(done)
     return path
 
 
 def read_event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(os.path.join(path, "data")))
+            .parquet(os.path.join(path, "data", "*")))
 
 
 def _run(query_builder, name: str, spark: SparkSession) -> str:
@@ -241,12 +241,15 @@ def stream_predict_update(spark: SparkSession, path: str) -> DataFrame:
 
         def f(batch: DataFrame, batch_id: int) -> None:
             try:
-                model = spark.read.parquet(model_dir)
+                model = spark.read.option("recursiveFileLookup", "true").parquet(model_dir)
             except Exception:  # noqa: BLE001 - first day: empty model
                 model = None
-            days = batch.select("date_id").distinct()
+            first_day = batch.agg(F.min("date_id")).first()[0]
+            if first_day is None:
+                return
             if model is not None:
-                hist = model.join(days.select(F.min("date_id").alias("_d")), F.col("date_id") < F.col("_d"))
+                # The model as of the batch's first day: only strictly earlier days.
+                hist = model.where(F.col("date_id") < F.lit(first_day))
                 stats = hist.groupBy("time_id").agg((F.sum("s") / F.sum("c")).alias("prediction"))
                 pred = batch.join(F.broadcast(stats), "time_id", "left")  # <= 24 rows
             else:
@@ -254,9 +257,9 @@ def stream_predict_update(spark: SparkSession, path: str) -> DataFrame:
             pred = pred.withColumn("prediction", F.coalesce("prediction", F.lit(0.0)))
             pred.write.mode("overwrite").parquet(os.path.join(pred_dir, f"batch={batch_id}"))
             upd = batch.groupBy("date_id", "time_id").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("c"))
-            for r in days.collect():  # the days of one micro-batch
-                upd.where(F.col("date_id") == r["date_id"]).write.mode("overwrite").parquet(
-                    os.path.join(model_dir, f"day={r['date_id']}"))
+            # Keyed by batch: a replayed batch overwrites only its own statistics, and a
+            # day split over several batches keeps all of its parts.
+            upd.write.mode("overwrite").parquet(os.path.join(model_dir, f"batch={batch_id}"))
         return f
 
     def build(out, ck):
