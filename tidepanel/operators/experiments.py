@@ -39,7 +39,7 @@ def score_from_sums(beta: Column, a: Column, b: Column, c: Column) -> Column:
 
 # ------------------------------------------------------------------ split grid
 def split_grid(date_stats: DataFrame, valid_days: list[int], gap_days: list[int],
-               stem: str = "split") -> DataFrame:
+               stem: str = "split", first_n: int | None = None) -> DataFrame:
     """Grid of holdout splits (valid x gap) from the observed date range,
     run names ``<stem>_v<valid>_g<gap>``; infeasible cells flagged, not dropped.
 
@@ -51,12 +51,14 @@ def split_grid(date_stats: DataFrame, valid_days: list[int], gap_days: list[int]
     cells = cells.select("*", F.explode(F.array(*[F.lit(g) for g in gap_days])).alias("gap_days"))
     valid_start = F.col("dmax") - F.col("valid_days") + 1
     train_end = valid_start - F.col("gap_days") - 1
-    return cells.select(
+    grid = cells.select(
         F.format_string(f"{stem}_v%d_g%d", "valid_days", "gap_days").alias("run_name"),
         F.col("valid_days").cast("bigint").alias("valid_days"), F.col("gap_days").cast("bigint").alias("gap_days"),
         F.col("dmin").alias("train_start"), train_end.alias("train_end"), valid_start.alias("valid_start"),
         F.col("dmax").alias("valid_end"),
         ((valid_start > F.col("dmin")) & (train_end >= F.col("dmin"))).alias("feasible"))
+    # keep the first N cells in grid order (valid-major, as listed).
+    return grid if first_n is None else grid.orderBy("valid_days", "gap_days").limit(first_n)
 
 
 def split_grid_scores(day_stats: DataFrame, grid: DataFrame) -> DataFrame:
@@ -121,6 +123,22 @@ def rank_candidates(scores: DataFrame, top: int = 5) -> DataFrame:
     return ranked
 
 
+def top_lists(ranked: DataFrame, top: int = 5) -> DataFrame:
+    """Per run, the ``|``-joined names of its top ``top`` candidates in rank order."""
+    best = ranked.where(F.col("rank") <= top).groupBy("run_name").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "candidate"))).alias("s"))  # <= top entries
+    return best.select("run_name", F.array_join(F.transform("s", lambda e: e["candidate"]), "|").alias(f"top_{top}"))
+
+
+def rank_stability_from_lists(lists: DataFrame, candidates: list[str], col: str = "top_5") -> DataFrame:
+    """D12 from stored top lists (H05): #runs a candidate is first / listed at all."""
+    parts = F.split(F.col(col), r"\|")
+    rows = lists.select(F.explode(F.array(*[F.lit(c) for c in candidates])).alias("candidate"), parts.alias("p"))
+    return rows.groupBy("candidate").agg(
+        F.count_if(F.element_at("p", 1) == F.col("candidate")).cast("bigint").alias("n_first"),
+        F.count_if(F.array_contains("p", F.col("candidate"))).cast("bigint").alias("n_top"))
+
+
 def rank_stability(ranked: DataFrame, top: int = 5) -> DataFrame:
     """Per candidate, how many runs rank it first and how many within the top ``top``."""
     return ranked.groupBy("candidate").agg(

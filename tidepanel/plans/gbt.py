@@ -16,12 +16,13 @@ Update strategies keep the tree structure in Spark tables:
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.columns import ID_COLUMNS, SYMBOL, TARGET_COLUMN, WEIGHT_COLUMN
@@ -245,3 +246,24 @@ def walk_forward(df: DataFrame, features: list[str], split, variant: str, cadenc
     for p in parts[1:]:
         out = out.unionByName(p)
     return out, n_updates
+
+
+def save(model: TreeModel, path: str) -> None:
+    """Persist the booster, its refreshed leaf table and residual stages."""
+    model.base.write().overwrite().save(os.path.join(path, "base"))
+    if model.leaf_table is not None:
+        model.leaf_table.write.mode("overwrite").parquet(os.path.join(path, "leaf_table"))
+    for i, st in enumerate(model.residual_stages):
+        st.write().overwrite().save(os.path.join(path, f"stage_{i}"))
+    SparkSession.getActiveSession().createDataFrame(
+        [(",".join(model.features), len(model.residual_stages), model.leaf_table is not None)],
+        "features string, n_stages int, has_leaf_table boolean").write.mode("overwrite").parquet(
+        os.path.join(path, "meta"))
+
+
+def load(path: str) -> TreeModel:
+    spark = SparkSession.getActiveSession()
+    meta = spark.read.parquet(os.path.join(path, "meta")).first()
+    lt = spark.read.parquet(os.path.join(path, "leaf_table")) if meta["has_leaf_table"] else None
+    stages = [GBTRegressionModel.load(os.path.join(path, f"stage_{i}")) for i in range(meta["n_stages"])]
+    return TreeModel(meta["features"].split(","), GBTRegressionModel.load(os.path.join(path, "base")), lt, stages)

@@ -195,7 +195,12 @@ SUITE_SCHEMA = T.StructType([
     T.StructField("test_rows", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]]) -> DataFrame:
+def save_betas(betas: DataFrame, path: str) -> None:
+    """A15 for linear models: (version, beta) coefficients as parquet."""
+    betas.write.mode("overwrite").parquet(path)
+
+
+def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]], eval_fold: str = "test") -> DataFrame:
     """Every (variant, cadence) in one pass over the day-statistics table.
 
     The table has one row per date (p² numbers each), so all strategies, their model
@@ -210,7 +215,8 @@ def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]]) -> DataFrame:
         pdf = pdf.sort_values(DATE)
         st = {int(r[DATE]): (r["fold"], r["day_index"], int(r["n"]), wls.unpack(r, p, [target]))
               for _, r in pdf.iterrows()}
-        test = sorted((int(v[1]), d) for d, v in st.items() if v[0] == "test")
+        # Evaluation days in date order; ``es`` gives validation with online updates.
+        test = list(enumerate(sorted(d for d, v in st.items() if v[0] == eval_fold)))
 
         def total(days):
             A = np.zeros((p, p))
@@ -234,7 +240,7 @@ def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]]) -> DataFrame:
                 betas = {}
                 seen = list(train)
                 for v in range(n_ver):
-                    if v == 1:
+                    if v == 1 and eval_fold == "test":
                         seen += es
                     if v >= 1:
                         seen += chunks[v]

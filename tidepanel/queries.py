@@ -814,6 +814,36 @@ def rank_stability(spark, sf):
     return EX.rank_stability(EX.rank_candidates(_grid_scores(spark, sf)), 5)
 
 
+@query("top5_lists", f"""{_GRID_SCORES},
+r AS (SELECT run_name, candidate, row_number() OVER (PARTITION BY run_name ORDER BY score DESC, candidate) AS rank FROM sc)
+SELECT run_name, string_agg(candidate, '|' ORDER BY rank) AS top_5 FROM r WHERE rank <= 5 GROUP BY run_name""")
+def top5_lists(spark, sf):
+    """Per split run, the top-5 inputs as a ``|``-joined string."""
+    return EX.top_lists(EX.rank_candidates(_grid_scores(spark, sf)), 5)
+
+
+@query("rank_stability_lists", f"""{_GRID_SCORES},
+r AS (SELECT run_name, candidate, row_number() OVER (PARTITION BY run_name ORDER BY score DESC, candidate) AS rank FROM sc),
+l AS (SELECT run_name, string_agg(candidate, '|' ORDER BY rank) AS top_5 FROM r WHERE rank <= 5 GROUP BY run_name),
+c AS (SELECT DISTINCT candidate FROM sc)
+SELECT c.candidate, CAST(count(*) FILTER (WHERE string_split(l.top_5, '|')[1] = c.candidate) AS BIGINT) AS n_first,
+  CAST(count(*) FILTER (WHERE list_contains(string_split(l.top_5, '|'), c.candidate)) AS BIGINT) AS n_top
+FROM c, l GROUP BY c.candidate""")
+def rank_stability_lists(spark, sf):
+    """D12 as the reference computes it: from stored top-5 strings (split / contains)."""
+    lists = EX.top_lists(EX.rank_candidates(_grid_scores(spark, sf)), 5)
+    return EX.rank_stability_from_lists(lists, CAND)
+
+
+@query("split_grid_first_n", f"""{PANEL}, {_grid_sql(GRID_VALID + [80], GRID_GAP)}
+SELECT run_name, valid_days, gap_days, feasible FROM grid ORDER BY valid_days, gap_days LIMIT 4""")
+def split_grid_first_n(spark, sf):
+    """the grid limited to its first N cells."""
+    rng = PN.date_range(panel(spark, sf))
+    ds = rng.select(F.col("date_min").alias("date_id")).unionByName(rng.select(F.col("date_max").alias("date_id")))
+    return EX.split_grid(ds, GRID_VALID + [80], GRID_GAP, first_n=4).select("run_name", "valid_days", "gap_days", "feasible")
+
+
 @query("ranked_subset", f"""{_GRID_SCORES},
 imp AS (SELECT candidate AS feature, round(score, 6) AS importance FROM sc WHERE run_name = 'split_v{VALID_DAYS}_g{GAP_DAYS}')
 SELECT feature, importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS BIGINT) AS rank
@@ -1091,6 +1121,15 @@ def wls_online_step(spark, sf):
     return out
 
 
+@query("online_validation")
+def online_validation(spark, sf):
+    """The early-stopping holdout scored with daily online / refit updates
+    (predict a day, then update), next to the static model."""
+    prep = WF.prepare(panel(spark, sf), _multi_cfg())
+    s = WF.score_suite(prep, [("full", 1), ("online", 1), ("refit", 1)], eval_fold="es")
+    return s.select("variant", "cadence", "n_updates", "test_days", "test_rows", r6(F.col("score")).alias("score"))
+
+
 @query("walk_forward_multi")
 def walk_forward_multi(spark, sf):
     """K10/K11 with all panel inputs (standardised, intercept, ridge): every variant,
