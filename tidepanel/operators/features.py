@@ -119,19 +119,20 @@ def lead_rows(df: DataFrame, leads: dict[str, list[int]], key: str = SYMBOL,
     All shifts are served by one equi-join on (key, position): each source row is
     emitted once per requested shift, keyed by the position that reads it.
     """
-    parts = []
+    names = _lead_names(leads)
+    # One pass over the source: each row is emitted once per requested shift, keyed by
+    # the position that reads it.
+    structs = []
     for c, ks in leads.items():
         for k in ks:
             name = f"{c}_lead{k}"
-            parts.append(df.select(
-                F.col(key), (F.col(pos_col) - k).alias(pos_col),
-                *[(F.col(c) if n == name else F.lit(None).cast("double")).alias(n)
-                  for n in _lead_names(leads)]))
-    emitted = parts[0]
-    for p in parts[1:]:
-        emitted = emitted.unionByName(p)
+            structs.append(F.struct((F.col(pos_col) - k).alias(pos_col),
+                                    *[(F.col(c) if n == name else F.lit(None).cast("double")).alias(n)
+                                      for n in names]))
+    emitted = df.select(key, F.explode(F.array(*structs)).alias("_e")).select(key, "_e.*")
     shifted = emitted.groupBy(key, pos_col).agg(*[F.max(n).alias(n) for n in _lead_names(leads)])
-    return df.join(shifted, [key, pos_col], "left")
+    # Grows with the data: a shuffle join on (key, position), never a broadcast.
+    return df.join(shifted.hint("merge"), [key, pos_col], "left")
 
 
 def _lead_names(leads: dict[str, list[int]]) -> list[str]:
@@ -158,8 +159,13 @@ def add_aux_targets(df: DataFrame, method: str = "auto") -> DataFrame:
         for k in AUX10_LEADS:
             s10 = s10 + F.lead(r6, k).over(w)
         return df.select("*", fill_null(s9).alias("responder_9"), fill_null(s10).alias("responder_10"))
-    cols = df.columns
-    ix = series_index(df)
+    # Walk a narrow projection (ids + the two responders) and join the result back
+    # on the panel key: one full-row shuffle instead of carrying every column
+    # through the index pipeline.
+    narrow = df.select(*ID_COLUMNS, r6, r8)
+    # The indexed narrow table feeds both sides of the shift join: materialise it once
+    # in the shared checkpoint folder instead of re-running its sort twice.
+    ix = series_index(narrow).checkpoint(eager=True)
     led = lead_rows(ix, {r8: list(AUX9_LEADS), r6: list(AUX10_LEADS)})
     s9 = F.col(r8)
     for k in AUX9_LEADS:
@@ -167,7 +173,8 @@ def add_aux_targets(df: DataFrame, method: str = "auto") -> DataFrame:
     s10 = F.col(r6)
     for k in AUX10_LEADS:
         s10 = s10 + F.col(f"{r6}_lead{k}")
-    return led.select(*cols, fill_null(s9).alias("responder_9"), fill_null(s10).alias("responder_10"))
+    aux = led.select(*ID_COLUMNS, fill_null(s9).alias("responder_9"), fill_null(s10).alias("responder_10"))
+    return df.join(aux, ID_COLUMNS, "left")
 
 
 # ------------------------------------------------------------------------- E02/E03
@@ -204,6 +211,10 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
         return df.select("*", *out)
     if method != "prefix":
         raise ValueError(f"unknown rolling method {method!r}")
+    # Narrow projection through the block pipeline; the statistics are joined back on
+    # the panel key at the end (keys are unique by the panel contract).
+    full = df
+    df = df.select(*ID_COLUMNS, *feats)
     cols = df.columns
     v = {f: nan_to_null(F.col(f)) for f in feats}
     # Pass 1, one Window node per (symbol, date) block: local position, the block's
@@ -254,11 +265,14 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
         pref += [(F.col(f"_on_{f}") + F.col(f"_rn_{f}")).alias(f"_N_{f}"),
                  (F.col(f"_os_{f}") + F.col(f"_rs_{f}")).alias(f"_S_{f}"),
                  (F.col(f"_oq_{f}") + qrow).alias(f"_Q_{f}")]
-    prefixed = ix.select(*cols, POS, *[F.col(f"_c_{f}") for f in feats], *pref)
+    # Materialised once (narrow: keys + three prefixes per feature); both sides of the
+    # shift join read it.
+    prefixed = ix.select(*cols, POS, *[F.col(f"_c_{f}") for f in feats], *pref).checkpoint(eager=True)
     # Pass 3: the prefix ``window`` rows back, by an equi-join on (symbol, position).
+    # Both sides grow with the data: force a shuffle join, never a broadcast.
     back = prefixed.select(key, (F.col(POS) + window).alias(POS), *[
         F.col(f"_{t}_{f}").alias(f"_p{t}_{f}") for f in feats for t in "NSQ"])
-    j = prefixed.join(back, [key, POS], "left")
+    j = prefixed.join(back.hint("merge"), [key, POS], "left")
     out = []
     for f in feats:
         n = F.col(f"_N_{f}") - F.coalesce(F.col(f"_pN_{f}"), F.lit(0))
@@ -268,7 +282,7 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
         var = F.greatest((q - sc * sc / n) / (n - 1), F.lit(0.0))
         out += [F.when(n >= 1, s / n).alias(f"{f}_roll_mean"),
                 F.when(n >= 2, F.sqrt(var)).otherwise(F.lit(0.0)).alias(f"{f}_roll_std")]
-    return j.select(*cols, *out)
+    return full.join(j.select(*ID_COLUMNS, *out), ID_COLUMNS, "left")
 
 
 def _rolling_prefix_window(df: DataFrame, feats: list[str], window: int, key: str) -> DataFrame:
