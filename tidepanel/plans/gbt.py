@@ -68,9 +68,11 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
 
 
 def _stable(df: DataFrame, n: int | None) -> DataFrame:
-    # Trees are deterministic for a fixed seed *and* partitioning: fix both.
+    # Trees are deterministic for a fixed seed *and* partitioning: fix both. Hashing on
+    # (symbol, date) keeps partitions even when one symbol dominates.
     keys = [c for c in ID_COLUMNS if c in df.columns]
-    return df.repartition(n or df.sparkSession.sparkContext.defaultParallelism, SYMBOL).sortWithinPartitions(*keys)
+    part = [c for c in (SYMBOL, "date_id") if c in df.columns]
+    return df.repartition(n or df.sparkSession.sparkContext.defaultParallelism, *part).sortWithinPartitions(*keys)
 
 
 def fit(train: DataFrame, features: list[str], params: GBTParams, target: str = TARGET_COLUMN,

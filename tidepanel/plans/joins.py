@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows x columns budget of a broadcast side (~ bytes / 8). 32M cells ~ 256 MB of doubles.
-DEFAULT_BROADCAST_CELLS = 32_000_000
+# Rows x columns budget of a broadcast side (~ bytes / 8): 4M cells ~ 32 MB of doubles,
+# small enough to ship to a thousand executors.
+DEFAULT_BROADCAST_CELLS = 4_000_000
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int | None = None,
