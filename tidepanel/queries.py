@@ -604,10 +604,9 @@ def _score(prep, variant, k):
 
 
 def _suite(prep, pairs, with_delta=False):
-    out = None
-    for v, k in pairs:
-        s = _score(prep, v, k)
-        out = s if out is None else out.unionByName(s)
+    """All (variant, cadence) pairs scored in one pass over the day statistics."""
+    out = WF.score_suite(prep, list(pairs)).select(
+        "variant", "cadence", "n_updates", "test_days", "test_rows", r6(F.col("score")).alias("score"))
     if with_delta:
         from tidepanel.operators.experiments import delta_vs
         out = delta_vs(out, "variant", "full")
