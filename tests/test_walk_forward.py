@@ -104,3 +104,18 @@ def test_suite_matches_variants(prepared):
         s = suite[(v, 0 if v == "full" else k)]
         assert s["score"] == pytest.approx(one["score"], rel=1e-9)
         assert s["n_updates"] == one["n_updates"] and s["test_rows"] == one["test_rows"]
+
+
+def test_blas_statistics_match_sql(small_panel):
+    from tidepanel.plans import wls
+    std = {f: (1.0, 2.0) for f in FEATS}
+    a = wls.daily_statistics(small_panel, FEATS, ["responder_6", "responder_3"], standardizer=std, method="sql")
+    b = wls.daily_statistics(small_panel, FEATS, ["responder_6", "responder_3"], standardizer=std, method="blas")
+    assert a.columns == b.columns
+    ra = {r["date_id"]: r for r in a.collect()}
+    rb = {r["date_id"]: r for r in b.collect()}
+    assert ra.keys() == rb.keys()
+    for d in ra:
+        for c in a.columns:
+            x, y = ra[d][c], rb[d][c]
+            assert (x is None and y in (None, 0.0)) or abs(x - y) <= 1e-9 * max(1.0, abs(x)), (d, c, x, y)

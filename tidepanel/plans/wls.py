@@ -58,16 +58,27 @@ def stat_columns(p: int, targets: list[str]) -> list[str]:
     return cols
 
 
+# Above this many model inputs the p² products are formed by BLAS inside the tasks
+# (one partial row per task and date) instead of as p² SQL expressions per row.
+SQL_MAX_INPUTS = 24
+
+
 def daily_statistics(df: DataFrame, features: list[str], targets: list[str] | None = None,
                      weight: str = WEIGHT_COLUMN, intercept: bool = True,
                      standardizer: dict[str, tuple[float, float]] | None = None,
-                     date_col: str = DATE) -> DataFrame:
+                     date_col: str = DATE, method: str = "auto") -> DataFrame:
     """Per-date sufficient statistics (upper triangle of A) in one hash aggregation.
 
     Partial aggregation runs per task before the shuffle, so the exchange carries one
-    row per (task, date) whatever the number of rows or symbols.
+    row per (task, date) whatever the number of rows or symbols. ``sql`` builds the
+    products as column expressions (codegen); ``blas`` forms them per Arrow batch with
+    numpy (``mapInPandas``) and lets Spark sum the per-task partials -- the choice for
+    wide models, where p² expressions per row would dominate.
     """
     tg = targets or [TARGET_COLUMN]
+    p_in = len(features) + (1 if intercept else 0)
+    if method == "blas" or (method == "auto" and p_in > SQL_MAX_INPUTS):
+        return _daily_statistics_blas(df, features, tg, weight, intercept, standardizer, date_col)
     xs = design_columns(features, intercept, standardizer)
     names = list(xs)
     p = len(names)
@@ -83,6 +94,59 @@ def daily_statistics(df: DataFrame, features: list[str], targets: list[str] | No
     return base.groupBy(date_col).agg(*aggs)
 
 
+def _daily_statistics_blas(df, features, tg, weight, intercept, standardizer, date_col):
+    p = len(features) + (1 if intercept else 0)
+    cols = stat_columns(p, tg)
+    iu = np.triu_indices(p)
+    fields = [T.StructField(date_col, T.IntegerType()), T.StructField("n", T.LongType())]
+    fields += [T.StructField(c, T.DoubleType()) for c in cols[1:]]
+    schema = T.StructType(fields)
+    mean = np.array([standardizer[f][0] for f in features]) if standardizer else None
+    std = np.array([standardizer[f][1] for f in features]) if standardizer else None
+
+    def partials(batches):
+        acc: dict[int, list] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = pdf[features].to_numpy(dtype=float, na_value=np.nan)
+            if standardizer is not None:
+                x = (x - mean) / std
+            x = np.where(np.isnan(x), 0.0, x)  # NULL / NaN -> 0, as in the SQL form
+            if intercept:
+                x = np.hstack([np.ones((len(x), 1)), x])
+            w = pdf[weight].to_numpy(dtype=float, na_value=np.nan)
+            w = np.where(np.isnan(w), 0.0, w)
+            ys = np.column_stack([pdf[t].to_numpy(dtype=float, na_value=np.nan) for t in tg])
+            ys = np.where(np.isnan(ys), 0.0, ys)
+            dates = pdf[date_col].to_numpy()
+            for d in np.unique(dates):
+                m = dates == d
+                xw = x[m] * w[m][:, None]
+                A = (xw.T @ x[m])[iu]
+                B = xw.T @ ys[m]  # p x T
+                C = (w[m][:, None] * ys[m] * ys[m]).sum(axis=0)
+                cur = acc.get(int(d))
+                if cur is None:
+                    acc[int(d)] = [int(m.sum()), C, B, A]
+                else:
+                    cur[0] += int(m.sum())
+                    cur[1] = cur[1] + C
+                    cur[2] = cur[2] + B
+                    cur[3] = cur[3] + A
+        rows = []
+        for d, (n, C, B, A) in acc.items():
+            rows.append([d, n, *C.tolist(), *B.T.reshape(-1).tolist(), *A.tolist()])
+        if rows:
+            yield pd.DataFrame(rows, columns=[date_col] + cols)
+
+    need = list(dict.fromkeys([date_col, weight, *tg, *features]))
+    part = df.select(*[F.col(c).cast("double") if c not in (date_col,) else F.col(c).cast("int") for c in need])
+    stats = part.mapInPandas(partials, schema)
+    return stats.groupBy(date_col).agg(F.sum("n").cast("bigint").alias("n"),
+                                       *[F.sum(c).alias(c) for c in cols[1:]])
+
+
 def unpack(row: pd.Series | dict, p: int, targets: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, float]]:
     A = np.zeros((p, p))
     for i in range(p):

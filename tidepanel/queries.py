@@ -1129,6 +1129,23 @@ def online_validation(spark, sf):
     return s.select("variant", "cadence", "n_updates", "test_days", "test_rows", r6(F.col("score")).alias("score"))
 
 
+@query("walk_forward_wide")
+def walk_forward_wide(spark, sf):
+    """K13 + K10: the full model-input chain (lags, market averages, rolling mean/std of
+    every feature) into the walk-forward suite; p = 42 inputs, so the day statistics
+    are formed by BLAS per task and summed by Spark."""
+    p = panel(spark, sf)
+    mf = FE.model_frame(p, use_lags=True, use_market_avg=True, use_rolling=True, engineered=PANEL_FEATURES,
+                        window=W_SMALL)
+    feats = (PANEL_FEATURES + [f"{r}_lag_1" for r in RESPONDER_COLUMNS[:1]] + [f"{r}_lag_1" for r in RESPONDER_COLUMNS[6:7]]
+             + FE.engineered_columns(PANEL_FEATURES, True, True))
+    cfg = WF.WalkForwardConfig(features=feats, ridge=1e-2, test_days=TEST_DAYS, valid_days=VALID_DAYS,
+                               gap_days=GAP_DAYS)
+    prep = WF.prepare(mf, cfg)
+    s = WF.score_suite(prep, [("full", 1), ("retrain", 5), ("refit", 5), ("online", 1)])
+    return s.select("variant", "cadence", "n_updates", "test_days", "test_rows", r6(F.col("score")).alias("score"))
+
+
 @query("walk_forward_multi")
 def walk_forward_multi(spark, sf):
     """K10/K11 with all panel inputs (standardised, intercept, ridge): every variant,
