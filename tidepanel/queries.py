@@ -1193,3 +1193,21 @@ def stream_running_r2(spark, sf):
 def stream_predict_update(spark, sf):
     """Predict each day, then update the model, one day per trigger."""
     return STR.stream_predict_update(spark, STR.stage_events_by_day(spark, sf))
+
+
+# ------------------------------------------------------------------ survey keys served by a dedicated query
+@query("over_clip", f"""{PANEL}, {_BOUNDS_CTE}, {_D1}, {_betas_sql('full', 1)}
+SELECT CAST(count(*) FILTER (WHERE abs(beta.beta * panel.{WF_X}) > 5) AS BIGINT) AS n_over_clip,
+  CAST(count(*) AS BIGINT) AS n_rows FROM panel, bounds, beta WHERE panel.date_id >= bounds.test_start""")
+def over_clip(spark, sf):
+    """Out-of-sample predictions outside ±5."""
+    p = panel(spark, sf)
+    prep = WF.prepare(p, _wf_cfg())
+    return ME.over_clip(WF.predictions(p, prep, "full"), "prediction")
+
+
+@query("delta_vs_full", _wf_many(_IVF, with_delta=True).replace(
+    "SELECT *, score - max", "SELECT variant, score - max", 1).replace("AS delta_vs_full FROM", "AS delta_vs_full FROM", 1))
+def delta_vs_full(spark, sf):
+    """Each variant's score minus the static model's."""
+    return _suite(_prep(spark, sf), _IVF, with_delta=True).select("variant", "delta_vs_full")
