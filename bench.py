@@ -19,7 +19,7 @@ HEADLINE = [
     "scan_panel_range", "profile_summary", "profile_ids", "missing_ratio", "market_avg", "responder_lag",
     "aux_targets", "rolling_mean", "rolling_mean_prefix", "rolling_w1000", "model_frame", "standardize_apply",
     "weighted_r2_by_date", "universe_growth", "day_sequences", "canonical_order_rank", "cadence_sweep",
-    "variant_summary", "walk_forward_multi", "split_grid_scores", "marketroll_sweep",
+    "variant_summary", "walk_forward_multi", "walk_forward_wide", "split_grid_scores", "marketroll_sweep",
 ]
 
 

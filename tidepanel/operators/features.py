@@ -393,9 +393,13 @@ def model_frame(df: DataFrame, *, features: list[str] | None = None,
     average -> rolling; returns ids, weight, responders and the model inputs."""
     feats = present_features(df, features)
     eng = engineered if engineered is not None else feats
+    # One skew check decides the series layout for every series operator of the chain.
+    layout = series_strategy(df) if (use_aux or (use_rolling and rolling_method == "auto")) else "window"
+    if rolling_method == "auto":
+        rolling_method = ("frame" if window <= FRAME_MAX_WINDOW else "prefix_window") if layout == "window" else "prefix"
     out = add_placeholders(df, ["responder_7", "responder_8"]) if use_aux else df
     if use_aux:
-        out = add_aux_targets(out)
+        out = add_aux_targets(out, "window" if layout == "window" else "index")
     if use_lags:
         out = responder_lag(out)
     if use_market_avg:
