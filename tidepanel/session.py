@@ -100,3 +100,18 @@ def committed(spark: SparkSession, path: str) -> bool:
         return True
     except Exception:  # noqa: BLE001 - missing marker
         return False
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet in the shared checkpoint folder and read it back.
+
+    Used for engineered frames that several passes read (the survey's "engineered
+    frame once per cell"): later passes scan only the columns they need, lineage is
+    cut, and a lost executor costs a re-read instead of a recomputation.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = checkpoint_path(spark, f"{name}_{uuid.uuid4().hex[:10]}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
