@@ -26,6 +26,9 @@ def family_counts(columns: list[str]) -> dict[str, int]:
     }
 
 
+# Default contract checked by the presence report: ids, all features, weight, responders.
+PRESENCE_REQUIRED: list[str] = ID_COLUMNS + FEATURE_COLUMNS + [WEIGHT_COLUMN] + RESPONDER_COLUMNS
+
 PRESENCE_SCHEMA = T.StructType([
     T.StructField("column", T.StringType(), False),
     T.StructField("family", T.StringType(), False),
@@ -55,7 +58,7 @@ def schema_presence(spark: SparkSession, df: DataFrame,
 
     Built from ``df.schema`` only (no data is read), so it is a plan-time check.
     """
-    req = required if required is not None else ID_COLUMNS + FEATURE_COLUMNS + [WEIGHT_COLUMN] + RESPONDER_COLUMNS
+    req = required if required is not None else PRESENCE_REQUIRED
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = [(c, _family(c), i, c in types, types.get(c)) for i, c in enumerate(req)]
     return spark.createDataFrame(rows, PRESENCE_SCHEMA)

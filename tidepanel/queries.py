@@ -107,9 +107,19 @@ def aux_placeholder(spark, sf):
         *ID_COLUMNS, "responder_6", "responder_7", "responder_8")
 
 
-@query("schema_presence")
+def _schema_presence_sql() -> str:
+    from tidepanel.operators.schema import PRESENCE_REQUIRED, _family
+    vals = ", ".join(f"('{c}', '{_family(c)}', {i})" for i, c in enumerate(PRESENCE_REQUIRED))
+    return (f"{PANEL}, d AS (SELECT column_name, column_type FROM (DESCRIBE SELECT * FROM panel)), "
+            f"r AS (SELECT * FROM (VALUES {vals}) t(\"column\", family, ordinal)) "
+            f"SELECT r.\"column\", r.family, CAST(r.ordinal AS BIGINT) AS ordinal, d.column_name IS NOT NULL AS present, "
+            f"CASE WHEN d.column_type = 'INTEGER' THEN 'int' ELSE lower(d.column_type) END AS dtype "
+            f"FROM r LEFT JOIN d ON d.column_name = r.\"column\"")
+
+
+@query("schema_presence", _schema_presence_sql())
 def schema_presence(spark, sf):
-    """Column-contract report from the panel schema (rows-only: no data read)."""
+    """Column-contract report from the panel schema (plan-time: no data read)."""
     from tidepanel.operators.schema import schema_presence as sp
     return sp(spark, panel(spark, sf))
 
