@@ -1,5 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
+Set $BENCH_EVENT_LOG to a scratch folder to keep Spark's event log (stage / task times)
+for ``tools/stage_times.py``.
+
 Each query runs to completion into a ``noop`` sink (full execution, no collect). The
 stored panel is materialised first (reported as ``panel_load``, not in the total).
 """
@@ -30,8 +33,11 @@ def main() -> None:
     from tidepanel.operators import features as FE
     from tidepanel.session import get_spark
 
-    spark = get_spark(f"local[{cpus}]", int(cpus) * 2, app_name="tidepanel-bench",
-                      extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    log_dir = os.environ.get("BENCH_EVENT_LOG")  # e.g. a fresh `mktemp -d` folder
+    if log_dir:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
+    spark = get_spark(f"local[{cpus}]", int(cpus) * 2, app_name="tidepanel-bench", extra=extra)
 
     def rolling_w1000(spark, sf):
         p = Q.panel(spark, sf)

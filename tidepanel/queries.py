@@ -532,8 +532,12 @@ def canonical_order_rank(spark, sf):
     never from one global window over all rows.
     """
     p = panel(spark, sf)
-    canon = FE.series_index(p.withColumn("_all", F.lit(0)), key="_all", block="date_id",
-                            order=("time_id", "symbol_id"), pos_col="canonical_rank")
+    # Blocks are single timestamps (one cross-section, <= #symbols rows each); the
+    # block-count table has one row per (date, time), independent of the data volume.
+    stamped = p.withColumn("_all", F.lit(0)).withColumn(
+        "_dt", F.col("date_id").cast("long") * (1 << 20) + F.col("time_id"))
+    canon = FE.series_index(stamped, key="_all", block="_dt", order=("symbol_id",),
+                            pos_col="canonical_rank").drop("_dt")
     both = FE.series_index(canon, pos_col="series_rank")
     return both.select(*ID_COLUMNS, "canonical_rank", "series_rank")
 
