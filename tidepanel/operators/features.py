@@ -31,7 +31,7 @@ from tidepanel.columns import (
 )
 from tidepanel.functions.exprs import fill_null, nan_to_null
 from tidepanel.operators.schema import require_columns
-from tidepanel.plans.joins import bounded_broadcast, join_small
+from tidepanel.plans.joins import join_small
 
 POS = "_pos"
 # Longest trailing window evaluated as a sliding frame; longer ones use prefix sums.
@@ -420,7 +420,7 @@ def engineered_columns(features: list[str], use_market_avg: bool, use_rolling: b
 
 
 __all__ = [
-    "add_aux_targets", "add_placeholders", "apply_standardizer", "bounded_broadcast",
+    "add_aux_targets", "add_placeholders", "apply_standardizer",
     "fit_standardizer", "lead_rows", "market_average", "model_frame", "ranked_subset",
     "responder_lag", "rolling_stats", "series_index",
 ]

@@ -509,6 +509,22 @@ def leakage_guard(spark, sf):
     return SP.leakage_guard(SP.cadence_schedule(p, ns.test_start, ns.test_end, _SCHED_K))
 
 
+PURGE_ROWS = 40
+
+
+@query("purge_train_tail", f"""{PANEL}, {_BOUNDS_CTE},
+r AS (SELECT p.date_id, p.time_id, p.symbol_id, row_number() OVER (PARTITION BY p.symbol_id
+        ORDER BY p.date_id DESC, p.time_id DESC) AS from_end FROM panel p, bounds b WHERE p.date_id <= b.train_end)
+SELECT date_id, CAST(count(*) AS BIGINT) AS n_rows FROM r WHERE from_end > {PURGE_ROWS} GROUP BY date_id""")
+def purge_train_tail(spark, sf):
+    """J02 option: the train fold without the last 40 rows per symbol, whose forward
+    aux targets would read the next fold (per-date row counts)."""
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    kept = SP.purge_tail(p, ns.train.train_end, PURGE_ROWS)
+    return kept.groupBy("date_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
 @query("expanding_history", f"""{PANEL}
 SELECT date_id, CAST(count(*) AS BIGINT) AS n_rows FROM (
   SELECT date_id FROM panel WHERE date_id < 60 UNION ALL SELECT date_id FROM panel WHERE date_id BETWEEN 60 AND 64)
