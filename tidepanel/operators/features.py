@@ -174,7 +174,7 @@ def add_aux_targets(df: DataFrame, method: str = "auto") -> DataFrame:
     for k in AUX10_LEADS:
         s10 = s10 + F.col(f"{r6}_lead{k}")
     aux = led.select(*ID_COLUMNS, fill_null(s9).alias("responder_9"), fill_null(s10).alias("responder_10"))
-    return df.join(aux, ID_COLUMNS, "left")
+    return df.join(aux.hint("merge"), ID_COLUMNS, "left")
 
 
 # ------------------------------------------------------------------------- E02/E03
@@ -282,7 +282,7 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
         var = F.greatest((q - sc * sc / n) / (n - 1), F.lit(0.0))
         out += [F.when(n >= 1, s / n).alias(f"{f}_roll_mean"),
                 F.when(n >= 2, F.sqrt(var)).otherwise(F.lit(0.0)).alias(f"{f}_roll_std")]
-    return full.join(j.select(*ID_COLUMNS, *out), ID_COLUMNS, "left")
+    return full.join(j.select(*ID_COLUMNS, *out).hint("merge"), ID_COLUMNS, "left")
 
 
 def _rolling_prefix_window(df: DataFrame, feats: list[str], window: int, key: str) -> DataFrame:
@@ -333,7 +333,9 @@ def responder_lag(df: DataFrame, responders: list[str] | None = None,
             raise ValueError("responder_lag: duplicate (date_id, time_id, symbol_id) keys")
     lags = src.select((F.col(DATE) + 1).alias(DATE), TIME, SYMBOL,
                       *[F.col(r).alias(f"{r}_lag_1") for r in resp])
-    return df.join(lags, ID_COLUMNS, "left")
+    # Both sides are the whole panel: a shuffle join on evenly spread unique keys,
+    # never a broadcast, whatever the planner's size estimate says.
+    return df.join(lags.hint("merge"), ID_COLUMNS, "left")
 
 
 # ----------------------------------------------------------------------------- B07

@@ -64,5 +64,5 @@ def densify_days(df: DataFrame, value_cols: list[str]) -> DataFrame:
     members = df.select(DATE, SYMBOL).distinct().join(grid_size, DATE)
     cells = members.select(DATE, SYMBOL, F.explode(F.sequence(F.lit(0), F.col("_n_times") - 1)).alias(TIME))
     vals = df.select(DATE, TIME, SYMBOL, *value_cols, F.lit(True).alias("filled"))
-    out = cells.join(vals, [DATE, TIME, SYMBOL], "left")
+    out = cells.join(vals.hint("merge"), [DATE, TIME, SYMBOL], "left")  # both grow with the data
     return out.select(DATE, TIME, SYMBOL, *value_cols, F.coalesce("filled", F.lit(False)).alias("filled"))
