@@ -119,3 +119,30 @@ def test_blas_statistics_match_sql(small_panel):
         for c in a.columns:
             x, y = ra[d][c], rb[d][c]
             assert (x is None and y in (None, 0.0)) or abs(x - y) <= 1e-9 * max(1.0, abs(x)), (d, c, x, y)
+
+
+@pytest.mark.parametrize("standardize,intercept", [(True, True), (False, False), (True, False)])
+def test_one_pass_statistics_match_two_pass(spark, small_panel, standardize, intercept):
+    cfg = WF.WalkForwardConfig(features=FEATS, standardize=standardize, intercept=intercept,
+                               extra_targets=["responder_3"])
+    a = WF.prepare(small_panel, cfg, one_pass=False)
+    b = WF.prepare(small_panel, cfg, one_pass=True)
+    assert a.split == b.split
+    if standardize:
+        for f in FEATS:
+            assert a.standardizer[f][0] == pytest.approx(b.standardizer[f][0], rel=1e-12, abs=1e-12)
+            assert a.standardizer[f][1] == pytest.approx(b.standardizer[f][1], rel=1e-9)
+    ra = {r["date_id"]: r for r in a.days.collect()}
+    rb = {r["date_id"]: r for r in b.days.collect()}
+    assert ra.keys() == rb.keys()
+    for d in ra:
+        for c in a.days.columns:
+            x, y = ra[d][c], rb[d][c]
+            if isinstance(x, float) or isinstance(y, float):
+                assert abs((x or 0.0) - (y or 0.0)) <= 1e-8 * max(1.0, abs(x or 0.0)), (d, c, x, y)
+            else:
+                assert x == y, (d, c)
+    s1 = WF.score_suite(a, [("retrain", 3), ("online", 1)]).collect()
+    s2 = WF.score_suite(b, [("retrain", 3), ("online", 1)]).collect()
+    for x, y in zip(sorted(s1), sorted(s2)):
+        assert x["score"] == pytest.approx(y["score"], rel=1e-9)

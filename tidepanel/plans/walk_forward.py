@@ -68,9 +68,21 @@ class PreparedPanel:
     cfg: WalkForwardConfig
 
 
-def prepare(df: DataFrame, cfg: WalkForwardConfig, checkpoint: bool = True) -> PreparedPanel:
+def prepare(df: DataFrame, cfg: WalkForwardConfig, checkpoint: bool = True,
+            one_pass: bool | None = None) -> PreparedPanel:
     """Split from the observed date range, standardiser fitted on the train fold only,
-    then one aggregation to per-day statistics (checkpointed: reused by every variant)."""
+    and per-day statistics (checkpointed: reused by every variant).
+
+    ``one_pass`` (default for wide models) reads ``df`` once: centred day moments, from
+    which the split, the standardiser and the standardised statistics follow exactly
+    (:mod:`tidepanel.plans.moments`); otherwise a standardiser pass precedes one
+    aggregation of the standardised products.
+    """
+    p = len(wls.design_names(cfg.features, cfg.intercept))
+    if one_pass is None:
+        one_pass = p > wls.SQL_MAX_INPUTS
+    if one_pass:
+        return _prepare_one_pass(df, cfg, p)
     dmin, dmax = collect_date_range(df)
     ns = nested_split(dmin, dmax, cfg.test_days, cfg.valid_days, cfg.gap_days)
     std = None
@@ -78,17 +90,72 @@ def prepare(df: DataFrame, cfg: WalkForwardConfig, checkpoint: bool = True) -> P
         train = df.where(F.col(DATE).between(ns.train.train_start, ns.train.train_end))
         std = {r["feature"]: (r["mean"], r["std"]) for r in fit_standardizer(train, cfg.features).collect()}
     stats = wls.daily_statistics(df, cfg.features, cfg.targets, cfg.weight, cfg.intercept, std)
+    days = _label_days(stats, ns)
+    if checkpoint:
+        days = days.checkpoint(eager=True)
+    return PreparedPanel(days, ns, std, p, cfg)
+
+
+def _label_days(stats: DataFrame, ns: NestedSplit) -> DataFrame:
     d = F.col(DATE)
     fold = (F.when(d >= ns.test_start, "test").when(d >= ns.es_start, "es")
             .when(d > ns.train.train_end, "gap").otherwise("train"))
     labelled = stats.select("*", fold.alias("fold"))
     test_idx = (labelled.where(F.col("fold") == "test").select(DATE)
                 .select(DATE, (F.row_number().over(Window.orderBy(DATE)) - 1).cast("bigint").alias("day_index")))
-    days = labelled.join(test_idx, DATE, "left")
-    if checkpoint:
-        days = days.checkpoint(eager=True)
-    p = len(wls.design_names(cfg.features, cfg.intercept))
-    return PreparedPanel(days, ns, std, p, cfg)
+    return labelled.join(test_idx, DATE, "left")
+
+
+def _prepare_one_pass(df: DataFrame, cfg: WalkForwardConfig, p: int) -> PreparedPanel:
+    from tidepanel.plans import moments as MO
+
+    feats, targets = list(cfg.features), cfg.targets
+    k, nt = len(feats), len(targets)
+    moms = MO.day_moments(df, feats, targets, cfg.weight).checkpoint(eager=True)  # one row per date
+    rng = moms.agg(F.min(DATE).alias("lo"), F.max(DATE).alias("hi")).first()
+    if rng is None or rng["lo"] is None:
+        raise ValueError("walk-forward on an empty frame")
+    ns = nested_split(int(rng["lo"]), int(rng["hi"]), cfg.test_days, cfg.valid_days, cfg.gap_days)
+    lo, hi = ns.train.train_start, ns.train.train_end
+    std_schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("mean", T.DoubleType()),
+                               T.StructField("std", T.DoubleType())])
+
+    def records(pdf):
+        for _, row in pdf.iterrows():
+            rec = {f: np.asarray(row[f], dtype=float) for f in MO._FIELDS}
+            rec["n"], rec["sw"] = float(row["n"]), float(row["sw"])
+            yield int(row[DATE]), rec
+
+    def fit_std(pdf: pd.DataFrame) -> pd.DataFrame:
+        train = [r for d, r in records(pdf) if lo <= d <= hi]
+        if cfg.standardize:
+            mean, std = MO.standardizer_from_moments(train, k, nt)
+        else:
+            mean, std = np.zeros(k), np.ones(k)
+        return pd.DataFrame({"feature": feats, "mean": mean, "std": std})
+
+    # Train-fold moments only: one group, bounded by the number of dates.
+    std_df = moms.groupBy(F.lit(1).alias("_g")).applyInPandas(fit_std, std_schema)
+    std_rows = {r["feature"]: (r["mean"], r["std"]) for r in std_df.collect()}  # one row per input
+    mean = np.array([std_rows[f][0] for f in feats])
+    sd = np.array([std_rows[f][1] for f in feats])
+    cols = wls.stat_columns(p, targets)
+    out_schema = T.StructType([T.StructField(DATE, T.IntegerType()), T.StructField("n", T.LongType())]
+                              + [T.StructField(c, T.DoubleType()) for c in cols[1:]])
+    iu = np.triu_indices(p)
+
+    def to_stats(batches):
+        for pdf in batches:
+            rows = []
+            for d, rec in records(pdf):
+                A, B, C = MO.standardized_stats(rec, mean, sd, k, nt, cfg.intercept)
+                rows.append([d, int(rec["n"]), *C.tolist(), *B.reshape(-1).tolist(), *A[iu].tolist()])
+            if rows:
+                yield pd.DataFrame(rows, columns=[DATE] + cols)
+
+    stats = moms.mapInPandas(to_stats, out_schema)
+    days = _label_days(stats, ns).checkpoint(eager=True)
+    return PreparedPanel(days, ns, std_rows if cfg.standardize else None, p, cfg)
 
 
 def _version_of_new_data(cadence: int, include_es: bool) -> F.Column:
