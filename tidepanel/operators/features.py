@@ -32,6 +32,7 @@ from tidepanel.columns import (
 from tidepanel.functions.exprs import fill_null, nan_to_null
 from tidepanel.operators.schema import require_columns
 from tidepanel.plans.joins import join_small
+from tidepanel.session import reliable_checkpoint
 
 POS = "_pos"
 # Longest trailing window evaluated as a sliding frame; longer ones use prefix sums.
@@ -165,7 +166,7 @@ def add_aux_targets(df: DataFrame, method: str = "auto") -> DataFrame:
     narrow = df.select(*ID_COLUMNS, r6, r8)
     # The indexed narrow table feeds both sides of the shift join: materialise it once
     # in the shared checkpoint folder instead of re-running its sort twice.
-    ix = series_index(narrow).checkpoint(eager=True)
+    ix = reliable_checkpoint(series_index(narrow))
     led = lead_rows(ix, {r8: list(AUX9_LEADS), r6: list(AUX10_LEADS)})
     s9 = F.col(r8)
     for k in AUX9_LEADS:
@@ -267,7 +268,7 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
                  (F.col(f"_oq_{f}") + qrow).alias(f"_Q_{f}")]
     # Materialised once (narrow: keys + three prefixes per feature); both sides of the
     # shift join read it.
-    prefixed = ix.select(*cols, POS, *[F.col(f"_c_{f}") for f in feats], *pref).checkpoint(eager=True)
+    prefixed = reliable_checkpoint(ix.select(*cols, POS, *[F.col(f"_c_{f}") for f in feats], *pref))
     # Pass 3: the prefix ``window`` rows back, by an equi-join on (symbol, position).
     # Both sides grow with the data: force a shuffle join, never a broadcast.
     back = prefixed.select(key, (F.col(POS) + window).alias(POS), *[

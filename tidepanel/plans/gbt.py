@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.columns import ID_COLUMNS, SYMBOL, TARGET_COLUMN, WEIGHT_COLUMN
+from tidepanel.session import reliable_checkpoint
 
 SENTINEL = -1.0e9
 
@@ -179,7 +180,7 @@ def refit(model: TreeModel, new: DataFrame, decay: float = 0.9, target: str = TA
         x = x.join(upd, leaf == F.col("_l"), "left").select(
             target, weight, "_leaves", (F.col("_cur") + F.coalesce("contribution", F.lit(0.0))).alias("_cur"))
         if t % 5 == 4:
-            x = x.checkpoint(eager=True)
+            x = reliable_checkpoint(x)
     lt = tables[0]
     for b in tables[1:]:
         lt = lt.unionByName(b)

@@ -30,6 +30,7 @@ from tidepanel.operators.features import fit_standardizer
 from tidepanel.operators.splits import NestedSplit, nested_split
 from tidepanel.plans import wls
 from tidepanel.sources.panel import collect_date_range
+from tidepanel.session import reliable_checkpoint
 
 VARIANTS = ("full", "retrain", "refit", "continue", "online")
 
@@ -92,7 +93,7 @@ def prepare(df: DataFrame, cfg: WalkForwardConfig, checkpoint: bool = True,
     stats = wls.daily_statistics(df, cfg.features, cfg.targets, cfg.weight, cfg.intercept, std)
     days = _label_days(stats, ns)
     if checkpoint:
-        days = days.checkpoint(eager=True)
+        days = reliable_checkpoint(days)
     return PreparedPanel(days, ns, std, p, cfg)
 
 
@@ -111,7 +112,7 @@ def _prepare_one_pass(df: DataFrame, cfg: WalkForwardConfig, p: int) -> Prepared
 
     feats, targets = list(cfg.features), cfg.targets
     k, nt = len(feats), len(targets)
-    moms = MO.day_moments(df, feats, targets, cfg.weight).checkpoint(eager=True)  # one row per date
+    moms = reliable_checkpoint(MO.day_moments(df, feats, targets, cfg.weight))  # one row per date
     rng = moms.agg(F.min(DATE).alias("lo"), F.max(DATE).alias("hi")).first()
     if rng is None or rng["lo"] is None:
         raise ValueError("walk-forward on an empty frame")
@@ -154,7 +155,7 @@ def _prepare_one_pass(df: DataFrame, cfg: WalkForwardConfig, p: int) -> Prepared
                 yield pd.DataFrame(rows, columns=[DATE] + cols)
 
     stats = moms.mapInPandas(to_stats, out_schema)
-    days = _label_days(stats, ns).checkpoint(eager=True)
+    days = reliable_checkpoint(_label_days(stats, ns))
     return PreparedPanel(days, ns, std_rows if cfg.standardize else None, p, cfg)
 
 

@@ -115,3 +115,12 @@ def materialize(df, name: str):
     path = checkpoint_path(spark, f"{name}_{uuid.uuid4().hex[:10]}")
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the shared checkpoint folder (ensured first).
+
+    Reliable checkpoints survive executor loss; local checkpoints are never used.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
