@@ -23,6 +23,7 @@ HEADLINE = [
     "aux_targets", "rolling_mean", "rolling_mean_prefix", "rolling_w1000", "model_frame", "standardize_apply",
     "weighted_r2_by_date", "universe_growth", "day_sequences", "canonical_order_rank", "cadence_sweep",
     "variant_summary", "walk_forward_multi", "walk_forward_wide", "split_grid_scores", "marketroll_sweep",
+    "gbt_fit_predict",
 ]
 
 
