@@ -140,57 +140,49 @@ def stream_rolling(spark: SparkSession, path: str, window: int = 10) -> DataFram
 LAG_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
                         T.StructField("date_id", T.IntegerType()), T.StructField("time_id", T.IntegerType()),
                         T.StructField("value", T.DoubleType()), T.StructField("value_lag_1", T.DoubleType())])
-LAG_STATE = T.StructType([T.StructField("prev_date", T.IntegerType()),
-                          T.StructField("prev_sum", T.ArrayType(T.DoubleType())),
-                          T.StructField("prev_cnt", T.ArrayType(T.DoubleType())),
-                          T.StructField("cur_date", T.IntegerType()),
-                          T.StructField("cur_sum", T.ArrayType(T.DoubleType())),
-                          T.StructField("cur_cnt", T.ArrayType(T.DoubleType()))])
+LAG_STATE = T.StructType([T.StructField("prev_date", T.IntegerType()), T.StructField("prev_sum", T.DoubleType()),
+                          T.StructField("prev_cnt", T.DoubleType()), T.StructField("cur_date", T.IntegerType()),
+                          T.StructField("cur_sum", T.DoubleType()), T.StructField("cur_cnt", T.DoubleType())])
 
 
 def _lag_state_fn(key, pdfs, state):
+    """State of one (user, hour): the finished previous day's sum / count and the
+    running day's. Keying by hour spreads a busy user over 24 independent keys."""
     if state.exists:
         pd_, ps, pc, cd, cs, cc = state.get
-        ps, pc, cs, cc = (np.asarray(x, dtype=float) for x in (ps, pc, cs, cc))
     else:
-        pd_, cd = None, None
-        ps, pc, cs, cc = (np.zeros(24) for _ in range(4))
+        pd_, ps, pc, cd, cs, cc = None, 0.0, 0.0, None, 0.0, 0.0
     rows = [p for p in pdfs if len(p)]
     if not rows:
         return
-    pdf = pd.concat(rows).sort_values(["date_id", "time_id", "event_id"])
+    pdf = pd.concat(rows).sort_values(["date_id", "event_id"])
     out = []
     for d, day in pdf.groupby("date_id", sort=True):
         d = int(d)
         if cd is not None and d != cd:
-            # Roll the finished day into "previous day" (only if it is exactly D-1 later).
             pd_, ps, pc = cd, cs, cc
-            cs, cc = np.zeros(24), np.zeros(24)
+            cs, cc = 0.0, 0.0
         cd = d
-        hours = day["time_id"].to_numpy()
-        if pd_ is not None and pd_ == d - 1:
-            lag = np.where(pc[hours] > 0, ps[hours] / np.where(pc[hours] > 0, pc[hours], 1), np.nan)
-        else:
-            lag = np.full(len(day), np.nan)
-        np.add.at(cs, hours, day["value"].to_numpy(dtype=float))
-        np.add.at(cc, hours, 1.0)
+        lag = ps / pc if (pd_ is not None and pd_ == d - 1 and pc > 0) else np.nan
+        cs += float(day["value"].sum())
+        cc += float(len(day))
         out.append(pd.DataFrame({"event_id": day["event_id"].to_numpy(), "user_id": day["user_id"].to_numpy(),
-                                 "date_id": day["date_id"].to_numpy(), "time_id": hours,
-                                 "value": day["value"].to_numpy(), "value_lag_1": lag}))
-    state.update((pd_, ps.tolist(), pc.tolist(), cd, cs.tolist(), cc.tolist()))
+                                 "date_id": day["date_id"].to_numpy(), "time_id": day["time_id"].to_numpy(),
+                                 "value": day["value"].to_numpy(), "value_lag_1": np.full(len(day), lag)}))
+    state.update((pd_, float(ps), float(pc), cd, float(cs), float(cc)))
     yield pd.concat(out)
 
 
 def _lag_stream(spark: SparkSession, path: str) -> DataFrame:
     ev = read_event_stream(spark, path).select("event_id", "user_id", "date_id", "time_id", "value")
-    return ev.groupBy("user_id").applyInPandasWithState(
+    return ev.groupBy("user_id", "time_id").applyInPandasWithState(
         _lag_state_fn, LAG_OUT, LAG_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_day_lag(spark: SparkSession, path: str) -> DataFrame:
     """Previous-day mean value of the same (user, hour), handed over as day D arrives.
 
-    Keyed state per user holds two 24-slot day summaries (bounded)."""
+    Keyed state per (user, hour) holds two day summaries (bounded)."""
     lagged = _lag_stream(spark, path)
 
     def build(out, ck):
