@@ -614,11 +614,12 @@ def _wf_one(variant: str, k: int) -> str:
     return f"{PANEL}, {_BOUNDS_CTE}, {_D1}, {_betas_sql(variant, k)} {_wf_sql(variant, k)}"
 
 
-def _wf_many(pairs: list[tuple[str, int]], with_delta: bool = False) -> str:
+def _wf_many(pairs: list[tuple[str, int]], with_delta: bool = False, delta_only: bool = False) -> str:
     parts = [f"SELECT * FROM ({_wf_sql_in(v, k)})" for v, k in pairs]
     body = " UNION ALL ".join(parts)
-    if with_delta:
-        body = (f"SELECT *, score - max(CASE WHEN variant = 'full' THEN score END) OVER () AS delta_vs_full "
+    if with_delta or delta_only:
+        cols = "variant" if delta_only else "*"
+        body = (f"SELECT {cols}, score - max(CASE WHEN variant = 'full' THEN score END) OVER () AS delta_vs_full "
                 f"FROM ({body})")
     return f"{PANEL}, {_BOUNDS_CTE}, {_D1} {body}"
 
@@ -1236,8 +1237,7 @@ def over_clip(spark, sf):
     return ME.over_clip(WF.predictions(p, prep, "full"), "prediction")
 
 
-@query("delta_vs_full", _wf_many(_IVF, with_delta=True).replace(
-    "SELECT *, score - max", "SELECT variant, score - max", 1).replace("AS delta_vs_full FROM", "AS delta_vs_full FROM", 1))
+@query("delta_vs_full", _wf_many(_IVF, delta_only=True))
 def delta_vs_full(spark, sf):
     """Each variant's score minus the static model's."""
     return _suite(_prep(spark, sf), _IVF, with_delta=True).select("variant", "delta_vs_full")
