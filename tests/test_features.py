@@ -142,3 +142,15 @@ def test_rolling_invariant_to_order_and_relabel(small_panel, method):
         return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r)
                       for r in df.select(*cols).collect())
     assert key(base) == key(other)
+
+
+def test_day_sequences_standardised(small_panel):
+    from tidepanel.operators import sequences as SQ
+    st = FE.fit_standardizer(small_panel, ["feature_00", "feature_07"])
+    stats = {r["feature"]: (r["mean"], r["std"]) for r in st.collect()}
+    seqs = SQ.day_sequences(small_panel, ["feature_00", "feature_07"], standardizer=stats)
+    flat = SQ.flatten_sequences(seqs)
+    agg = flat.select(F.element_at("x", 1).alias("z0"), F.element_at("x", 2).alias("z7")).agg(
+        F.avg("z0").alias("m0"), F.max(F.abs("z7")).alias("a7")).first()
+    assert abs(agg["m0"]) < 1e-9 and agg["a7"] == 0.0
+    assert flat.count() == small_panel.count()

@@ -64,9 +64,9 @@ def split_grid(date_stats: DataFrame, valid_days: list[int], gap_days: list[int]
 def split_grid_scores(day_stats: DataFrame, grid: DataFrame) -> DataFrame:
     """Score every feasible grid cell for every candidate input.
 
-    The grid (parameter-sized) is attached to each per-day statistics row by an
-    ``explode`` of an array literal built from it... no cross join; each day row
-    finds its role (train / valid / none) per cell.
+    The grid (parameter-sized, a handful of cells) is attached to every per-day
+    statistics row by ``explode`` of an array literal built from it, instead of a cross
+    join; each day row then finds its role (train / valid / none) in every cell.
     """
     cells = [r.asDict() for r in grid.where("feasible").collect()]  # parameter grid: a handful of rows
     arr = F.array(*[F.struct(F.lit(c["run_name"]).alias("run_name"), F.lit(c["valid_days"]).alias("valid_days"),

@@ -9,7 +9,8 @@ from tidepanel.columns import DATE, SYMBOL, TARGET_COLUMN, TIME, WEIGHT_COLUMN
 
 
 def day_sequences(df: DataFrame, features: list[str], target: str = TARGET_COLUMN,
-                  weight: str = WEIGHT_COLUMN, aux: list[str] | None = None) -> DataFrame:
+                  weight: str = WEIGHT_COLUMN, aux: list[str] | None = None,
+                  standardizer: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """One row per (date, symbol) holding its time-ordered steps
     ``ARRAY<STRUCT<time_id, x ARRAY<DOUBLE>, aux ARRAY<DOUBLE>, y, w>>``.
 
@@ -17,6 +18,10 @@ def day_sequences(df: DataFrame, features: list[str], target: str = TARGET_COLUM
     no day or symbol is ever collected whole.
     """
     aux = aux or []
+    if standardizer is not None:
+        # Inputs as the sequence model sees them: z-scored, NULL/NaN -> 0.
+        from tidepanel.operators.features import apply_standardizer
+        df = apply_standardizer(df, standardizer, features)
     step = F.struct(
         F.col(TIME).alias(TIME),
         F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
