@@ -53,9 +53,21 @@ def read_event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1
             .parquet(os.path.join(path, "data", "*")))
 
 
-def _run(query_builder, name: str, spark: SparkSession) -> str:
+def _run(query_builder, name: str, spark: SparkSession, state_partitions: int | None = None) -> str:
+    """Start a query (availableNow) and wait for it.
+
+    The number of state-store partitions is fixed when a stateful query first starts
+    and stays in its checkpoint; it is sized to the cluster's cores here instead of
+    inheriting the batch shuffle setting.
+    """
     out = checkpoint_path(spark, f"stream_{name}_{uuid.uuid4().hex[:10]}")
-    q = query_builder(out, os.path.join(out, "_checkpoint"))
+    n = state_partitions or max(1, spark.sparkContext.defaultParallelism)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        q = query_builder(out, os.path.join(out, "_checkpoint"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
     return out
 
