@@ -63,3 +63,15 @@ def test_predict_update_equals_batch(spark, staged):
     b = ev.join(model, ["date_id", "time_id"], "left").select(
         "event_id", F.coalesce("prediction", F.lit(0.0)).alias("prediction"))
     _same(s, b, ["event_id", "prediction"], 1e-9)
+
+
+def test_running_r2_final_equals_batch(spark, staged):
+    s = ST.stream_running_r2(spark, staged).orderBy(F.desc("batch")).first()
+    ev = load_events(spark, SF_SMALL)
+    prev = ev.groupBy("user_id", "date_id", "time_id").agg(F.avg("value").alias("lag")).withColumn(
+        "date_id", F.col("date_id") + 1)
+    j = ev.join(prev, ["user_id", "date_id", "time_id"], "left").select(
+        "value", F.coalesce("lag", F.lit(0.0)).alias("p"))
+    b = j.agg((1 - F.sum((F.col("value") - F.col("p")) ** 2) / F.sum(F.col("value") ** 2)).alias("r2")).first()
+    assert s["running_r2"] == pytest.approx(b["r2"], rel=1e-9)
+    assert s["n_rows"] == ev.count()
