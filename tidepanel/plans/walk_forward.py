@@ -285,6 +285,8 @@ def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]], eval_fold: st
               for _, r in pdf.iterrows()}
         # Evaluation days in date order; ``es`` gives validation with online updates.
         test = list(enumerate(sorted(d for d, v in st.items() if v[0] == eval_fold)))
+        if not test:
+            raise ValueError(f"No rows in the {eval_fold} block")
 
         def total(days):
             A = np.zeros((p, p))
@@ -326,6 +328,8 @@ def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]], eval_fold: st
                 sse += cd[target] - 2 * beta @ bd[target] + beta @ Ad @ beta
                 sst += cd[target]
                 nrows += st[d][2]
+            if not sst > 0:
+                raise ValueError(f"Denominator sum(w * y_true^2) must be > 0, got {sst}")
             out.append((variant, 0 if variant == "full" else cad, 0 if variant == "full" else n_ver - 1,
                         len(test), nrows, 1 - sse / sst))
         return pd.DataFrame(out, columns=[f.name for f in SUITE_SCHEMA.fields])
