@@ -344,7 +344,8 @@ def score_variant(prep: PreparedPanel, variant: str, cadence: int = 1) -> DataFr
     cad = 1 if variant == "full" else cadence
     betas = version_betas(prep, variant, cad)
     test = prep.days.where(F.col("fold") == "test")
-    version = (F.lit(0) if variant == "full" else F.floor(F.col("day_index") / cad)).cast("bigint")
+    # A computed key even for the static model (a literal key would plan as a cross join).
+    version = (F.col("day_index") * 0 if variant == "full" else F.floor(F.col("day_index") / cad)).cast("bigint")
     scored = test.select("*", version.alias("version")).join(betas, "version", "inner")
     sse = wls.sse_column(F.col("beta"), prep.p, prep.cfg.target)
     c = F.col(f"c_{prep.cfg.target}")
@@ -386,7 +387,8 @@ def predictions(df: DataFrame, prep: PreparedPanel, variant: str, cadence: int =
     cad = 1 if variant == "full" else cadence
     betas = version_betas(prep, variant, cad)
     day_version = prep.days.where(F.col("fold") == "test").select(
-        DATE, (F.lit(0) if variant == "full" else F.floor(F.col("day_index") / cad)).cast("bigint").alias("version"))
+        DATE, (F.col("day_index") * 0 if variant == "full" else F.floor(F.col("day_index") / cad)).cast("bigint")
+        .alias("version"))
     xs = wls.design_columns(prep.cfg.features, prep.cfg.intercept, prep.standardizer)
     rows = df.join(F.broadcast(day_version), DATE, "inner").join(F.broadcast(betas), "version", "inner")
     return rows.select(DATE, "time_id", "symbol_id", prep.cfg.target, prep.cfg.weight,
