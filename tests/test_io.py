@@ -75,3 +75,14 @@ def test_model_store_round_trip(spark, small_panel):
     a = G.predict(m, test).agg(F.sum("prediction")).first()[0]
     b = G.predict(m2, test).agg(F.sum("prediction")).first()[0]
     assert a == pytest.approx(b, rel=1e-12)
+
+
+def test_size_shuffles(spark):
+    from tidepanel.session import size_shuffles
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 100 * (1 << 40)) == 100 * (1 << 40) // (256 << 20)
+        assert size_shuffles(spark, 1000) == 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))

@@ -124,3 +124,18 @@ def reliable_checkpoint(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 << 20) -> int:
+    """Size shuffle and scan partitions for an input of ``input_bytes``.
+
+    Initial shuffle partitions ~ input / target (at least twice the cores), so that no
+    partition has to spill at 100 TB; AQE then coalesces small ones toward the
+    advisory size and splits skewed ones. Returns the partition count set.
+    """
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    n = max(2 * cores, -(-int(input_bytes) // int(target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes // 2))
+    return n
