@@ -45,11 +45,19 @@ def main() -> None:
         out = FE.rolling_stats(p, Q.ROLL_FEATURES, window=1000)
         return out.select("date_id", "time_id", "symbol_id", *[c for c in out.columns if "_roll_" in c])
 
+    from tidepanel.session import size_shuffles
+    from tidepanel.sources.fixtures import panel_path
+
+    def folder_bytes(path: str) -> int:
+        return sum(os.path.getsize(os.path.join(b, f)) for b, _d, fs in os.walk(path) for f in fs)
+
     registry = dict(Q.QUERIES)
     registry["rolling_w1000"] = rolling_w1000
     t0 = time.time()
     Q.panel(spark, sf_dir).count()
     timings = {"panel_load": round(time.time() - t0, 3)}
+    # Partition sizing from the stored panel's bytes (the same rule a cluster run uses).
+    size_shuffles(spark, folder_bytes(panel_path(spark, sf_dir)))
     total = 0.0
     for name in HEADLINE:
         t = time.time()
