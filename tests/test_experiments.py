@@ -35,3 +35,11 @@ def test_split_grid_feasibility(spark):
     g = {r["run_name"]: r for r in EX.split_grid(ds, [12, 80], [0, 5]).collect()}
     assert g["split_v12_g0"]["feasible"] and g["split_v12_g0"]["train_end"] == 70
     assert not g["split_v80_g5"]["feasible"]
+
+
+def test_aux_style_pairing(spark):
+    # base4 is the same-seed baseline of every other aux set.
+    runs = frame(spark, [("baseline", None, "base4", 1, 0.010), ("baseline", None, "base4", 2, 0.012),
+                         ("aux", None, "all9", 1, 0.011), ("aux", None, "all9", 2, 0.013)], RUNS)
+    cell = EX.cell_summary(EX.paired_delta(runs)).first()
+    assert cell["mean_delta"] == pytest.approx(0.001) and cell["n_positive"] == 2
