@@ -69,8 +69,9 @@ def split_grid_scores(day_stats: DataFrame, grid: DataFrame) -> DataFrame:
     join; each day row then finds its role (train / valid / none) in every cell.
     """
     cells = [r.asDict() for r in grid.where("feasible").collect()]  # parameter grid: a handful of rows
-    arr = F.array(*[F.struct(F.lit(c["run_name"]).alias("run_name"), F.lit(c["valid_days"]).alias("valid_days"),
-                             F.lit(c["gap_days"]).alias("gap_days"), F.lit(c["train_start"]).alias("train_start"),
+    arr = F.array(*[F.struct(F.lit(c["run_name"]).alias("run_name"),
+                             F.lit(c["valid_days"]).cast("bigint").alias("valid_days"),
+                             F.lit(c["gap_days"]).cast("bigint").alias("gap_days"), F.lit(c["train_start"]).alias("train_start"),
                              F.lit(c["train_end"]).alias("train_end"), F.lit(c["valid_start"]).alias("valid_start"),
                              F.lit(c["valid_end"]).alias("valid_end")) for c in cells])
     d = day_stats.select("*", F.explode(arr).alias("cell")).select("*", "cell.*").drop("cell")
