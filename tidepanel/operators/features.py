@@ -5,10 +5,12 @@ E04/E05 forward-shift auxiliary targets, D19/H02 standardiser, B07 placeholders,
 F03 ranked subsets, K13 the model-input chain.
 
 Row order is never implicit: every per-symbol series operator orders by
-(date_id, time_id). Operators that walk a symbol's series do **not** partition by
-``symbol_id`` alone (a single symbol can hold a large share of the panel); they
-build a dense per-symbol row index from (symbol, date) blocks and express shifts and
-trailing windows as equi-joins on (symbol, index), which spread evenly over tasks.
+(date_id, time_id). Operators that walk a symbol's series first run a cheap skew check
+(``series_strategy``): a window partitioned by ``symbol_id`` is used only when there
+are many symbols and none holds more than a fair task share. Otherwise (few symbols,
+or one holding a large share of the panel) they build a dense per-symbol row index
+from (symbol, date) blocks and express shifts and trailing windows as equi-joins on
+(symbol, index), which spread evenly over tasks.
 """
 
 from __future__ import annotations
@@ -183,10 +185,11 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
                   method: str = "auto", key: str = SYMBOL) -> DataFrame:
     """Trailing ``window``-row mean (min 1 sample) and std (ddof 1, min 2, null -> 0).
 
-    ``auto`` (default) picks ``frame`` for short windows over many evenly sized
-    symbols and ``prefix`` otherwise.
+    ``auto`` (default): with many evenly sized symbols, ``frame`` for W <= 64 and
+    ``prefix_window`` above; otherwise ``prefix``.
     ``frame``: ``rowsBetween(-(W-1), 0)`` over a symbol window (O(n*W), one task per
-    symbol). ``prefix``: running count / sum / centred sum of squares per
+    symbol). ``prefix_window``: running sums minus their value ``W`` rows back over one
+    symbol window (O(n)). ``prefix``: running count / sum / centred sum of squares per
     symbol built from (symbol, date) blocks, and the value ``W`` rows back fetched with
     an equi-join on (symbol, position); cost independent of ``W`` and no hot symbol.
     Nulls occupy a row of the window but are not samples; NaN is treated as null.
