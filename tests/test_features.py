@@ -154,3 +154,12 @@ def test_day_sequences_standardised(small_panel):
         F.avg("z0").alias("m0"), F.max(F.abs("z7")).alias("a7")).first()
     assert abs(agg["m0"]) < 1e-9 and agg["a7"] == 0.0
     assert flat.count() == small_panel.count()
+
+
+def test_lead_methods_agree(small_panel):
+    ix = FE.series_index(small_panel.select("date_id", "time_id", "symbol_id", "responder_6"))
+    leads = {"responder_6": [1, 3, 7]}
+    a = FE.lead_rows(ix, leads, method="chunks", chunk=8)  # tiny chunks: halos everywhere
+    b = FE.lead_rows(ix, leads, method="join")
+    cols = ["date_id", "time_id", "symbol_id", "responder_6_lead1", "responder_6_lead3", "responder_6_lead7"]
+    assert _rows(a, cols) == _rows(b, cols)

@@ -115,14 +115,40 @@ def _attach_offsets(local: DataFrame, key: str, block: str, pos_col: str,
     return out.withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local")
 
 
+LEAD_CHUNK = 1 << 16
+
+
 def lead_rows(df: DataFrame, leads: dict[str, list[int]], key: str = SYMBOL,
-              pos_col: str = POS) -> DataFrame:
+              pos_col: str = POS, method: str = "chunks", chunk: int = LEAD_CHUNK) -> DataFrame:
     """Add ``<c>_lead<k>`` = value of ``c`` ``k`` rows later in the same series.
 
-    All shifts are served by one equi-join on (key, position): each source row is
-    emitted once per requested shift, keyed by the position that reads it.
+    ``chunks`` (default): positions are cut into chunks of ``chunk`` rows; every row
+    goes to its chunk and the first ``max(k)`` rows of a chunk are also copied to the
+    previous one as a halo, so a window over (key, chunk) ordered by position serves
+    all shifts. One shuffle of ~(1 + max(k)/chunk) x the rows; each window partition is
+    bounded by ``chunk + max(k)`` rows whatever the key distribution.
+    ``join``: every requested shift is emitted keyed by the position that reads it and
+    joined back on (key, position).
     """
     names = _lead_names(leads)
+    if method == "chunks":
+        kmax = max(k for ks in leads.values() for k in ks)
+        if kmax >= chunk:
+            raise ValueError("lead longer than a chunk")
+        ch = F.floor(F.col(pos_col) / chunk).cast("long")
+        own = df.select("*", ch.alias("_chunk"), F.lit(False).alias("_halo"))
+        halo = (df.where((F.col(pos_col) % chunk) < kmax)
+                .select("*", (ch - 1).alias("_chunk"), F.lit(True).alias("_halo")))
+        both = own.unionByName(halo)
+        w = Window.partitionBy(key, "_chunk").orderBy(pos_col)
+        # A lead is valid only when the row k positions later exists in the series.
+        exprs = []
+        for c, ks in leads.items():
+            for k in ks:
+                exprs.append(F.when(F.lead(pos_col, k).over(w) == F.col(pos_col) + k, F.lead(c, k).over(w))
+                             .alias(f"{c}_lead{k}"))
+        out = both.select("*", *exprs).where(~F.col("_halo"))
+        return out.drop("_chunk", "_halo")
     # One pass over the source: each row is emitted once per requested shift, keyed by
     # the position that reads it.
     structs = []
@@ -133,7 +159,7 @@ def lead_rows(df: DataFrame, leads: dict[str, list[int]], key: str = SYMBOL,
                                     *[(F.col(c) if n == name else F.lit(None).cast("double")).alias(n)
                                       for n in names]))
     emitted = df.select(key, F.explode(F.array(*structs)).alias("_e")).select(key, "_e.*")
-    shifted = emitted.groupBy(key, pos_col).agg(*[F.max(n).alias(n) for n in _lead_names(leads)])
+    shifted = emitted.groupBy(key, pos_col).agg(*[F.max(n).alias(n) for n in names])
     # Grows with the data: a shuffle join on (key, position), never a broadcast.
     return df.join(shifted.hint("merge"), [key, pos_col], "left")
 
@@ -166,8 +192,8 @@ def add_aux_targets(df: DataFrame, method: str = "auto") -> DataFrame:
     # on the panel key: one full-row shuffle instead of carrying every column
     # through the index pipeline.
     narrow = df.select(*ID_COLUMNS, r6, r8)
-    # The indexed narrow table feeds both sides of the shift join: materialise it once
-    # in the shared checkpoint folder instead of re-running its sort twice.
+    # The indexed narrow table feeds two branches (rows and their halo copies):
+    # materialise it once in the shared checkpoint folder instead of re-running its sort.
     ix = reliable_checkpoint(series_index(narrow))
     led = lead_rows(ix, {r8: list(AUX9_LEADS), r6: list(AUX10_LEADS)})
     s9 = F.col(r8)
