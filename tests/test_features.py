@@ -163,3 +163,18 @@ def test_lead_methods_agree(small_panel):
     b = FE.lead_rows(ix, leads, method="join")
     cols = ["date_id", "time_id", "symbol_id", "responder_6_lead1", "responder_6_lead3", "responder_6_lead7"]
     assert _rows(a, cols) == _rows(b, cols)
+
+
+def test_rolling_blocks_with_small_chunks(small_panel, monkeypatch):
+    monkeypatch.setattr(FE, "LEAD_CHUNK", 16)  # many chunks per symbol: halos exercised
+    feats = ["feature_00", "feature_06"]
+    ids = ["date_id", "time_id", "symbol_id"]
+    for w in (7, 12):
+        a = FE.rolling_stats(small_panel, feats, window=w, method="prefix")
+        b = FE.rolling_stats(small_panel, feats, window=w, method="frame")
+        cols = ids + [f"{f}_roll_{k}" for f in feats for k in ("mean", "std")]
+        ra = {tuple(r[c] for c in ids): r for r in a.select(*cols).collect()}
+        for r in b.select(*cols).collect():
+            x = ra[tuple(r[c] for c in ids)]
+            for c in cols[3:]:
+                assert (x[c] is None and r[c] is None) or abs(x[c] - r[c]) < 1e-9, (w, c, x[c], r[c])

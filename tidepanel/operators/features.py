@@ -298,11 +298,24 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
     # Materialised once (narrow: keys + three prefixes per feature); both sides of the
     # shift join read it.
     prefixed = reliable_checkpoint(ix.select(*cols, POS, *[F.col(f"_c_{f}") for f in feats], *pref))
-    # Pass 3: the prefix ``window`` rows back, by an equi-join on (symbol, position).
-    # Both sides grow with the data: force a shuffle join, never a broadcast.
-    back = prefixed.select(key, (F.col(POS) + window).alias(POS), *[
-        F.col(f"_{t}_{f}").alias(f"_p{t}_{f}") for f in feats for t in "NSQ"])
-    j = prefixed.join(back.hint("merge"), [key, POS], "left")
+    # Pass 3: the prefix ``window`` rows back.
+    if window < LEAD_CHUNK:
+        # Position chunks with a halo of the previous chunk's last W rows: one window
+        # over (symbol, chunk) serves the lag; partitions stay bounded by chunk + W rows.
+        ch = F.floor(F.col(POS) / LEAD_CHUNK).cast("long")
+        own = prefixed.select("*", ch.alias("_chunk"), F.lit(False).alias("_halo"))
+        halo = (prefixed.where((F.col(POS) % LEAD_CHUNK) >= LEAD_CHUNK - window)
+                .select("*", (ch + 1).alias("_chunk"), F.lit(True).alias("_halo")))
+        wc = Window.partitionBy(key, "_chunk").orderBy(POS)
+        hit = F.lag(POS, window).over(wc) == F.col(POS) - window
+        lagged = own.unionByName(halo).select("*", *[
+            F.when(hit, F.lag(f"_{t}_{f}", window).over(wc)).alias(f"_p{t}_{f}") for f in feats for t in "NSQ"])
+        j = lagged.where(~F.col("_halo")).drop("_chunk", "_halo")
+    else:
+        # Equi-join on (symbol, position); both sides grow with the data: a shuffle join.
+        back = prefixed.select(key, (F.col(POS) + window).alias(POS), *[
+            F.col(f"_{t}_{f}").alias(f"_p{t}_{f}") for f in feats for t in "NSQ"])
+        j = prefixed.join(back.hint("merge"), [key, POS], "left")
     out = []
     for f in feats:
         n = F.col(f"_N_{f}") - F.coalesce(F.col(f"_pN_{f}"), F.lit(0))
