@@ -9,8 +9,9 @@ Row order is never implicit: every per-symbol series operator orders by
 (``series_strategy``): a window partitioned by ``symbol_id`` is used only when there
 are many symbols and none holds more than a fair task share. Otherwise (few symbols,
 or one holding a large share of the panel) they build a dense per-symbol row index
-from (symbol, date) blocks and express shifts and trailing windows as equi-joins on
-(symbol, index), which spread evenly over tasks.
+from (symbol, date) blocks and evaluate shifts and trailing windows in windows over
+(symbol, position chunk) with a halo from the neighbouring chunk, which spread evenly
+over tasks.
 """
 
 from __future__ import annotations
@@ -216,8 +217,9 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
     ``frame``: ``rowsBetween(-(W-1), 0)`` over a symbol window (O(n*W), one task per
     symbol). ``prefix_window``: running sums minus their value ``W`` rows back over one
     symbol window (O(n)). ``prefix``: running count / sum / centred sum of squares per
-    symbol built from (symbol, date) blocks, and the value ``W`` rows back fetched with
-    an equi-join on (symbol, position); cost independent of ``W`` and no hot symbol.
+    symbol built from (symbol, date) blocks, and the value ``W`` rows back read in a
+    window over (symbol, position chunk) with a halo; cost independent of ``W`` and no
+    hot symbol.
     Nulls occupy a row of the window but are not samples; NaN is treated as null.
     """
     feats = present_features(df, features)
