@@ -75,3 +75,12 @@ def test_running_r2_final_equals_batch(spark, staged):
     b = j.agg((1 - F.sum((F.col("value") - F.col("p")) ** 2) / F.sum(F.col("value") ** 2)).alias("r2")).first()
     assert s["running_r2"] == pytest.approx(b["r2"], rel=1e-9)
     assert s["n_rows"] == ev.count()
+
+
+def test_sliding_market_avg_stream_equals_batch(spark, staged):
+    s = ST.stream_market_avg(spark, staged, "2 hours", "1 hour")
+    ev = load_events(spark, SF_SMALL)
+    b = ev.groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(
+        F.avg("value").alias("avg_value"), F.count(F.lit(1)).cast("bigint").alias("n_events")).select(
+        F.col("w.start").alias("window_start"), "avg_value", "n_events")
+    _same(s, b, ["window_start", "avg_value", "n_events"])
