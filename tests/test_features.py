@@ -178,3 +178,14 @@ def test_rolling_blocks_with_small_chunks(small_panel, monkeypatch):
             x = ra[tuple(r[c] for c in ids)]
             for c in cols[3:]:
                 assert (x[c] is None and r[c] is None) or abs(x[c] - r[c]) < 1e-9, (w, c, x[c], r[c])
+
+
+def test_series_strategy_detects_few_or_hot_symbols(spark):
+    par = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 400 * par).selectExpr("CAST(id % (8 * {0}) AS BIGINT) AS symbol_id".format(par))
+    assert FE.series_strategy(many) == "window"
+    few = spark.range(0, 1000).selectExpr("CAST(id % 3 AS BIGINT) AS symbol_id")
+    assert FE.series_strategy(few) == "blocks"
+    hot = spark.range(0, 400 * par).selectExpr(
+        "CAST(CASE WHEN id % 3 = 0 THEN 0 ELSE id % (8 * {0}) END AS BIGINT) AS symbol_id".format(par))
+    assert FE.series_strategy(hot) == "blocks"  # one symbol holds a third of the rows
