@@ -27,7 +27,15 @@ def bounded_broadcast(small: DataFrame, max_rows: int | None = None,
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
-               max_rows: int | None = None) -> DataFrame:
-    """Join a derived (aggregated) table back to ``big``; broadcast if its size is checked."""
+               max_rows: int | None = None, materialize: bool = True) -> DataFrame:
+    """Join a derived (aggregated) table back to ``big``; broadcast if its size is checked.
+
+    The derived table is materialised first (reliable checkpoint), so the size check
+    and the join read it instead of computing the aggregation over ``big``'s source
+    twice.
+    """
+    if materialize:
+        from tidepanel.session import reliable_checkpoint
+        small = reliable_checkpoint(small)
     side, _ = bounded_broadcast(small, max_rows=max_rows)
     return big.join(side, on, how)
