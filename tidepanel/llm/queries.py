@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import licenses, winnow
+from tidepanel.llm import chat, hilbert, licenses, packing, ppm, quality, sigtree, winnow
 from tidepanel.session import ensure_checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,82 @@ def op7(spark, sf_dir):
     out = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items",
                       F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op2_binary_packing")
+def op2(spark, sf_dir):
+    """Power-of-two pieces of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op4_hilbert_shards")
+def op4(spark, sf_dir):
+    """Forty shards along a Hilbert curve, row counts at most one apart."""
+    out = hilbert.shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+CHAT_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS said FROM t GROUP BY 1),
+u AS (SELECT min(conv_id) AS conv_id, said FROM c GROUP BY said),
+p AS (SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, len(said))) AS k FROM u)),
+m AS (SELECT conv_id FROM u ANTI JOIN p USING (said)),
+r AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos,
+             count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t SEMI JOIN m USING (conv_id))
+SELECT conv_id, CAST((pos - 1) // 1024 AS BIGINT) AS segment, n_turns,
+       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10), '' ORDER BY pos) AS text
+FROM r GROUP BY 1, 2, 3
+"""
+
+
+@query("op5_chat_snapshots", CHAT_SQL)
+def op5(spark, sf_dir):
+    """Maximal conversations, rendered."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_signature_tree")
+def op6(spark, sf_dir):
+    """Near-duplicate components of every document."""
+    return sigtree.link_components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_ppm_language")
+def op8(spark, sf_dir):
+    """Language of every document."""
+    return ppm.identify(table(spark, sf_dir, "documents"))
+
+
+def _quality_sql() -> str:
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS + [w.capitalize() for w in quality.STOP_WORDS]))
+    checks = [f"{m} >= {lo!r}" for m, lo, _ in quality.RULES if lo is not None]
+    checks += [f"{m} <= {hi!r}" for m, _, hi in quality.RULES if hi is not None]
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {SQL_SPACE.format('text')} AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g JOIN twice USING (doc_id, g)) GROUP BY 1),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
+  len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop,
+  len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-*•]'))) AS n_bul, len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) AS n_ell
+  FROM d LEFT JOIN rep USING (doc_id)),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio,
+  CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0 END AS stop_word_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+  CASE WHEN n_lines > 0 THEN n_bul / n_lines ELSE 0 END AS bullet_line_ratio, CASE WHEN n_lines > 0 THEN n_ell / n_lines ELSE 0 END AS ellipsis_line_ratio FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {' AND '.join(checks)} AS kept FROM r
+"""
+
+
+@query("op9_quality_rules", _quality_sql())
+def op9(spark, sf_dir):
+    """Quality verdict of every document."""
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
