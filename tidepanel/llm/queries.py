@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import chat, hilbert, licenses, packing, ppm, quality, sigtree, winnow
+from tidepanel.llm import chat, hilbert, licenses, packing, pages, pii, ppm, quality, sigtree, winnow
 from tidepanel.session import ensure_checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,19 @@ def op9(spark, sf_dir):
     """Quality verdict of every document."""
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_pii_spans")
+def op10(spark, sf_dir):
+    """Personal data spans of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    return found.select(
+        "doc_id", *[pii.count_kind("base", k).alias(f"n_{k}") for k, _ in pii.BASE],
+        F.sha2(pii.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
+@query("op3_dom_model")
+def op3(spark, sf_dir):
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))

@@ -79,22 +79,22 @@ def _combine(w: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def _sets(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sets(off: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted by (document, hash), and each document's offset."""
     docs = len(off) - 1
     owner, w = _words(off, raw)
     counts = np.bincount(owner, minlength=docs)
     keys, hashes = [], []
-    if len(w) >= SHINGLE_WORDS:
-        h = _combine(w, SHINGLE_WORDS)
-        whole = owner[:len(h)] == owner[SHINGLE_WORDS - 1:]
+    if len(w) >= k:
+        h = _combine(w, k)
+        whole = owner[:len(h)] == owner[k - 1:]
         keys.append(owner[:len(h)][whole])
         hashes.append(h[whole])
     first = np.concatenate([[0], np.cumsum(counts)])
-    for k in range(1, SHINGLE_WORDS):  # short documents: the whole sequence is one shingle
-        own = np.nonzero(counts == k)[0]
-        h = np.full(len(own), _U(k))
-        for j in range(k):
+    for m in range(1, k):  # short documents: the whole sequence is one shingle
+        own = np.nonzero(counts == m)[0]
+        h = np.full(len(own), _U(m))
+        for j in range(m):
             h = mix(h + w[first[own] + j])
         keys.append(own)
         hashes.append(h)
@@ -107,12 +107,12 @@ def _sets(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.cumsum(np.bincount(key, minlength=docs))])
 
 
-def shingle_sets(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(column, words: int = SHINGLE_WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first document, hashes, offsets)`` for runs of documents of bounded size."""
     off, raw = utf8(column)
     a = 0
     while a < len(off) - 1:
         b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK_BYTES, side="right")) - 1)
-        hashes, cuts = _sets(off[a:b + 1] - off[a], raw[off[a]:off[b]])
+        hashes, cuts = _sets(off[a:b + 1] - off[a], raw[off[a]:off[b]], words)
         yield a, hashes, cuts
         a = b

@@ -1,6 +1,6 @@
 """N-gram Jaccard join with signature trees.
 
-A document's set holds its distinct 4-word shingles (64-bit hashes). Two documents link
+A document's set holds its distinct shingles of ``words`` words (64-bit hashes). Two documents link
 when ``100 * |A & B| >= percent * |A | B|``; the result is exact up to hash collisions.
 
 1. One scan gives each set's size and 128-bit fingerprint (equal sets are one class from
@@ -22,7 +22,7 @@ when ``100 * |A & B| >= percent * |A | B|``; the result is exact up to hash coll
    components is lost.
 
 Defined results: a null or empty text has the empty set, links with nothing and is its own
-component; texts of fewer than four words are one shingle; repeated documents share a
+component; texts of fewer words are one shingle; repeated documents share a
 component; rows with one id and different texts are one node; a null id is a node of its
 own kind (all null ids together) and comes back as null unless a smaller id is reachable;
 an empty table gives no rows; only the id and text columns are read.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import graph
-from tidepanel.llm.shingle import mix, shingle_sets
+from tidepanel.llm.shingle import SHINGLE_WORDS, mix, shingle_sets
 from tidepanel.session import materialize
 
 PERCENT = 85
@@ -55,22 +55,24 @@ def _marks(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tuple((t[cuts[1:]] - t[cuts[:-1]]).view(np.int64) for t in total)
 
 
-def _describe(batches: Iterator):
+def _describe(words: int):
     """One row per document (kind 0) and, at the end, bucket counts of the task (kind 1)."""
-    import pyarrow as pa
+    def run(batches: Iterator):
+        import pyarrow as pa
 
-    names = ["kind", "doc_id", "n", "f1", "f2"]
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for batch in batches:
-        for a, hashes, cuts in shingle_sets(batch.column(1)):
-            counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-            n = np.diff(cuts)
-            f1, f2 = _marks(hashes, cuts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0).slice(a, len(n)),
-                                              pa.array(n), pa.array(f1), pa.array(f2)], names=names)
-    used = np.nonzero(counts)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(counts[used]),
-                                      pa.array(np.zeros(len(used), np.int64)), pa.array(np.zeros(len(used), np.int64))], names=names)
+        names = ["kind", "doc_id", "n", "f1", "f2"]
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for a, hashes, cuts in shingle_sets(batch.column(1), words):
+                counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+                n = np.diff(cuts)
+                f1, f2 = _marks(hashes, cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0).slice(a, len(n)),
+                                                  pa.array(n), pa.array(f1), pa.array(f2)], names=names)
+        used = np.nonzero(counts)[0]
+        none = pa.array(np.zeros(len(used), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(counts[used]), none, none], names=names)
+    return run
 
 
 def _ordered(hashes: np.ndarray, cuts: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,13 +86,13 @@ def _ordered(hashes: np.ndarray, cuts: np.ndarray, counts: np.ndarray, percent:
     return take, owner[take]
 
 
-def _prefixes(shared, percent: int):
+def _prefixes(shared, percent: int, words: int):
     """(token, f1): the roots each set is routed to."""
     def run(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
-            for _, hashes, cuts in shingle_sets(batch.column(1)):
+            for _, hashes, cuts in shingle_sets(batch.column(1), words):
                 take, owner = _ordered(hashes, cuts, shared.value, percent)
                 f1, _ = _marks(hashes, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(f1[owner])], names=["token", "f1"])
@@ -110,13 +112,13 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _members(counts_shared, filter_shared, filter_bits: int, percent: int):
+def _members(counts_shared, filter_shared, filter_bits: int, percent: int, words: int):
     """Sets with a root that passes the shared-root filter: id, size, fingerprints, roots, bitmap, text."""
     def run(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
-            for a, hashes, cuts in shingle_sets(batch.column(1)):
+            for a, hashes, cuts in shingle_sets(batch.column(1), words):
                 take, owner = _ordered(hashes, cuts, counts_shared.value, percent)
                 slot = _filter_slot(hashes[take], filter_bits)
                 hit = (filter_shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
@@ -262,13 +264,13 @@ def _emit(table, cuts: np.ndarray, percent: int, one: bool, pa):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
 
 
-def _verify(percent: int):
+def _verify(percent: int, words: int):
     """Keeps the pairs whose texts really link."""
     def run(batches: Iterator):
         import pyarrow as pa
 
         def sets(column):
-            for _, hashes, cuts in shingle_sets(column):
+            for _, hashes, cuts in shingle_sets(column, words):
                 for i in range(len(cuts) - 1):
                     yield hashes[cuts[i]:cuts[i + 1]]
 
@@ -354,30 +356,30 @@ def _groups(rows: DataFrame, within_only: bool) -> DataFrame:
     return got.select("token", F.col("class1").alias("class"), "part", "class2", "part2", "side", "id", "n", "bits", "component")
 
 
-def _links(groups: DataFrame, texts: DataFrame, percent: int, one: bool) -> DataFrame:
+def _links(groups: DataFrame, texts: DataFrame, percent: int, words: int, one: bool) -> DataFrame:
     """Verified links (a, b) of all groups; ``texts`` is (id, text)."""
     together = groups.repartition(*GROUP).sortWithinPartitions(*GROUP, "side")
     pairs = together.mapInArrow(_pairs(percent, one), "x long, y long")
     pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "sigtree_pairs")
     spark = groups.sparkSession
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    words, bits = bit_filter(ends, "id")
-    some = texts.mapInArrow(_passing(spark.sparkContext.broadcast(words), bits), texts.schema)
+    marks, bits = bit_filter(ends, "id")
+    some = texts.mapInArrow(_passing(spark.sparkContext.broadcast(marks), bits), texts.schema)
     left = some.withColumnsRenamed({"id": "a", "text": "ta"})
     right = some.withColumnsRenamed({"id": "b", "text": "tb"})
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return materialize(both.mapInArrow(_verify(percent), "a long, b long"), "sigtree_links")
+    return materialize(both.mapInArrow(_verify(percent, words), "a long, b long"), "sigtree_links")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
-                    slice_rows: int = SLICE) -> DataFrame:
+                    words: int = SHINGLE_WORDS, slice_rows: int = SLICE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     # 1. sizes, fingerprints, bucket counts
-    seen = materialize(d.mapInArrow(_describe, "kind int, doc_id long, n long, f1 long, f2 long"), "sigtree_sets")
+    seen = materialize(d.mapInArrow(_describe(words), "kind int, doc_id long, n long, f1 long, f2 long"), "sigtree_sets")
     sets = seen.where("kind = 0").drop("kind")
     classes = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     tally = seen.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()  # one row per bucket
@@ -386,12 +388,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts_shared = sc.broadcast(counts)
 
     # 2. roots that more than one set reaches
-    routed = d.mapInArrow(_prefixes(counts_shared, percent), "token long, f1 long")
+    routed = d.mapInArrow(_prefixes(counts_shared, percent, words), "token long, f1 long")
     shared = routed.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo < hi").select("token")
     shared = materialize(shared, "sigtree_roots")
-    words, bits = bit_filter(shared, "token")
+    marks, bits = bit_filter(shared, "token")
     members = materialize(d.mapInArrow(
-        _members(counts_shared, sc.broadcast(words), bits, percent),
+        _members(counts_shared, sc.broadcast(marks), bits, percent, words),
         "id long, n long, f1 long, f2 long, tokens array<long>, bits binary, text string"), "sigtree_members")
     reps = members.select("id", "n", "f1", "f2").join(classes.withColumnRenamed("rep", "id"), ["id", "n", "f1", "f2"], "left_semi").distinct()
     own = members.join(reps, ["id", "n", "f1", "f2"]).select("id", "n", F.explode("tokens").alias("token")).distinct()
@@ -407,10 +409,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 4. one partner each, components, then everything between different components
     texts = members.select("id", "text")
-    first = _links(_groups(rows.withColumn("component", F.col("id")), True), texts, percent, True)
+    first = _links(_groups(rows.withColumn("component", F.col("id")), True), texts, percent, words, True)
     joined = graph.components(first).withColumnRenamed("node", "id")
     rest = rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    links = first.unionByName(_links(_groups(rest, False), texts, percent, False))
+    links = first.unionByName(_links(_groups(rest, False), texts, percent, words, False))
     # one id with several sets joins their classes
     split = (sets.where("n > 0").join(classes, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
              .where("a < b").select(F.explode(F.array("a", "b")).alias("a"), F.col("doc_id").alias("b")))
@@ -422,13 +424,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_representatives(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """One document of each component stays (the smallest id); all columns are kept.
 
     Of several rows with the staying id one stays; documents without words all stay, and
     so do rows without an id that no identified document reaches.
     """
-    found = materialize(link_components(docs, percent=percent), "sigtree_components")
+    found = materialize(link_components(docs, percent=percent, words=words), "sigtree_components")
     gone = found.where(F.col("n_shingles") > 0).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     stay = docs.join(gone, "doc_id", "left_anti")
     again = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
