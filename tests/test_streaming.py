@@ -14,6 +14,15 @@ def staged(spark):
     return ST.stage_events_by_day(spark, SF_SMALL)
 
 
+@pytest.fixture(scope="module")
+def scattered(spark):
+    """Three files a day; batches of five files end inside days."""
+    read = ST.read_event_stream
+    ST.read_event_stream = lambda spark, path: read(spark, path, files_per_trigger=5)
+    yield ST.stage_events_by_day(spark, SF_SMALL, 3)
+    ST.read_event_stream = read
+
+
 def _same(a, b, cols, tol=1e-9):
     ra = sorted(tuple(r[c] for c in cols) for r in a.collect())
     rb = sorted(tuple(r[c] for c in cols) for r in b.collect())
@@ -66,7 +75,7 @@ def test_predict_update_equals_batch(spark, staged):
 
 
 def test_running_r2_final_equals_batch(spark, staged):
-    s = ST.stream_running_r2(spark, staged).orderBy(F.desc("batch")).first()
+    s = ST.stream_running_r2(spark, staged).orderBy(F.desc("date_id")).first()
     ev = load_events(spark, SF_SMALL)
     prev = ev.groupBy("user_id", "date_id", "time_id").agg(F.avg("value").alias("lag")).withColumn(
         "date_id", F.col("date_id") + 1)
@@ -84,3 +93,14 @@ def test_sliding_market_avg_stream_equals_batch(spark, staged):
         F.avg("value").alias("avg_value"), F.count(F.lit(1)).cast("bigint").alias("n_events")).select(
         F.col("w.start").alias("window_start"), "avg_value", "n_events")
     _same(s, b, ["window_start", "avg_value", "n_events"])
+
+
+def test_scattered_files_give_the_same_answers(spark, staged, scattered):
+    ids = ["event_id", "roll_mean", "roll_std"]
+    ev = load_events(spark, SF_SMALL)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
+    want = ev.select("event_id", F.avg("value").over(w).alias("roll_mean"), F.coalesce(F.stddev_samp("value").over(w), F.lit(0.0)).alias("roll_std"))
+    _same(ST.stream_rolling(spark, scattered, 5), want, ids, 1e-6)
+    assert ST.stream_market_avg(spark, scattered).agg(F.sum("n_events")).first()[0] == ev.count()
+    test_predict_update_equals_batch(spark, scattered)
+    test_running_r2_final_equals_batch(spark, scattered)

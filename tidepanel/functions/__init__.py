@@ -1,7 +1,8 @@
-from tidepanel.functions.exprs import (  # noqa: F401
-    eps_floor,
+from tidepanel.functions.exprs import (
     fill_null,
     is_finite,
     nan_to_null,
-    zscore,
+    no_nan,
 )
+
+__all__ = ["fill_null", "is_finite", "nan_to_null", "no_nan"]

@@ -29,18 +29,7 @@ def is_finite(c: ColumnOrName) -> Column:
     return col.isNotNull() & ~F.isnan(col) & (F.abs(col) != F.lit(float("inf")))
 
 
-def eps_floor(c: ColumnOrName, eps: float = 1e-6) -> Column:
-    """``max(x, eps)``."""
-    return F.greatest(_c(c), F.lit(eps))
-
-
-def zscore(c: ColumnOrName, mean: float | Column, std: float | Column) -> Column:
-    """``(x - mean) / std`` with NULL/NaN -> 0 after scaling."""
-    m = mean if isinstance(mean, Column) else F.lit(float(mean))
-    s = std if isinstance(std, Column) else F.lit(float(std))
-    return fill_null(nan_to_null((_c(c) - m) / s), 0.0)
-
-
-def join_active(flags: dict[str, ColumnOrName], sep: str = "|") -> Column:
-    """Names of the true flags, ``sep``-joined."""
-    return F.concat_ws(sep, *[F.when(_c(v), F.lit(k)) for k, v in flags.items()])
+def no_nan(c: str) -> Column:
+    """The column as double; a NaN or infinite value stops the query (null passes)."""
+    x = F.col(c).cast("double")
+    return F.when(x.isNull() | is_finite(x), x).otherwise(F.raise_error(F.lit(f"{c} holds a NaN or infinite value")).cast("double"))

@@ -148,9 +148,10 @@ def rank_stability(ranked: DataFrame, top: int = 5) -> DataFrame:
 
 
 # ------------------------------------------------------------------ seeded sweeps
-def seeded_fit_days(seed: int) -> Column:
-    """Seeded 80 % sample of fit days: the run-to-run variation of a deterministic fit."""
-    return F.pmod(F.col(DATE) * 7 + F.lit(seed * 13), F.lit(10)) < 8
+def seeded_day_weight(seed: Column, date_col: str = DATE) -> Column:
+    """Weight (0.5 to 1.5, 1 on average) of a fit day: the run-to-run variation of a
+    deterministic fit. Every day takes part in every run."""
+    return F.lit(0.5) + F.pmod(F.col(date_col) * 7 + seed * 13, F.lit(10)) / 9
 
 
 def seeded_runs(day_stats: DataFrame, specs: list[dict], seeds: list[int], fit_end: int,
@@ -166,10 +167,11 @@ def seeded_runs(day_stats: DataFrame, specs: list[dict], seeds: list[int], fit_e
                     for s in specs for seed in seeds])
     d = day_stats.select("*", F.explode(arr).alias("r")).select("*", "r.*").drop("r")
     d = d.where(F.col("candidate") == F.col("want"))
-    fit = (F.col(DATE) <= fit_end) & (F.pmod(F.col(DATE) * 7 + F.col("seed") * 13, F.lit(10)) < 8)
+    fit = F.col(DATE) <= fit_end
+    w = seeded_day_weight(F.col("seed"))
     ev = F.col(DATE) >= test_start
     s = d.groupBy("kind", "roll_window", "subset", "seed").agg(
-        F.sum(F.when(fit, F.col("a"))).alias("a_fit"), F.sum(F.when(fit, F.col("b"))).alias("b_fit"),
+        F.sum(F.when(fit, w * F.col("a"))).alias("a_fit"), F.sum(F.when(fit, w * F.col("b"))).alias("b_fit"),
         F.sum(F.when(ev, F.col("a"))).alias("a_ev"), F.sum(F.when(ev, F.col("b"))).alias("b_ev"),
         F.sum(F.when(ev, F.col("c"))).alias("c_ev"))
     beta = F.col("b_fit") / F.col("a_fit")

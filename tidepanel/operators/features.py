@@ -5,13 +5,12 @@ E04/E05 forward-shift auxiliary targets, D19/H02 standardiser, B07 placeholders,
 F03 ranked subsets, K13 the model-input chain.
 
 Row order is never implicit: every per-symbol series operator orders by
-(date_id, time_id). Operators that walk a symbol's series first run a cheap skew check
-(``series_strategy``): a window partitioned by ``symbol_id`` is used only when there
-are many symbols and none holds more than a fair task share. Otherwise (few symbols,
-or one holding a large share of the panel) they build a dense per-symbol row index
-from (symbol, date) blocks and evaluate shifts and trailing windows in windows over
-(symbol, position chunk) with a halo from the neighbouring chunk, which spread evenly
-over tasks.
+(date_id, time_id), ties by the remaining columns. There is one plan for all inputs: a
+dense per-symbol row index from (symbol, date) blocks, then windows over (symbol,
+position chunk) with a halo of the neighbouring chunk, which spread evenly over tasks
+whatever the number of symbols, the largest symbol or the cores. Null symbols form one
+series; rows with equal keys stay rows of their own; NaN and infinite values count as
+null.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from tidepanel.columns import (
     AUX9_LEADS,
@@ -35,12 +35,8 @@ from tidepanel.columns import (
 from tidepanel.functions.exprs import fill_null, nan_to_null
 from tidepanel.operators.schema import require_columns
 from tidepanel.plans.joins import join_small
-from tidepanel.session import reliable_checkpoint
 
 POS = "_pos"
-# Longest trailing window evaluated as a sliding frame; longer ones use prefix sums.
-FRAME_MAX_WINDOW = 64
-
 
 def present_features(df: DataFrame, features: Iterable[str] | None = None) -> list[str]:
     feats = list(features) if features is not None else [c for c in FEATURE_COLUMNS if c in df.columns]
@@ -67,110 +63,73 @@ def market_average(df: DataFrame, features: list[str] | None = None,
     return join_small(df, agg, list(keys), "left")
 
 
-# ------------------------------------------------------------ per-symbol series strategy
-def series_strategy(df: DataFrame, key: str = SYMBOL) -> str:
-    """Pick how to walk per-``key`` series: ``window`` or ``blocks``.
-
-    A window partitioned by ``key`` runs each series in one task: fine when there are
-    many keys and none holds more than a fair task share, fatal when a few keys carry
-    the data (the real panel has ~40 symbols). The check is one aggregation over the
-    key column alone (partial aggregation, no hot key); above the bound the
-    (key, date)-block plan is used, whose shuffles are keyed by (key, date) or
-    (key, position) and spread evenly whatever the key distribution.
-    """
-    par = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    st = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.count(F.lit(1)).alias("keys"), F.max("n").alias("mx"), F.sum("n").alias("tot")).first()
-    if st is None or not st["keys"]:
-        return "window"
-    fair = st["tot"] / par
-    return "window" if (st["keys"] >= 4 * par and st["mx"] <= fair) else "blocks"
+# ------------------------------------------------------------ per-symbol series index
+def _finite(c: str):
+    """The column as double, null where it is NaN or infinite."""
+    x = F.col(c).cast("double")
+    return F.when((x - x) == F.lit(0.0), x)
 
 
-# ------------------------------------------------------------ per-symbol series index
 def series_index(df: DataFrame, key: str = SYMBOL, block: str = DATE,
-                 order: tuple[str, ...] = (TIME,), pos_col: str = POS,
-                 extra: list | None = None) -> DataFrame:
+                 order: tuple[str, ...] = (TIME,), pos_col: str = POS) -> DataFrame:
     """Dense 0-based position of each row in its ``key`` series ordered by (block, order).
 
     Two passes instead of one window over the whole series: row numbers inside
     (key, block) groups, plus the exclusive running row count of earlier blocks taken
-    from the small (key, block) count table. ``extra`` are further window expressions
-    over the same (key, block) ordering, evaluated in the same Window node. The block
-    count is aggregated from the windowed rows, which are already clustered by
-    (key, block), so only the small offset table is exchanged for the join.
+    from the small (key, block) count table. Equal (key, block, order) rows are ordered
+    by the remaining columns, so repeated evaluations agree; null keys and blocks are
+    values like any other (nulls first).
     """
-    w = Window.partitionBy(key, block).orderBy(*order)
-    local = df.select("*", (F.row_number().over(w) - 1).alias("_local"), *(extra or []))
-    return _attach_offsets(local, key, block, pos_col, [])
+    ties = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in (key, block, *order)]
+    w = Window.partitionBy(key, block).orderBy(*order, *ties)
+    local = df.select("*", (F.row_number().over(w) - 1).alias("_local"))
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(F.col(key).alias("_key"), F.col(block).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.select("_key", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = local.join(offs, local[key].eqNullSafe(offs["_key"]) & local[block].eqNullSafe(offs["_block"]))
+    return out.withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local", "_key", "_block")
+
 
+def canonical_rank(df: DataFrame, out: str = "canonical_rank") -> DataFrame:
+    """dense 0-based position in (date, time, symbol) order.
 
-def _attach_offsets(local: DataFrame, key: str, block: str, pos_col: str,
-                    block_aggs: list, offset_exprs=None) -> DataFrame:
-    blocks = local.groupBy(key, block).agg(F.count(F.lit(1)).alias("_n"), *block_aggs)
-    wb = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    offs = blocks.select(key, block,
-                         F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"),
-                         *(offset_exprs(blocks, key, block) if offset_exprs else []))
-    out = local.join(offs, [key, block], "inner")
-    return out.withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local")
+    Positions inside a date come from its (date, time) blocks; only the per-date counts
+    (one row per date) are added up in one place.
+    """
+    ranked = series_index(df, key=DATE, block=TIME, order=(SYMBOL,), pos_col="_in_date")
+    before = Window.orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = df.groupBy(F.col(DATE).alias("_date")).agg(F.count(F.lit(1)).alias("_n"))
+    days = days.select("_date", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (ranked.join(days, ranked[DATE].eqNullSafe(days["_date"]))
+            .withColumn(out, (F.col("_off") + F.col("_in_date")).cast("long")).drop("_off", "_in_date", "_date"))
 
 
-LEAD_CHUNK = 1 << 16
+LEAD_CHUNK = 1 << 16  # rows of a series in one window partition
 
 
 def lead_rows(df: DataFrame, leads: dict[str, list[int]], key: str = SYMBOL,
-              pos_col: str = POS, method: str = "chunks", chunk: int = LEAD_CHUNK) -> DataFrame:
+              pos_col: str = POS, chunk: int | None = None) -> DataFrame:
     """Add ``<c>_lead<k>`` = value of ``c`` ``k`` rows later in the same series.
 
-    ``chunks`` (default): positions are cut into chunks of ``chunk`` rows; every row
-    goes to its chunk and the first ``max(k)`` rows of a chunk are also copied to the
-    previous one as a halo, so a window over (key, chunk) ordered by position serves
-    all shifts. One shuffle of ~(1 + max(k)/chunk) x the rows; each window partition is
-    bounded by ``chunk + max(k)`` rows whatever the key distribution.
-    ``join``: every requested shift is emitted keyed by the position that reads it and
-    joined back on (key, position).
+    Positions are cut into chunks; every row goes to its chunk and the first ``max(k)``
+    rows of a chunk are also copied (narrowly) to the previous one as a halo, so a window
+    over (key, chunk) ordered by position serves all shifts. One shuffle of the rows;
+    each window partition is bounded by ``chunk + max(k)`` rows whatever the keys.
     """
-    names = _lead_names(leads)
-    if method == "chunks":
-        kmax = max(k for ks in leads.values() for k in ks)
-        if kmax >= chunk:
-            raise ValueError("lead longer than a chunk")
-        ch = F.floor(F.col(pos_col) / chunk).cast("long")
-        own = df.select("*", ch.alias("_chunk"), F.lit(False).alias("_halo"))
-        halo = (df.where((F.col(pos_col) % chunk) < kmax)
-                .select("*", (ch - 1).alias("_chunk"), F.lit(True).alias("_halo")))
-        both = own.unionByName(halo)
-        w = Window.partitionBy(key, "_chunk").orderBy(pos_col)
-        # A lead is valid only when the row k positions later exists in the series.
-        exprs = []
-        for c, ks in leads.items():
-            for k in ks:
-                exprs.append(F.when(F.lead(pos_col, k).over(w) == F.col(pos_col) + k, F.lead(c, k).over(w))
-                             .alias(f"{c}_lead{k}"))
-        out = both.select("*", *exprs).where(~F.col("_halo"))
-        return out.drop("_chunk", "_halo")
-    # One pass over the source: each row is emitted once per requested shift, keyed by
-    # the position that reads it.
-    structs = []
-    for c, ks in leads.items():
-        for k in ks:
-            name = f"{c}_lead{k}"
-            structs.append(F.struct((F.col(pos_col) - k).alias(pos_col),
-                                    *[(F.col(c) if n == name else F.lit(None).cast("double")).alias(n)
-                                      for n in names]))
-    emitted = df.select(key, F.explode(F.array(*structs)).alias("_e")).select(key, "_e.*")
-    shifted = emitted.groupBy(key, pos_col).agg(*[F.max(n).alias(n) for n in names])
-    # Grows with the data: a shuffle join on (key, position), never a broadcast.
-    return df.join(shifted.hint("merge"), [key, pos_col], "left")
-
-
-def _lead_names(leads: dict[str, list[int]]) -> list[str]:
-    return [f"{c}_lead{k}" for c, ks in leads.items() for k in ks]
+    kmax = max(k for ks in leads.values() for k in ks)
+    chunk = max(chunk or LEAD_CHUNK, kmax)
+    ch = F.floor(F.col(pos_col) / chunk).cast("long")
+    own = df.select("*", ch.alias("_chunk"), F.lit(False).alias("_halo"))
+    halo = (df.where((F.col(pos_col) % chunk) < kmax)
+            .select(key, pos_col, *leads, (ch - 1).alias("_chunk"), F.lit(True).alias("_halo")))
+    w = Window.partitionBy(key, "_chunk").orderBy(pos_col)
+    exprs = [F.lead(c, k).over(w).alias(f"{c}_lead{k}") for c, ks in leads.items() for k in ks]
+    out = own.unionByName(halo, allowMissingColumns=True).select("*", *exprs).where(~F.col("_halo"))
+    return out.drop("_chunk", "_halo")
 
 
 # ------------------------------------------------------------------------- E04/E05
-def add_aux_targets(df: DataFrame, method: str = "auto") -> DataFrame:
+def add_aux_targets(df: DataFrame) -> DataFrame:
     """``responder_9 = r8 + r8[+4]`` and ``responder_10 = r6 + r6[+20] + r6[+40]``.
 
     Shifts count rows of the symbol's (date, time)-ordered series and cross day
@@ -178,186 +137,66 @@ def add_aux_targets(df: DataFrame, method: str = "auto") -> DataFrame:
     """
     require_columns(df, ["responder_6", "responder_8", SYMBOL, DATE, TIME], "aux targets")
     r6, r8 = "responder_6", "responder_8"
-    if method == "auto":
-        method = "window" if series_strategy(df) == "window" else "index"
-    if method == "window":
-        w = Window.partitionBy(SYMBOL).orderBy(DATE, TIME)
-        s9 = F.col(r8)
-        for k in AUX9_LEADS:
-            s9 = s9 + F.lead(r8, k).over(w)
-        s10 = F.col(r6)
-        for k in AUX10_LEADS:
-            s10 = s10 + F.lead(r6, k).over(w)
-        return df.select("*", fill_null(s9).alias("responder_9"), fill_null(s10).alias("responder_10"))
-    # Walk a narrow projection (ids + the two responders) and join the result back
-    # on the panel key: one full-row shuffle instead of carrying every column
-    # through the index pipeline.
-    narrow = df.select(*ID_COLUMNS, r6, r8)
-    # The indexed narrow table feeds two branches (rows and their halo copies):
-    # materialise it once in the shared checkpoint folder instead of re-running its sort.
-    ix = reliable_checkpoint(series_index(narrow))
-    led = lead_rows(ix, {r8: list(AUX9_LEADS), r6: list(AUX10_LEADS)})
-    s9 = F.col(r8)
-    for k in AUX9_LEADS:
-        s9 = s9 + F.col(f"{r8}_lead{k}")
-    s10 = F.col(r6)
-    for k in AUX10_LEADS:
-        s10 = s10 + F.col(f"{r6}_lead{k}")
-    aux = led.select(*ID_COLUMNS, fill_null(s9).alias("responder_9"), fill_null(s10).alias("responder_10"))
-    return df.join(aux.hint("merge"), ID_COLUMNS, "left")
+    led = lead_rows(series_index(df), {r8: list(AUX9_LEADS), r6: list(AUX10_LEADS)})
+    s9 = sum((F.col(f"{r8}_lead{k}") for k in AUX9_LEADS), F.col(r8))
+    s10 = sum((F.col(f"{r6}_lead{k}") for k in AUX10_LEADS), F.col(r6))
+    return led.select(*df.columns, fill_null(s9).alias("responder_9"), fill_null(s10).alias("responder_10"))
 
 
 # ------------------------------------------------------------------------- E02/E03
 def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int = 1000,
-                  method: str = "auto", key: str = SYMBOL) -> DataFrame:
+                  key: str = SYMBOL) -> DataFrame:
     """Trailing ``window``-row mean (min 1 sample) and std (ddof 1, min 2, null -> 0).
 
-    ``auto`` (default): with many evenly sized symbols, ``frame`` for W <= 64 and
-    ``prefix_window`` above; otherwise ``prefix``.
-    ``frame``: ``rowsBetween(-(W-1), 0)`` over a symbol window (O(n*W), one task per
-    symbol). ``prefix_window``: running sums minus their value ``W`` rows back over one
-    symbol window (O(n)). ``prefix``: running count / sum / centred sum of squares per
-    symbol built from (symbol, date) blocks, and the value ``W`` rows back read in a
-    window over (symbol, position chunk) with a halo; cost independent of ``W`` and no
-    hot symbol.
-    Nulls occupy a row of the window but are not samples; NaN is treated as null.
+    Nulls, NaN and infinities occupy a row of the window but are not samples.
+
+    A series is cut into blocks of ``window`` rows. A trailing window is then the tail of
+    one block and the head of the next; running (count, mean, squared deviations) from
+    either end of a block are combined by the parallel-variance rule. The cost per row
+    does not depend on ``window``, and no large sums are subtracted, so the digits hold
+    at any level. Blocks are grouped into chunks of about ``LEAD_CHUNK`` rows that carry
+    the block before them as a halo; every window runs inside (key, chunk).
     """
     feats = present_features(df, features)
     if window < 1:
         raise ValueError("window must be >= 1")
-    if method == "auto":
-        # Frames cost O(n*W): only for short windows; symbol windows only for
-        # well-spread symbols, (symbol, date) blocks otherwise.
-        if series_strategy(df, key) == "window":
-            method = "frame" if window <= FRAME_MAX_WINDOW else "prefix_window"
-        else:
-            method = "prefix"
-    if method == "prefix_window":
-        return _rolling_prefix_window(df, feats, window, key)
-    if method == "frame":
-        w = Window.partitionBy(key).orderBy(DATE, TIME).rowsBetween(-(window - 1), 0)
-        out = []
-        for f in feats:
-            out += [F.avg(f).over(w).alias(f"{f}_roll_mean"),
-                    fill_null(F.stddev_samp(f).over(w)).alias(f"{f}_roll_std")]
-        return df.select("*", *out)
-    if method != "prefix":
-        raise ValueError(f"unknown rolling method {method!r}")
-    # Narrow projection through the block pipeline; the statistics are joined back on
-    # the panel key at the end (keys are unique by the panel contract).
-    full = df
-    df = df.select(*ID_COLUMNS, *feats)
-    cols = df.columns
-    v = {f: nan_to_null(F.col(f)) for f in feats}
-    # Pass 1, one Window node per (symbol, date) block: local position, the block's
-    # first non-null value b (a numerically safe centre) and running totals around b.
-    wblk = Window.partitionBy(key, DATE).orderBy(TIME)
-    wall = wblk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wrun = wblk.rowsBetween(Window.unboundedPreceding, 0)
-    first = [F.first(v[f], ignorenulls=True).over(wall).alias(f"_b_{f}") for f in feats]
-    stage1 = df.select("*", (F.row_number().over(wblk) - 1).alias("_local"), *first)
-    run = []
-    for f in feats:
-        d = v[f] - F.col(f"_b_{f}")
-        run += [F.count(v[f]).over(wrun).alias(f"_rn_{f}"),
-                F.coalesce(F.sum(v[f]).over(wrun), F.lit(0.0)).alias(f"_rs_{f}"),
-                F.coalesce(F.sum(d).over(wrun), F.lit(0.0)).alias(f"_rd_{f}"),
-                F.coalesce(F.sum(d * d).over(wrun), F.lit(0.0)).alias(f"_rq_{f}")]
-    local = stage1.select("*", *run)
-    # Pass 2, small (symbol, date) table: block totals, the symbol's centre c (first
-    # non-null value of its series: causal) and exclusive prefixes over earlier dates.
-    block_aggs = []
-    for f in feats:
-        d = v[f] - F.col(f"_b_{f}")
-        block_aggs += [F.count(v[f]).alias(f"_bn_{f}"), F.coalesce(F.sum(v[f]), F.lit(0.0)).alias(f"_bs_{f}"),
-                       F.coalesce(F.sum(d), F.lit(0.0)).alias(f"_bd_{f}"),
-                       F.coalesce(F.sum(d * d), F.lit(0.0)).alias(f"_bq_{f}"),
-                       F.first(f"_b_{f}").alias(f"_bb_{f}")]
-
-    def offset_exprs(blocks, k, blk):
-        wsym = Window.partitionBy(k).orderBy(blk)
-        wall_sym = wsym.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        wprev = wsym.rowsBetween(Window.unboundedPreceding, -1)
+    per_chunk = max(1, LEAD_CHUNK // window)
+    block = F.floor(F.col(POS) / window).cast("long")
+    ix = series_index(df, key=key).select("*", block.alias("_blk"), *[_finite(f).alias(f"_v_{f}") for f in feats])
+    chunk = F.floor(F.col("_blk") / per_chunk)
+    vals = [f"_v_{f}" for f in feats]
+    own = ix.select("*", chunk.alias("_chunk"), F.lit(False).alias("_halo"))
+    halo = (ix.where(F.col("_blk") % per_chunk == per_chunk - 1)
+            .select(key, POS, "_blk", *vals, (chunk + 1).alias("_chunk"), F.lit(True).alias("_halo")))
+    rows = own.unionByName(halo, allowMissingColumns=True)
+    in_block = Window.partitionBy(key, "_chunk", "_blk")
+
+    def running(w, tag):
+        w = w.rowsBetween(Window.unboundedPreceding, 0)
         out = []
-        for f in feats:
-            c = F.first(f"_bb_{f}", ignorenulls=True).over(wall_sym)
-            e = F.coalesce(F.col(f"_bb_{f}") - c, F.lit(0.0))
-            qc = F.col(f"_bq_{f}") + 2 * e * F.col(f"_bd_{f}") + F.col(f"_bn_{f}") * e * e
-            out += [c.alias(f"_c_{f}"),
-                    F.coalesce(F.sum(f"_bn_{f}").over(wprev), F.lit(0)).alias(f"_on_{f}"),
-                    F.coalesce(F.sum(f"_bs_{f}").over(wprev), F.lit(0.0)).alias(f"_os_{f}"),
-                    F.coalesce(F.sum(qc).over(wprev), F.lit(0.0)).alias(f"_oq_{f}")]
+        for f, v in zip(feats, vals, strict=True):
+            n = F.count(v).over(w)
+            out += [n.alias(f"_{tag}n_{f}"), F.avg(v).over(w).alias(f"_{tag}m_{f}"), (F.var_pop(v).over(w) * n).alias(f"_{tag}q_{f}")]
         return out
 
-    ix = _attach_offsets(local, key, DATE, POS, block_aggs, offset_exprs)
-    pref = []
-    for f in feats:
-        e = F.coalesce(F.col(f"_b_{f}") - F.col(f"_c_{f}"), F.lit(0.0))
-        qrow = F.col(f"_rq_{f}") + 2 * e * F.col(f"_rd_{f}") + F.col(f"_rn_{f}") * e * e
-        pref += [(F.col(f"_on_{f}") + F.col(f"_rn_{f}")).alias(f"_N_{f}"),
-                 (F.col(f"_os_{f}") + F.col(f"_rs_{f}")).alias(f"_S_{f}"),
-                 (F.col(f"_oq_{f}") + qrow).alias(f"_Q_{f}")]
-    # Materialised once (narrow: keys + three prefixes per feature); both sides of the
-    # shift join read it.
-    prefixed = reliable_checkpoint(ix.select(*cols, POS, *[F.col(f"_c_{f}") for f in feats], *pref))
-    # Pass 3: the prefix ``window`` rows back.
-    if window < LEAD_CHUNK:
-        # Position chunks with a halo of the previous chunk's last W rows: one window
-        # over (symbol, chunk) serves the lag; partitions stay bounded by chunk + W rows.
-        ch = F.floor(F.col(POS) / LEAD_CHUNK).cast("long")
-        own = prefixed.select("*", ch.alias("_chunk"), F.lit(False).alias("_halo"))
-        halo = (prefixed.where((F.col(POS) % LEAD_CHUNK) >= LEAD_CHUNK - window)
-                .select("*", (ch + 1).alias("_chunk"), F.lit(True).alias("_halo")))
-        wc = Window.partitionBy(key, "_chunk").orderBy(POS)
-        hit = F.lag(POS, window).over(wc) == F.col(POS) - window
-        lagged = own.unionByName(halo).select("*", *[
-            F.when(hit, F.lag(f"_{t}_{f}", window).over(wc)).alias(f"_p{t}_{f}") for f in feats for t in "NSQ"])
-        j = lagged.where(~F.col("_halo")).drop("_chunk", "_halo")
-    else:
-        # Equi-join on (symbol, position); both sides grow with the data: a shuffle join.
-        back = prefixed.select(key, (F.col(POS) + window).alias(POS), *[
-            F.col(f"_{t}_{f}").alias(f"_p{t}_{f}") for f in feats for t in "NSQ"])
-        j = prefixed.join(back.hint("merge"), [key, POS], "left")
-    out = []
-    for f in feats:
-        n = F.col(f"_N_{f}") - F.coalesce(F.col(f"_pN_{f}"), F.lit(0))
-        s = F.col(f"_S_{f}") - F.coalesce(F.col(f"_pS_{f}"), F.lit(0.0))
-        q = F.col(f"_Q_{f}") - F.coalesce(F.col(f"_pQ_{f}"), F.lit(0.0))
-        sc = s - n * F.coalesce(F.col(f"_c_{f}"), F.lit(0.0))
-        var = F.greatest((q - sc * sc / n) / (n - 1), F.lit(0.0))
-        out += [F.when(n >= 1, s / n).alias(f"{f}_roll_mean"),
-                F.when(n >= 2, F.sqrt(var)).otherwise(F.lit(0.0)).alias(f"{f}_roll_std")]
-    return full.join(j.select(*ID_COLUMNS, *out).hint("merge"), ID_COLUMNS, "left")
-
-
-def _rolling_prefix_window(df: DataFrame, feats: list[str], window: int, key: str) -> DataFrame:
-    """Prefix-sum rolling over one symbol window (for many, evenly sized symbols):
-    running count / sum / centred sum of squares minus their value ``window`` rows
-    back. Three Window nodes share one exchange and one sort; O(n) for any W."""
-    cols = df.columns
-    w = Window.partitionBy(key).orderBy(DATE, TIME)
-    cum = w.rowsBetween(Window.unboundedPreceding, 0)
-    v = {f: nan_to_null(F.col(f)) for f in feats}
-    centred = df.select("*", *[F.first(v[f], ignorenulls=True).over(cum).alias(f"_c_{f}") for f in feats])
-    run = []
-    for f in feats:
-        d = v[f] - F.col(f"_c_{f}")
-        run += [F.count(v[f]).over(cum).alias(f"_N_{f}"),
-                F.coalesce(F.sum(v[f]).over(cum), F.lit(0.0)).alias(f"_S_{f}"),
-                F.coalesce(F.sum(d * d).over(cum), F.lit(0.0)).alias(f"_Q_{f}")]
-    pref = centred.select("*", *run)
-    lagged = pref.select("*", *[F.coalesce(F.lag(f"_{t}_{f}", window).over(w), F.lit(0)).alias(f"_p{t}_{f}")
-                                for f in feats for t in "NSQ"])
+    rows = rows.select("*", *running(in_block.orderBy(F.desc(POS)), "t"))
+    rows = rows.select("*", *running(in_block.orderBy(POS), "h"))
+    # the tail that completes a head of k rows starts window - k rows before the block
+    back = Window.partitionBy(key, "_chunk").orderBy("_blk", POS)
+    whole = F.col(POS) % window == window - 1
+    tails = [F.when(~whole, F.lag(f"_t{x}_{f}", window - 1).over(back)).alias(f"_p{x}_{f}") for f in feats for x in "nmq"] if window > 1 else [
+        F.lit(None).cast("double").alias(f"_p{x}_{f}") for f in feats for x in "nmq"]
+    rows = rows.select("*", *tails).where(~F.col("_halo"))
     out = []
     for f in feats:
-        n = F.col(f"_N_{f}") - F.col(f"_pN_{f}")
-        s_ = F.col(f"_S_{f}") - F.col(f"_pS_{f}")
-        q = F.col(f"_Q_{f}") - F.col(f"_pQ_{f}")
-        sc = s_ - n * F.coalesce(F.col(f"_c_{f}"), F.lit(0.0))
-        var = F.greatest((q - sc * sc / n) / (n - 1), F.lit(0.0))
-        out += [F.when(n >= 1, s_ / n).alias(f"{f}_roll_mean"),
-                F.when(n >= 2, F.sqrt(var)).otherwise(F.lit(0.0)).alias(f"{f}_roll_std")]
-    return lagged.select(*cols, *out)
+        n1, n2 = F.coalesce(F.col(f"_pn_{f}"), F.lit(0)), F.col(f"_hn_{f}")
+        m1, m2 = F.coalesce(f"_pm_{f}", f"_hm_{f}"), F.coalesce(f"_hm_{f}", f"_pm_{f}")
+        n = n1 + n2
+        mean = m1 + (m2 - m1) * n2 / n
+        q = F.coalesce(F.col(f"_pq_{f}"), F.lit(0.0)) + F.coalesce(F.col(f"_hq_{f}"), F.lit(0.0)) + (m2 - m1) * (m2 - m1) * n1 * n2 / n
+        out += [F.when(n >= 1, mean).alias(f"{f}_roll_mean"),
+                F.when(n >= 2, F.sqrt(q / (n - 1))).otherwise(F.lit(0.0)).alias(f"{f}_roll_std")]
+    return rows.select(*df.columns, *out)
 
 
 # ----------------------------------------------------------------------------- C01
@@ -435,24 +274,20 @@ def ranked_subset(importance: DataFrame, k: int | None, feature_col: str = "feat
 def model_frame(df: DataFrame, *, features: list[str] | None = None,
                 use_aux: bool = False, use_lags: bool = False, use_market_avg: bool = False,
                 use_rolling: bool = False, engineered: list[str] | None = None,
-                window: int = 1000, rolling_method: str = "auto") -> DataFrame:
+                window: int = 1000) -> DataFrame:
     """Model-input chain in the reference order: placeholders -> aux -> lags -> market
     average -> rolling; returns ids, weight, responders and the model inputs."""
     feats = present_features(df, features)
     eng = engineered if engineered is not None else feats
-    # One skew check decides the series layout for every series operator of the chain.
-    layout = series_strategy(df) if (use_aux or (use_rolling and rolling_method == "auto")) else "window"
-    if rolling_method == "auto":
-        rolling_method = ("frame" if window <= FRAME_MAX_WINDOW else "prefix_window") if layout == "window" else "prefix"
     out = add_placeholders(df, ["responder_7", "responder_8"]) if use_aux else df
     if use_aux:
-        out = add_aux_targets(out, "window" if layout == "window" else "index")
+        out = add_aux_targets(out)
     if use_lags:
         out = responder_lag(out)
     if use_market_avg:
         out = market_average(out, eng)
     if use_rolling:
-        out = rolling_stats(out, eng, window=window, method=rolling_method)
+        out = rolling_stats(out, eng, window=window)
     return out
 
 
@@ -467,7 +302,7 @@ def engineered_columns(features: list[str], use_market_avg: bool, use_rolling: b
 
 
 __all__ = [
-    "add_aux_targets", "add_placeholders", "apply_standardizer",
+    "add_aux_targets", "add_placeholders", "apply_standardizer", "canonical_rank",
     "fit_standardizer", "lead_rows", "market_average", "model_frame", "ranked_subset",
     "responder_lag", "rolling_stats", "series_index",
 ]

@@ -20,9 +20,9 @@ def r2_parts(pred: str, target: str = TARGET_COLUMN, weight: str = WEIGHT_COLUMN
 def r2_from_parts(sse: Column, sst: Column, n_bad: Column | None = None) -> Column:
     """``1 - sse/sst``; raises inside the plan on non-finite input or ``sst <= 0``."""
     checked = F.when(sst <= 0, F.raise_error(F.format_string(
-        "Denominator sum(w * y_true^2) must be > 0, got %s", sst.cast("string"))))
+        "the weighted sum of squared targets is %s: no score is defined", sst.cast("string"))))
     if n_bad is not None:
-        checked = F.when(n_bad > 0, F.raise_error(F.lit("inputs contain NaN or inf values"))).otherwise(
+        checked = F.when(n_bad > 0, F.raise_error(F.lit("a target, prediction or weight is not finite"))).otherwise(
             checked.otherwise(1 - sse / sst))
         return checked
     return checked.otherwise(1 - sse / sst)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.columns import FEATURE_COLUMNS, ID_COLUMNS, LAG_COLUMNS, RESPONDER_COLUMNS, TARGET_COLUMN, WEIGHT_COLUMN
@@ -14,18 +15,6 @@ def require_columns(df: DataFrame, columns: list[str], who: str = "operator") ->
         raise ValueError(f"{who}: missing columns {missing}")
 
 
-def family_counts(columns: list[str]) -> dict[str, int]:
-    cols = set(columns)
-    return {
-        "n_ids": sum(c in cols for c in ID_COLUMNS),
-        "n_features": sum(c in cols for c in FEATURE_COLUMNS),
-        "n_responders": sum(c in cols for c in RESPONDER_COLUMNS),
-        "n_lags": sum(c in cols for c in LAG_COLUMNS),
-        "has_weight": WEIGHT_COLUMN in cols,
-        "has_target": TARGET_COLUMN in cols,
-    }
-
-
 # Default contract checked by the presence report: ids, all features, weight, responders.
 PRESENCE_REQUIRED: list[str] = ID_COLUMNS + FEATURE_COLUMNS + [WEIGHT_COLUMN] + RESPONDER_COLUMNS
 
@@ -35,6 +24,7 @@ PRESENCE_SCHEMA = T.StructType([
     T.StructField("ordinal", T.LongType(), False),
     T.StructField("present", T.BooleanType(), False),
     T.StructField("dtype", T.StringType(), True),
+    T.StructField("n_values", T.LongType(), False),
 ])
 
 
@@ -54,11 +44,13 @@ def _family(c: str) -> str:
 
 def schema_presence(spark: SparkSession, df: DataFrame,
                     required: list[str] | None = None) -> DataFrame:
-    """Column-contract report (B08): one row per required column with presence and type.
+    """Column-contract report (B08): presence, type and non-null values of each required column.
 
-    Built from ``df.schema`` only (no data is read), so it is a plan-time check.
+    The counts come from one aggregation over the table (one row reaches the driver).
     """
     req = required if required is not None else PRESENCE_REQUIRED
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = [(c, _family(c), i, c in types, types.get(c)) for i, c in enumerate(req)]
+    there = [c for c in req if c in types]
+    counts = df.agg(*[F.count(c).alias(c) for c in there]).first().asDict() if there else {}
+    rows = [(c, _family(c), i, c in types, types.get(c), counts.get(c, 0)) for i, c in enumerate(req)]
     return spark.createDataFrame(rows, PRESENCE_SCHEMA)

@@ -17,6 +17,7 @@ Update strategies keep the tree structure in Spark tables:
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
@@ -68,12 +69,18 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
     return va.transform(tmp).drop(*names)
 
 
+ROWS_PER_PARTITION = 200_000
+
+
 def _stable(df: DataFrame, n: int | None) -> DataFrame:
-    # Trees are deterministic for a fixed seed *and* partitioning: fix both. Hashing on
-    # (symbol, date) keeps partitions even when one symbol dominates.
+    # Trees are deterministic for a fixed seed *and* partitioning: fix both. The number
+    # of partitions follows the rows, never the cores, so the same data gives the same
+    # trees on any cluster. Hashing on (symbol, date) keeps partitions even when one
+    # symbol dominates.
+    n = n or max(8, -(-df.count() // ROWS_PER_PARTITION))
     keys = [c for c in ID_COLUMNS if c in df.columns]
     part = [c for c in (SYMBOL, "date_id") if c in df.columns]
-    return df.repartition(n or df.sparkSession.sparkContext.defaultParallelism, *part).sortWithinPartitions(*keys)
+    return df.repartition(n, *part).sortWithinPartitions(*keys)
 
 
 def fit(train: DataFrame, features: list[str], params: GBTParams, target: str = TARGET_COLUMN,
@@ -105,16 +112,15 @@ def predict(model: TreeModel, df: DataFrame, out: str = "prediction") -> DataFra
     if model.leaf_table is None:
         pred = model.base.transform(x).withColumnRenamed("prediction", "_base")
     else:
-        # Refreshed leaf values: the leaf table is bounded (trees x 2^depth rows), so it
-        # is inlined as a literal map and summed along each row's leaf-index array.
-        span = 1 << 20
-        entries = []
-        for r in model.leaf_table.select("tree", "leaf", "contribution").collect():
-            entries += [F.lit(int(r["tree"]) * span + int(r["leaf"])), F.lit(float(r["contribution"]))]
-        lut = F.create_map(*entries)
+        # Refreshed leaf values: the leaf table is bounded (trees x 2^depth rows) and holds
+        # every leaf, so it is inlined as an array per tree, read by the leaf's index.
+        values: list[list[float]] = [[] for _ in model.base.trees]
+        for r in model.leaf_table.select("tree", "leaf", "contribution").orderBy("tree", "leaf").collect():
+            values[int(r["tree"])].append(float(r["contribution"]))
+        lut = F.array(*[F.lit(v) for v in values])
         lv = _leaves(model, x)
         total = F.aggregate(
-            F.transform("_leaves", lambda leaf, t: F.coalesce(lut[t * span + leaf.cast("long")], F.lit(0.0))),
+            F.transform("_leaves", lambda leaf, t: F.get(F.get(lut, t), leaf.cast("int"))),
             F.lit(0.0), lambda acc, v: acc + v)
         pred = lv.withColumn("_base", total).drop("_leaves")
     for i, stage in enumerate(model.residual_stages):
@@ -123,21 +129,18 @@ def predict(model: TreeModel, df: DataFrame, out: str = "prediction") -> DataFra
     return pred.withColumnRenamed("_base", out).drop("features")
 
 
-def leaf_table(model: TreeModel, df: DataFrame) -> DataFrame:
-    """(tree, leaf, value, weight, contribution) of the current booster, read from ``df``."""
-    x = assemble(df, model.features)
+def leaf_table(model: TreeModel, spark: SparkSession) -> DataFrame:
+    """(tree, leaf, value, weight, contribution) of every leaf of the booster.
+
+    Read from the trees themselves, so leaves that no current row reaches keep their
+    value. Leaves are numbered from left to right, as the leaf column does.
+    """
     rows = []
     for t, tree in enumerate(model.base.trees):
-        tm = tree.copy()
-        tm.setLeafCol("_leaf")
-        tm.setPredictionCol("_val")
-        r = tm.transform(x).groupBy("_leaf").agg(F.first("_val").alias("value"))
-        rows.append(r.select(F.lit(t).alias("tree"), F.col("_leaf").cast("double").alias("leaf"), "value",
-                             F.lit(float(model.base.treeWeights[t])).alias("weight")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("contribution", F.col("weight") * F.col("value"))
+        w = float(model.base.treeWeights[t])
+        values = [float(v) for v in re.findall(r"Predict: (\S+)", tree.toDebugString)]
+        rows += [(t, float(i), v, w, w * v) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "tree int, leaf double, value double, weight double, contribution double")
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -155,10 +158,13 @@ def refit(model: TreeModel, new: DataFrame, decay: float = 0.9, target: str = TA
           weight: str = WEIGHT_COLUMN) -> TreeModel:
     """Leaf values refreshed on ``new`` rows tree by tree, blended with the old ones.
 
+    A leaf's fresh value is the weighted mean residual of its rows: the sample weights
+    that the fit uses hold here as well. Leaves without new rows keep their value.
+
     One small aggregation per tree (the leaf table is bounded by 2^depth rows per tree);
     the running prediction is checkpointed every few trees to cut lineage.
     """
-    old = model.leaf_table if model.leaf_table is not None else leaf_table(model, new)
+    old = model.leaf_table if model.leaf_table is not None else leaf_table(model, new.sparkSession)
     x = _leaves(model, assemble(new, model.features)).select(target, weight, "_leaves").withColumn(
         "_cur", F.lit(0.0))
     tables = []

@@ -14,14 +14,13 @@ def bounded_broadcast(small: DataFrame, max_rows: int | None = None,
                       max_cells: int = DEFAULT_BROADCAST_CELLS) -> tuple[DataFrame, bool]:
     """Return ``(broadcast(small), True)`` when ``small`` provably fits, else ``(small, False)``.
 
-    The check is a bounded count (``limit(max_rows + 1)``), so it never scans more than
-    it must; above the bound the caller's join falls back to a shuffle join, which AQE
-    may still convert or split for skew at run time.
+    The check is a plain count (partial counts per task, no rows moved); callers pass a
+    materialised table. Above the bound the caller's join falls back to a shuffle join,
+    which AQE may still convert or split for skew at run time.
     """
     ncols = max(1, len(small.columns))
     bound = max_rows if max_rows is not None else max(1, max_cells // ncols)
-    n = small.limit(bound + 1).count()
-    if n <= bound:
+    if small.count() <= bound:
         return F.broadcast(small), True
     return small, False
 

@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.columns import DATE
+from tidepanel.functions.exprs import no_nan
 
 _ARR = T.ArrayType(T.DoubleType())
+MERGE_GROUPS = 256  # groups of task partials of one date
 _FIELDS = ["r", "Vv", "Vo", "Oo", "sv", "so", "Bv", "Bo", "By", "C", "uc", "u1", "u2"]
 
 
@@ -116,8 +118,12 @@ def day_moments(df: DataFrame, features: list[str], targets: list[str], weight:
         return pd.DataFrame(out)
 
     need = list(dict.fromkeys([date_col, weight, *targets, *features]))
-    part = df.select(*[F.col(c).cast("int") if c == date_col else F.col(c).cast("double") for c in need])
-    return part.mapInPandas(partials, schema).groupBy(date_col).applyInPandas(merge, schema)
+    strict = {weight, *targets}
+    part = df.select(*[F.col(c).cast("int") if c == date_col else no_nan(c).alias(c) if c in strict else F.col(c).cast("double") for c in need])
+    # a date has one partial per task: they are merged in groups first, then the groups
+    salted = part.mapInPandas(partials, schema).withColumn("_salt", F.spark_partition_id() % MERGE_GROUPS)
+    grouped = salted.groupBy(date_col, "_salt").applyInPandas(lambda pdf: merge(pdf.drop(columns="_salt")), schema)
+    return grouped.groupBy(date_col).applyInPandas(merge, schema)
 
 
 def standardizer_from_moments(rows: list[dict], p: int, nt: int, eps: float = 1e-6):

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.columns import AUX_TARGET_SETS, DATE
+from tidepanel.columns import AUX_TARGET_SETS
+from tidepanel.operators.experiments import seeded_day_weight
 from tidepanel.plans import wls
 from tidepanel.plans.walk_forward import PreparedPanel
 
@@ -29,8 +30,9 @@ def stack_solve(A_fit: np.ndarray, b_fit: dict, heads: list[str], target: str, r
     return betas @ gamma
 
 
-def aux_sweep(prep: PreparedPanel, aux_sets: list[str], seeds: list[int]) -> DataFrame:
-    """Score the stacked model of every aux set for every seed (seeded 80 % fit days).
+def aux_sweep(prep: PreparedPanel, aux_sets: list[str], seeds: list[int] | None = None) -> DataFrame:
+    """Score the stacked model of every aux set for every seed (seeded weights of the fit
+    days; all days weigh 1 without seeds).
 
     One grouped aggregation of the day statistics per seed (seeds are exploded as a
     parameter array), then one ridge solve per (set, seed) row on the executors.
@@ -38,10 +40,11 @@ def aux_sweep(prep: PreparedPanel, aux_sets: list[str], seeds: list[int]) -> Dat
     cfg, p = prep.cfg, prep.p
     targets = cfg.targets
     cols = wls.stat_columns(p, targets)
-    d = prep.days.select("*", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-    fit = (F.col("fold") == "train") & (F.pmod(F.col(DATE) * 7 + F.col("seed") * 13, F.lit(10)) < 8)
+    d = prep.days.select("*", F.explode(F.array(*[F.lit(s) for s in seeds or [0]])).alias("seed"))
+    fit = F.col("fold") == "train"
+    w = seeded_day_weight(F.col("seed")) if seeds else F.lit(1.0)
     test = F.col("fold") == "test"
-    sums = d.groupBy("seed").agg(*[F.sum(F.when(fit, F.col(c))).alias(f"f_{c}") for c in cols],
+    sums = d.groupBy("seed").agg(*[F.sum(F.when(fit, w * F.col(c))).alias(f"f_{c}") for c in cols],
                                  *[F.sum(F.when(test, F.col(c))).alias(f"t_{c}") for c in cols])
     sets = {s: AUX_TARGET_SETS[s] for s in aux_sets}
     schema = T.StructType([T.StructField("aux_set", T.StringType()), T.StructField("seed", T.IntegerType()),
@@ -62,4 +65,4 @@ def aux_sweep(prep: PreparedPanel, aux_sets: list[str], seeds: list[int]) -> Dat
                     out.append((name, int(row["seed"]), len(heads), float(1 - sse / ct[target])))
             yield pd.DataFrame(out, columns=["aux_set", "seed", "n_heads", "score"])
 
-    return sums.coalesce(1).mapInPandas(solve, schema)  # one row per seed
+    return sums.mapInPandas(solve, schema)  # one row per seed

@@ -12,7 +12,7 @@ table (see :mod:`tidepanel.plans.wls`):
 
 Test day ``i`` (0-based over observed test dates) uses version ``floor(i / cadence)``;
 the update before it sees only days already predicted (checked by construction and
-by :func:`tidepanel.operators.splits.leakage_guard`).
+by :func:`leakage_guard`).
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tidepanel.columns import DATE, TARGET_COLUMN, WEIGHT_COLUMN
 from tidepanel.operators.features import fit_standardizer
-from tidepanel.operators.splits import NestedSplit, nested_split
+from tidepanel.operators.splits import NestedSplit, check_no_leak, nested_split
 from tidepanel.plans import wls
 from tidepanel.sources.panel import collect_date_range
 from tidepanel.session import reliable_checkpoint
@@ -286,7 +286,7 @@ def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]], eval_fold: st
         # Evaluation days in date order; ``es`` gives validation with online updates.
         test = list(enumerate(sorted(d for d, v in st.items() if v[0] == eval_fold)))
         if not test:
-            raise ValueError(f"No rows in the {eval_fold} block")
+            raise ValueError(f"the {eval_fold} block is empty")
 
         def total(days):
             A = np.zeros((p, p))
@@ -308,14 +308,12 @@ def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]], eval_fold: st
                 betas = {0: wls.ridge_solve(total(train)[0], total(train)[1][target], cfg.ridge, cfg.intercept)}
             elif variant == "retrain":
                 betas = {}
-                seen = list(train)
+                A, b = total(train)[0], total(train)[1][target]
                 for v in range(n_ver):
-                    if v == 1 and eval_fold == "test":
-                        seen += es
-                    if v >= 1:
-                        seen += chunks[v]
-                    A, b, _ = total(seen)
-                    betas[v] = wls.ridge_solve(A, b[target], cfg.ridge, cfg.intercept)
+                    if v >= 1:  # each day is added once
+                        fresh = total((es if v == 1 and eval_fold == "test" else []) + chunks[v])
+                        A, b = A + fresh[0], b + fresh[1][target]
+                    betas[v] = wls.ridge_solve(A, b, cfg.ridge, cfg.intercept)
             else:
                 rows = {0: total(train)}
                 rows.update({v: total(chunks[v]) for v in range(1, n_ver)})
@@ -329,7 +327,7 @@ def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]], eval_fold: st
                 sst += cd[target]
                 nrows += st[d][2]
             if not sst > 0:
-                raise ValueError(f"Denominator sum(w * y_true^2) must be > 0, got {sst}")
+                raise ValueError(f"the weighted sum of squared targets is {sst}: no score is defined")
             out.append((variant, 0 if variant == "full" else cad, 0 if variant == "full" else n_ver - 1,
                         len(test), nrows, 1 - sse / sst))
         return pd.DataFrame(out, columns=[f.name for f in SUITE_SCHEMA.fields])
@@ -340,7 +338,7 @@ def score_suite(prep: PreparedPanel, specs: list[tuple[str, int]], eval_fold: st
 def score_variant(prep: PreparedPanel, variant: str, cadence: int = 1) -> DataFrame:
     """One summary row: variant, cadence, n_updates, test_days, test_rows, score."""
     if cadence < 1:
-        raise ValueError(f"update_cadence must be >= 1, got {cadence}")
+        raise ValueError(f"a cadence of {cadence} days cannot be scheduled")
     cad = 1 if variant == "full" else cadence
     betas = version_betas(prep, variant, cad)
     test = prep.days.where(F.col("fold") == "test")
@@ -359,23 +357,15 @@ def score_variant(prep: PreparedPanel, variant: str, cadence: int = 1) -> DataFr
                       (1 - F.col("sse") / F.col("sst")).alias("score"))
 
 
-def variant_suite(prep: PreparedPanel, variants: list[str], cadence: int = 1) -> DataFrame:
-    """Union of variant summaries."""
-    out = None
-    for v in variants:
-        s = score_variant(prep, v, cadence)
-        out = s if out is None else out.unionByName(s)
-    return out
-
+def leakage_guard(prep: PreparedPanel, cadence: int) -> DataFrame:
+    """Compares the days every version was fitted on with the days it predicts.
 
-def cadence_sweep(prep: PreparedPanel, cadences: list[int], variants: tuple[str, ...] = ("retrain",)) -> DataFrame:
-    """Every (variant, cadence) over the same day statistics."""
-    out = None
-    for v in variants:
-        for c in cadences:
-            s = score_variant(prep, v, c)
-            out = s if out is None else out.unionByName(s)
-    return out
+    The fit set of a version are the days whose own version tag is not larger (train,
+    then early stopping, then revealed test days), as in :func:`version_betas`.
+    """
+    fitted = prep.days.select(DATE, _version_of_new_data(cadence, True).alias("version")).where(F.col("version").isNotNull())
+    predicted = prep.days.where(F.col("fold") == "test").select(DATE, F.floor(F.col("day_index") / cadence).cast("bigint").alias("version"))
+    return check_no_leak(fitted, predicted)
 
 
 def predictions(df: DataFrame, prep: PreparedPanel, variant: str, cadence: int = 1) -> DataFrame:
@@ -390,7 +380,8 @@ def predictions(df: DataFrame, prep: PreparedPanel, variant: str, cadence: int =
         DATE, (F.col("day_index") * 0 if variant == "full" else F.floor(F.col("day_index") / cad)).cast("bigint")
         .alias("version"))
     xs = wls.design_columns(prep.cfg.features, prep.cfg.intercept, prep.standardizer)
-    rows = df.join(F.broadcast(day_version), DATE, "inner").join(F.broadcast(betas), "version", "inner")
+    test = df.where(F.col(DATE) >= prep.split.test_start)  # reaches the scan
+    rows = test.join(F.broadcast(day_version), DATE, "inner").join(F.broadcast(betas), "version", "inner")
     return rows.select(DATE, "time_id", "symbol_id", prep.cfg.target, prep.cfg.weight,
                        wls.predict_column(F.col("beta"), xs).alias("prediction"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.columns import DATE, TARGET_COLUMN, WEIGHT_COLUMN
-from tidepanel.functions.exprs import fill_null, nan_to_null
+from tidepanel.functions.exprs import fill_null, nan_to_null, no_nan
 
 ONE = "_one"
 
@@ -82,8 +82,7 @@ def daily_statistics(df: DataFrame, features: list[str], targets: list[str] | No
     xs = design_columns(features, intercept, standardizer)
     names = list(xs)
     p = len(names)
-    w = F.col(weight).cast("double")
-    base = df.select(F.col(date_col), w.alias("_w"), *[F.col(t).cast("double").alias(f"_y_{t}") for t in tg],
+    base = df.select(F.col(date_col), no_nan(weight).alias("_w"), *[no_nan(t).alias(f"_y_{t}") for t in tg],
                      *[c.alias(f"_x{i}") for i, c in enumerate(xs.values())])
     x = [F.col(f"_x{i}") for i in range(p)]
     wc = F.col("_w")
@@ -141,7 +140,8 @@ def _daily_statistics_blas(df, features, tg, weight, intercept, standardizer, da
             yield pd.DataFrame(rows, columns=[date_col] + cols)
 
     need = list(dict.fromkeys([date_col, weight, *tg, *features]))
-    part = df.select(*[F.col(c).cast("double") if c not in (date_col,) else F.col(c).cast("int") for c in need])
+    strict = {weight, *tg}
+    part = df.select(*[F.col(c).cast("int") if c == date_col else no_nan(c).alias(c) if c in strict else F.col(c).cast("double") for c in need])
     stats = part.mapInPandas(partials, schema)
     return stats.groupBy(date_col).agg(F.sum("n").cast("bigint").alias("n"),
                                        *[F.sum(c).alias(c) for c in cols[1:]])
@@ -192,8 +192,7 @@ def solve_rows(stats: DataFrame, key_cols: list[str], p: int, target: str, ridge
             out["beta"] = betas
             yield out
 
-    # The table has one row per model version (bounded by the test days): one task.
-    return stats.coalesce(1).mapInPandas(solve, schema)
+    return stats.mapInPandas(solve, schema)  # one row per model version
 
 
 def sse_column(beta: Column, p: int, target: str) -> Column:

@@ -111,15 +111,17 @@ def _schema_presence_sql() -> str:
     from tidepanel.operators.schema import PRESENCE_REQUIRED, _family
     vals = ", ".join(f"('{c}', '{_family(c)}', {i})" for i, c in enumerate(PRESENCE_REQUIRED))
     return (f"{PANEL}, d AS (SELECT column_name, column_type FROM (DESCRIBE SELECT * FROM panel)), "
-            f"r AS (SELECT * FROM (VALUES {vals}) t(\"column\", family, ordinal)) "
+            f"r AS (SELECT * FROM (VALUES {vals}) t(\"column\", family, ordinal)), "
+            f"u AS (SELECT name, count(value) AS n FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM panel) ON COLUMNS(*)) GROUP BY name) "
             f"SELECT r.\"column\", r.family, CAST(r.ordinal AS BIGINT) AS ordinal, d.column_name IS NOT NULL AS present, "
+            f"CAST(coalesce(u.n, 0) AS BIGINT) AS n_values, "
             f"CASE WHEN d.column_type = 'INTEGER' THEN 'int' ELSE lower(d.column_type) END AS dtype "
-            f"FROM r LEFT JOIN d ON d.column_name = r.\"column\"")
+            f"FROM r LEFT JOIN d ON d.column_name = r.\"column\" LEFT JOIN u ON u.name = r.\"column\"")
 
 
 @query("schema_presence", _schema_presence_sql())
 def schema_presence(spark, sf):
-    """Column-contract report from the panel schema (plan-time: no data read)."""
+    """Column-contract report with the non-null values of every column."""
     from tidepanel.operators.schema import schema_presence as sp
     return sp(spark, panel(spark, sf))
 
@@ -199,11 +201,6 @@ def aux_targets(spark, sf):
     return FE.add_aux_targets(panel(spark, sf)).select(*ID_COLUMNS, "responder_9", "responder_10")
 
 
-def _train_end() -> int:
-    # 83 dates (0..82): test 63..82, early-stopping 51..62, gap 49..50, train 0..48.
-    return 48
-
-
 _STD_CTE = ("stats AS (SELECT " + ", ".join(
     f"coalesce(avg({f}), 0.0) AS m_{f}, greatest(coalesce(stddev_pop({f}), 1.0), 1e-6) AS s_{f}"
     for f in PANEL_FEATURES) + " FROM panel, bounds WHERE date_id <= train_end)")
@@ -496,17 +493,17 @@ def cadence_schedule(spark, sf):
 
 
 @query("leakage_guard", f"""{PANEL}, {_BOUNDS_CTE},
-days AS (SELECT DISTINCT date_id FROM panel, bounds WHERE date_id BETWEEN test_start AND dmax),
-s AS (SELECT date_id, floor((row_number() OVER (ORDER BY date_id) - 1) / {_SCHED_K}) AS version FROM days),
-v AS (SELECT version, min(date_id) AS first_predicted, max(date_id) AS last_day FROM s GROUP BY version)
+days AS (SELECT DISTINCT date_id FROM panel),
+t AS (SELECT date_id, {_FOLD} AS fold FROM days, bounds),
+i AS (SELECT *, CASE WHEN fold = 'test' THEN row_number() OVER (PARTITION BY fold ORDER BY date_id) - 1 END AS i FROM t),
+v AS (SELECT date_id, i // {_SCHED_K} AS version FROM i WHERE fold = 'test'),
+f AS (SELECT date_id, CASE fold WHEN 'train' THEN 0 WHEN 'es' THEN 1 WHEN 'test' THEN i // {_SCHED_K} + 1 END AS since FROM i),
+w AS (SELECT v.version, min(v.date_id) AS first FROM v GROUP BY 1)
 SELECT CAST(count(*) AS BIGINT) AS n_versions,
-  coalesce(bool_and(p.last_day IS NULL OR p.last_day < v.first_predicted), true) AS no_leak
-FROM v LEFT JOIN v p ON p.version + 1 = v.version""")
+  bool_and((SELECT max(f.date_id) FROM f WHERE f.since <= w.version) < w.first) AS no_leak FROM w""")
 def leakage_guard(spark, sf):
-    """Each version's update days lie strictly before the days it predicts."""
-    p = panel(spark, sf)
-    ns = _bounds(p)
-    return SP.leakage_guard(SP.cadence_schedule(p, ns.test_start, ns.test_end, _SCHED_K))
+    """The days each version was fitted on lie strictly before the days it predicts."""
+    return WF.leakage_guard(_prep(spark, sf), _SCHED_K)
 
 
 PURGE_ROWS = 40
@@ -525,16 +522,16 @@ def purge_train_tail(spark, sf):
     return kept.groupBy("date_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
 
-@query("expanding_history", f"""{PANEL}
+@query("expanding_history", f"""{PANEL}, {_BOUNDS_CTE}
 SELECT date_id, CAST(count(*) AS BIGINT) AS n_rows FROM (
-  SELECT date_id FROM panel WHERE date_id < 60 UNION ALL SELECT date_id FROM panel WHERE date_id BETWEEN 60 AND 64)
+  SELECT date_id FROM panel, bounds WHERE date_id < test_start UNION ALL SELECT date_id FROM panel, bounds WHERE date_id >= test_start)
 GROUP BY date_id""")
 def expanding_history(spark, sf):
-    """History + newly revealed days by ``unionByName`` (the expanding fit set)."""
+    """History + newly revealed days by ``unionByName`` (the last expanding fit set)."""
     p = panel(spark, sf)
-    hist = p.where(F.col("date_id") < 60)
-    new = p.where(F.col("date_id").between(60, 64))
-    return hist.unionByName(new).groupBy("date_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    start = _bounds(p).test_start
+    whole = p.where(F.col("date_id") < start).unionByName(p.where(F.col("date_id") >= start))
+    return whole.groupBy("date_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
 
 @query("canonical_order_rank", f"""{PANEL}
@@ -544,17 +541,10 @@ FROM panel""")
 def canonical_order_rank(spark, sf):
     """canonical (date, time, symbol) and series (symbol, date, time) positions.
 
-    Both come from per-block row numbers plus offsets of a small block-count table,
+    Both come from per-block row numbers plus offsets of small block-count tables,
     never from one global window over all rows.
     """
-    p = panel(spark, sf)
-    # Blocks are single timestamps (one cross-section, <= #symbols rows each); the
-    # block-count table has one row per (date, time), independent of the data volume.
-    stamped = p.withColumn("_all", F.lit(0)).withColumn(
-        "_dt", F.col("date_id").cast("long") * (1 << 20) + F.col("time_id"))
-    canon = FE.series_index(stamped, key="_all", block="_dt", order=("symbol_id",),
-                            pos_col="canonical_rank").drop("_dt")
-    both = FE.series_index(canon, pos_col="series_rank")
+    both = FE.series_index(FE.canonical_rank(panel(spark, sf)), pos_col="series_rank")
     return both.select(*ID_COLUMNS, "canonical_rank", "series_rank")
 
 
@@ -928,8 +918,8 @@ def _sweep_sql() -> str:
             f"specs AS (SELECT * FROM (VALUES {specs}) t(kind, roll_window, subset, want)), "
             f"seeds AS (SELECT * FROM (VALUES {seeds}) t(seed)), "
             f"s AS (SELECT kind, roll_window, subset, seed, "
-            f"sum(CASE WHEN date_id <= train_end AND (date_id * 7 + seed * 13) % 10 < 8 THEN a END) AS a_fit, "
-            f"sum(CASE WHEN date_id <= train_end AND (date_id * 7 + seed * 13) % 10 < 8 THEN b END) AS b_fit, "
+            f"sum(CASE WHEN date_id <= train_end THEN a * (0.5e0 + (date_id * 7 + seed * 13) % 10 / 9e0) END) AS a_fit, "
+            f"sum(CASE WHEN date_id <= train_end THEN b * (0.5e0 + (date_id * 7 + seed * 13) % 10 / 9e0) END) AS b_fit, "
             f"sum(CASE WHEN date_id >= test_start THEN a END) AS a_ev, sum(CASE WHEN date_id >= test_start THEN b END) AS b_ev, "
             f"sum(CASE WHEN date_id >= test_start THEN c END) AS c_ev "
             f"FROM dl, bounds, specs, seeds WHERE dl.candidate = specs.want GROUP BY kind, roll_window, subset, seed), "
@@ -1123,7 +1113,7 @@ def multitarget_stack(spark, sf):
     """Auxiliary heads (base4 / target_family / all9 / all11) stacked into the target."""
     heads = sorted({h for s in MT.AUX_TARGET_SETS.values() for h in s})
     prep = WF.prepare(_aux_panel(spark, sf), _multi_cfg(heads))
-    s = MT.aux_sweep(prep, list(MT.AUX_TARGET_SETS), [0])
+    s = MT.aux_sweep(prep, list(MT.AUX_TARGET_SETS))
     return s.select("aux_set", "n_heads", r6(F.col("score")).alias("score"))
 
 
@@ -1186,44 +1176,65 @@ def walk_forward_multi(spark, sf):
     return s.select("variant", "cadence", "n_updates", "test_days", "test_rows", r6(F.col("score")).alias("score"))
 
 
-# ------------------------------------------------------------------ streaming (L01-L05), rows-only checks
+# ------------------------------------------------------------------ streaming (L01-L05): plain window and group queries in SQL
 from tidepanel.streaming import operators as STR  # noqa: E402
 
 
-@query("stream_market_avg")
+EVENTS = f"WITH ev AS ({FX.EVENTS_SQL})"
+_LAGGED = ("lg AS (SELECT e.*, p.m AS value_lag_1 FROM ev e LEFT JOIN (SELECT user_id, time_id, date_id + 1 AS date_id, avg(value) AS m "
+           "FROM ev GROUP BY 1, 2, 3) p USING (user_id, time_id, date_id))")
+
+
+@query("stream_market_avg", f"""{EVENTS}
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+  avg(value) AS avg_value, CAST(count(*) AS BIGINT) AS n_events FROM ev GROUP BY 1, 2""")
 def stream_market_avg(spark, sf):
     """Hourly cross-sectional average of the event stream with a watermark."""
     return STR.stream_market_avg(spark, STR.stage_events_by_day(spark, sf))
 
 
-@query("stream_market_avg_sliding")
+@query("stream_market_avg_sliding", f"""{EVENTS}, w AS (SELECT value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS window_start FROM ev)
+SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, avg(value) AS avg_value, CAST(count(*) AS BIGINT) AS n_events
+FROM w GROUP BY 1, 2""")
 def stream_market_avg_sliding(spark, sf):
     """L01 (sliding): 2-hour windows every hour."""
     return STR.stream_market_avg(spark, STR.stage_events_by_day(spark, sf), "2 hours", "1 hour")
 
 
-@query("stream_rolling")
+@query("stream_rolling", f"""{EVENTS}
+SELECT event_id, user_id, ts, round(avg(value) OVER w, 6) AS roll_mean, round(coalesce(stddev_samp(value) OVER w, 0.0), 6) AS roll_std
+FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def stream_rolling(spark, sf):
     """Per-user trailing 10-event mean / std held in keyed state."""
-    return STR.stream_rolling(spark, STR.stage_events_by_day(spark, sf), 10)
+    out = STR.stream_rolling(spark, STR.stage_events_by_day(spark, sf), 10)
+    return out.withColumns({c: r6(F.col(c)) for c in ("roll_mean", "roll_std",)})
 
 
-@query("stream_day_lag")
+@query("stream_day_lag", f"""{EVENTS}, {_LAGGED}
+SELECT event_id, user_id, date_id, time_id, value, round(value_lag_1, 6) AS value_lag_1 FROM lg""")
 def stream_day_lag(spark, sf):
     """Previous-day (user, hour) mean handed over at the day boundary."""
-    return STR.stream_day_lag(spark, STR.stage_events_by_day(spark, sf))
+    out = STR.stream_day_lag(spark, STR.stage_events_by_day(spark, sf))
+    return out.withColumns({c: r6(F.col(c)) for c in ("value_lag_1",)})
 
 
-@query("stream_running_r2")
+@query("stream_running_r2", f"""{EVENTS}, {_LAGGED},
+d AS (SELECT date_id, sum((value - coalesce(value_lag_1, 0)) * (value - coalesce(value_lag_1, 0))) AS sse, sum(value * value) AS sst, count(*) AS n FROM lg GROUP BY 1)
+SELECT date_id, CAST(sum(n) OVER (ORDER BY date_id) AS BIGINT) AS n_rows,
+  round(1 - sum(sse) OVER (ORDER BY date_id) / sum(sst) OVER (ORDER BY date_id), 6) AS running_r2 FROM d""")
 def stream_running_r2(spark, sf):
     """Running weighted R² of the previous-day predictor."""
-    return STR.stream_running_r2(spark, STR.stage_events_by_day(spark, sf))
+    out = STR.stream_running_r2(spark, STR.stage_events_by_day(spark, sf))
+    return out.withColumns({c: r6(F.col(c)) for c in ("running_r2",)})
 
 
-@query("stream_predict_update")
+@query("stream_predict_update", f"""{EVENTS}, h AS (SELECT time_id, date_id, sum(value) AS s, count(*) AS c FROM ev GROUP BY 1, 2),
+m AS (SELECT time_id, date_id, sum(s) OVER w / sum(c) OVER w AS m FROM h WINDOW w AS (PARTITION BY time_id ORDER BY date_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, user_id, date_id, time_id, value, round(coalesce(m, 0.0), 6) AS prediction FROM ev LEFT JOIN m USING (time_id, date_id)""")
 def stream_predict_update(spark, sf):
     """Predict each day, then update the model, one day per trigger."""
-    return STR.stream_predict_update(spark, STR.stage_events_by_day(spark, sf))
+    out = STR.stream_predict_update(spark, STR.stage_events_by_day(spark, sf))
+    return out.withColumns({c: r6(F.col(c)) for c in ("prediction",)})
 
 
 # ------------------------------------------------------------------ survey keys served by a dedicated query

@@ -44,10 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared, fault-tolerant folder and is always
-    respected. Only when it is unset (local tests) a scratch folder is created.
+    respected. Only when it is unset in a local session (tests) a scratch folder is
+    created; executors of a cluster could not see one, so there it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tidepanel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -95,11 +98,26 @@ def committed(spark: SparkSession, path: str) -> bool:
     Works for any file system Spark can read; a partially written folder left by a
     lost job is not mistaken for a finished table.
     """
-    try:
-        spark.read.text(path.rstrip("/") + "/_SUCCESS").limit(1).collect()
-        return True
-    except Exception:  # noqa: BLE001 - missing marker
-        return False
+    return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
+
+
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on any file system Spark can read."""
+    fs, p = _file_system(spark, path)
+    return bool(fs.exists(p))
+
+
+def path_signature(spark: SparkSession, path: str) -> str:
+    """Length, file count and change time of a file or folder."""
+    fs, p = _file_system(spark, path)
+    s = fs.getContentSummary(p)
+    return f"{s.getLength()}:{s.getFileCount()}:{fs.getFileStatus(p).getModificationTime()}"
 
 
 def materialize(df, name: str):

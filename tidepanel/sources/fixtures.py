@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.session import checkpoint_path, committed
+from tidepanel.session import checkpoint_path, committed, path_signature
 
 PANEL_SQL = """
 SELECT date_id, CAST(row_number() OVER (PARTITION BY date_id, symbol_id
@@ -38,7 +38,6 @@ SELECT date_id, CAST(row_number() OVER (PARTITION BY date_id, symbol_id
 FROM (SELECT *, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INT) AS date_id,
              l_suppkey AS symbol_id, l_quantity AS f0, round(l_extendedprice) AS f1,
              round(l_discount * 100) AS f2, round(l_tax * 100) AS f3 FROM lineitem) x
-WHERE date_id >= symbol_id % 24
 """
 
 TAGS_SQL = """
@@ -76,7 +75,7 @@ def panel_from_lineitem(lineitem: DataFrame) -> DataFrame:
         F.round("l_extendedprice").alias("f1"),
         F.round(F.col("l_discount") * 100).alias("f2"),
         F.round(F.col("l_tax") * 100).alias("f3"),
-    ).where(F.col("date_id") >= F.col("symbol_id") % 24)
+    )
     w = Window.partitionBy("date_id", "symbol_id").orderBy(*_ORDER)
     f0, f2, f3 = F.col("f0"), F.col("f2"), F.col("f3")
     responders = []
@@ -99,22 +98,24 @@ def panel_from_lineitem(lineitem: DataFrame) -> DataFrame:
     )
 
 
-_PANEL_VERSION = "panel-v1"
+_PANEL_VERSION = "panel-v2"
 
 
 def panel_path(spark: SparkSession, sf_dir: str) -> str:
     """Stored copy of the panel for ``sf_dir``, written on first use.
 
-    The copy lives in the shared checkpoint folder, range-partitioned by ``date_id``
+    The copy lives in the shared checkpoint folder, range-partitioned by (date, symbol)
     and sorted by (date, symbol, time) -- the layout a production panel has: date
-    predicates prune row groups and every later query starts from a parquet scan.
+    predicates prune row groups, no date is bound to one task, and every later query
+    starts from a parquet scan. Its name holds the size and change time of the source,
+    so changed source files get a new copy.
     """
-    tag = hashlib.sha1(f"{_PANEL_VERSION}:{os.path.abspath(sf_dir)}".encode()).hexdigest()[:12]
+    source = os.path.join(sf_dir, "lineitem.parquet")
+    tag = hashlib.sha1(f"{_PANEL_VERSION}:{sf_dir}:{path_signature(spark, source)}".encode()).hexdigest()[:12]
     path = checkpoint_path(spark, f"panel_{tag}")
     if committed(spark, path):
         return path
-    lineitem = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
-    (panel_from_lineitem(lineitem).repartitionByRange("date_id")
+    (panel_from_lineitem(spark.read.parquet(source)).repartitionByRange("date_id", "symbol_id")
         .sortWithinPartitions("date_id", "symbol_id", "time_id")
         .write.mode("overwrite").parquet(path))
     return path

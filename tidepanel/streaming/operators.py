@@ -1,10 +1,12 @@
 """Structured Streaming forms of the panel operators.
 
-Input is the event table replayed one day per file (``stage_events_by_day``), read
-with ``readStream`` + ``maxFilesPerTrigger`` so every micro-batch is a day, and run
-with ``trigger(availableNow=True)``. State lives in Spark's fault-tolerant state
-store and sinks are idempotent by batch / day, so a restarted query resumes from its
-checkpoint without double counting.
+Input is the event table replayed day after day (``stage_events_by_day``), any number of
+files a day, read with ``readStream`` + ``maxFilesPerTrigger`` and run with
+``trigger(availableNow=True)``. The answers do not depend on how a day is cut into files
+or micro-batches: the watermark allows for the disorder inside a day, values that depend
+on the order of events wait in keyed state until the watermark has passed them, and sums
+are logged per date. State lives in Spark's fault-tolerant state store and sinks are
+idempotent by batch, so a restarted query resumes without double counting.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tidepanel.session import checkpoint_path, committed
+from tidepanel.session import checkpoint_path, committed, path_signature
 from tidepanel.sources.fixtures import load_events
 
 EVENT_SCHEMA = T.StructType([
@@ -31,19 +33,36 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def stage_events_by_day(spark: SparkSession, sf_dir: str) -> str:
+DISORDER = "25 hours"  # files of one day come in any order, days come in order
+
+
+def stage_events_by_day(spark: SparkSession, sf_dir: str, files_per_day: int = 1) -> str:
     """Replay folder: the event table written one day after another (file age = day
-    order, which the file source follows). Written once per input folder."""
-    tag = hashlib.sha1(f"events-v2:{os.path.abspath(sf_dir)}".encode()).hexdigest()[:12]
+    order, which the file source follows), each day in ``files_per_day`` files.
+
+    The table is scanned once and split into day folders; the loop then reads each day's
+    folder alone. A last file holds a marker without an event id, past every watermark:
+    it closes the replay, so that what waits in state is released. Written once per
+    state of the input.
+    """
+    source = os.path.join(sf_dir, "events.parquet")
+    tag = hashlib.sha1(f"events-v3:{files_per_day}:{sf_dir}:{path_signature(spark, source)}".encode()).hexdigest()[:12]
     path = checkpoint_path(spark, f"events_by_day_{tag}")
     done = os.path.join(path, "_staged")
     if committed(spark, done):
         return path
     ev = load_events(spark, sf_dir).select(*[f.name for f in EVENT_SCHEMA.fields])
+    split = os.path.join(path, "_split")
+    ev.withColumn("day", F.col("date_id")).write.mode("overwrite").partitionBy("day").parquet(split)
     days = [r["date_id"] for r in ev.select("date_id").distinct().orderBy("date_id").collect()]  # one row per day
     for d in days:
         # One folder per day, overwritten on a re-run: staging is idempotent.
-        ev.where(F.col("date_id") == d).write.mode("overwrite").parquet(os.path.join(path, "data", f"d{d:06d}"))
+        day = spark.read.schema(EVENT_SCHEMA).parquet(os.path.join(split, f"day={d}"))
+        day.repartition(files_per_day, "event_id").write.mode("overwrite").parquet(os.path.join(path, "data", f"d{d:06d}"))
+    end = ev.agg(F.max("ts").alias("ts")).select(
+        F.lit(None).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields[2:]])
+    end.write.mode("overwrite").parquet(os.path.join(path, "data", "end"))
     spark.createDataFrame([(len(days),)], "n_days int").write.mode("overwrite").parquet(done)
     return path
 
@@ -90,10 +109,10 @@ def _latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- L01
 def stream_market_avg(spark: SparkSession, path: str, window: str = "1 hour", slide: str | None = None,
-                      delay: str = "2 hours") -> DataFrame:
-    """Cross-sectional average per event-time bucket with a watermark (late rows dropped);
-    update mode into an upsert log, so open buckets are visible too."""
-    ev = read_event_stream(spark, path).withWatermark("ts", delay)
+                      delay: str = DISORDER) -> DataFrame:
+    """Cross-sectional average per event-time bucket; update mode into an upsert log, so
+    open buckets are visible too. The watermark allows for the disorder inside a day."""
+    ev = read_event_stream(spark, path).withWatermark("ts", delay).where(F.col("event_id").isNotNull())
     win = F.window("ts", window, slide) if slide else F.window("ts", window)
     agg = ev.groupBy(win.alias("w")).agg(F.avg("value").alias("avg_value"),
                                          F.count(F.lit(1)).cast("bigint").alias("n_events"))
@@ -111,23 +130,37 @@ def stream_market_avg(spark: SparkSession, path: str, window: str = "1 hour", sl
 ROLL_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
                          T.StructField("ts", T.TimestampType()), T.StructField("roll_mean", T.DoubleType()),
                          T.StructField("roll_std", T.DoubleType())])
-ROLL_STATE = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
+ROLL_STATE = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType())),
+                           T.StructField("wait_ts", T.ArrayType(T.LongType())), T.StructField("wait_id", T.ArrayType(T.LongType())),
+                           T.StructField("wait_value", T.ArrayType(T.DoubleType()))])
 
 
 def _rolling_state_fn(window: int):
     def fn(key, pdfs, state):
-        prev = list(state.get[0]) if state.exists else []
-        outs = [pdf for pdf in pdfs if len(pdf)]
-        if not outs:
-            return
-        pdf = pd.concat(outs).sort_values(["ts", "event_id"])
-        vals = np.concatenate([np.asarray(prev, dtype=float), pdf["value"].to_numpy(dtype=float)])
-        s = pd.Series(vals)
-        mean = s.rolling(window, min_periods=1).mean().to_numpy()[len(prev):]
-        std = s.rolling(window, min_periods=2).std(ddof=1).fillna(0.0).to_numpy()[len(prev):]
-        state.update((vals[-(window - 1):].tolist() if window > 1 else [],))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
-                            "ts": pdf["ts"].to_numpy(), "roll_mean": mean, "roll_std": std})
+        values, ts, ids, vals = map(list, state.get) if state.exists else ([], [], [], [])
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                ts += (pdf["ts"].astype("int64") // 1000).tolist()  # the events' microseconds
+                ids += pdf["event_id"].tolist()
+                vals += pdf["value"].tolist()
+        # events up to the watermark are complete and can be put in order
+        bound = state.getCurrentWatermarkMs() * 1000
+        order = sorted(range(len(ts)), key=lambda i: (ts[i], ids[i]))
+        ready = [i for i in order if ts[i] < bound]
+        wait = [i for i in order if ts[i] >= bound]
+        out = None
+        if ready:
+            s = pd.Series(values + [vals[i] for i in ready], dtype=float)
+            mean = s.rolling(window, min_periods=1).mean().to_numpy()[len(values):]
+            std = s.rolling(window, min_periods=2).std(ddof=1).fillna(0.0).to_numpy()[len(values):]
+            values = s.iloc[len(s) - min(len(s), window - 1):].tolist()
+            out = pd.DataFrame({"event_id": [ids[i] for i in ready], "user_id": key[0],
+                                "ts": pd.to_datetime([ts[i] for i in ready], unit="us"), "roll_mean": mean, "roll_std": std})
+        state.update((values, [ts[i] for i in wait], [ids[i] for i in wait], [vals[i] for i in wait]))
+        if wait:
+            state.setTimeoutTimestamp(max(ts[i] for i in wait) // 1000 + 1)
+        if out is not None:
+            yield out
     return fn
 
 
@@ -135,11 +168,15 @@ def stream_rolling(spark: SparkSession, path: str, window: int = 10) -> DataFram
     """Per-user trailing ``window``-event mean / std (ddof 1, <2 samples -> 0).
 
     Row-based frames are not allowed on streams, so each user keeps its last
-    ``window - 1`` values in keyed state (bounded by the window, not by history).
+    ``window - 1`` values and the events that the watermark has not passed (bounded by
+    the window and the disorder, not by history); those are emitted in event-time order.
     """
-    ev = read_event_stream(spark, path).select("event_id", "user_id", "ts", "value")
+    # the condition names ts, so that it is not pushed below the watermark: the closing
+    # marker must move the watermark before it is dropped
+    ev = (read_event_stream(spark, path).select("event_id", "user_id", "ts", "value").withWatermark("ts", DISORDER)
+          .where(F.when(F.col("ts").isNotNull(), F.col("event_id").isNotNull())))
     out_df = ev.groupBy("user_id").applyInPandasWithState(
-        _rolling_state_fn(window), ROLL_OUT, ROLL_STATE, "append", GroupStateTimeout.NoTimeout)
+        _rolling_state_fn(window), ROLL_OUT, ROLL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
     def build(out, ck):
         return (out_df.writeStream.outputMode("append").format("parquet").option("path", os.path.join(out, "data"))
@@ -186,7 +223,7 @@ def _lag_state_fn(key, pdfs, state):
 
 
 def _lag_stream(spark: SparkSession, path: str) -> DataFrame:
-    ev = read_event_stream(spark, path).select("event_id", "user_id", "date_id", "time_id", "value")
+    ev = read_event_stream(spark, path).select("event_id", "user_id", "date_id", "time_id", "value").where(F.col("event_id").isNotNull())
     return ev.groupBy("user_id", "time_id").applyInPandasWithState(
         _lag_state_fn, LAG_OUT, LAG_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -206,16 +243,18 @@ def stream_day_lag(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- L04
 def stream_running_r2(spark: SparkSession, path: str) -> DataFrame:
-    """Running zero-mean R² of the previous-day predictor (missing -> 0), one partial
-    sum row per micro-batch in an idempotent log; the cumulative score per batch is a
-    running window over that small log."""
+    """Running zero-mean R² of the previous-day predictor (missing -> 0) after each date.
+
+    Every micro-batch logs its partial sums per date (idempotent by batch id), so a date
+    spread over several batches is added up; the cumulative score is a running window
+    over that small log."""
     lagged = _lag_stream(spark, path)
 
     def sink(out):
         def f(batch: DataFrame, batch_id: int) -> None:
             p = F.coalesce(F.col("value_lag_1"), F.lit(0.0))
             y = F.col("value")
-            batch.agg(F.sum((y - p) * (y - p)).alias("sse"), F.sum(y * y).alias("sst"),
+            batch.groupBy("date_id").agg(F.sum((y - p) * (y - p)).alias("sse"), F.sum(y * y).alias("sst"),
                       F.count(F.lit(1)).cast("bigint").alias("n")).withColumn("batch", F.lit(batch_id)).write.mode(
                 "overwrite").parquet(os.path.join(out, "log", f"batch={batch_id}"))
         return f
@@ -226,44 +265,43 @@ def stream_running_r2(spark: SparkSession, path: str) -> DataFrame:
 
     out = _run(build, "r2", spark)
     from pyspark.sql import Window
-    log = spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(out, "log")).where("n > 0")
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # one row per micro-batch
-    return log.select("batch", F.sum("n").over(w).alias("n_rows"),
+    log = spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(out, "log"))
+    log = log.groupBy("date_id").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "sst")])
+    w = Window.orderBy("date_id").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
+    return log.select("date_id", F.sum("n").over(w).alias("n_rows"),
                       (1 - F.sum("sse").over(w) / F.sum("sst").over(w)).alias("running_r2"))
 
 
 # ---------------------------------------------------------------- L05
 def stream_predict_update(spark: SparkSession, path: str) -> DataFrame:
-    """Predict-then-update, one day per trigger: each day is predicted with the per-hour
-    mean of all earlier days (model table persisted per day, idempotent by date), then
-    the day's statistics are added to the model."""
-    ev = read_event_stream(spark, path).select("event_id", "user_id", "date_id", "time_id", "value")
+    """Predict-then-update: each day is predicted with the per-hour mean of all earlier
+    days (statistics logged per batch, idempotent), then its own statistics are added.
+
+    A batch may hold part of a day or several days: a day's prediction uses the logged
+    and the batch's own statistics of strictly earlier dates."""
+    ev = read_event_stream(spark, path).select("event_id", "user_id", "date_id", "time_id", "value").where(F.col("event_id").isNotNull())
+    from pyspark.sql import Window
 
     def sink(out):
         model_dir = os.path.join(out, "model")
         pred_dir = os.path.join(out, "pred")
 
         def f(batch: DataFrame, batch_id: int) -> None:
-            try:
-                model = spark.read.option("recursiveFileLookup", "true").parquet(model_dir)
-            except Exception:  # noqa: BLE001 - first day: empty model
-                model = None
-            first_day = batch.agg(F.min("date_id")).first()[0]
-            if first_day is None:
+            if batch.isEmpty():
                 return
-            if model is not None:
-                # The model as of the batch's first day: only strictly earlier days.
-                hist = model.where(F.col("date_id") < F.lit(first_day))
-                stats = hist.groupBy("time_id").agg((F.sum("s") / F.sum("c")).alias("prediction"))
-                pred = batch.join(F.broadcast(stats), "time_id", "left")  # <= 24 rows
-            else:
-                pred = batch.withColumn("prediction", F.lit(None).cast("double"))
-            pred = pred.withColumn("prediction", F.coalesce("prediction", F.lit(0.0)))
+            # Keyed by batch: a replayed batch overwrites only its own statistics.
+            own = batch.groupBy("date_id", "time_id").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("c"))
+            own.write.mode("overwrite").parquet(os.path.join(model_dir, f"batch={batch_id}"))
+            log = (spark.read.option("basePath", model_dir).parquet(os.path.join(model_dir, "batch=*"))
+                   .where(F.col("batch") <= batch_id))
+            # at most days x 24 rows; every batch day gets a row per hour of the model
+            days = log.groupBy("date_id", "time_id").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+            asked = batch.select("date_id", "time_id").distinct()
+            both = days.unionByName(asked.join(days.select("date_id", "time_id"), ["date_id", "time_id"], "left_anti"), allowMissingColumns=True)
+            w = Window.partitionBy("time_id").orderBy("date_id").rowsBetween(Window.unboundedPreceding, -1)
+            stats = both.select("date_id", "time_id", (F.sum("s").over(w) / F.sum("c").over(w)).alias("prediction"))
+            pred = batch.join(stats, ["date_id", "time_id"], "left").withColumn("prediction", F.coalesce("prediction", F.lit(0.0)))
             pred.write.mode("overwrite").parquet(os.path.join(pred_dir, f"batch={batch_id}"))
-            upd = batch.groupBy("date_id", "time_id").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("c"))
-            # Keyed by batch: a replayed batch overwrites only its own statistics, and a
-            # day split over several batches keeps all of its parts.
-            upd.write.mode("overwrite").parquet(os.path.join(model_dir, f"batch={batch_id}"))
         return f
 
     def build(out, ck):
