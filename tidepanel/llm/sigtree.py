@@ -8,10 +8,12 @@ when ``100 * |A & B| >= percent * |A | B|``; the result is exact up to hash coll
 2. The shingles of a set are ordered by (bucket count, hash). Linked sets share one of
    their first ``n - ceil(percent * n / 100) + 1`` shingles, so a document is routed to the
    roots of those shingles; roots that only one set reaches are dropped. Common passages
-   have high counts and come last, so they open no roots.
+   have high counts and come last, so they open no roots. Prefixes extended by ``l - 1``
+   hold ``l`` common shingles of linked sets; sets with fewer shingles that any other
+   set's prefix holds are dropped before anything is compared.
 3. Below a root sets are split by size class (linked sets are in the same or in adjacent
    classes) and, where there are many, into slices. A task builds a signature tree over a
-   slice: nodes hold the OR of the bitmaps below them (8 bits a shingle, rounded up to a
+   slice: nodes hold the OR of the bitmaps below them (4 bits a shingle, rounded up to a
    power of two), the range of sizes and the largest number of shingles hidden by equal
    bits. Two trees are traversed together; a pair of nodes is left when the largest overlap
    possible is too small for the smallest sizes.
@@ -42,6 +44,7 @@ from tidepanel.session import materialize
 
 PERCENT = 85
 BUCKET_BITS = 16
+EXTRA_PERCENT = 5  # of a set's shingles, by which its prefix is extended
 MIN_FILTER_BITS, MAX_FILTER_BITS = 20, 30  # of the shared-root filter that is broadcast (128 MB at most)
 SLICE = 2048  # sets of one root and size class in one tree
 LEAF, FANOUT = 32, 8
@@ -75,15 +78,31 @@ def _describe(words: int):
     return run
 
 
-def _ordered(hashes: np.ndarray, cuts: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the prefix shingles of each set, and the set they belong to."""
+def _ordered(hashes: np.ndarray, cuts: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the extended prefix of each set, the set they belong to, and whether
+    they are in the plain prefix (any of which may be the first shared shingle)."""
     n = np.diff(cuts)
     owner = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], owner))
     place = np.arange(len(hashes)) - np.repeat(cuts[:-1], n)
-    wanted = n + (percent * n) // -100 + 1
-    take = order[place < np.repeat(wanted, n)]
-    return take, owner[take]
+    plain = np.repeat(n + (percent * n) // -100 + 1, n)
+    take = place < plain + np.repeat(_more(n), n)
+    return order[take], owner[take], (place < plain)[take]
+
+
+def _more(n: np.ndarray) -> np.ndarray:
+    """Shingles by which the prefix of a set of size ``n`` is extended."""
+    return -(-n * EXTRA_PERCENT // 100) - (n > 0)
+
+
+def _shared_needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shared shingles that the extended prefix of a linked set holds at least.
+
+    Of the first ``l`` common shingles of two linked sets all lie in both prefixes extended
+    by ``l - 1``; the partner has at least ``percent`` of the size.
+    """
+    smallest = -(-n * percent // 100)
+    return np.minimum(_more(n), _more(smallest)) + 1
 
 
 def _prefixes(shared, percent: int, words: int):
@@ -93,7 +112,7 @@ def _prefixes(shared, percent: int, words: int):
 
         for batch in batches:
             for _, hashes, cuts in shingle_sets(batch.column(1), words):
-                take, owner = _ordered(hashes, cuts, shared.value, percent)
+                take, owner, _ = _ordered(hashes, cuts, shared.value, percent)
                 f1, _ = _marks(hashes, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(f1[owner])], names=["token", "f1"])
     return run
@@ -104,8 +123,8 @@ def _filter_slot(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Bits of a set, at least eight for each member, a power of two in all."""
-    width = max(64, 1 << int(8 * len(hashes) - 1).bit_length())
+    """Bits of a set, at least four for each member, a power of two in all."""
+    width = max(64, 1 << int(4 * len(hashes) - 1).bit_length())
     slot = (hashes & np.uint64(width - 1)).astype(np.int64)
     bits = np.zeros(width, dtype=np.uint8)
     bits[slot] = 1
@@ -113,15 +132,17 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 def _members(counts_shared, filter_shared, filter_bits: int, percent: int, words: int):
-    """Sets with a root that passes the shared-root filter: id, size, fingerprints, roots, bitmap, text."""
+    """Sets with enough shared shingles: id, size, fingerprints, roots, bitmap, text."""
     def run(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
             for a, hashes, cuts in shingle_sets(batch.column(1), words):
-                take, owner = _ordered(hashes, cuts, counts_shared.value, percent)
+                take, owner, plain = _ordered(hashes, cuts, counts_shared.value, percent)
                 slot = _filter_slot(hashes[take], filter_bits)
                 hit = (filter_shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
+                enough = np.bincount(owner[hit], minlength=len(cuts) - 1) >= _shared_needed(np.diff(cuts), percent)
+                hit &= plain & enough[owner]
                 take, owner = take[hit], owner[hit]
                 own, first = np.unique(owner, return_index=True)
                 if not len(own):
@@ -333,7 +354,7 @@ def _root_rows(roots: DataFrame) -> DataFrame:
 def _groups(rows: DataFrame, within_only: bool) -> DataFrame:
     """Rows of each pair of slices that may hold links between different components.
 
-    ``rows`` is (token, class, slice, id, n, bits, component). A slice meets itself, the
+    ``rows`` is (token, class, slice, id, n, component). A slice meets itself, the
     later slices of its class and the slices of the next class; pairs of slices that lie
     in one component are left out before any row is copied.
     """
@@ -353,12 +374,12 @@ def _groups(rows: DataFrame, within_only: bool) -> DataFrame:
         own = (own.unionByName(two.select("*", F.col("class1").alias("class"), F.col("part").alias("slice"), F.lit(0).alias("side")))
                .unionByName(two.select("*", F.col("class2").alias("class"), F.col("part2").alias("slice"), F.lit(1).alias("side"))))
     got = rows.join(own, ["token", "class", "slice"])
-    return got.select("token", F.col("class1").alias("class"), "part", "class2", "part2", "side", "id", "n", "bits", "component")
+    return got.select("token", F.col("class1").alias("class"), "part", "class2", "part2", "side", "id", "n", "component")
 
 
-def _links(groups: DataFrame, texts: DataFrame, percent: int, words: int, one: bool) -> DataFrame:
-    """Verified links (a, b) of all groups; ``texts`` is (id, text)."""
-    together = groups.repartition(*GROUP).sortWithinPartitions(*GROUP, "side")
+def _links(groups: DataFrame, bitmaps: DataFrame, texts: DataFrame, percent: int, words: int, one: bool) -> DataFrame:
+    """Verified links (a, b) of all groups; ``bitmaps`` is (id, n, bits), ``texts`` (id, text)."""
+    together = groups.join(bitmaps, ["id", "n"]).repartition(*GROUP).sortWithinPartitions(*GROUP, "side")
     pairs = together.mapInArrow(_pairs(percent, one), "x long, y long")
     pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "sigtree_pairs")
     spark = groups.sparkSession
@@ -405,14 +426,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = rows.groupBy("token", "class").agg(F.ceil(F.count("*") / slice_rows).alias("parts"))
     bitmaps = members.select("id", "n", "bits").dropDuplicates(["id", "n"])
     rows = rows.join(parts, ["token", "class"]).withColumn("slice", F.pmod(F.xxhash64("id", "token"), F.col("parts"))).drop("parts")
-    rows = materialize(rows.join(bitmaps, ["id", "n"]), "sigtree_rows")
+    rows = materialize(rows, "sigtree_rows")
 
     # 4. one partner each, components, then everything between different components
     texts = members.select("id", "text")
-    first = _links(_groups(rows.withColumn("component", F.col("id")), True), texts, percent, words, True)
+    first = _links(_groups(rows.withColumn("component", F.col("id")), True), bitmaps, texts, percent, words, True)
     joined = graph.components(first).withColumnRenamed("node", "id")
     rest = rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    links = first.unionByName(_links(_groups(rest, False), texts, percent, words, False))
+    links = first.unionByName(_links(_groups(rest, False), bitmaps, texts, percent, words, False))
     # one id with several sets joins their classes
     split = (sets.where("n > 0").join(classes, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
              .where("a < b").select(F.explode(F.array("a", "b")).alias("a"), F.col("doc_id").alias("b")))
