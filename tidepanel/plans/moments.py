@@ -27,7 +27,7 @@ from tidepanel.columns import DATE
 from tidepanel.functions.exprs import no_nan
 
 _ARR = T.ArrayType(T.DoubleType())
-MERGE_GROUPS = 256  # groups of task partials of one date
+MERGE_TASKS = 512  # tasks whose partials of one date are merged first
 _FIELDS = ["r", "Vv", "Vo", "Oo", "sv", "so", "Bv", "Bo", "By", "C", "uc", "u1", "u2"]
 
 
@@ -121,7 +121,7 @@ def day_moments(df: DataFrame, features: list[str], targets: list[str], weight:
     strict = {weight, *targets}
     part = df.select(*[F.col(c).cast("int") if c == date_col else no_nan(c).alias(c) if c in strict else F.col(c).cast("double") for c in need])
     # a date has one partial per task: they are merged in groups first, then the groups
-    salted = part.mapInPandas(partials, schema).withColumn("_salt", F.spark_partition_id() % MERGE_GROUPS)
+    salted = part.mapInPandas(partials, schema).withColumn("_salt", F.floor(F.spark_partition_id() / MERGE_TASKS))
     grouped = salted.groupBy(date_col, "_salt").applyInPandas(lambda pdf: merge(pdf.drop(columns="_salt")), schema)
     return grouped.groupBy(date_col).applyInPandas(merge, schema)
 
