@@ -16,42 +16,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import packing, pii, ppm, sigtree, winnow
-from tidepanel.session import ensure_checkpoint_dir, materialize, ship_package
-
-
-def _ready(spark: SparkSession) -> None:
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+from tidepanel.llm.text import prepare_session
+from tidepanel.session import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets ``lang`` to the language of the text; documents in no learned language go."""
-    _ready(spark)
+    prepare_session(spark)
     return ppm.keep_identified(docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8) stays."""
-    _ready(spark)
+    prepare_session(spark)
     return sigtree.keep_representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark."""
-    _ready(spark)
+    prepare_session(spark)
     return winnow.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; ``n_chars`` follows the new text."""
-    _ready(spark)
+    prepare_session(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of at most 1024 ids."""
-    _ready(spark)
+    prepare_session(spark)
     return packing.pack(docs)
 
 
@@ -68,7 +64,7 @@ ORACLE_SQL: str | None = None  # model-based stages: tested against brute force
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    _ready(spark)
+    prepare_session(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{i}")

@@ -35,26 +35,31 @@ SPECIAL = {"<|endoftext|>": 50256}  # fixed value: the vocabulary's only added t
 
 
 @cache
-def _encoders(vocabulary: str, ranks: str):
+def _fast(ranks: str):
     import public_tokenizers as files
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(files.path(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return (tiktoken.Encoding("ranks", pat_str=files.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL),
-            Tokenizer.from_file(files.path(vocabulary)))
+    return tiktoken.Encoding("ranks", pat_str=files.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
+
+
+@cache
+def _exact(vocabulary: str):
+    import public_tokenizers as files
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(files.path(vocabulary))
 
 
 def token_ids(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> list[int]:
     """Ids of a text, equal to the JSON tokenizer's without added special tokens."""
-    fast, exact = _encoders(vocabulary, ranks)
     try:
-        return fast.encode(text, allowed_special="all")
-    except (ValueError, BaseException) as e:  # the encoder's panics are no Exception
+        return _fast(ranks).encode(text, allowed_special="all")
+    except BaseException as e:  # the encoder's panics are no Exception
         if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
-        return exact.encode(text, add_special_tokens=False).ids
+        return _exact(vocabulary).encode(text, add_special_tokens=False).ids
 
 
 def piece_lengths(n: int, sequence: int = SEQUENCE) -> list[int]:

@@ -11,7 +11,7 @@ per byte and language. The language with the shortest total code length wins.
 
 ``MAX_FIT_DOCS`` documents per language (chosen by hash) bound the fit; ``MAX_CONTEXTS``
 contexts per order and language bound the tables that are broadcast: languages x
-(128**3 index entries x 4 B + (2 * MAX_CONTEXTS + 129) x 128 x 4 B).
+(128**3 index entries x 2 B + (2 * MAX_CONTEXTS + 129) x 128 x 4 B).
 
 Defined results: a null text or one without any letter is ``und`` with score 0, and so is
 every text if nothing was learned; a text's repeats get equal rows; texts are scored
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidepanel.llm.shingle import utf8
+from tidepanel.llm.shingle import collected, utf8
 
 ORDER = 3
 SYMBOLS = 128
@@ -91,8 +91,9 @@ def _tables(grams: np.ndarray, n: np.ndarray, alphabet: np.ndarray, max_contexts
     """Context index and code lengths of one language from its four-byte gram counts."""
     s = [alphabet[(grams >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
     uniform = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    probs: list[np.ndarray] = []
-    index = np.zeros(SYMBOLS ** ORDER, dtype=np.int32)
+    probs = np.empty((1 + SYMBOLS + 2 * max_contexts, SYMBOLS))
+    used = 0
+    index = np.zeros(SYMBOLS ** ORDER, dtype=np.uint16 if len(probs) <= 1 << 16 else np.int32)
     row_of: dict[tuple[int, int], int] = {}  # (order, packed context) -> row
     for order in range(ORDER + 1):
         context = np.zeros_like(s[0])
@@ -115,11 +116,12 @@ def _tables(grams: np.ndarray, n: np.ndarray, alphabet: np.ndarray, max_contexts
                 p[~seen] = d / (t + d) * below[~seen] / rest
             else:
                 p = c / t
-            row_of[order, key] = len(probs)
+            row_of[order, key] = used
             # the context claims its slice of the packed three-symbol index
-            index[key::SYMBOLS ** order] = len(probs)
-            probs.append(p)
-    return index, (-np.log2(np.array(probs))).astype(np.float32)
+            index[key::SYMBOLS ** order] = used
+            probs[used] = p
+            used += 1
+    return index, (-np.log2(probs[:used])).astype(np.float32)
 
 
 def _suffix_row(row_of: dict[tuple[int, int], int], key: int, order: int) -> int:
@@ -144,19 +146,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, max_docs / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    grams = (d.where(draw < share).select("text", "lang").mapInArrow(_count_bytes, "lang string, gram long, n long")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())  # bounded by the sample
+    grams = collected(d.where(draw < share).select("text", "lang").mapInArrow(_count_bytes, "lang string, gram long, n long")
+             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))  # bounded by the sample
     seen = np.zeros(256)
-    np.add.at(seen, (grams["gram"].to_numpy() & 255).astype(int), grams["n"].to_numpy())
+    np.add.at(seen, grams["gram"] & 255, grams["n"])
     alphabet = np.full(256, SYMBOLS - 1, dtype=np.uint8)  # the last symbol: all other bytes
     for rank, byte in enumerate(np.argsort(-seen, kind="stable")[:SYMBOLS - 1]):
         if seen[byte]:
             alphabet[byte] = rank
     model = Model([], alphabet[FOLD], [], [])
     for lang in sorted(sizes):
-        g = grams[grams["lang"] == lang]
-        if len(g):
-            rows, bits = _tables(g["gram"].to_numpy(), g["n"].to_numpy(), alphabet, max_contexts)
+        own = grams["lang"] == lang
+        if own.any():
+            rows, bits = _tables(grams["gram"][own], grams["n"][own], alphabet, max_contexts)
             model.languages.append(lang)
             model.rows.append(rows)
             model.bits.append(bits)
@@ -186,7 +188,7 @@ def code_lengths(model: Model, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
         hi = np.searchsorted(off, b, side="left")
         cuts = np.clip(off[lo:hi], a, b) - a
         for m in range(len(model.languages)):
-            cost = model.bits[m].ravel()[model.rows[m][ctx] * SYMBOLS + s[3:]].astype(np.float64)
+            cost = model.bits[m].ravel()[model.rows[m][ctx].astype(np.int32) * SYMBOLS + s[3:]].astype(np.float64)
             run = np.concatenate([[0.0], np.cumsum(cost)])
             ends = np.append(cuts[1:], b - a)
             total[lo:hi, m] += run[ends] - run[cuts]
@@ -204,14 +206,16 @@ def _has_letter(off: np.ndarray, raw: np.ndarray, texts) -> np.ndarray:
     return found
 
 
-def _scorer(shared):
+def _scorer(shared, field: str | None):
     def run(batches: Iterator):
         import pyarrow as pa
 
         model = shared.value
         for batch in batches:
-            off, raw = utf8(batch.column(0))
-            known = _has_letter(off, raw, batch.column(0))
+            kept = batch.column(0)
+            texts = batch.column(1) if field is None else kept.field(field)
+            off, raw = utf8(texts)
+            known = _has_letter(off, raw, texts)
             langs, scores, rates = [], [], []
             bits = code_lengths(model, off, raw)
             for i in range(len(off) - 1):
@@ -224,18 +228,23 @@ def _scorer(shared):
                 scores.append(float(1.0 / np.exp2(-worse).sum()))
                 rates.append(float(bits[i, best] / (off[i + 1] - off[i])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
-                names=[*batch.schema.names[1:], "lang_pred", "score", "bits_per_byte"])
+                [kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
+                names=["kept", "lang_pred", "score", "bits_per_byte"])
     return run
 
 
-def predict(docs: DataFrame, model: Model, keep: Column, text_col: str = "text") -> DataFrame:
-    """``kept, lang_pred, score, bits_per_byte``: the prediction beside one kept value."""
+def predict(docs: DataFrame, model: Model, keep: Column, text_col: str = "text", field: str | None = None) -> DataFrame:
+    """``kept, lang_pred, score, bits_per_byte``: the prediction beside one kept value.
+
+    If the kept value is a struct that holds the text, ``field`` names it there, and the
+    text is sent once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(F.col(text_col).cast("string").alias("_text"), keep.alias("kept"))
+    texts = [] if field else [F.col(text_col).cast("string").alias("_text")]
+    d = docs.select(keep.alias("kept"), *texts)
     schema = StructType([d.schema["kept"], StructField("lang_pred", StringType()), StructField("score", DoubleType()),
                          StructField("bits_per_byte", DoubleType())])
-    return d.mapInArrow(_scorer(shared), schema)
+    return d.mapInArrow(_scorer(shared, field), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -250,6 +259,6 @@ def keep_identified(docs: DataFrame, max_bits_per_byte: float = RAW_BITS) -> Dat
 
     Rejected are ``und`` and texts that no model codes shorter than their raw bytes.
     """
-    scored = predict(docs, fit(docs), F.struct(*docs.columns))
+    scored = predict(docs, fit(docs), F.struct(*docs.columns), field="text")
     kept = scored.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= max_bits_per_byte))
     return kept.select(*[F.col("lang_pred" if c == "lang" else f"kept.`{c}`").alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import chat, hilbert, licenses, packing, pages, pii, ppm, quality, sigtree, winnow
-from tidepanel.session import ensure_checkpoint_dir, ship_package
+from tidepanel.llm.text import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,8 +23,7 @@ SQL_SPACE = r"""regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"""
 def query(name: str, oracle: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_checkpoint_dir(spark)
-            ship_package(spark)
+            prepare_session(spark)
             return fn(spark, sf_dir)
         run.__name__ = name
         run.__doc__ = fn.__doc__

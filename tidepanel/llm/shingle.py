@@ -54,6 +54,12 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw[off[0]:off[-1]]
 
 
+def collected(df) -> dict[str, np.ndarray]:
+    """The columns of a small result as numpy arrays, without going through pandas."""
+    table = df.toArrow()
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
 def _words(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Document number and hash of every word."""
     if not len(raw):

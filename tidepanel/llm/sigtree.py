@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import graph
-from tidepanel.llm.shingle import SHINGLE_WORDS, mix, shingle_sets
+from tidepanel.llm.shingle import SHINGLE_WORDS, collected, mix, shingle_sets
 from tidepanel.session import materialize
 
 PERCENT = 85
@@ -323,9 +323,9 @@ def bit_filter(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
             np.bitwise_or.at(value, at, np.uint64(1) << (slot & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "value"])
 
-    got = keys.select(column).mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
+    got = collected(keys.select(column).mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")))
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[got["word"].to_numpy()] = got["value"].to_numpy().view(np.uint64)
+    out[got["word"]] = got["value"].view(np.uint64)
     return out, bits
 
 
@@ -403,9 +403,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = materialize(d.mapInArrow(_describe(words), "kind int, doc_id long, n long, f1 long, f2 long"), "sigtree_sets")
     sets = seen.where("kind = 0").drop("kind")
     classes = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    tally = seen.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()  # one row per bucket
+    tally = collected(seen.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")))  # one row per bucket
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[tally["doc_id"].to_numpy()] = tally["n"].to_numpy()
+    counts[tally["doc_id"]] = tally["n"]
     counts_shared = sc.broadcast(counts)
 
     # 2. roots that more than one set reaches

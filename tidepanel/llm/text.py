@@ -7,12 +7,30 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.session import ensure_checkpoint_dir, ship_package
+
 # Separators of the two word definitions. Alphanumeric words are what remains after
 # ASCII A-Z are lower-cased; every non-ASCII character counts as part of a word.
 NON_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
+ARROW_ROWS = 1000  # texts in one Arrow batch: a few MB, whatever the executor's cores
+
+
+def prepare_session(spark) -> None:
+    """Shared checkpoint folder, shipped package, and Arrow batches sized for texts.
+
+    Spark's default batch of 10,000 rows is meant for narrow rows; a setting of the
+    user's own is left alone.
+    """
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other characters (É, İ, the Kelvin sign) stay as they are.
 
