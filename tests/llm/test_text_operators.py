@@ -107,6 +107,16 @@ def test_winnowing_equals_brute_force(spark, broadcast_rows):
     assert winnow.decontaminate(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [winnow.BROADCAST_BYTES, 0])
+def test_winnowing_of_a_long_item(spark, broadcast_bytes):
+    rnd = random.Random(6)
+    item = [f"w{rnd.randint(0, 10**6)}" for _ in range(20000)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "null " * 3000)], "item_id long, text string")
+    rows = [(1, " ".join(item)), (2, "x " * 30 + " ".join(item[500:530])), (3, " ".join(item[:9])), (4, "null " * 500), (None, " ".join(item[-10:]))]
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in winnow.decontaminate(frame(spark, rows), bench, broadcast_bytes=broadcast_bytes).collect()}
+    assert got == {1: (20000, ["1"]), 2: (30, ["1"]), 3: (0, []), 4: (500, ["2"]), None: (10, ["1"])}
+
+
 PII = ["a@b.com", "x_y@z.co.uk@q.r", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1111 2", " 5 - 4111111111111111",
        "+1 (555) 123-4567", "+12", "+1 2", "++1234567890123", "é", "..", "--", "0" * 25, "378282246310005", "@", "a@b.", "99", "+49 4111111111111111",
        "#", "1" * 40, "ü@x.de", "a.b@c.d_e@f.g", 'token = "0123456789abcdef0123456789abcdef"', "\U0001f600"]

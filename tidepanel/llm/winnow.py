@@ -6,6 +6,11 @@ and therefore its minimum, so joining fingerprints cannot miss a shared window o
 length. Each joined fingerprint is then extended word by word: all windows around it are
 compared exactly, so hash collisions never reach the result.
 
+A fingerprint travels with the few words that its windows can reach (at most
+``window + w - 1`` a place), never with its whole text, so the joined rows grow linearly
+with the length of an item or document. Narrow rows find the documents that share any
+fingerprint; only those are read again and cut into words around their fingerprints.
+
 Defined results: a null or empty text has no words and is never contaminated; a null or
 empty item has no window; items shorter than the window are one window and are found
 through their own gram lengths; repeated documents get equal rows; repeated items count
@@ -15,16 +20,20 @@ clean rows. Only the id and text columns are read, so clashing extra columns are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepanel.llm import text as T
+from tidepanel.session import materialize
 
 WINDOW = 10
 K = 5
 RUN = WINDOW - K + 1  # k-grams per window: the guarantee is K + RUN - 1 = WINDOW words
-BROADCAST_FINGERPRINTS = 500_000  # rows; above it the fingerprints are shuffled
+BROADCAST_FINGERPRINTS = 500_000  # rows; above it, or above the bytes, the fingerprints are shuffled
+BROADCAST_BYTES = 64 << 20  # of fingerprint rows with their words
 
 
 def _grams(hashes: Column, k: int) -> Column:
@@ -34,14 +43,13 @@ def _grams(hashes: Column, k: int) -> Column:
     return F.when(n >= k, F.slice(every, F.lit(1), F.greatest(n - (k - 1), F.lit(1)))).otherwise(T.empty_longs())
 
 
-def _fingerprints(grams: Column, run: int) -> Column:
-    """Distinct minima of each ``run`` consecutive gram hashes."""
+def _minima(grams: Column, run: int) -> Column:
+    """Minimum of each ``run`` consecutive gram hashes."""
     if run == 1:
-        return F.array_distinct(grams)
+        return grams
     n = F.size(grams)
     minima = F.transform(grams, lambda g, i: F.least(g, *[F.get(grams, i + j) for j in range(1, run)]))
-    return F.when(n >= run, F.array_distinct(F.slice(minima, F.lit(1), F.greatest(n - (run - 1), F.lit(1))))
-                  ).otherwise(T.empty_longs())
+    return F.when(n >= run, F.slice(minima, F.lit(1), F.greatest(n - (run - 1), F.lit(1)))).otherwise(T.empty_longs())
 
 
 def _worded(df: DataFrame, text_col: str) -> DataFrame:
@@ -49,49 +57,74 @@ def _worded(df: DataFrame, text_col: str) -> DataFrame:
     return T.fixed(df, words=T.alnum_words(F.col(text_col)), wh=F.transform("words", lambda w: F.xxhash64(w)))
 
 
-def _joined(docs: DataFrame, items: DataFrame, bounded: bool) -> DataFrame:
-    """Document rows (``doc_id, key, words, grams``) joined to item rows on ``fp``.
+def _around(worded: DataFrame, gram: int, run: int, length: Column) -> DataFrame:
+    """Adds ``around``: (``at, fp, lead, near``) of every gram that is the minimum of a run.
+
+    ``near`` are the words that windows around the gram reach, ``lead`` of them before it.
+    """
+    cut = T.fixed(worded, grams=_grams(F.col("wh"), gram))
+    cut = T.fixed(cut, minima=_minima(F.col("grams"), run))
+    offsets = F.sequence(F.lit(0), F.lit(run - 1))
+    chosen = F.filter(F.sequence(F.lit(0), F.size("grams") - 1),
+                      lambda p: F.exists(offsets, lambda o: F.get("minima", p - o) == F.get("grams", p)))
+    cut = T.fixed(cut, chosen=chosen)
+
+    def one(p):
+        lead = F.least(p, F.lit(run - 1))
+        return F.struct(p.alias("at"), F.get("grams", p).alias("fp"), lead.alias("lead"),
+                        F.slice("words", p - lead + 1, lead + length).alias("near"))
+
+    return T.fixed(cut, around=F.transform("chosen", one)).drop("grams", "minima", "chosen")
+
+
+def _item_rows(items: DataFrame, gram: int, run: int, length: Column) -> DataFrame:
+    """``len, fp, item, places, bytes``: one row per fingerprint of an item.
 
-    A bounded item side is broadcast into the stage that makes the fingerprints, and the
-    word arrays are copied only for rows that match. Otherwise narrow rows are shuffled
-    and the arrays are fetched again for the documents that matched.
+    ``places`` holds the distinct (``lead, near``) of the fingerprint; ``bytes`` is about
+    the row's size.
     """
-    if bounded:
-        return (docs.select("doc_id", "key", "words", "grams", F.explode("fps").alias("fp"))
-                .join(F.broadcast(items), "fp"))
-    found = docs.select("doc_id", "key", F.explode("fps").alias("fp")).join(items, "fp").distinct()
-    own = docs.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "words", "grams").dropDuplicates(["d", "k"])
-    return found.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).drop("d", "k")
+    rows = (_around(items, gram, run, length).select("item", F.inline("around")).groupBy("fp", "item")
+            .agg(F.collect_set(F.struct("lead", "near")).alias("places")))
+    words = F.flatten(F.transform("places", lambda x: x["near"]))
+    size = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + 16 + F.octet_length(w))
+    return rows.select(length.alias("len"), "fp", "item", "places",
+                       (size + 32 * F.size("places") + 40 + F.octet_length("item")).alias("bytes"))
+
+
+def _sharing(docs: DataFrame, items: DataFrame, gram: int, run: int, bounded: bool) -> DataFrame:
+    """``doc_id, key`` of the documents that share a fingerprint with any item."""
+    cut = T.fixed(docs, grams=_grams(F.col("wh"), gram))
+    cut = T.fixed(cut, fps=F.array_distinct(_minima(F.col("grams"), run)))
+    fps = items.select("fp").distinct()
+    return (cut.select("doc_id", "key", F.explode("fps").alias("fp"))
+            .join(F.broadcast(fps) if bounded else fps, "fp", "left_semi").select("doc_id", "key"))
 
 
 def _windows(docs: DataFrame, items: DataFrame, gram: int, run: int, length: Column, bounded: bool) -> DataFrame:
     """``doc_id, key, item, start, len``: occurrences of item windows in documents.
 
-    ``items`` has ``item, words`` (``iw``); windows are ``length`` words long and hold
+    ``items`` has the rows of ``_item_rows``; windows are ``length`` words long and hold
     ``run`` grams of ``gram`` words. All offsets of a window around a shared gram are tried.
     """
-    def cut(df):
-        return T.fixed(df, grams=_grams(F.col("wh"), gram), fps=_fingerprints(F.col("grams"), run))
+    rows = _around(docs, gram, run, length).select("doc_id", "key", F.inline("around"))
+    hit = rows.join(F.broadcast(items) if bounded else items, "fp")
 
-    left = cut(docs)
-    at = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda p: F.get("grams", p) == F.col("fp"))
-    right = T.fixed(cut(items).select("item", "iw", F.explode("fps").alias("fp"), "grams"), at=at).drop("grams")
-    hit = T.fixed(_joined(left, right, bounded), places=at)
+    def window(lead, near, o):
+        return F.slice(near, F.greatest(lead - o + 1, F.lit(1)), length)
 
-    def window_starts(p, q):
-        fits = F.filter(F.sequence(F.lit(0), F.lit(run - 1)), lambda o: (
-            (p >= o) & (q >= o) & (p - o + length <= F.size("words")) & (q - o + length <= F.size("iw"))))
-        same = F.filter(fits, lambda o: F.slice("words", p - o + 1, length) == F.slice("iw", q - o + 1, length))
-        return F.transform(same, lambda o: p - o)
+    def fits(lead, near, o):
+        return (lead >= o) & (lead - o + length <= F.size(near))
 
-    starts = F.flatten(F.transform("places", lambda p: F.flatten(F.transform("at", lambda q: window_starts(p, q)))))
-    return hit.select("doc_id", "key", "item", F.explode(F.array_distinct(starts)).alias("start"),
-                      length.alias("len"))
+    lead, near = F.col("lead"), F.col("near")
+    same = F.filter(F.sequence(F.lit(0), F.lit(run - 1)), lambda o: fits(lead, near, o) & F.exists(
+        "places", lambda y: fits(y["lead"], y["near"], o) & (window(lead, near, o) == window(y["lead"], y["near"], o))))
+    return hit.select("doc_id", "key", "item", F.explode(F.transform(same, lambda o: F.col("at") - o)).alias("start"),
+                      length.alias("len")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K,
-                  broadcast_rows: int = BROADCAST_FINGERPRINTS) -> DataFrame:
+                  broadcast_rows: int = BROADCAST_FINGERPRINTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: word counts, hit words, items found, verdict.
 
     Returns ``doc_id, key, n_words, n_hit, n_items, items`` (sorted array of item ids as
@@ -102,14 +135,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     worded = _worded(base, "text").select("doc_id", "key", "words", "wh")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
                              F.col(item_text_col).cast("string").alias("t")).distinct()
-    items = _worded(items, "t").select("item", F.col("words").alias("iw"), "wh").where(F.size("iw") > 0)
-    # one bounded row: fingerprints at most (an upper bound of the join side), short lengths
-    facts = items.agg(F.sum(F.size("iw")).alias("n"),
-                      F.collect_set(F.when(F.size("iw") < window, F.size("iw"))).alias("short")).first()
-    bounded = (facts["n"] or 0) <= broadcast_rows
-    found = _windows(worded, items.where(F.size("iw") >= window), k, run, F.lit(window), bounded)
-    for m in sorted(facts["short"] or []):  # at most window - 1 lengths
-        found = found.unionByName(_windows(worded, items.where(F.size("iw") == m), m, 1, F.lit(m), bounded))
+    items = _worded(items, "t").select("item", "words", "wh").where(F.size("words") > 0)
+    # at most window - 1 short lengths
+    short = items.agg(F.collect_set(F.when(F.size("words") < window, F.size("words"))).alias("short")).first()["short"]
+    cuts = [(window, k, run), *[(m, m, 1) for m in sorted(short)]]
+    parts = [_item_rows(items.where(F.size("words") >= n if n == window else F.size("words") == n), gram, r, F.lit(n))
+             for n, gram, r in cuts]
+    rows = materialize(reduce(DataFrame.unionByName, parts), "winnow_items")
+    sent = rows.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    bounded = sent["n"] <= broadcast_rows and (sent["bytes"] or 0) <= broadcast_bytes
+    rows = {n: rows.where(F.col("len") == n).select("fp", "item", "places") for n, *_ in cuts}
+    sharing = materialize(reduce(DataFrame.unionByName, [
+        _sharing(worded, rows[n], gram, r, bounded) for n, gram, r in cuts]).distinct(), "winnow_sharing")
+    few = sharing.count() <= broadcast_rows
+    own = sharing.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    read = base.join(F.broadcast(own) if few else own, base["doc_id"].eqNullSafe(own["d"]) & (base["key"] == own["k"]), "left_semi")
+    again = _worded(read, "text").select("doc_id", "key", "words", "wh")
+    found = reduce(DataFrame.unionByName, [_windows(again, rows[n], gram, r, F.lit(n), bounded) for n, gram, r in cuts])
 
     # union of the hit intervals of each document, one row per start
     spans = found.groupBy("doc_id", "key", "start").agg(F.max("len").alias("len"))
