@@ -257,6 +257,28 @@ def test_language_edge_cases(spark):
     assert ppm.identify(table.limit(0)).count() == 0
 
 
+def test_every_language_is_learned_however_rare(spark):
+    rows = []
+    for k in range(70):
+        rnd = random.Random(k)
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(30)]
+        rows += [(len(rows) + i, " ".join(rnd.choice(words) for _ in range(60)), f"l{k:02d}") for i in range(12 if k < 64 else 8)]
+    got = {r.doc_id: r for r in ppm.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].lang_pred == lang and got[i].score > 0.99 for i, _, lang in rows)
+
+
+def test_rare_bytes_tell_languages_apart(spark):
+    rnd = random.Random(3)
+    common = [chr(c) for c in (*range(32, 127), *range(0xC0, 0x180), *range(0x400, 0x480))]
+    rows = [(i, "".join(rnd.sample(common, len(common))) * 8, "zz") for i in range(300)]
+    tail = [[rnd.randint(0, 63) for _ in range(40)] for _ in range(30)]
+    # the same second bytes after first bytes that are rare in the whole table
+    rows += [(1000 + i, "".join(chr(0x600 + c) for c in t), "xa") for i, t in enumerate(tail)]
+    rows += [(2000 + i, "".join(chr(0x640 + c) for c in t), "xb") for i, t in enumerate(tail)]
+    got = {r.doc_id: r.lang_pred for r in ppm.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 def test_code_lengths_equal_a_slow_scorer(monkeypatch):
     rnd = random.Random(5)
     text = "".join(rnd.choice("abc de") for _ in range(400)).encode()

@@ -9,9 +9,15 @@ empty context every symbol is equally likely. Since the statistics are frozen, t
 distribution of each kept context is computed once, and scoring a text is one table look-up
 per byte and language. The language with the shortest total code length wins.
 
+Every ``lang`` value with a text outside the held-out fold is learned, however rare, with
+an alphabet of all bytes it uses; the bytes it never uses are one symbol, whose share is
+divided equally among them.
+
 ``MAX_FIT_DOCS`` documents per language (chosen by hash) bound the fit; ``MAX_CONTEXTS``
-contexts per order and language bound the tables that are broadcast: languages x
-(128**3 index entries x 2 B + (2 * MAX_CONTEXTS + 129) x 128 x 4 B).
+contexts per order and language bound its tables: with n symbols (at most 217), n**3 index
+entries x 2 B + (2 * MAX_CONTEXTS + n + 1) x n x 4 B. Languages are learned, broadcast and
+scored in blocks of ``BLOCK_LANGUAGES``: a worker holds one block and ``BUFFER_BYTES`` of
+texts at a time and keeps the best code length and the sum for the score.
 
 Defined results: a null text or one without any letter is ``und`` with score 0, and so is
 every text if nothing was learned; a text's repeats get equal rows; texts are scored
@@ -21,7 +27,7 @@ are read. Ties go to the alphabetically first language.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +36,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidepanel.llm.shingle import collected, utf8
+from tidepanel.session import materialize
 
 ORDER = 3
 SYMBOLS = 128
 MAX_FIT_DOCS = 1500
 MAX_CONTEXTS = 12_000
-MAX_LANGUAGES = 64
+BLOCK_LANGUAGES = 16
 FOLDS = 5
 CHUNK_BYTES = 1 << 20
+BUFFER_BYTES = 32 << 20  # of texts scored with one block before the next is loaded
 RAW_BITS = 8.0  # bits per byte of an uncoded text
 
 
@@ -46,7 +54,7 @@ class Model:
     """``bits[l]`` rows of code lengths; ``rows[l]`` maps a packed context to its row."""
 
     languages: list[str]
-    alphabet: np.ndarray  # byte -> symbol
+    alphabet: np.ndarray  # byte -> symbol, for all languages or one row per language
     rows: list[np.ndarray]
     bits: list[np.ndarray]
 
@@ -87,27 +95,36 @@ def _count_bytes(batches: Iterator):
                     [pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def _tables(grams: np.ndarray, n: np.ndarray, alphabet: np.ndarray, max_contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context index and code lengths of one language from its four-byte gram counts."""
+def _tables(grams: np.ndarray, n: np.ndarray, alphabet: np.ndarray, max_contexts: int,
+            uniform: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Context index and code lengths of one language from its four-byte gram counts.
+
+    ``uniform`` holds each symbol's share below the empty context (equal shares of
+    ``SYMBOLS`` unless given).
+    """
     s = [alphabet[(grams >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-    uniform = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    probs = np.empty((1 + SYMBOLS + 2 * max_contexts, SYMBOLS))
+    uniform = np.full(SYMBOLS, 1.0 / SYMBOLS) if uniform is None else uniform
+    symbols = len(uniform)
+    probs = np.empty((1 + symbols + 2 * max_contexts, symbols))
     used = 0
-    index = np.zeros(SYMBOLS ** ORDER, dtype=np.uint16 if len(probs) <= 1 << 16 else np.int32)
+    index = np.zeros(symbols ** ORDER, dtype=np.uint16 if len(probs) <= 1 << 16 else np.int32)
     row_of: dict[tuple[int, int], int] = {}  # (order, packed context) -> row
     for order in range(ORDER + 1):
         context = np.zeros_like(s[0])
         for j in range(3 - order, 3):
-            context = context * SYMBOLS + s[j]
+            context = context * symbols + s[j]
         keys, inverse = np.unique(context, return_inverse=True)
-        counts = np.zeros((len(keys), SYMBOLS))
-        np.add.at(counts, (inverse, s[3]), n)
-        total = counts.sum(1)
-        if len(keys) > max_contexts:  # the most frequent contexts are kept; others use their suffix
-            keep = np.sort(np.argsort(-total, kind="stable")[:max_contexts])
-            keys, counts, total = keys[keep], counts[keep], total[keep]
+        total = np.bincount(inverse, weights=n, minlength=len(keys))
+        # the most frequent contexts are kept; others use their suffix
+        keep = np.sort(np.argsort(-total, kind="stable")[:max_contexts]) if len(keys) > max_contexts else np.arange(len(keys))
+        place = np.full(len(keys), -1)
+        place[keep] = np.arange(len(keep))
+        keys, total = keys[keep], total[keep]
+        at = place[inverse]
+        counts = np.zeros((len(keys), symbols))
+        np.add.at(counts, (at[at >= 0], s[3][at >= 0]), n[at >= 0])
         for key, c, t in zip(keys.tolist(), counts, total, strict=True):
-            below = uniform if order == 0 else probs[_suffix_row(row_of, key, order)]
+            below = uniform if order == 0 else probs[_suffix_row(row_of, key, order, symbols)]
             seen = c > 0
             d = int(seen.sum())
             p = c / (t + d)
@@ -118,79 +135,98 @@ def _tables(grams: np.ndarray, n: np.ndarray, alphabet: np.ndarray, max_contexts
                 p = c / t
             row_of[order, key] = used
             # the context claims its slice of the packed three-symbol index
-            index[key::SYMBOLS ** order] = used
+            index[key::symbols ** order] = used
             probs[used] = p
             used += 1
     return index, (-np.log2(probs[:used])).astype(np.float32)
 
 
-def _suffix_row(row_of: dict[tuple[int, int], int], key: int, order: int) -> int:
+def _suffix_row(row_of: dict[tuple[int, int], int], key: int, order: int, symbols: int) -> int:
     """Row of the longest kept proper suffix of a context."""
     for o in range(order - 1, -1, -1):
-        row = row_of.get((o, key % SYMBOLS ** o))
+        row = row_of.get((o, key % symbols ** o))
         if row is not None:
             return row
     raise KeyError(key)  # the empty context is always kept
 
 
+def _language(grams: np.ndarray, n: np.ndarray, max_contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Alphabet, context index and code lengths of one language over all its bytes."""
+    own = np.unique(np.concatenate([np.unique((grams >> shift) & 255) for shift in (24, 16, 8, 0)]))
+    every = np.unique(FOLD)
+    other = len(every) - len(own)  # bytes this language never uses: the last symbol
+    alphabet = np.full(256, len(own), dtype=np.uint8)
+    alphabet[own] = np.arange(len(own))
+    uniform = np.full(len(own) + (other > 0), 1.0 / len(every))
+    if other:
+        uniform[-1] = other / len(every)
+    rows, bits = _tables(grams, n, alphabet, max_contexts, uniform)
+    if other:
+        bits[:, -1] += np.float32(np.log2(other))
+    return alphabet[FOLD], rows, bits
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        max_docs: int = MAX_FIT_DOCS, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """Frozen models of all languages, learned from documents outside the held-out fold."""
+        max_docs: int = MAX_FIT_DOCS, max_contexts: int = MAX_CONTEXTS) -> Iterator[Model]:
+    """Frozen models of all languages in order, a block at a time, learned from documents outside the held-out fold."""
     d = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
                     F.col(id_col).alias("id")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = [(r["lang"], min(1.0, max_docs / r["n"])) for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()]  # one row per language
     if not sizes:
-        return Model([], np.zeros(256, np.uint8), [], [])
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, max_docs / n)).otherwise(share)
+        return
+    sizes.sort()
+    shares = docs.sparkSession.createDataFrame(sizes, "lang string, share double")
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    grams = collected(d.where(draw < share).select("text", "lang").mapInArrow(_count_bytes, "lang string, gram long, n long")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))  # bounded by the sample
-    seen = np.zeros(256)
-    np.add.at(seen, grams["gram"] & 255, grams["n"])
-    alphabet = np.full(256, SYMBOLS - 1, dtype=np.uint8)  # the last symbol: all other bytes
-    for rank, byte in enumerate(np.argsort(-seen, kind="stable")[:SYMBOLS - 1]):
-        if seen[byte]:
-            alphabet[byte] = rank
-    model = Model([], alphabet[FOLD], [], [])
-    for lang in sorted(sizes):
-        own = grams["lang"] == lang
-        if own.any():
-            rows, bits = _tables(grams["gram"][own], grams["n"][own], alphabet, max_contexts)
-            model.languages.append(lang)
-            model.rows.append(rows)
-            model.bits.append(bits)
-    return model
+    counted = (d.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("text", "lang").mapInArrow(_count_bytes, "lang string, gram long, n long")
+               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))  # bounded by the sample
+    if len(sizes) > BLOCK_LANGUAGES:
+        counted = materialize(counted, "ppm_grams")
+    for first in range(0, len(sizes), BLOCK_LANGUAGES):
+        block = [lang for lang, _ in sizes[first:first + BLOCK_LANGUAGES]]
+        grams = collected(counted.where(F.col("lang").isin(block)))
+        model, alphabets = Model([], np.empty(0), [], []), []
+        for lang in block:
+            own = grams["lang"] == lang
+            if own.any():
+                alphabet, rows, bits = _language(grams["gram"][own], grams["n"][own], max_contexts)
+                model.languages.append(lang)
+                alphabets.append(alphabet)
+                model.rows.append(rows)
+                model.bits.append(bits)
+        if alphabets:
+            model.alphabet = np.stack(alphabets)
+            yield model
 
 
 def code_lengths(model: Model, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Bits of every text (rows) under every language (columns)."""
     total = np.zeros((len(off) - 1, len(model.languages)))
-    size = np.diff(off)
-    pad = model.alphabet[32]
-    # chunks of bounded size; a chunk carries the three symbols before it
+    first = off[:-1][np.diff(off) > 0]
+    # chunks of bounded size; a chunk carries the three bytes before it
     for a in range(0, len(raw), CHUNK_BYTES):
         b = min(len(raw), a + CHUNK_BYTES)
         lead = min(a, ORDER)
-        s = model.alphabet[raw[a - lead:b]].astype(np.int32)
-        s = np.concatenate([np.full(ORDER - lead, pad, np.int32), s])
-        c = [s[:-3].copy(), s[1:-2].copy(), s[2:-1].copy()]
-        first = off[:-1][size > 0]
-        for j in range(ORDER):  # the context of a text's first bytes is padding
-            at = first + j
-            at = at[(at >= a) & (at < b)] - a
-            for k in range(ORDER - j):
-                c[k][at] = pad
-        ctx = (c[0] << 14) | (c[1] << 7) | c[2]
         lo = np.searchsorted(off, a, side="right") - 1
         hi = np.searchsorted(off, b, side="left")
         cuts = np.clip(off[lo:hi], a, b) - a
+        ends = np.append(cuts[1:], b - a)
+        starts = first[(first > a - ORDER) & (first < b)]
         for m in range(len(model.languages)):
-            cost = model.bits[m].ravel()[model.rows[m][ctx].astype(np.int32) * SYMBOLS + s[3:]].astype(np.float64)
+            if m == 0 or model.alphabet.ndim > 1:
+                alphabet = model.alphabet if model.alphabet.ndim == 1 else model.alphabet[m]
+                symbols, pad = model.bits[m].shape[1], int(alphabet[32])
+                s = alphabet[raw[a - lead:b]].astype(np.int32)
+                s = np.concatenate([np.full(ORDER - lead, pad, np.int32), s])
+                c = [s[:-3].copy(), s[1:-2].copy(), s[2:-1].copy()]
+                for j in range(ORDER):  # the context of a text's first bytes is padding
+                    at = starts + j
+                    at = at[(at >= a) & (at < b)] - a
+                    for k in range(ORDER - j):
+                        c[k][at] = pad
+                ctx = (c[0] * symbols + c[1]) * symbols + c[2]
+            cost = model.bits[m].ravel()[model.rows[m][ctx].astype(np.int32) * symbols + s[3:]].astype(np.float64)
             run = np.concatenate([[0.0], np.cumsum(cost)])
-            ends = np.append(cuts[1:], b - a)
             total[lo:hi, m] += run[ends] - run[cuts]
     return total
 
@@ -206,40 +242,65 @@ def _has_letter(off: np.ndarray, raw: np.ndarray, texts) -> np.ndarray:
     return found
 
 
-def _scorer(shared, field: str | None):
-    def run(batches: Iterator):
+def _scorer(blocks: list, field: str | None):
+    def score(batches: list):
         import pyarrow as pa
 
-        model = shared.value
+        sets = []
         for batch in batches:
-            kept = batch.column(0)
-            texts = batch.column(1) if field is None else kept.field(field)
+            texts = batch.column(1) if field is None else batch.column(0).field(field)
             off, raw = utf8(texts)
-            known = _has_letter(off, raw, texts)
-            langs, scores, rates = [], [], []
-            bits = code_lengths(model, off, raw)
-            for i in range(len(off) - 1):
-                if not known[i] or not model.languages:
-                    langs.append("und"), scores.append(0.0), rates.append(None)
-                    continue
-                best = int(np.argmin(bits[i]))
-                worse = np.minimum(bits[i] - bits[i, best], 1000.0)
-                langs.append(model.languages[best])
-                scores.append(float(1.0 / np.exp2(-worse).sum()))
-                rates.append(float(bits[i, best] / (off[i + 1] - off[i])))
+            n = len(off) - 1
+            # best language, its bits, and the sum of 2**-(bits - best) over all languages
+            sets.append((off, raw, _has_letter(off, raw, texts), np.full(n, "", dtype=object), np.full(n, np.inf), np.zeros(n)))
+        for block in blocks:
+            model = block.value
+            for off, raw, _, lang, best, total in sets:
+                bits = code_lengths(model, off, raw)
+                low = bits.min(1)
+                lang[low < best] = np.array(model.languages, dtype=object)[bits.argmin(1)[low < best]]
+                least = np.minimum(low, best)
+                total *= np.exp2(-np.minimum(best - least, 1000.0))
+                total += np.exp2(-np.minimum(bits - least[:, None], 1000.0)).sum(1)
+                best[:] = least
+            if len(blocks) > 1:
+                del model
+                _forget(block)
+        for batch, (off, _, known, lang, best, total) in zip(batches, sets, strict=True):
+            known = known & bool(blocks)
+            size = np.maximum(np.diff(off), 1)
             yield pa.RecordBatch.from_arrays(
-                [kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
+                [batch.column(0), pa.array([x if k else "und" for x, k in zip(lang, known, strict=True)], pa.string()),
+                 pa.array([float(1.0 / t) if k else 0.0 for t, k in zip(total, known, strict=True)], pa.float64()),
+                 pa.array([float(x) if k else None for x, k in zip(best / size, known, strict=True)], pa.float64())],
                 names=["kept", "lang_pred", "score", "bits_per_byte"])
+
+    def run(batches: Iterator):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if len(blocks) <= 1 or size >= BUFFER_BYTES:
+                yield from score(held)
+                held, size = [], 0
+        if held:
+            yield from score(held)
     return run
 
 
-def predict(docs: DataFrame, model: Model, keep: Column, text_col: str = "text", field: str | None = None) -> DataFrame:
+def _forget(block) -> None:
+    """Drops a worker's copy of a broadcast value; it is read again from the worker's file."""
+    if getattr(block, "_path", None) is not None and hasattr(block, "_value"):
+        del block._value
+
+
+def predict(docs: DataFrame, models: Iterable[Model], keep: Column, text_col: str = "text", field: str | None = None) -> DataFrame:
     """``kept, lang_pred, score, bits_per_byte``: the prediction beside one kept value.
 
     If the kept value is a struct that holds the text, ``field`` names it there, and the
     text is sent once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in models]  # one block at a time on the driver
     texts = [] if field else [F.col(text_col).cast("string").alias("_text")]
     d = docs.select(keep.alias("kept"), *texts)
     schema = StructType([d.schema["kept"], StructField("lang_pred", StringType()), StructField("score", DoubleType()),
@@ -249,8 +310,8 @@ def predict(docs: DataFrame, model: Model, keep: Column, text_col: str = "text",
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits_per_byte`` of every document."""
-    model = fit(docs, id_col, text_col, lang_col)
-    return predict(docs, model, F.col(id_col), text_col).select(
+    models = fit(docs, id_col, text_col, lang_col)
+    return predict(docs, models, F.col(id_col), text_col).select(
         F.col("kept").alias("doc_id"), held_out(F.col("kept")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
