@@ -149,3 +149,13 @@ def test_pii_learns_and_redacts(spark):
     assert out[100].text == rows[30][1]
     assert out[200].text is None and out[201].text == "" and out[0].spans == "y"
     assert pii.redact(frame(spark, [])).count() == 0
+
+
+def test_pii_redacts_long_secrets(spark):
+    rnd = random.Random(8)
+    secret = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789_") for _ in range(n))
+    rows = [(i, f'plain words, token = "{secret(n)}" and more.') for i, n in enumerate([40, 128, 129, 400, 100000] * 6)]
+    rows += [(100 + i, "an-ordinary-long-hyphenated-compound-word stays") for i in range(30)]
+    out = {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}
+    assert {out[i] for i in range(30)} == {'plain words, token = "<SECRET>" and more.'}
+    assert out[100] == rows[30][1]

@@ -43,7 +43,7 @@ BASE = [
 
 # Candidate kinds: loose pattern, strict form, gazetteer (known starts), context words.
 CANDIDATES = [
-    ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}+(?![A-Za-z0-9_-])", r"(?:[0-9a-f]{32,64}|[A-Za-z0-9_]{36,})",
+    ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])", r"(?:[0-9a-f]{32,64}|[A-Za-z0-9_]{36,})",
      r"(?:sk|pk|ghp|gho|xox[bp]|AKIA|eyJ)[A-Za-z0-9_-]*", r"(?i)(?:token|key|secret|password|passwd|pwd|api|auth|bearer)\W{0,5}$"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}",
      r"[0-8][0-9]{2}-.*", r"(?i)(?:ssn|social|security|tax|number|no\.?)\W{0,5}$"),
