@@ -76,6 +76,20 @@ def test_pages_keep_the_article_and_nothing_else(spark):
         assert pages.main_text(hidden, model) == r.text
 
 
+def test_page_model_does_not_depend_on_batches(spark):
+    table = spark.createDataFrame([(i, "u", PAGE.replace("content", f"c{i}") + f"<article><p>Story {i}, long enough to be one.</article>") for i in range(40)],
+                                  "page_id long, url string, html string")
+    assert pages.train(table.coalesce(1)) == pages.train(table.orderBy(F.desc("page_id")).coalesce(1)) == pages.train(table.repartition(7))
+
+
+def test_copies_of_a_page_are_drawn_one_by_one(spark):
+    drawn = []
+    for k in range(4):
+        table = spark.createDataFrame([(i, "u", f"<article><p>Story {k}, one for all.</article>") for i in range(1000)], "page_id long, url string, html string")
+        drawn.append(pages.train(table, max_pages=300) != pages.train(table.limit(0)))
+    assert all(drawn)
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>open"), (4, "u", "<!-- never closed <p>x"), (5, "u", "<script>never closed"),
             (6, "u", "a < b &amp; c"), (7, "u", "<div>" * 3000 + "deep" + "</div>" * 3000), (7, "u", "</p></x></div>"), (None, "u", "<a href='<>'>x")]
@@ -279,6 +293,12 @@ def test_rare_bytes_tell_languages_apart(spark):
     assert all(got[i] == lang for i, _, lang in rows)
 
 
+def test_copies_are_drawn_one_by_one(spark):
+    rows = [(1000 * k + i, f"the one text of language {k} that all rows repeat", f"l{k:02d}") for k in range(12) for i in range(100)]
+    models = ppm.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=10)
+    assert [lang for m in models for lang in m.languages] == sorted({r[2] for r in rows})
+
+
 def test_code_lengths_equal_a_slow_scorer(monkeypatch):
     rnd = random.Random(5)
     text = "".join(rnd.choice("abc de") for _ in range(400)).encode()

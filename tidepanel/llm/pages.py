@@ -178,12 +178,12 @@ def _count(batches: Iterator):
 
     for frame in batches:
         seen: Counter = Counter()
-        for number, source in enumerate(frame["html"]):
+        for source, hide in zip(frame["html"], frame["hide"], strict=True):
             page = Page(source or "")
             label = markup_labels(page)
             if label is None:
                 continue
-            for i, values in enumerate(features(page, hide=bool(number % 2))):
+            for i, values in enumerate(features(page, hide=bool(hide))):
                 for f in values:
                     seen[f, label[i]] += 1
                 if i:
@@ -191,12 +191,16 @@ def _count(batches: Iterator):
         yield pd.DataFrame([(f, y, n) for (f, y), n in seen.items()], columns=["feature", "label", "n"])
 
 
-def train(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_FIT_PAGES) -> dict[str, tuple[float, float]]:
+def train(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_FIT_PAGES,
+          id_col: str = "page_id") -> dict[str, tuple[float, float]]:
     """Potentials (not content, content) of every feature value and parent label."""
-    d = pages.select(F.col(html_col).cast("string").alias("html")).where(F.col("html").isNotNull())
+    # the hash draws each copy of a page by itself, whatever its file or batch; another bit hides its tag
+    key = F.xxhash64(F.col(id_col), F.col(html_col).cast("string"))
+    d = pages.select(F.col(html_col).cast("string").alias("html"), key.alias("key")).where(F.col("html").isNotNull())
     total = d.count()
     share = min(1.0, max_pages / max(1, total))
-    drawn = d.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < share * (1 << 20))
+    drawn = d.where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20))
+    drawn = drawn.select("html", F.shiftright("key", 20).bitwiseAND(1).alias("hide"))
     rows = drawn.mapInPandas(_count, "feature string, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
     seen = {(r["feature"], r["label"]): float(r["n"]) for r in rows}  # at most two rows per feature value
     names = set(PRIORS) | {f for f, _ in seen} | set(EDGES)
@@ -271,7 +275,7 @@ def main_text(source: str, model: dict[str, tuple[float, float]]) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    shared = pages.sparkSession.sparkContext.broadcast(train(pages, html_col))
+    shared = pages.sparkSession.sparkContext.broadcast(train(pages, html_col, id_col=id_col))
 
     def run(batches):
         import pyarrow as pa

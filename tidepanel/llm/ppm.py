@@ -13,7 +13,7 @@ Every ``lang`` value with a text outside the held-out fold is learned, however r
 an alphabet of all bytes it uses; the bytes it never uses are one symbol, whose share is
 divided equally among them.
 
-``MAX_FIT_DOCS`` documents per language (chosen by hash) bound the fit; ``MAX_CONTEXTS``
+``MAX_FIT_DOCS`` documents per language (chosen by hash of id and text, so copies are drawn one by one) bound the fit; ``MAX_CONTEXTS``
 contexts per order and language bound its tables: with n symbols (at most 217), n**3 index
 entries x 2 B + (2 * MAX_CONTEXTS + n + 1) x n x 4 B. Languages are learned, broadcast and
 scored in blocks of ``BLOCK_LANGUAGES``: a worker holds one block and ``BUFFER_BYTES`` of
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return
     sizes.sort()
     shares = docs.sparkSession.createDataFrame(sizes, "lang string, share double")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
     counted = (d.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("text", "lang").mapInArrow(_count_bytes, "lang string, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))  # bounded by the sample
     if len(sizes) > BLOCK_LANGUAGES:
