@@ -45,4 +45,4 @@ def test_stages_on_empty_and_null_tables(spark, rows):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import chat, hilbert, licenses, packing, pages, pii, ppm, quality, sigtree, winnow
+from tidepanel.llm import audit, chat, hilbert, licenses, packing, pages, pii, ppm, quality, runs, sigtree, toxicity, winnow
 from tidepanel.llm.text import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,50 @@ def op10(spark, sf_dir):
 def op3(spark, sf_dir):
     """Main text of every page."""
     return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_toxicity")
+def op11(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+AUDIT_SQL = f"""
+WITH l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {SQL_SPACE.format('text')} AS w FROM documents),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)}} AS f
+      FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+m AS (SELECT part, [f.A, f.B, f.C, f.D, f.E] AS bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, filter_order[k] AS letter, strpos('ABCDE', filter_order[k]) AS i,
+             list_transform(range(1, k), lambda j: strpos('ABCDE', filter_order[j])) AS before FROM o, range(1, 6) r(k)),
+r AS (SELECT part, filter_order, step, letter, sum(n) AS total,
+        coalesce(sum(n) FILTER (WHERE bad[i] AND len(list_filter(before, lambda j: bad[j])) = 0), 0) AS removed,
+        coalesce(sum(n) FILTER (WHERE bad[i] AND len(list_filter(before, lambda j: bad[j])) > 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (WHERE bad[i] AND len(list_filter(bad, lambda y: y)) = 1), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (WHERE bad[i] AND len(list_filter(before, lambda j: bad[j])) = 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (WHERE bad[i] AND len(list_filter(before, lambda j: bad[j])) = 0), 0) AS toxic_lost
+      FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(total - sum(removed) OVER (PARTITION BY part, filter_order ORDER BY step) AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark, sf_dir):
+    """What every step of every order of five filters removes, by source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    """Periodic runs of words in every document."""
+    return runs.detect(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
