@@ -8,7 +8,9 @@ Update strategies keep the tree structure in Spark tables:
 
 - ``refit``: leaf values re-estimated on new rows, tree by tree (each tree sees the
   residual of the already refreshed trees), blended ``decay·old + (1-decay)·new``;
-  a leaf table (tree, leaf, value) has at most ``trees x 2^depth`` rows.
+  a leaf table (tree, leaf, value) has at most ``trees x 2^depth`` rows. The walk-forward
+  takes the one-pass form of :mod:`tidepanel.plans.leaf_stats`; ``refit`` here reads the rows
+  once per tree and stands for its definition.
 - ``continue``: a small booster fitted on the residual of the current model; the
   prediction is the sum of the stages.
 - ``retrain``: a fresh fit on the expanding history at each update boundary.
@@ -17,7 +19,6 @@ Update strategies keep the tree structure in Spark tables:
 from __future__ import annotations
 
 import os
-import re
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
@@ -129,17 +130,23 @@ def predict(model: TreeModel, df: DataFrame, out: str = "prediction") -> DataFra
     return pred.withColumnRenamed("_base", out).drop("features")
 
 
+def _leaf_values(node) -> list[float]:
+    """Predictions of the leaves below a node, from left to right."""
+    if node.subtreeDepth() == 0:
+        return [float(node.prediction())]
+    return _leaf_values(node.leftChild()) + _leaf_values(node.rightChild())
+
+
 def leaf_table(model: TreeModel, spark: SparkSession) -> DataFrame:
     """(tree, leaf, value, weight, contribution) of every leaf of the booster.
 
-    Read from the trees themselves, so leaves that no current row reaches keep their
+    Read from the nodes of the trees, so leaves that no current row reaches keep their
     value. Leaves are numbered from left to right, as the leaf column does.
     """
     rows = []
     for t, tree in enumerate(model.base.trees):
         w = float(model.base.treeWeights[t])
-        values = [float(v) for v in re.findall(r"Predict: (\S+)", tree.toDebugString)]
-        rows += [(t, float(i), v, w, w * v) for i, v in enumerate(values)]
+        rows += [(t, float(i), v, w, w * v) for i, v in enumerate(_leaf_values(tree._java_obj.rootNode()))]
     return spark.createDataFrame(rows, "tree int, leaf double, value double, weight double, contribution double")
 
 
@@ -239,7 +246,8 @@ def walk_forward(df: DataFrame, features: list[str], split, variant: str, cadenc
         if v > 0:
             new = df.where(F.col(DATE).between(days[lo - step], days[lo - 1]))
             if variant == "refit":
-                model = refit(model, new, decay, target, weight)
+                from tidepanel.plans import leaf_stats
+                model = leaf_stats.refit(model, new, decay, target, weight)
             elif variant == "continue":
                 model = continue_training(model, new, continue_rounds, params, target, weight)
             elif variant == "retrain":

@@ -1094,6 +1094,30 @@ def baseline_run(spark, sf):
     return _gbt_summary(preds, "full", 0, n)
 
 
+from tidepanel.plans import leaf_stats as LS  # noqa: E402
+
+
+@query("gbt_refit_versions")
+def gbt_refit_versions(spark, sf):
+    """Leaf refits every 5 test days and their scores, from one aggregation."""
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    train = p.where(F.col("date_id").between(ns.train.train_start, ns.train.train_end))
+    out = LS.refit_walk_forward(GB.fit(train, PANEL_FEATURES, GBT_PARAMS), p, ns, 5)
+    return out.select("version", "n_rows", r6(F.col("r2")).alias("r2"))
+
+
+@query("gbt_early_stopping")
+def gbt_early_stopping(spark, sf):
+    """Weighted loss of every prefix of the booster on the holdout; the best is restored."""
+    p = panel(spark, sf)
+    ns = _bounds(p)
+    train = p.where(F.col("date_id").between(ns.train.train_start, ns.train.train_end))
+    es = p.where(F.col("date_id").between(ns.es_start, ns.es_end))
+    _, history = LS.fit_early_stopping(train, es, PANEL_FEATURES, GBT_PARAMS, 3)
+    return history.select("round", r6(F.col("loss")).alias("loss"), r6(F.col("r2")).alias("r2"), "is_best")
+
+
 # ------------------------------------------------------------------ multi-target and online
 from tidepanel.plans import multitarget as MT  # noqa: E402
 
@@ -1150,6 +1174,62 @@ def online_validation(spark, sf):
     return s.select("variant", "cadence", "n_updates", "test_days", "test_rows", r6(F.col("score")).alias("score"))
 
 
+from tidepanel.plans import epochs as EP  # noqa: E402
+
+EPOCHS = EP.EpochConfig(epochs=12, patience=2, lr=0.004, lr_refit=0.002, weight_decay=0.01, grad_clip=0.5, optimizer="sgd")
+
+
+def _epochs_sql() -> str:
+    """Gradient steps day by day for several epochs, validated on a copy, in plain SQL."""
+    e = EPOCHS
+
+    def step(beta, day, lr):
+        g = f"2 * ({day}.a * {beta} - {day}.b) / greatest({day}.c, 1e-6)"
+        return f"{beta} * (1 - {lr} * {e.weight_decay}) - {lr} * greatest(-{e.grad_clip}, least({e.grad_clip}, {g}))"
+
+    sse = "{1}.c - 2 * {0} * {1}.b + {0} * {0} * {1}.a".format
+    panel = PANEL.replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{panel}, {_BOUNDS_CTE}, {_D1},
+tr AS (SELECT row_number() OVER (ORDER BY date_id) AS k, a, b, c FROM ti WHERE fold = 'train'),
+es AS (SELECT row_number() OVER (ORDER BY date_id) AS k, a, b, c FROM ti WHERE fold = 'es'),
+te AS (SELECT row_number() OVER (ORDER BY date_id) AS k, a, b, c, n FROM ti WHERE fold = 'test'),
+last AS (SELECT count(*) AS m FROM tr),
+walk AS (SELECT 1 AS epoch, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS beta, CAST(0 AS DOUBLE) AS loss
+  UNION ALL SELECT CASE WHEN walk.k = m THEN walk.epoch + 1 ELSE walk.epoch END, tr.k, {step('walk.beta', 'tr', e.lr)},
+    ({sse('walk.beta', 'tr')}) / greatest(tr.c, 1e-6)
+  FROM walk, last JOIN tr ON tr.k = CASE WHEN walk.k = m THEN 1 ELSE walk.k + 1 END WHERE walk.epoch < {e.epochs} OR walk.k < m),
+val AS (SELECT epoch, CAST(0 AS BIGINT) AS k, beta, CAST(0 AS DOUBLE) AS sse, CAST(0 AS DOUBLE) AS sst FROM walk, last WHERE walk.k = m
+  UNION ALL SELECT val.epoch, es.k, {step('val.beta', 'es', e.lr_refit)}, val.sse + {sse('val.beta', 'es')}, val.sst + es.c
+  FROM val JOIN es ON es.k = val.k + 1),
+sc AS (SELECT epoch, 1 - sse / sst AS score FROM val WHERE k = (SELECT max(k) FROM es)),
+top AS (SELECT epoch, score, max(score) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sc),
+led AS (SELECT epoch, score, max(CASE WHEN before IS NULL OR score > before THEN epoch END) OVER (ORDER BY epoch) AS best FROM top),
+ran AS (SELECT * FROM led WHERE epoch <= coalesce((SELECT min(epoch) FROM led WHERE epoch - best >= {e.patience} + 1), {e.epochs})),
+hist AS (SELECT ran.epoch, (SELECT avg(loss) FROM walk WHERE walk.epoch = ran.epoch AND walk.k > 0) AS train_loss, score,
+  ran.epoch = (SELECT max(best) FROM ran) AS is_best, (SELECT beta FROM walk, last WHERE walk.epoch = ran.epoch AND walk.k = m) AS beta FROM ran),
+live AS (SELECT CAST(0 AS BIGINT) AS k, beta, CAST(0 AS DOUBLE) AS sse, CAST(0 AS DOUBLE) AS sst FROM hist WHERE is_best
+  UNION ALL SELECT te.k, {step('live.beta', 'te', e.lr_refit)}, live.sse + {sse('live.beta', 'te')}, live.sst + te.c
+  FROM live JOIN te ON te.k = live.k + 1)"""
+
+
+@query("wls_epochs", f"""{_epochs_sql()}
+SELECT CAST(epoch AS BIGINT) AS epoch, round(train_loss, 6) AS train_loss, round(score, 6) AS valid_score, is_best, round(beta, 6) AS beta FROM hist""")
+def wls_epochs(spark, sf):
+    """Epochs of daily gradient steps with online validation and patience."""
+    h = EP.epoch_history(_prep(spark, sf), EPOCHS)
+    return h.select("epoch", r6(F.col("train_loss")).alias("train_loss"), r6(F.col("valid_score")).alias("valid_score"), "is_best",
+                    r6(F.element_at("beta", 1)).alias("beta"))
+
+
+@query("wls_epochs_score", f"""{_epochs_sql()}
+SELECT CAST((SELECT epoch FROM hist WHERE is_best) AS BIGINT) AS best_epoch, CAST((SELECT count(*) FROM hist) AS BIGINT) AS n_epochs,
+  CAST((SELECT count(*) FROM te) - 1 AS BIGINT) AS n_updates, CAST((SELECT count(*) FROM te) AS BIGINT) AS test_days,
+  CAST((SELECT sum(n) FROM te) AS BIGINT) AS test_rows, round(1 - sse / sst, 6) AS score FROM live WHERE k = (SELECT max(k) FROM te)""")
+def wls_epochs_score(spark, sf):
+    """The restored epoch's model over the test block, one step a day."""
+    return EP.epoch_walk_forward(_prep(spark, sf), EPOCHS).withColumn("score", r6(F.col("score")))
+
+
 @query("walk_forward_wide")
 def walk_forward_wide(spark, sf):
     """K13 + K10: the full model-input chain (lags, market averages, rolling mean/std of
@@ -1237,6 +1317,17 @@ def stream_predict_update(spark, sf):
     return out.withColumns({c: r6(F.col(c)) for c in ("prediction",)})
 
 
+from tidepanel.streaming import walk_forward as SWF  # noqa: E402
+
+
+@query("stream_walk_forward", _wf_one("retrain", 5))
+def stream_walk_forward(spark, sf):
+    """The expanding-retrain walk-forward on a stream of panel rows."""
+    p = panel(spark, sf).select(*ID_COLUMNS, "weight", "responder_6", WF_X)
+    out = SWF.stream_walk_forward(spark, SWF.stage_panel(p), p.schema, _wf_cfg(), _bounds(p), 5)
+    return SWF.summary(spark, out, _wf_cfg(), 5).withColumn("score", r6(F.col("score")))
+
+
 # ------------------------------------------------------------------ survey keys served by a dedicated query
 @query("over_clip", f"""{PANEL}, {_BOUNDS_CTE}, {_D1}, {_betas_sql('full', 1)}
 SELECT CAST(count(*) FILTER (WHERE abs(beta.beta * panel.{WF_X}) > 5) AS BIGINT) AS n_over_clip,
