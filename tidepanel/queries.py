@@ -130,7 +130,7 @@ def schema_presence(spark, sf):
 _lag_cols = ", ".join(f"l.{r} AS {r}_lag_1" for r in RESPONDER_COLUMNS)
 
 
-@query("responder_lag", f"""{PANEL}
+@query("responder_lag", f"""{PANEL.replace(" AS (", " AS MATERIALIZED (", 1)}
 SELECT p.date_id, p.time_id, p.symbol_id, p.responder_6, {_lag_cols}
 FROM panel p LEFT JOIN panel l
   ON l.date_id + 1 = p.date_id AND l.time_id = p.time_id AND l.symbol_id = p.symbol_id""")
