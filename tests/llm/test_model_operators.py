@@ -204,7 +204,40 @@ def test_components_with_repeated_and_null_ids(spark):
     assert sigtree.link_components(docs(spark, [])).count() == 0
     kept = sigtree.keep_representatives(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [5, 11]
+    # a row without an id stays only where no identified row has the text or a linked one
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(5, a), (5, b), (None, "quite another text here"), (11, None)}
+    dotted = docs(spark, rows).withColumnRenamed("source", "a.b`c")
+    assert sigtree.keep_representatives(dotted).count() == kept.count() == 4
+
+
+def test_rows_of_one_id_with_equal_set_sizes_keep_their_links(spark):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice("abcdefghij") + str(rnd.randint(0, 999))
+    rows = []
+    for i in range(30):
+        two = [[word() for _ in range(60)] for _ in range(2)]
+        rows += [(i, " ".join(t)) for t in two]
+        rows += [(1000 + 2 * i + k, " ".join([*t[:-2], word(), word(), word()])) for k, t in enumerate(two)]
+    got = {r.doc_id: r.component_id for r in sigtree.link_components(docs(spark, rows)).collect()}
+    assert all(got[1000 + 2 * i + k] == i for i in range(30) for k in range(2))
+
+
+def test_near_copies_cost_their_number_of_pairs(spark, monkeypatch):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randint(0, 9999)}" for _ in range(120)]
+    rows = [(i, " ".join(w if rnd.random() > 0.018 else f"v{rnd.randint(0, 9999)}" for w in base)) for i in range(300)]
+    made, kept = [], sigtree.materialize
+
+    def counting(df, name):
+        out = kept(df, name)
+        if name == "sigtree_pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(sigtree, "materialize", counting)
+    got = {r.doc_id: r.component_id for r in sigtree.link_components(docs(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in brute.link_components(rows).items()}
+    assert len(made) == 3 and all(m <= 2 * len(rows) for m in made), made
 
 
 def test_shingle_sets_match_plain_shingles():
@@ -222,7 +255,7 @@ def test_traversal_misses_no_pair_above_the_threshold():
     sets = [np.unique(np.where(rnd.random(300) < rnd.choice([0, 0.02, 0.1, 0.9]), rnd.integers(0, 1 << 63, 300, dtype=np.uint64), base)[:rnd.integers(200, 300)]) for _ in range(150)]
     bits = sigtree._fold([sigtree.bitmap(s).tobytes() for s in sets], min(len(sigtree.bitmap(s)) for s in sets))
     tree = sigtree.Tree(np.array(list(map(len, sets))), bits)
-    found = {(i, int(j)) for i, js in sigtree.traverse(tree, tree, 85) for j in js}
+    found = {(i, int(j)) for i, js, _ in sigtree.traverse(tree, tree, 85) for j in js}
     for i in range(len(sets)):
         for j in range(len(sets)):
             both = len(np.intersect1d(sets[i], sets[j]))

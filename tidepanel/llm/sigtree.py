@@ -13,15 +13,20 @@ when ``100 * |A & B| >= percent * |A | B|``; the result is exact up to hash coll
    set's prefix holds are dropped before anything is compared.
 3. Below a root sets are split by size class (linked sets are in the same or in adjacent
    classes) and, where there are many, into slices. A task builds a signature tree over a
-   slice: nodes hold the OR of the bitmaps below them (4 bits a shingle, rounded up to a
-   power of two), the range of sizes and the largest number of shingles hidden by equal
-   bits. Two trees are traversed together; a pair of nodes is left when the largest overlap
-   possible is too small for the smallest sizes.
-4. Surviving pairs are verified on the texts. First every set is paired with one partner
-   of each root slice only; components of the verified links are formed; then the pairs
-   whose ends are still in different components are traversed and verified. A group of
-   copies therefore costs its size, not its square, and no link between different
-   components is lost.
+   slice: nodes hold the OR of the bitmaps below them (at least ``BITS`` bits a shingle, rounded
+   up to a power of two), the range of sizes and the largest number of shingles hidden by
+   equal bits. Two trees are traversed together; a pair of nodes is left when the largest
+   overlap possible is too small for the smallest sizes.
+4. Surviving pairs are verified on the texts, in rounds of at most one pair per set. In the
+   first round every set meets the sets below one of its roots (the one that most sets
+   reach) and takes the partner with the largest possible similarity; in the second it
+   takes the best one over all its roots, from another component of the links verified so
+   far. Last, all pairs whose ends are still in different components are traversed and
+   verified. A group of copies therefore costs its size, not its square, and no link
+   between different components is lost.
+
+Sets are told apart by size and both fingerprints throughout. Until the verification only
+narrow rows and bitmaps move; texts are read for the two ends of a pair.
 
 Defined results: a null or empty text has the empty set, links with nothing and is its own
 component; texts of fewer words are one shingle; repeated documents share a
@@ -33,6 +38,7 @@ an empty table gives no rows; only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,6 +46,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import graph
 from tidepanel.llm.shingle import SHINGLE_WORDS, collected, mix, shingle_sets
+from tidepanel.llm.text import quoted, text_key, with_keys, without_keys
 from tidepanel.session import materialize
 
 PERCENT = 85
@@ -48,6 +55,8 @@ EXTRA_PERCENT = 5  # of a set's shingles, by which its prefix is extended
 MIN_FILTER_BITS, MAX_FILTER_BITS = 20, 30  # of the shared-root filter that is broadcast (128 MB at most)
 SLICE = 2048  # sets of one root and size class in one tree
 LEAF, FANOUT = 32, 8
+BITS = 8  # bits of a bitmap for each shingle
+BROADCAST_PAIRS = 200_000  # rows of pairs (three numbers each) that are broadcast to the texts
 NULL_ID = (1 << 63) - 1  # stands for a null id inside the operator
 GROUP = ["token", "class", "part", "class2", "part2"]  # a pair of slices below one root
 
@@ -63,18 +72,18 @@ def _describe(words: int):
     def run(batches: Iterator):
         import pyarrow as pa
 
-        names = ["kind", "doc_id", "n", "f1", "f2"]
+        names = ["kind", "doc_id", "key", "n", "f1", "f2"]
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            for a, hashes, cuts in shingle_sets(batch.column(1), words):
+            for a, hashes, cuts in shingle_sets(batch.column(2), words):
                 counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
                 n = np.diff(cuts)
                 f1, f2 = _marks(hashes, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0).slice(a, len(n)),
-                                                  pa.array(n), pa.array(f1), pa.array(f2)], names=names)
+                                                  batch.column(1).slice(a, len(n)), pa.array(n), pa.array(f1), pa.array(f2)], names=names)
         used = np.nonzero(counts)[0]
         none = pa.array(np.zeros(len(used), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(counts[used]), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), none, pa.array(counts[used]), none, none], names=names)
     return run
 
 
@@ -111,7 +120,7 @@ def _prefixes(shared, percent: int, words: int):
         import pyarrow as pa
 
         for batch in batches:
-            for _, hashes, cuts in shingle_sets(batch.column(1), words):
+            for _, hashes, cuts in shingle_sets(batch.column(0), words):
                 take, owner, _ = _ordered(hashes, cuts, shared.value, percent)
                 f1, _ = _marks(hashes, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(f1[owner])], names=["token", "f1"])
@@ -123,8 +132,8 @@ def _filter_slot(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Bits of a set, at least four for each member, a power of two in all."""
-    width = max(64, 1 << int(4 * len(hashes) - 1).bit_length())
+    """Bits of a set, at least ``BITS`` for each member, a power of two in all."""
+    width = max(64, 1 << int(BITS * len(hashes) - 1).bit_length())
     slot = (hashes & np.uint64(width - 1)).astype(np.int64)
     bits = np.zeros(width, dtype=np.uint8)
     bits[slot] = 1
@@ -132,28 +141,32 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 def _members(counts_shared, filter_shared, filter_bits: int, percent: int, words: int):
-    """Sets with enough shared shingles: id, size, fingerprints, roots, bitmap, text."""
+    """Sets with enough shared shingles, once a task: size, fingerprints, roots, bitmap, text."""
     def run(batches: Iterator):
         import pyarrow as pa
 
+        seen: set[tuple[int, int]] = set()  # sets of this task only
         for batch in batches:
-            for a, hashes, cuts in shingle_sets(batch.column(1), words):
+            for a, hashes, cuts in shingle_sets(batch.column(0), words):
                 take, owner, plain = _ordered(hashes, cuts, counts_shared.value, percent)
                 slot = _filter_slot(hashes[take], filter_bits)
                 hit = (filter_shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
                 enough = np.bincount(owner[hit], minlength=len(cuts) - 1) >= _shared_needed(np.diff(cuts), percent)
+                f1, f2 = _marks(hashes, cuts)
+                for i in np.nonzero(enough)[0].tolist():
+                    key = (int(f1[i]), int(f2[i]))
+                    enough[i] = key not in seen
+                    seen.add(key)
                 hit &= plain & enough[owner]
                 take, owner = take[hit], owner[hit]
                 own, first = np.unique(owner, return_index=True)
                 if not len(own):
                     continue
-                f1, f2 = _marks(hashes, cuts)
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(first, len(take)).astype(np.int32)), pa.array(hashes[take].view(np.int64)))
                 bits = [bitmap(hashes[cuts[i]:cuts[i + 1]]).tobytes() for i in own]
-                rows = pa.array(own + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), pa.array(np.diff(cuts)[own]), pa.array(f1[own]), pa.array(f2[own]), tokens,
-                     pa.array(bits, pa.binary()), batch.column(1).take(rows)], names=["id", "n", "f1", "f2", "tokens", "bits", "text"])
+                    [pa.array(np.diff(cuts)[own]), pa.array(f1[own]), pa.array(f2[own]), tokens, pa.array(bits, pa.binary()),
+                     batch.column(0).take(pa.array(own + a))], names=["n", "f1", "f2", "tokens", "bits", "text"])
     return run
 
 
@@ -180,8 +193,9 @@ def _possible(union_a, low_a, high_a, hid_a, union_b, low_b, high_b, hid_b, perc
     return sized & ((100 + percent) * most >= percent * (low_a + low_b))
 
 
-def traverse(left: Tree, right: Tree, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs (set of ``left``, sets of ``right``) that no bound excludes."""
+def traverse(left: Tree, right: Tree, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pairs (set of ``left``, sets of ``right``) that no bound excludes, and their largest
+    possible similarity."""
     top_a, top_b = len(left.levels) - 1, len(right.levels) - 1
     stack = [(top_a, 0, top_b, 0)]
     while stack:
@@ -192,9 +206,10 @@ def traverse(left: Tree, right: Tree, percent: int) -> Iterator[tuple[int, np.nd
             for i in range(a * LEAF, min((a + 1) * LEAF, len(left.sizes))):
                 hidden = np.minimum(left.sizes[i] - left.ones[i], n - right.ones[own])
                 most = np.bitwise_count(left.bits[i] & right.bits[own]).sum(1).astype(np.int64) + hidden
-                good = np.nonzero((100 + percent) * np.minimum(most, np.minimum(n, left.sizes[i])) >= percent * (n + left.sizes[i]))[0]
+                most = np.minimum(most, np.minimum(n, left.sizes[i]))
+                good = np.nonzero((100 + percent) * most >= percent * (n + left.sizes[i]))[0]
                 if len(good):
-                    yield i, good + b * LEAF
+                    yield i, good + b * LEAF, most[good] / (n + left.sizes[i] - most)[good]
             continue
         if la >= lb and la > 0:  # open the higher node
             u, low, high, hid = right.levels[lb]
@@ -219,10 +234,11 @@ def _fold(bits: list[bytes], width: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _group_pairs(ids, sizes, bits, side, component, percent: int, one: bool) -> tuple[list[int], list[int]]:
+def _group_pairs(ids, sizes, bits, side, component, percent: int, one: bool) -> tuple[list[int], list[int], list[float]]:
     """Pairs between side 0 and side 1 of a group, or within side 0 if it is alone.
 
-    Only pairs of different components; ``one``: only the first partner of each set.
+    Only pairs of different components, with their largest possible similarity; ``one``:
+    only the best partner of each set of side 0 (ties go to the smaller number).
     """
     width = min(map(len, bits))
     folded = _fold(bits, width)
@@ -230,26 +246,35 @@ def _group_pairs(ids, sizes, bits, side, component, percent: int, one: bool) ->
     ids, sizes, side, folded, component = ids[order], sizes[order], side[order], folded[order], component[order]
     cut = int(np.searchsorted(side, 1))
     if not cut:
-        return [], []
+        return [], [], []
     left = Tree(sizes[:cut], folded[:cut])
     alone = cut == len(ids)
     base = 0 if alone else cut
-    done = np.zeros(cut, bool)
+    best: dict[int, tuple[float, int]] = {}
     x: list[int] = []
     y: list[int] = []
-    for i, js in traverse(left, left if alone else Tree(sizes[cut:], folded[cut:]), percent):
-        if one and done[i]:
-            continue
+    score: list[float] = []
+    for i, js, near in traverse(left, left if alone else Tree(sizes[cut:], folded[cut:]), percent):
         js = js + base
-        if alone:
-            js = js[js < i]
-        js = js[component[js] != component[i]]
-        if len(js):
-            done[i] = True
-            js = js[:1] if one else js
+        keep = component[js] != component[i]
+        if alone and not one:
+            keep &= js < i
+        js, near = js[keep], near[keep]
+        if not len(js):
+            continue
+        if one:
+            top = near.max()
+            found = (float(top), -int(ids[js[near == top]].min()))
+            best[i] = max(best.get(i, found), found)
+        else:
             x += [int(ids[i])] * len(js)
             y += ids[js].tolist()
-    return x, y
+            score += near.tolist()
+    for i, (top, j) in best.items():
+        x.append(int(ids[i]))
+        y.append(-j)
+        score.append(top)
+    return x, y, score
 
 
 def _pairs(percent: int, one: bool):
@@ -276,13 +301,15 @@ def _emit(table, cuts: np.ndarray, percent: int, one: bool, pa):
     bits = table.column("bits")
     a: list[int] = []
     b: list[int] = []
+    score: list[float] = []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if hi - lo > 1:
-            x, y = _group_pairs(ids[lo:hi], sizes[lo:hi], bits.slice(lo, hi - lo).to_pylist(), side[lo:hi], comp[lo:hi], percent, one)
+            x, y, near = _group_pairs(ids[lo:hi], sizes[lo:hi], bits.slice(lo, hi - lo).to_pylist(), side[lo:hi], comp[lo:hi], percent, one)
             a += x
             b += y
+            score += near
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())], names=["x", "y", "score"])
 
 
 def _verify(percent: int, words: int):
@@ -329,26 +356,16 @@ def bit_filter(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def _passing(filter_shared, bits: int):
-    """Rows whose first column passes a bit filter."""
-    def run(batches: Iterator):
-        import pyarrow as pa
-
-        for batch in batches:
-            slot = _filter_slot(batch.column(0).to_numpy(), bits)
-            yield batch.filter(pa.array((filter_shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0))
-    return run
-
-
 def _root_rows(roots: DataFrame) -> DataFrame:
     """Roots that at least two sets reach, each distinct set of them once.
 
-    ``roots`` is (token, id, n). Roots with equal lists of sets would give equal pairs, so
-    one of them stands for all (lists are compared by count and two XOR hashes).
+    ``roots`` is (token, id, n); ``m`` is added, the number of sets. Roots with equal lists of
+    sets would give equal pairs, so one of them stands for all (lists are compared by count
+    and two XOR hashes).
     """
     lists = roots.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x1"),
                                        F.bit_xor(F.xxhash64(F.lit(3), "id")).alias("x2")).where("m > 1")
-    return roots.join(lists.groupBy("m", "x1", "x2").agg(F.min("token").alias("token")).select("token"), "token")
+    return roots.join(lists.groupBy("m", "x1", "x2").agg(F.min("token").alias("token")).select("token", "m"), "token")
 
 
 def _groups(rows: DataFrame, within_only: bool) -> DataFrame:
@@ -377,30 +394,54 @@ def _groups(rows: DataFrame, within_only: bool) -> DataFrame:
     return got.select("token", F.col("class1").alias("class"), "part", "class2", "part2", "side", "id", "n", "component")
 
 
-def _links(groups: DataFrame, bitmaps: DataFrame, texts: DataFrame, percent: int, words: int, one: bool) -> DataFrame:
-    """Verified links (a, b) of all groups; ``bitmaps`` is (id, n, bits), ``texts`` (id, text)."""
-    together = groups.join(bitmaps, ["id", "n"]).repartition(*GROUP).sortWithinPartitions(*GROUP, "side")
-    pairs = together.mapInArrow(_pairs(percent, one), "x long, y long")
-    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "sigtree_pairs")
-    spark = groups.sparkSession
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    marks, bits = bit_filter(ends, "id")
-    some = texts.mapInArrow(_passing(spark.sparkContext.broadcast(marks), bits), texts.schema)
-    left = some.withColumnsRenamed({"id": "a", "text": "ta"})
-    right = some.withColumnsRenamed({"id": "b", "text": "tb"})
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+def _links(groups: DataFrame, members: DataFrame, percent: int, words: int, one: bool) -> DataFrame:
+    """Verified links (a, b) of all groups; ``members`` has id, n, bits and text of each set.
+
+    ``one``: each set verifies the best pair only that its groups found.
+    """
+    together = groups.join(members.select("id", "bits"), "id").repartition(*GROUP).sortWithinPartitions(*GROUP, "side")
+    pairs = together.mapInArrow(_pairs(percent, one), "x long, y long, score double")
+    if one:
+        pairs = pairs.groupBy("x").agg(F.max(F.struct("score", (-F.col("y")).alias("y"))).alias("s")).select("x", (-F.col("s.y")).alias("y"))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = materialize(pairs, "sigtree_pairs")
+    few = pairs.count() <= BROADCAST_PAIRS
+    left = members.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    right = members.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    if few:
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    both = left.join(F.broadcast(pairs) if few else pairs, "a").join(right, "b").select("a", "b", "ta", "tb")
     return materialize(both.mapInArrow(_verify(percent, words), "a long, b long"), "sigtree_links")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
-                    words: int = SHINGLE_WORDS, slice_rows: int = SLICE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
+def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Sets with the component that the links so far put them in."""
+    joined = graph.components(links).withColumnRenamed("node", "id")
+    return rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+@dataclass
+class Joined:
+    """What the join found: ``sets`` (doc_id, key, n, f1, f2) of every document, the distinct
+    sets (``classes``: n, f1, f2 and their smallest doc_id ``rep``), those that were compared
+    (``members``: also numbered ``id``) and the verified ``links`` (a, b) between their numbers."""
+
+    sets: DataFrame
+    classes: DataFrame
+    members: DataFrame
+    links: DataFrame
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
+         words: int = SHINGLE_WORDS, slice_rows: int = SLICE) -> Joined:
+    """All distinct sets and the links that connect them."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
 
     # 1. sizes, fingerprints, bucket counts
-    seen = materialize(d.mapInArrow(_describe(words), "kind int, doc_id long, n long, f1 long, f2 long"), "sigtree_sets")
+    seen = materialize(d.mapInArrow(_describe(words), "kind int, doc_id long, key long, n long, f1 long, f2 long"), "sigtree_sets")
     sets = seen.where("kind = 0").drop("kind")
     classes = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     tally = collected(seen.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")))  # one row per bucket
@@ -409,51 +450,80 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts_shared = sc.broadcast(counts)
 
     # 2. roots that more than one set reaches
-    routed = d.mapInArrow(_prefixes(counts_shared, percent, words), "token long, f1 long")
+    routed = d.select("text").mapInArrow(_prefixes(counts_shared, percent, words), "token long, f1 long")
     shared = routed.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo < hi").select("token")
     shared = materialize(shared, "sigtree_roots")
     marks, bits = bit_filter(shared, "token")
-    members = materialize(d.mapInArrow(
-        _members(counts_shared, sc.broadcast(marks), bits, percent, words),
-        "id long, n long, f1 long, f2 long, tokens array<long>, bits binary, text string"), "sigtree_members")
-    reps = members.select("id", "n", "f1", "f2").join(classes.withColumnRenamed("rep", "id"), ["id", "n", "f1", "f2"], "left_semi").distinct()
-    own = members.join(reps, ["id", "n", "f1", "f2"]).select("id", "n", F.explode("tokens").alias("token")).distinct()
+    found = d.select("text").mapInArrow(_members(counts_shared, sc.broadcast(marks), bits, percent, words),
+                                        "n long, f1 long, f2 long, tokens array<long>, bits binary, text string")
+    # one row per distinct set, numbered; copies were dropped inside each task before
+    found = found.dropDuplicates(["n", "f1", "f2"]).join(classes, ["n", "f1", "f2"])
+    members = materialize(found.withColumn("id", F.monotonically_increasing_id()), "sigtree_members")
+    own = members.select("id", "n", F.explode("tokens").alias("token"))
     rows = _root_rows(materialize(own, "sigtree_routes"))
 
-    # 3. size classes and slices; sets of one id are told apart by their size
+    # 3. size classes and slices
     width = float(np.log(100.0 / percent) * 1.001) if percent < 100 else 1e9
     rows = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / width))
     parts = rows.groupBy("token", "class").agg(F.ceil(F.count("*") / slice_rows).alias("parts"))
-    bitmaps = members.select("id", "n", "bits").dropDuplicates(["id", "n"])
     rows = rows.join(parts, ["token", "class"]).withColumn("slice", F.pmod(F.xxhash64("id", "token"), F.col("parts"))).drop("parts")
     rows = materialize(rows, "sigtree_rows")
 
-    # 4. one partner each, components, then everything between different components
-    texts = members.select("id", "text")
-    first = _links(_groups(rows.withColumn("component", F.col("id")), True), bitmaps, texts, percent, words, True)
-    joined = graph.components(first).withColumnRenamed("node", "id")
-    rest = rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    links = first.unionByName(_links(_groups(rest, False), bitmaps, texts, percent, words, False))
-    # one id with several sets joins their classes
-    split = (sets.where("n > 0").join(classes, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-             .where("a < b").select(F.explode(F.array("a", "b")).alias("a"), F.col("doc_id").alias("b")))
-    joined = graph.components(links.unionByName(split.where("a != b"))).withColumnsRenamed({"node": "rep"})
+    # 4. the best partner below one root, then over all roots, then all pairs of different components
+    chosen = rows.groupBy("id").agg(F.max(F.struct("m", "token", "class", "slice", "n")).alias("r")).select("id", "r.*")
+    links = _links(_groups(chosen.withColumn("component", F.col("id")), True), members, percent, words, True)
+    links = materialize(links.unionByName(_links(_groups(_with_components(rows, links), False), members, percent, words, True)), "sigtree_links")
+    links = links.unionByName(_links(_groups(_with_components(rows, links), False), members, percent, words, False))
+    return Joined(sets, classes, members.select("id", "rep", "n", "f1", "f2"), links)
+
 
-    out = sets.join(classes, ["n", "f1", "f2"], "left").join(joined, "rep", "left")
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
+                    words: int = SHINGLE_WORDS, slice_rows: int = SLICE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
+    found = join(docs, id_col, text_col, percent, words, slice_rows)
+    # links between documents; one id with several sets joins their classes
+    reps = found.members.select("id", "rep")
+    linked = (found.links.join(reps.withColumnsRenamed({"id": "a", "rep": "u"}), "a").join(reps.withColumnsRenamed({"id": "b", "rep": "v"}), "b")
+              .select(F.col("u").alias("a"), F.col("v").alias("b")))
+    split = (found.sets.where("n > 0").join(found.classes, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+             .where("a < b").select(F.explode(F.array("a", "b")).alias("a"), F.col("doc_id").alias("b")))
+    joined = graph.components(linked.unionByName(split).where("a != b")).withColumnsRenamed({"node": "rep"})
+    out = found.sets.join(found.classes, ["n", "f1", "f2"], "left").join(joined, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     real = lambda c: F.when(c != NULL_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """One document of each component stays (the smallest id); all columns are kept.
+    """One document of each group of linked texts stays (the smallest id); all columns are kept.
+
+    Groups are of texts: rows of one id with unlinked texts are in different groups. Of
+    several rows with the staying id one stays, an identified row before one without an id;
+    documents without words all stay.
 
-    Of several rows with the staying id one stays; documents without words all stay, and
-    so do rows without an id that no identified document reaches.
+    The verdict is a narrow list of (id, text key), so texts are not shuffled while the list
+    is below ``BROADCAST_KEYS`` rows.
     """
-    found = materialize(link_components(docs, percent=percent, words=words), "sigtree_components")
-    gone = found.where(F.col("n_shingles") > 0).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    repeated = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(again, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+    found = join(docs, percent=percent, words=words)
+    groups = graph.components(found.links).withColumnRenamed("node", "id")
+    linked = found.members.join(groups, "id")
+    first = linked.groupBy("component").agg(F.min(F.struct("rep", "f1", "f2", "n")).alias("w"))
+    winners = first.select("w.n", "w.f1", "w.f2", F.lit(True).alias("wins"))
+    standing = (found.classes.join(linked.select("n", "f1", "f2", F.lit(True).alias("grouped")), ["n", "f1", "f2"], "left")
+                .join(winners, ["n", "f1", "f2"], "left")
+                .select("n", "f1", "f2", "rep", (F.col("grouped").isNull() | F.col("wins").isNotNull()).alias("stands")))
+    rows = found.sets.where("n > 0").groupBy("doc_id", "key", "n", "f1", "f2").agg(F.count("*").alias("c")).join(standing, ["n", "f1", "f2"])
+    # one key of the smallest id of a standing set
+    least = rows.where(F.col("stands") & (F.col("doc_id") == F.col("rep"))).groupBy("n", "f1", "f2").agg(F.min("key").alias("least"))
+    judged = rows.join(least, ["n", "f1", "f2"], "left").select(
+        "doc_id", "key", "c", (F.col("stands") & (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("least"))).alias("stays"))
+    judged = materialize(judged.where(F.coalesce(~F.col("stays"), F.lit(True)) | (F.col("c") > 1)), "sigtree_verdict")
+    out = without_keys(docs, judged.where(F.coalesce(~F.col("stays"), F.lit(True))), NULL_ID)
+    again = judged.where("stays")
+    if again.isEmpty():
+        return out
+    # rows that repeat an id and its text
+    once = without_keys(out, again, NULL_ID)
+    repeated = with_keys(docs, again, NULL_ID)
+    one = repeated.groupBy(F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key")).agg(F.first(F.struct(*map(quoted, docs.columns))).alias("_row"))
+    return once.unionByName(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

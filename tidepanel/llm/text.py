@@ -64,6 +64,37 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+BROADCAST_KEYS = 1_000_000  # rows (two numbers each) of a verdict that is broadcast to the documents
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _by_keys(docs: DataFrame, keys: DataFrame, null_id: int, how: str) -> DataFrame:
+    """``docs`` (doc_id, text, ...) joined with a stored table of ``doc_id, key``."""
+    bad = keys.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key"))
+    if bad.count() <= BROADCAST_KEYS:
+        bad = F.broadcast(bad)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id))
+    return docs.join(bad, (own == bad["_bad_id"]) & (text_key(F.col("text")) == bad["_bad_key"]), how)
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, null_id: int) -> DataFrame:
+    """Rows whose id (``null_id`` for null) and text key are not listed; all columns are kept.
+
+    The list is counted and broadcast if it is small, so texts stay where they are; a
+    longer list is joined by a shuffle.
+    """
+    return _by_keys(docs, keys, null_id, "left_anti")
+
+
+def with_keys(docs: DataFrame, keys: DataFrame, null_id: int) -> DataFrame:
+    """Rows whose id and text key are listed (see ``without_keys``)."""
+    return _by_keys(docs, keys, null_id, "left_semi")
+
+
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds computed columns that are evaluated exactly once per row.
 

@@ -33,6 +33,7 @@ WINDOW = 10
 K = 5
 RUN = WINDOW - K + 1  # k-grams per window: the guarantee is K + RUN - 1 = WINDOW words
 BROADCAST_FINGERPRINTS = 500_000  # rows; above it, or above the bytes, the fingerprints are shuffled
+NULL_ID = (1 << 63) - 1  # stands for a null id in the list of contaminated rows
 BROADCAST_BYTES = 64 << 20  # of fingerprint rows with their words
 
 
@@ -173,8 +174,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without any benchmark window, all columns kept."""
+    """Documents without any benchmark window, all columns kept.
+
+    The contaminated (id, text key) pairs are stored first; below ``T.BROADCAST_KEYS`` rows
+    they are broadcast, so no text is shuffled.
+    """
     bad = decontaminate(docs, benchmark).where("contaminated").select(
-        F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
-    key = T.text_key(docs["text"])
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad_id"]) & (key == bad["_bad_key"]), "left_anti")
+        F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "key").distinct()
+    return T.without_keys(docs, materialize(bad, "winnow_contaminated"), NULL_ID)
