@@ -163,10 +163,11 @@ def _members(counts_shared, filter_shared, filter_bits: int, percent: int, words
                 if not len(own):
                     continue
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(first, len(take)).astype(np.int32)), pa.array(hashes[take].view(np.int64)))
-                bits = [bitmap(hashes[cuts[i]:cuts[i + 1]]).tobytes() for i in own]
+                bits = [bitmap(hashes[cuts[i]:cuts[i + 1]]) for i in own]
+                half = [(b[:len(b) // 2] | b[len(b) // 2:] if len(b) > 8 else b).tobytes() for b in bits]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.diff(cuts)[own]), pa.array(f1[own]), pa.array(f2[own]), tokens, pa.array(bits, pa.binary()),
-                     batch.column(0).take(pa.array(own + a))], names=["n", "f1", "f2", "tokens", "bits", "text"])
+                    [pa.array(np.diff(cuts)[own]), pa.array(f1[own]), pa.array(f2[own]), tokens, pa.array([b.tobytes() for b in bits], pa.binary()),
+                     pa.array(half, pa.binary()), batch.column(0).take(pa.array(own + a))], names=["n", "f1", "f2", "tokens", "bits", "coarse", "text"])
     return run
 
 
@@ -302,14 +303,18 @@ def _emit(table, cuts: np.ndarray, percent: int, one: bool, pa):
     a: list[int] = []
     b: list[int] = []
     score: list[float] = []
+    group: list[int] = []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if hi - lo > 1:
             x, y, near = _group_pairs(ids[lo:hi], sizes[lo:hi], bits.slice(lo, hi - lo).to_pylist(), side[lo:hi], comp[lo:hi], percent, one)
             a += x
             b += y
             score += near
+            group += [lo] * len(x)
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())], names=["x", "y", "score"])
+        keys = table.select(GROUP).take(pa.array(group, pa.int64())).combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64()),
+                                          *[keys.column(c).chunk(0) for c in GROUP]], names=["x", "y", "score", *GROUP])
 
 
 def _verify(percent: int, words: int):
@@ -394,13 +399,16 @@ def _groups(rows: DataFrame, within_only: bool) -> DataFrame:
     return got.select("token", F.col("class1").alias("class"), "part", "class2", "part2", "side", "id", "n", "component")
 
 
-def _links(groups: DataFrame, members: DataFrame, percent: int, words: int, one: bool) -> DataFrame:
-    """Verified links (a, b) of all groups; ``members`` has id, n, bits and text of each set.
+def _links(groups: DataFrame, members: DataFrame, percent: int, words: int, one: bool) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) of all groups, and the groups (GROUP) in which any pair survived.
 
-    ``one``: each set verifies the best pair only that its groups found.
+    ``members`` has id, bitmaps and text of each set. ``one``: each set verifies the best
+    pair only that its groups found, by bitmaps of half the size.
     """
-    together = groups.join(members.select("id", "bits"), "id").repartition(*GROUP).sortWithinPartitions(*GROUP, "side")
-    pairs = together.mapInArrow(_pairs(percent, one), "x long, y long, score double")
+    together = groups.join(members.select("id", F.col("coarse" if one else "bits").alias("bits")), "id").repartition(*GROUP).sortWithinPartitions(*GROUP, "side")
+    pairs = together.mapInArrow(_pairs(percent, one), "x long, y long, score double, token long, class long, part long, class2 long, part2 long")
+    pairs = materialize(pairs, "sigtree_found")
+    alive = pairs.select(*GROUP).distinct()
     if one:
         pairs = pairs.groupBy("x").agg(F.max(F.struct("score", (-F.col("y")).alias("y"))).alias("s")).select("x", (-F.col("s.y")).alias("y"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -411,7 +419,7 @@ def _links(groups: DataFrame, members: DataFrame, percent: int, words: int, one:
     if few:
         right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
     both = left.join(F.broadcast(pairs) if few else pairs, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return materialize(both.mapInArrow(_verify(percent, words), "a long, b long"), "sigtree_links")
+    return materialize(both.mapInArrow(_verify(percent, words), "a long, b long"), "sigtree_links"), alive
 
 
 def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -455,7 +463,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     shared = materialize(shared, "sigtree_roots")
     marks, bits = bit_filter(shared, "token")
     found = d.select("text").mapInArrow(_members(counts_shared, sc.broadcast(marks), bits, percent, words),
-                                        "n long, f1 long, f2 long, tokens array<long>, bits binary, text string")
+                                        "n long, f1 long, f2 long, tokens array<long>, bits binary, coarse binary, text string")
     # one row per distinct set, numbered; copies were dropped inside each task before
     found = found.dropDuplicates(["n", "f1", "f2"]).join(classes, ["n", "f1", "f2"])
     members = materialize(found.withColumn("id", F.monotonically_increasing_id()), "sigtree_members")
@@ -471,9 +479,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
     # 4. the best partner below one root, then over all roots, then all pairs of different components
     chosen = rows.groupBy("id").agg(F.max(F.struct("m", "token", "class", "slice", "n")).alias("r")).select("id", "r.*")
-    links = _links(_groups(chosen.withColumn("component", F.col("id")), True), members, percent, words, True)
-    links = materialize(links.unionByName(_links(_groups(_with_components(rows, links), False), members, percent, words, True)), "sigtree_links")
-    links = links.unionByName(_links(_groups(_with_components(rows, links), False), members, percent, words, False))
+    links, _ = _links(_groups(chosen.withColumn("component", F.col("id")), True), members, percent, words, True)
+    more, alive = _links(_groups(_with_components(rows, links), False), members, percent, words, True)
+    links = materialize(links.unionByName(more), "sigtree_links")
+    # a group without any pair between the components of that round has none between larger ones
+    last = _groups(_with_components(rows, links), False).join(alive, GROUP, "left_semi")
+    links = links.unionByName(_links(last, members, percent, words, False)[0])
     return Joined(sets, classes, members.select("id", "rep", "n", "f1", "f2"), links)
 
 
