@@ -190,6 +190,12 @@ def rolling_mean_prefix(spark, sf):
     return _roll(spark, sf, W_LARGE, True, True)
 
 
+@query("rolling_w1000", _roll_sql(1000, True, True))
+def rolling_w1000(spark, sf):
+    """E02/E03 with the default window of 1000 rows."""
+    return _roll(spark, sf, 1000, True, True)
+
+
 _AUX_SQL = """coalesce(responder_8 + lead(responder_8, 4) OVER s, 0.0) AS responder_9,
   coalesce(responder_6 + lead(responder_6, 20) OVER s + lead(responder_6, 40) OVER s, 0.0) AS responder_10"""
 
@@ -1118,6 +1124,56 @@ def gbt_early_stopping(spark, sf):
     return history.select("round", r6(F.col("loss")).alias("loss"), r6(F.col("r2")).alias("r2"), "is_best")
 
 
+# ------------------------------------------------------------------ cross-validation (J), sketches
+from tidepanel.operators import sketches as SK  # noqa: E402
+from tidepanel.plans import cross_validation as CV  # noqa: E402
+
+
+def _cv_sql(folds: str) -> str:
+    """Fold scores of the one-input model by range joins of folds and days."""
+    return f"""{PANEL}, {_BOUNDS_CTE}, {_D1}, k AS (SELECT unnest(range(0, 4)) AS fold), f AS ({folds}),
+tr AS (SELECT f.fold, sum(d.a) AS a, sum(d.b) AS b, sum(d.n) AS n FROM f JOIN d ON d.date_id BETWEEN f.lo AND f.hi OR d.date_id BETWEEN f.lo2 AND f.hi2 GROUP BY f.fold),
+va AS (SELECT f.fold, f.vs, f.ve, sum(d.a) AS a, sum(d.b) AS b, sum(d.c) AS c, sum(d.n) AS n FROM f JOIN d ON d.date_id BETWEEN f.vs AND f.ve GROUP BY ALL)
+SELECT fold, CAST(vs AS INT) AS valid_start, CAST(ve AS INT) AS valid_end, CAST(tr.n AS BIGINT) AS train_rows, CAST(va.n AS BIGINT) AS valid_rows,
+  round(1 - (va.c - 2 * (tr.b / tr.a) * va.b + (tr.b / tr.a) * (tr.b / tr.a) * va.a) / va.c, 6) AS r2 FROM tr JOIN va USING (fold)"""
+
+
+def _cv(spark, sf, scheme, **kw):
+    p = panel(spark, sf)
+    lo, hi = PN.collect_date_range(p)
+    out = CV.score_folds(WF.prepare(p, _wf_cfg()), CV.folds(spark, lo, hi, scheme, 4, **kw))
+    return out.withColumn("r2", r6(F.col("r2")))
+
+
+@query("cv_expanding", _cv_sql("""SELECT fold, dmax - (3 - fold) * 8 - 7 AS vs, dmax - (3 - fold) * 8 AS ve, dmin AS lo, dmax - (3 - fold) * 8 - 7 - 3 AS hi, 1 AS lo2, 0 AS hi2 FROM k, bounds"""))
+def cv_expanding(spark, sf):
+    """J: expanding cross-validation with a purge of two days."""
+    return _cv(spark, sf, "expanding", valid_days=8, purge=2)
+
+
+@query("cv_rolling", _cv_sql("""SELECT fold, dmax - (3 - fold) * 8 - 7 AS vs, dmax - (3 - fold) * 8 AS ve, greatest(dmin, dmax - (3 - fold) * 8 - 7 - 22) AS lo, dmax - (3 - fold) * 8 - 7 - 3 AS hi, 1 AS lo2, 0 AS hi2 FROM k, bounds"""))
+def cv_rolling(spark, sf):
+    """J: rolling cross-validation on the 20 days before a purge of two."""
+    return _cv(spark, sf, "rolling", valid_days=8, train_days=20, purge=2)
+
+
+@query("cv_blocked", _cv_sql("""SELECT fold, dmin + fold * (dmax - dmin + 1) // 4 AS vs, dmin + (fold + 1) * (dmax - dmin + 1) // 4 - 1 AS ve, dmin AS lo,
+  dmin + fold * (dmax - dmin + 1) // 4 - 3 AS hi, dmin + (fold + 1) * (dmax - dmin + 1) // 4 + 5 AS lo2, dmax AS hi2 FROM k, bounds"""))
+def cv_blocked(spark, sf):
+    """J: blocks validated by both sides, purge of two and embargo of five days."""
+    return _cv(spark, sf, "blocked", purge=2, embargo=5)
+
+
+@query("sketch_distinct")
+def sketch_distinct(spark, sf):
+    """Distinct symbols and buckets of date ranges from merged daily sketches."""
+    daily = SK.daily_sketches(panel(spark, sf), ["symbol_id", "time_id"]).checkpoint()  # one small row per date and block
+    lo, hi = PN.collect_date_range(daily)
+    mid = (lo + hi) // 2
+    parts = [SK.distinct_in(daily, a, b).select(F.lit(a).alias("first"), F.lit(b).alias("last"), "*") for a, b in ((lo, mid), (mid + 1, hi), (lo, hi))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ------------------------------------------------------------------ multi-target and online
 from tidepanel.plans import multitarget as MT  # noqa: E402
 
