@@ -26,11 +26,14 @@ from tidepanel.columns import (
     AUX10_LEADS,
     DATE,
     FEATURE_COLUMNS,
+    FEATURE_IMPORTANCE_RANKING,
     ID_COLUMNS,
+    LAG_COLUMNS,
     RESPONDER_COLUMNS,
     SYMBOL,
     TARGET_COLUMN,
     TIME,
+    subset_features,
 )
 from tidepanel.functions.exprs import fill_null, nan_to_null
 from tidepanel.operators.schema import require_columns
@@ -38,8 +41,16 @@ from tidepanel.plans.joins import join_small
 
 POS = "_pos"
 
-def present_features(df: DataFrame, features: Iterable[str] | None = None) -> list[str]:
-    feats = list(features) if features is not None else [c for c in FEATURE_COLUMNS if c in df.columns]
+def present_features(df: DataFrame, features: Iterable[str] | str | None = None) -> list[str]:
+    """The listed features, those of a named subset, or all features of the frame.
+
+    A subset (``top12``, ``top24``, ``all``) is a prefix of the importance ranking of the
+    features that the frame has.
+    """
+    own = [c for c in FEATURE_COLUMNS if c in df.columns]
+    if isinstance(features, str):
+        return subset_features(features, [c for c in FEATURE_IMPORTANCE_RANKING if c in own])
+    feats = list(features) if features is not None else own
     require_columns(df, feats, "features")
     return feats
 
@@ -271,14 +282,15 @@ def ranked_subset(importance: DataFrame, k: int | None, feature_col: str = "feat
 
 
 # ----------------------------------------------------------------------------- K13
-def model_frame(df: DataFrame, *, features: list[str] | None = None,
+def model_frame(df: DataFrame, *, features: list[str] | str | None = None,
                 use_aux: bool = False, use_lags: bool = False, use_market_avg: bool = False,
-                use_rolling: bool = False, engineered: list[str] | None = None,
+                use_rolling: bool = False, engineered: list[str] | str | None = None,
                 window: int = 1000) -> DataFrame:
     """Model-input chain in the reference order: placeholders -> aux -> lags -> market
-    average -> rolling; returns ids, weight, responders and the model inputs."""
+    average -> rolling; returns ids, weight, responders and the model inputs. ``features`` and
+    ``engineered`` are lists or named subsets."""
     feats = present_features(df, features)
-    eng = engineered if engineered is not None else feats
+    eng = present_features(df, engineered) if engineered is not None else feats
     out = add_placeholders(df, ["responder_7", "responder_8"]) if use_aux else df
     if use_aux:
         out = add_aux_targets(out)
@@ -301,8 +313,19 @@ def engineered_columns(features: list[str], use_market_avg: bool, use_rolling: b
     return cols
 
 
+def input_columns(df: DataFrame, *, features: list[str] | str | None = None, symbol: bool = True, time: bool = True,
+                  use_lags: bool = False, use_market_avg: bool = False, use_rolling: bool = False,
+                  engineered: list[str] | str | None = "top12") -> list[str]:
+    """The model inputs in their fixed order: features, ``symbol_id``, ``time_id``, lags, then
+    the engineered columns of ``engineered`` (see ``model_frame``)."""
+    cols = present_features(df, features) + [SYMBOL] * symbol + [TIME] * time
+    if use_lags:
+        cols += LAG_COLUMNS
+    return cols + engineered_columns(present_features(df, engineered), use_market_avg, use_rolling)
+
+
 __all__ = [
     "add_aux_targets", "add_placeholders", "apply_standardizer", "canonical_rank",
-    "fit_standardizer", "lead_rows", "market_average", "model_frame", "ranked_subset",
+    "fit_standardizer", "input_columns", "lead_rows", "market_average", "model_frame", "ranked_subset",
     "responder_lag", "rolling_stats", "series_index",
 ]

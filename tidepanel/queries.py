@@ -1088,16 +1088,26 @@ def oof_predictions(spark, sf):
     return spark.read.parquet(out)
 
 
+from tidepanel.plans import baseline as BL  # noqa: E402
+
+
+def _baseline(spark, sf) -> BL.BaselineRun:
+    p = panel(spark, sf)
+    return BL.run(p, _bounds(p), GBT_PARAMS, engineered=["feature_02", "feature_03"], window=W_SMALL)
+
+
 @query("baseline_run")
 def baseline_run(spark, sf):
     """Load -> lags + engineered features -> split -> fit -> score, one summary row."""
-    p = panel(spark, sf)
-    ns = _bounds(p)
-    mf = FE.model_frame(p, use_lags=True, use_market_avg=True, use_rolling=True,
-                        engineered=["feature_02", "feature_03"], window=W_SMALL)
-    feats = PANEL_FEATURES + ["responder_6_lag_1"] + FE.engineered_columns(["feature_02", "feature_03"], True, True)
-    preds, n = GB.walk_forward(mf, feats, ns, "full", 1, GBT_PARAMS)
-    return _gbt_summary(preds, "full", 0, n)
+    r = _baseline(spark, sf).summary
+    return r.select("variant", "cadence", "n_updates", "test_rows", r6(F.col("score")).alias("score"))
+
+
+@query("baseline_importances")
+def baseline_importances(spark, sf):
+    """Importances of the baseline's inputs, ids, lags and engineered columns included."""
+    r = _baseline(spark, sf).importances
+    return r.select("feature", r6(F.col("importance")).alias("importance"))
 
 
 from tidepanel.plans import leaf_stats as LS  # noqa: E402
