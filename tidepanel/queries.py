@@ -679,6 +679,29 @@ def variant_summary(spark, sf):
     return _suite(_prep(spark, sf), _VARIANTS)
 
 
+from tidepanel.plans import evaluator as EV  # noqa: E402
+
+
+def _summary_sql(pairs: list[tuple[str, int]]) -> str:
+    """Prediction and target figures of the one-input model, variant by variant."""
+    def one(v, k):
+        version = "0" if v == "full" else f"floor(ti.i / {k})"
+        figures = ", ".join(f"round({f}({c}), 6) AS {n}_{m}" for n, c in (("prediction", "p"), ("target", "y"))
+                            for m, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
+        return (f"SELECT * FROM (WITH {_betas_sql(v, k)} SELECT '{v}' AS variant, CAST({0 if v == 'full' else k} AS BIGINT) AS cadence, "
+                f"CAST(count(*) AS BIGINT) AS n_rows, {figures} FROM (SELECT beta.beta * coalesce(panel.{WF_X}, 0) AS p, panel.responder_6 AS y "
+                f"FROM panel JOIN ti USING (date_id) JOIN beta ON beta.version = {version} WHERE ti.fold = 'test'))")
+    return f"{PANEL}, {_BOUNDS_CTE}, {_D1} {' UNION ALL '.join(one(v, k) for v, k in pairs)}"
+
+
+@query("evaluator_summary", _summary_sql(_VARIANTS))
+def evaluator_summary(spark, sf):
+    """Prediction and target summaries of every variant, one pass over the test rows."""
+    p = panel(spark, sf)
+    out = EV.summaries(p, WF.prepare(p, _wf_cfg()), _VARIANTS)
+    return out.withColumns({f"{n}_{m}": r6(F.col(f"{n}_{m}")) for n in ("prediction", "target") for m in EV.MEASURES})
+
+
 _IVF = [("full", 1), ("refit", 1), ("continue", 1), ("retrain", 10)]
 
 
