@@ -86,3 +86,19 @@ def test_size_shuffles(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
+
+
+def test_footer_probe_reads_no_column(spark, small_panel):
+    path = os.path.join(tempfile.mkdtemp(prefix="tp-probe-"), "t")
+    small_panel.select("date_id", "time_id", "symbol_id", "feature_00").repartition(5).write.parquet(path)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    for column in ("date_id", "time_id", "feature_00"):
+        got = PN.footer_probe(spark, path, column).first()
+        want = small_panel.agg(F.min(column), F.max(column), F.count("*")).first()
+        assert tuple(got) == tuple(want)
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    with pytest.raises(Exception):
+        PN.footer_probe(spark, path, "no_such_column")
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    small_panel.limit(0).select("date_id").write.parquet(path + "0")
+    assert tuple(PN.footer_probe(spark, path + "0").first()) == (None, None, 0)

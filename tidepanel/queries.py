@@ -71,6 +71,12 @@ def scan_panel_range(spark, sf):
     return PN.read_panel(spark, path, ID_COLUMNS + ["feature_00", "feature_04", "weight", "responder_6"], 10, 20)
 
 
+@query("footer_probe", f"{PANEL} SELECT min(time_id) AS lo, max(time_id) AS hi, CAST(count(*) AS BIGINT) AS n_rows FROM panel")
+def footer_probe(spark, sf):
+    """Bounds and row count of the stored panel from its file footers."""
+    return PN.footer_probe(spark, FX.panel_path(spark, sf), "time_id")
+
+
 @query("date_range", f"{PANEL} SELECT min(date_id) AS date_min, max(date_id) AS date_max FROM panel")
 def date_range(spark, sf):
     """A06."""
