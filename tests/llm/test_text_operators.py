@@ -46,6 +46,37 @@ def test_license_scan_equals_brute_force(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_license_scan_many_hits_in_one_text(spark):
+    """A rare token 100,000 times in one text, with other tokens of its notice more frequent."""
+    rows = [(0, "affero word " * 100_000), (1, "gnu general public license " * 300), (2, "affero gnu license public general " * 20_000),
+            (3, "sublicense the software " * 30_000)]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert (got[0].labels, got[0].score, got[0].n_words) == ("", 0.0, 200_000)
+    assert got[1].labels == "gpl" and got[2].labels == "agpl" and got[3].labels == ""
+
+
+def test_license_blocks_of_full_notices(spark):
+    """Full wordings are found with a tenth of their words changed, inside prose, and not in halves."""
+    rnd = random.Random(8)
+    rows, want = [], []
+    for i, (label, wording) in enumerate(licenses.TEMPLATES):
+        words = wording.split()
+        if len(words) < 40:
+            continue
+        changed = [w if rnd.random() > 0.05 else "zzz" for w in words]
+        rows += [(2 * i, "prose before it " + " ".join(changed).upper() + " and after"), (2 * i + 1, " ".join(words[:len(words) // 3]))]
+        want += [(2 * i, label)]
+    rows = [(i, t) for i, t in rows]
+    found = {}
+    for r in licenses.similar_blocks(frame(spark, rows).select("doc_id", "text")).collect():
+        found.setdefault(r.doc_id, set()).add((r.template, r.label))
+    for i, t in rows:
+        w = brute.alnum(t)
+        labels, _ = brute.block_labels(w, licenses.TEMPLATES, licenses.THRESHOLD, licenses.STRETCH)
+        assert {label for _, label in found.get(i, set())} == labels
+    assert all(label in {x for _, x in found[i]} for i, label in want)
+
+
 def _quality(text):
     w = brute.spaced(text)
     lines = [x for x in (text or "").split("\n") if brute.spaced(x)]
