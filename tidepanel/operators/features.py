@@ -5,10 +5,11 @@ E04/E05 forward-shift auxiliary targets, D19/H02 standardiser, B07 placeholders,
 F03 ranked subsets, K13 the model-input chain.
 
 Row order is never implicit: every per-symbol series operator orders by
-(date_id, time_id), ties by the remaining columns. There is one plan for all inputs: a
-dense per-symbol row index from (symbol, date) blocks, then windows over (symbol,
-position chunk) with a halo of the neighbouring chunk, which spread evenly over tasks
-whatever the number of symbols, the largest symbol or the cores. Null symbols form one
+(date_id, time_id), ties by the remaining columns. There is one plan for all inputs: the row counts of
+(symbol, date) blocks give the chunk of a series that a block belongs to, rows go to
+(symbol, chunk) together with a halo of the neighbouring chunks, and all windows run
+there; they spread evenly over tasks whatever the number of symbols, the largest symbol
+or the cores, and the rows are shuffled once. Null symbols form one
 series; rows with equal keys stay rows of their own; NaN and infinite values count as
 null.
 """
@@ -37,7 +38,8 @@ from tidepanel.columns import (
 )
 from tidepanel.functions.exprs import fill_null, nan_to_null
 from tidepanel.operators.schema import require_columns
-from tidepanel.plans.joins import join_small
+from tidepanel.plans.joins import bounded_broadcast, join_small
+from tidepanel.session import reliable_checkpoint
 
 POS = "_pos"
 
@@ -81,6 +83,24 @@ def _finite(c: str):
     return F.when((x - x) == F.lit(0.0), x)
 
 
+def _ties(df: DataFrame, *but: str) -> list[str]:
+    """The remaining sortable columns: rows that are equal in them too are interchangeable."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in but]
+
+
+def _block_offsets(df: DataFrame, key: str, block: str) -> DataFrame:
+    """``_key, _block, _n, _off``: rows of a block and of the earlier blocks of its series."""
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(F.col(key).alias("_key"), F.col(block).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.select("*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+
+
+def _with_blocks(df: DataFrame, blocks: DataFrame, key: str, block: str, max_rows: int | None = None) -> DataFrame:
+    """Joins a table of blocks to the rows; it is stored, counted, and broadcast if small."""
+    side, _ = bounded_broadcast(reliable_checkpoint(blocks), max_rows=max_rows)
+    return df.join(side, df[key].eqNullSafe(side["_key"]) & df[block].eqNullSafe(side["_block"])).drop("_key", "_block")
+
+
 def series_index(df: DataFrame, key: str = SYMBOL, block: str = DATE,
                  order: tuple[str, ...] = (TIME,), pos_col: str = POS) -> DataFrame:
     """Dense 0-based position of each row in its ``key`` series ordered by (block, order).
@@ -91,14 +111,10 @@ def series_index(df: DataFrame, key: str = SYMBOL, block: str = DATE,
     by the remaining columns, so repeated evaluations agree; null keys and blocks are
     values like any other (nulls first).
     """
-    ties = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in (key, block, *order)]
-    w = Window.partitionBy(key, block).orderBy(*order, *ties)
-    local = df.select("*", (F.row_number().over(w) - 1).alias("_local"))
-    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(F.col(key).alias("_key"), F.col(block).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_key", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = local.join(offs, local[key].eqNullSafe(offs["_key"]) & local[block].eqNullSafe(offs["_block"]))
-    return out.withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local", "_key", "_block")
+    w = Window.partitionBy(key, block).orderBy(*order, *_ties(df, key, block, *order))
+    offsets = _block_offsets(df, key, block).drop("_n")
+    out = _with_blocks(df, offsets, key, block).select("*", (F.row_number().over(w) - 1).alias("_local"))
+    return out.withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local")
 
 
 def canonical_rank(df: DataFrame, out: str = "canonical_rank") -> DataFrame:
@@ -111,6 +127,7 @@ def canonical_rank(df: DataFrame, out: str = "canonical_rank") -> DataFrame:
     before = Window.orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)
     days = df.groupBy(F.col(DATE).alias("_date")).agg(F.count(F.lit(1)).alias("_n"))
     days = days.select("_date", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    days, _ = bounded_broadcast(reliable_checkpoint(days))
     return (ranked.join(days, ranked[DATE].eqNullSafe(days["_date"]))
             .withColumn(out, (F.col("_off") + F.col("_in_date")).cast("long")).drop("_off", "_in_date", "_date"))
 
@@ -139,6 +156,65 @@ def lead_rows(df: DataFrame, leads: dict[str, list[int]], key: str = SYMBOL,
     return out.drop("_chunk", "_halo")
 
 
+def series_chunks(df: DataFrame, before: int = 0, after: int = 0, key: str = SYMBOL, block: str = DATE,
+                  chunk: int | None = None) -> DataFrame:
+    """Deals the rows to ``(key, _chunk)``; ``_halo`` marks copies from neighbouring chunks.
+
+    A chunk takes whole (key, block) groups whose first row lies in ``chunk`` consecutive
+    positions of the series; every chunk also gets the groups that hold the ``before``
+    rows ahead of it and the ``after`` rows behind it. Those rows lie in at most two
+    chunks on either side, as ``chunk`` is at least ``before`` and ``after``. All of this
+    is decided on the table of block counts, which is stored, counted and broadcast if
+    small (else joined by a shuffle), so the rows meet one exchange: that of the windows
+    over ``(key, _chunk)`` that follow.
+    """
+    size = max(chunk or LEAD_CHUNK, before, after)
+    b = _block_offsets(df, key, block).withColumn("_chunk", F.floor(F.col("_off") / size).cast("long"))
+    b = b.withColumn("_own", F.struct("_chunk", F.min("_off").over(Window.partitionBy("_key", "_chunk")).alias("start")))
+    earlier = Window.partitionBy("_key").orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_key").orderBy(F.desc("_chunk")).rangeBetween(Window.unboundedPreceding, -1)
+    copies = []
+    if before:
+        b = b.withColumn("_n1", F.min("_own").over(later))
+        b = b.withColumn("_n2", F.min(F.struct("_own", "_n1")).over(later)["_n1"])
+        end = F.col("_off") + F.col("_n")
+        copies += [F.when(F.col(f"{c}.start") - end < before, F.col(f"{c}._chunk")) for c in ("_n1", "_n2")]
+    if after:
+        b = b.withColumn("_p1", F.max("_own").over(earlier))
+        b = b.withColumn("_p2", F.max(F.struct("_own", "_p1")).over(earlier)["_p1"])
+        # a chunk ends where the next one starts
+        copies += [F.when(F.col("_off") - F.col(f"{c}.start") < after, F.col(f"{up}._chunk")) for c, up in (("_own", "_p1"), ("_p1", "_p2"))]
+    to = F.array(F.struct(F.col("_chunk"), F.lit(False).alias("_halo")), *[F.struct(c.alias("_chunk"), F.lit(True).alias("_halo")) for c in copies])
+    blocks = b.select("_key", "_block", F.filter(to, lambda t: t["_chunk"].isNotNull()).alias("_to"))
+    return _with_blocks(df, blocks, key, block, max_rows=500_000).select(*df.columns, F.inline("_to"))
+
+
+# ------------------------------------------------------------------- E02-E05 together
+def series_features(df: DataFrame, aux: bool = False, rolling: list[str] | None = None, window: int = 1000,
+                    key: str = SYMBOL) -> DataFrame:
+    """Auxiliary targets and rolling statistics (see below) from one exchange of the rows."""
+    if window < 1:
+        raise ValueError("window must be >= 1")
+    feats = rolling or []
+    rows = series_chunks(df, before=window - 1 if feats else 0, after=max(*AUX9_LEADS, *AUX10_LEADS) if aux else 0, key=key)
+    in_order = Window.partitionBy(key, "_chunk").orderBy(DATE, TIME, *_ties(df, key, DATE, TIME))
+    added = []
+    if aux:
+        r6, r8 = "responder_6", "responder_8"
+        rows = rows.select("*", *[F.lead(c, k).over(in_order).alias(f"_{c}_lead{k}")
+                                  for c, ks in ((r8, AUX9_LEADS), (r6, AUX10_LEADS)) for k in ks],
+                           *[(F.row_number().over(in_order) - 1).alias("_lpos")] * bool(feats))
+        s9 = sum((F.col(f"_{r8}_lead{k}") for k in AUX9_LEADS), F.col(r8))
+        s10 = sum((F.col(f"_{r6}_lead{k}") for k in AUX10_LEADS), F.col(r6))
+        added += [fill_null(s9).alias("responder_9"), fill_null(s10).alias("responder_10")]
+    elif feats:
+        rows = rows.select("*", (F.row_number().over(in_order) - 1).alias("_lpos"))
+    if feats:
+        rows, stats = _rolling(rows, feats, window, key)
+        added += stats
+    return rows.where(~F.col("_halo")).select(*df.columns, *added)
+
+
 # ------------------------------------------------------------------------- E04/E05
 def add_aux_targets(df: DataFrame) -> DataFrame:
     """``responder_9 = r8 + r8[+4]`` and ``responder_10 = r6 + r6[+20] + r6[+40]``.
@@ -147,11 +223,7 @@ def add_aux_targets(df: DataFrame) -> DataFrame:
     boundaries; ``fill_null(0)`` applies to the whole sum, so a missing term gives 0.
     """
     require_columns(df, ["responder_6", "responder_8", SYMBOL, DATE, TIME], "aux targets")
-    r6, r8 = "responder_6", "responder_8"
-    led = lead_rows(series_index(df), {r8: list(AUX9_LEADS), r6: list(AUX10_LEADS)})
-    s9 = sum((F.col(f"{r8}_lead{k}") for k in AUX9_LEADS), F.col(r8))
-    s10 = sum((F.col(f"{r6}_lead{k}") for k in AUX10_LEADS), F.col(r6))
-    return led.select(*df.columns, fill_null(s9).alias("responder_9"), fill_null(s10).alias("responder_10"))
+    return series_features(df, aux=True)
 
 
 # ------------------------------------------------------------------------- E02/E03
@@ -161,25 +233,19 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
 
     Nulls, NaN and infinities occupy a row of the window but are not samples.
 
-    A series is cut into blocks of ``window`` rows. A trailing window is then the tail of
-    one block and the head of the next; running (count, mean, squared deviations) from
+    A dealt chunk is cut into blocks of ``window`` rows. A trailing window is then the tail
+    of one block and the head of the next; running (count, mean, squared deviations) from
     either end of a block are combined by the parallel-variance rule. The cost per row
     does not depend on ``window``, and no large sums are subtracted, so the digits hold
-    at any level. Blocks are grouped into chunks of about ``LEAD_CHUNK`` rows that carry
-    the block before them as a halo; every window runs inside (key, chunk).
+    at any level. Every window runs inside (key, chunk).
     """
-    feats = present_features(df, features)
-    if window < 1:
-        raise ValueError("window must be >= 1")
-    per_chunk = max(1, LEAD_CHUNK // window)
-    block = F.floor(F.col(POS) / window).cast("long")
-    ix = series_index(df, key=key).select("*", block.alias("_blk"), *[_finite(f).alias(f"_v_{f}") for f in feats])
-    chunk = F.floor(F.col("_blk") / per_chunk)
+    return series_features(df, rolling=present_features(df, features), window=window, key=key)
+
+
+def _rolling(rows: DataFrame, feats: list[str], window: int, key: str) -> tuple[DataFrame, list]:
+    """Rows of ``series_chunks`` with ``_lpos`` -> running statistics, and the columns made of them."""
     vals = [f"_v_{f}" for f in feats]
-    own = ix.select("*", chunk.alias("_chunk"), F.lit(False).alias("_halo"))
-    halo = (ix.where(F.col("_blk") % per_chunk == per_chunk - 1)
-            .select(key, POS, "_blk", *vals, (chunk + 1).alias("_chunk"), F.lit(True).alias("_halo")))
-    rows = own.unionByName(halo, allowMissingColumns=True)
+    rows = rows.select("*", F.floor(F.col("_lpos") / window).cast("long").alias("_blk"), *[_finite(f).alias(v) for f, v in zip(feats, vals, strict=True)])
     in_block = Window.partitionBy(key, "_chunk", "_blk")
 
     def running(w, tag):
@@ -190,14 +256,14 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
             out += [n.alias(f"_{tag}n_{f}"), F.avg(v).over(w).alias(f"_{tag}m_{f}"), (F.var_pop(v).over(w) * n).alias(f"_{tag}q_{f}")]
         return out
 
-    rows = rows.select("*", *running(in_block.orderBy(F.desc(POS)), "t"))
-    rows = rows.select("*", *running(in_block.orderBy(POS), "h"))
+    rows = rows.select("*", *running(in_block.orderBy(F.desc("_lpos")), "t"))
+    rows = rows.select("*", *running(in_block.orderBy("_lpos"), "h"))
     # the tail that completes a head of k rows starts window - k rows before the block
-    back = Window.partitionBy(key, "_chunk").orderBy("_blk", POS)
-    whole = F.col(POS) % window == window - 1
+    back = Window.partitionBy(key, "_chunk").orderBy("_blk", "_lpos")
+    whole = F.col("_lpos") % window == window - 1
     tails = [F.when(~whole, F.lag(f"_t{x}_{f}", window - 1).over(back)).alias(f"_p{x}_{f}") for f in feats for x in "nmq"] if window > 1 else [
         F.lit(None).cast("double").alias(f"_p{x}_{f}") for f in feats for x in "nmq"]
-    rows = rows.select("*", *tails).where(~F.col("_halo"))
+    rows = rows.select("*", *tails)
     out = []
     for f in feats:
         n1, n2 = F.coalesce(F.col(f"_pn_{f}"), F.lit(0)), F.col(f"_hn_{f}")
@@ -207,7 +273,7 @@ def rolling_stats(df: DataFrame, features: list[str] | None = None, window: int
         q = F.coalesce(F.col(f"_pq_{f}"), F.lit(0.0)) + F.coalesce(F.col(f"_hq_{f}"), F.lit(0.0)) + (m2 - m1) * (m2 - m1) * n1 * n2 / n
         out += [F.when(n >= 1, mean).alias(f"{f}_roll_mean"),
                 F.when(n >= 2, F.sqrt(q / (n - 1))).otherwise(F.lit(0.0)).alias(f"{f}_roll_std")]
-    return rows.select(*df.columns, *out)
+    return rows, out
 
 
 # ----------------------------------------------------------------------------- C01
@@ -293,14 +359,15 @@ def model_frame(df: DataFrame, *, features: list[str] | str | None = None,
     eng = present_features(df, engineered) if engineered is not None else feats
     out = add_placeholders(df, ["responder_7", "responder_8"]) if use_aux else df
     if use_aux:
-        out = add_aux_targets(out)
+        require_columns(out, ["responder_6", "responder_8", SYMBOL, DATE, TIME], "aux targets")
+    if use_aux or use_rolling:  # both from one exchange; the rolling columns go last
+        out = series_features(out, aux=use_aux, rolling=eng if use_rolling else None, window=window)
     if use_lags:
         out = responder_lag(out)
     if use_market_avg:
         out = market_average(out, eng)
-    if use_rolling:
-        out = rolling_stats(out, eng, window=window)
-    return out
+    last = engineered_columns(eng, False, True) if use_rolling else []
+    return out.select(*[c for c in out.columns if c not in last], *last)
 
 
 def engineered_columns(features: list[str], use_market_avg: bool, use_rolling: bool) -> list[str]:
@@ -327,5 +394,5 @@ def input_columns(df: DataFrame, *, features: list[str] | str | None = None, sym
 __all__ = [
     "add_aux_targets", "add_placeholders", "apply_standardizer", "canonical_rank",
     "fit_standardizer", "input_columns", "lead_rows", "market_average", "model_frame", "ranked_subset",
-    "responder_lag", "rolling_stats", "series_index",
+    "responder_lag", "rolling_stats", "series_chunks", "series_features", "series_index",
 ]
