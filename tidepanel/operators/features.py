@@ -112,9 +112,10 @@ def series_index(df: DataFrame, key: str = SYMBOL, block: str = DATE,
     values like any other (nulls first).
     """
     w = Window.partitionBy(key, block).orderBy(*order, *_ties(df, key, block, *order))
-    offsets = _block_offsets(df, key, block).drop("_n")
-    out = _with_blocks(df, offsets, key, block).select("*", (F.row_number().over(w) - 1).alias("_local"))
-    return out.withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local")
+    local = df.select("*", (F.row_number().over(w) - 1).alias("_local"))
+    offs = _block_offsets(df, key, block).drop("_n")
+    out = local.join(offs, local[key].eqNullSafe(offs["_key"]) & local[block].eqNullSafe(offs["_block"]))
+    return out.withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local", "_key", "_block")
 
 
 def canonical_rank(df: DataFrame, out: str = "canonical_rank") -> DataFrame:
@@ -127,7 +128,6 @@ def canonical_rank(df: DataFrame, out: str = "canonical_rank") -> DataFrame:
     before = Window.orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)
     days = df.groupBy(F.col(DATE).alias("_date")).agg(F.count(F.lit(1)).alias("_n"))
     days = days.select("_date", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    days, _ = bounded_broadcast(reliable_checkpoint(days))
     return (ranked.join(days, ranked[DATE].eqNullSafe(days["_date"]))
             .withColumn(out, (F.col("_off") + F.col("_in_date")).cast("long")).drop("_off", "_in_date", "_date"))
 
