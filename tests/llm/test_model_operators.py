@@ -76,6 +76,58 @@ def test_pages_keep_the_article_and_nothing_else(spark):
         assert pages.main_text(hidden, model) == r.text
 
 
+LONG = "Some long paragraph of the article that goes on and on, with many words and a full stop at its end."
+INSIDE = [  # markup between two paragraphs of an article, and whether its text is article text
+    ('<section class="footnotes"><p>A footnote text.</p></section>', ["A footnote text."]), ('<p class="legal">A legal text.</p>', ["A legal text."]),
+    ('<blockquote class="social-quote">A quoted text.</blockquote>', ["A quoted text."]), ('<div class="reply">A reply text.</div>', ["A reply text."]),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>", ["So x=1 holds."]), ("<ul><li>First point</li><li>Second</li></ul>", ["First point", "Second"]),
+    ("<p>See <a href=/x>this link</a> for more.</p>", ["See this link for more."]),
+    ('<div class="ad">Buy this now.</div>', []), (f"<aside><p>{LONG}</p></aside>", []), ('<div class="share-buttons"><a href=/>Tweet</a></div>', []),
+    (f'<section class="comments"><div class="reply"><p>{LONG}</p></div></section>', []), ('<div id="disqus_thread"><p>First comment.</p></div>', []),
+    ("<form><label>Mail</label><button>Go</button></form>", []), ('<div class="newsletter-signup"><p>Subscribe to our newsletter.</p></div>', []),
+    ('<div class="cookie-notice">We use cookies.</div>', []),
+]
+
+
+def test_pages_keep_article_blocks_whatever_their_names_resemble(spark):
+    model = pages.train(spark.read.parquet(f"{SF}/pages.parquet"))
+    for markup, want in INSIDE:
+        page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{LONG}</p>{markup}<p>{LONG}</p></article><footer>Copyright 2020</footer>"
+        assert pages.main_text(page, model).split("\n") == ["Title", LONG, *want, LONG], markup
+    unnamed = f"<body><div><a href=/>Home</a> <a href=/a>About</a></div><div><h1>Title</h1><p>{LONG}</p></div><div>Copyright 2020</div>"
+    assert pages.main_text(unnamed, model) == f"Title\n{LONG}"
+
+
+def test_page_model_on_held_out_pages_without_names(spark):
+    import re
+    from collections import Counter
+
+    table = spark.read.parquet(f"{SF}/pages.parquet").where("html is not null")
+    model = pages.train(table.where("page_id % 5 != 0"))
+    hit = found = wanted = 0
+    for r in table.where("page_id % 5 = 0").collect():
+        want = Counter(pages.main_text(r.html, model).split("\n"))  # equals the article (first test)
+        blind = re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", r.html).replace(' class="ad"', "")
+        got = Counter(pages.main_text(blind, model).split("\n"))
+        hit += sum(len(k) * n for k, n in (want & got).items())
+        found += sum(len(k) * n for k, n in got.items())
+        wanted += sum(len(k) * n for k, n in want.items())
+    assert hit / wanted > 0.99 and hit / found > 0.9  # sentences in a bare division look like text
+
+
+def test_class_names_are_told_by_their_last_word():
+    told = {"ad": {"ad"}, "ad-unit-3": {"ad"}, "fb-comments": {"comment"}, "sidebar-content": {"side"}, "main-content": {"content"}, "articleBody": {"content"},
+            "related-articles": {"side"}, "main-nav": {"nav"}, "social-quote": set(), "footnotes": set(), "legal": set(), "reply": set(), "": set(),
+            "content c1": {"content"}, "post-footer x": {"foot"}}
+    assert {k: pages.hints(k) for k in told} == told
+
+
+def test_pages_with_extra_columns(spark):
+    table = spark.createDataFrame([(1, "u", PAGE, "x", 5, "in.a")], "page_id long, url string, html string, text string, n_chars int, `hide.key` string")
+    (r,) = pages.extract(table).collect()
+    assert r.asDict().keys() == {"page_id", "url", "text", "n_chars"} and r.text.startswith("Title here") and r.n_chars == len(r.text)
+
+
 def test_page_model_does_not_depend_on_batches(spark):
     table = spark.createDataFrame([(i, "u", PAGE.replace("content", f"c{i}") + f"<article><p>Story {i}, long enough to be one.</article>") for i in range(40)],
                                   "page_id long, url string, html string")

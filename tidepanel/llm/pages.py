@@ -3,10 +3,14 @@
 Every DOM node (elements and text runs) has a hidden label, content or not. Node
 potentials come from the node's features (tag, hints in class, id and role, text length,
 punctuation, links); edge potentials tie a child's label to its parent's. Both are counted on
-labelled pages, i.e. pages whose markup names the article, smoothed by stated priors. On
-half of them the naming tag is hidden from the features, so that the model also learns to
-do without it. Sum-product messages up and down the tree give each text run's marginal
-probability of being content; runs above one half are kept.
+labelled pages, i.e. pages whose markup names the article, smoothed by stated priors. The
+label comes from the naming tag alone (without menus, asides, forms, footers, buttons and
+comment sections inside it); what class names tell is a feature whose worth is counted like
+any other, so a name that clutters one corpus and holds text in another is learned as such.
+A third of the pages show all names, a third hide the naming tag, and a third hide every
+landmark and class name, so that the model also learns to do without them. Sum-product
+messages up and down the tree give each text run's marginal probability of being content;
+runs above one half are kept.
 
 Training reads a bounded sample (``MAX_FIT_PAGES``, chosen by hash) and collects only counts
 per feature value; the extraction is one scan, page by page, so a lost task is simply run
@@ -36,7 +40,7 @@ PRIOR_SHARE = 0.05  # and this share of the counted ones: labelled pages show fe
 
 # HTML element classes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe noembed noframes svg math select".split())
+RAW = set("script style title textarea template iframe noembed noframes svg select".split())
 BLOCK = set("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead
 tr ul""".split())
@@ -51,23 +55,31 @@ PRIORS = {
     "hint:ad": 0.01, "hint:comment": 0.01, "hint:nav": 0.02, "hint:foot": 0.02, "hint:head": 0.1, "hint:side": 0.02, "hint:notice": 0.02,
     "hint:form": 0.02, "hint:share": 0.02, "hint:content": 0.95,
     "text:tiny": 0.3, "text:short": 0.45, "text:medium": 0.6, "text:long": 0.85, "end:yes": 0.65, "end:no": 0.4, "link:yes": 0.2, "link:no": 0.55,
-    "in:clutter": 0.01, "in:content": 0.9, "in:none": 0.5,
+    "in:ad": 0.01, "in:comment": 0.01, "in:nav": 0.01, "in:foot": 0.01, "in:side": 0.01, "in:notice": 0.01, "in:form": 0.01, "in:share": 0.01,
+    "in:content": 0.9, "in:none": 0.5,
 }
 TEXT_WEIGHT = 0.4  # the features of a text run tell much the same, so each counts less
-CLUTTER_TAGS = set("nav footer aside form button menu dialog fieldset label".split())
-CONTENT_TAGS = set("article main".split())
+CLUTTER_TAGS = {"nav": "nav", "menu": "nav", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "label": "form", "button": "form",
+                "dialog": "notice"}
 TAGS = set("""a article aside b blockquote body br button dd div dl dt em figure figcaption footer form h1 h2 h3 h4 h5 h6 header html
 i label li main menu nav ol p pre section span strong table tbody td th thead tr u ul dialog fieldset head""".split())
+NAMING = {"article", "main"}
+LANDMARKS = NAMING | set(CLUTTER_TAGS) | {"header", "section"}
+UNLABELLED = {"nav", "aside", "form", "footer", "button"}  # never content, also inside the named article
+# Whole parts of class names; "side-bar_left" has the parts side, bar, left.
 HINTS = [
-    ("ad", r"\b(?:ads?|advert\w*|sponsor\w*|promo\w*|banner)\b"), ("comment", r"\b(?:comments?|disqus|replies|reply|respond)\b"),
-    ("nav", r"\b(?:nav\w*|menu\w*|breadcrumbs?|pagination|pager|toc)\b"), ("foot", r"\b(?:foot\w*|copyright|legal)\b"),
-    ("head", r"\b(?:header|masthead|topbar|logo)\b"), ("side", r"\b(?:side\w*|aside|widget\w*|related|recommend\w*)\b"),
-    ("notice", r"\b(?:notice|cookie\w*|consent|gdpr|alert|popup|modal|newsletter|subscribe|signup)\b"),
-    ("form", r"\b(?:form|search|login)\b"), ("share", r"\b(?:share|sharing|social)\b"),
-    ("content", r"\b(?:article\w*|content|main|post|story|entry|body-?text)\b"),
+    ("ad", r"ads?|advert\w*|sponsor\w*|promo\w*|banner"), ("comment", r"comments?|commentlist|disqus|replies|respond|discussion"),
+    ("nav", r"nav\w*|menus?|breadcrumbs?|pagination|pager|toc"), ("foot", r"footer|copyright|contentinfo|colophon"),
+    ("head", r"header|masthead|topbar|logo"), ("side", r"side|sidebar|sidenav|aside|widgets?|related|recommend\w*|complementary"),
+    ("notice", r"notices?|cookies?|consent|gdpr|alert|popup|modal|newsletter|subscribe|signup"),
+    ("form", r"forms?|search|login"), ("share", r"share|sharing|social"),
+    ("content", r"article|content|main|post|story|entry|bodytext"),
 ]
-HINT_RE = [(name, re.compile(p, re.I)) for name, p in HINTS]
-NAMING = {"article", "main"}
+HINT_RE = [(name, re.compile(p)) for name, p in HINTS]
+# Parts that say nothing of what an element is, only that it is one.
+CARRIER = set("""container wrapper wrap box list bar links link item items section block area inner outer unit top bottom left right site page global
+primary secondary body content articles posts stories buttons button media icons icon panel group row col column region slot thread form text""".split())
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
 MARKED = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -124,18 +136,43 @@ class Page:
                 return
 
 
-def features(page: Page, hide: bool = False) -> list[list[str]]:
-    """Feature values of every node; ``hide`` shows a naming tag as a plain division."""
+def hints(marks: str) -> set[str]:
+    """What the class names say: the kind of the last part of each that is no carrier.
+
+    "social-links" is about sharing, "social-quote" is a quote, of which nothing is known.
+    """
+    out = set()
+    for name in marks.split():
+        parts = [x.lower() for x in PART.findall(name)]
+        own = list(parts)
+        while len(own) > 1 and (own[-1] in CARRIER or own[-1].isdigit()):
+            own.pop()
+        found = [kind for kind, p in HINT_RE for x in own[-1:] if p.fullmatch(x)]
+        if not found or found == ["content"]:
+            found = ["content"] if any(HINT_RE[-1][1].fullmatch(x) for x in parts) and all(
+                x in CARRIER or x.isdigit() or HINT_RE[-1][1].fullmatch(x) for x in parts) else []
+        out.update(found)
+    return out
+
+
+def features(page: Page, hide: int = 0) -> list[list[str]]:
+    """Feature values of every node.
+
+    ``hide`` 1 shows a naming tag as a plain division, 2 every landmark, and no class names.
+    """
     out: list[list[str]] = []
+    hidden = (set(), NAMING, LANDMARKS)[hide]
     linked = [False] * len(page.tag)
     inside = ["none"] * len(page.tag)  # what the innermost telling ancestor (or self) suggests
     for i, tag in enumerate(page.tag):
         up = page.parent[i]
         linked[i] = tag == "a" or (up >= 0 and linked[up])
-        hints = {name for name, p in HINT_RE if p.search(page.marks[i])} if page.marks[i] else set()
-        if tag in CLUTTER_TAGS or hints - {"content", "head"}:
-            inside[i] = "clutter"
-        elif "content" in hints or tag in CONTENT_TAGS and not hide:
+        told = sorted(hints(page.marks[i])) if page.marks[i] and hide < 2 else []
+        telling = [x for x in told if x not in ("content", "head")]
+        shown = "div" if tag in hidden else tag
+        if shown in CLUTTER_TAGS or telling:
+            inside[i] = CLUTTER_TAGS.get(shown) or telling[0]
+        elif "content" in told or shown in NAMING:
             inside[i] = "content"
         elif up >= 0:
             inside[i] = inside[up]
@@ -145,13 +182,15 @@ def features(page: Page, hide: bool = False) -> list[list[str]]:
             size = "none" if not n else "tiny" if n < 25 else "short" if n < 80 else "medium" if n < 200 else "long"
             out.append([f"text:{size}", f"end:{'yes' if words[-1:] in set('.!?:;»”') and n else 'no'}", f"link:{'yes' if linked[i] else 'no'}", f"in:{inside[i]}"])
             continue
-        shown = "div" if hide and tag in NAMING else tag
-        out.append([f"tag:{shown if shown in TAGS else 'other'}", f"in:{inside[i]}", *[f"hint:{x}" for x in sorted(hints)]])
+        out.append([f"tag:{shown if shown in TAGS else 'other'}", f"in:{inside[i]}", *[f"hint:{x}" for x in told]])
     return out
 
 
 def markup_labels(page: Page) -> list[int] | None:
-    """Labels of a page whose markup names exactly one article (else none)."""
+    """Labels of a page whose markup names exactly one article (else none).
+
+    Class names count only where they name a comment section.
+    """
     named = [i for i, t in enumerate(page.tag) if t == "article"] or [i for i, t in enumerate(page.tag) if t == "main"]
     if len(named) != 1:
         return None
@@ -160,8 +199,7 @@ def markup_labels(page: Page) -> list[int] | None:
         if i == named[0]:
             label[i] = 1
         elif label[page.parent[i]]:
-            hints = {name for name, p in HINT_RE if page.marks[i] and p.search(page.marks[i])} - {"content", "head"}
-            label[i] = int(page.tag[i] not in {"nav", "aside", "form", "footer", "button"} and not hints)
+            label[i] = int(page.tag[i] not in UNLABELLED and not (page.marks[i] and "comment" in hints(page.marks[i])))
     return label
 
 
@@ -183,7 +221,7 @@ def _count(batches: Iterator):
             label = markup_labels(page)
             if label is None:
                 continue
-            for i, values in enumerate(features(page, hide=bool(hide))):
+            for i, values in enumerate(features(page, int(hide))):
                 for f in values:
                     seen[f, label[i]] += 1
                 if i:
@@ -194,15 +232,20 @@ def _count(batches: Iterator):
 def train(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_FIT_PAGES,
           id_col: str = "page_id") -> dict[str, tuple[float, float]]:
     """Potentials (not content, content) of every feature value and parent label."""
-    # the hash draws each copy of a page by itself, whatever its file or batch; another bit hides its tag
+    # the hash draws each copy of a page by itself, whatever its file or batch; other bits hide its names
     key = F.xxhash64(F.col(id_col), F.col(html_col).cast("string"))
     d = pages.select(F.col(html_col).cast("string").alias("html"), key.alias("key")).where(F.col("html").isNotNull())
     total = d.count()
     share = min(1.0, max_pages / max(1, total))
     drawn = d.where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20))
-    drawn = drawn.select("html", F.shiftright("key", 20).bitwiseAND(1).alias("hide"))
+    drawn = drawn.select("html", F.pmod(F.shiftright("key", 20), F.lit(3)).cast("int").alias("hide"))
     rows = drawn.mapInPandas(_count, "feature string, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
     seen = {(r["feature"], r["label"]): float(r["n"]) for r in rows}  # at most two rows per feature value
+    return potentials(seen)
+
+
+def potentials(seen: dict[tuple[str, int], float]) -> dict[str, tuple[float, float]]:
+    """Counts by (feature value, label), smoothed by the stated priors."""
     names = set(PRIORS) | {f for f, _ in seen} | set(EDGES)
     mass = [sum(n for (f, y), n in seen.items() if y == label and f.startswith("tag:")) for label in (0, 1)]
     weight = [max(PRIOR_COUNT, PRIOR_SHARE * m) for m in mass]
@@ -219,7 +262,7 @@ def train(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_FIT_PAG
     return out
 
 
-def marginals(page: Page, model: dict[str, tuple[float, float]], hide: bool = False) -> list[float]:
+def marginals(page: Page, model: dict[str, tuple[float, float]], hide: int = 0) -> list[float]:
     """P(content) of every node by sum-product messages up and down the tree."""
     n = len(page.tag)
     kinds = {kind: (model[f"edge:{kind}:0"], model[f"edge:{kind}:1"]) for kind in ("text", "element")}
