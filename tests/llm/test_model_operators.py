@@ -194,6 +194,37 @@ def test_shards_hold_the_row_law_and_follow_the_curve(spark):
     assert hilbert.shard(docs(spark, []), shards=7).count() == 0
 
 
+def test_shards_equal_a_plain_ranking(spark):
+    rnd = random.Random(8)
+    sources = [f"https://common.example.org/dump-{k:02d}" for k in range(40)] + ["zz"]
+    # one source holds a third of the rows, copies of one text a tenth
+    rows = [(i, "copy " * 9 if i % 10 == 0 else "x" * rnd.randint(0, 40) + str(i % 97), rnd.choice(["de", "en", None]),
+             "zz" if i % 3 == 0 else rnd.choice(sources)) for i in range(900)]
+    rows += [(7, "same", "en", None), (7, "same", "en", None), (None, None, None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("cell_size", F.lit("x")).withColumn("rank", F.lit(1))
+
+    def string_cells(values, cells=32):
+        order = sorted(values)
+        edges = sorted({v for k, v in enumerate(order) if k == 0 or v != order[k - 1]})
+        first = {v: order.index(v) * cells // len(order) for v in edges}
+        bounds = sorted({min(v for v in edges if first[v] == c) for c in set(first.values()) if c > 0})
+        return [sum(v >= e for e in bounds) for v in values]
+
+    got = hilbert.shard(table, shards=7).collect()
+    key = lambda r: (r.curve, r.text_crc32, r.size, r.doc_id is not None, r.doc_id or 0)
+    ranked = sorted(got, key=key)
+    starts = [-(-k * len(rows) // 7) for k in range(8)]
+    assert [(r.shard, r.slot) for r in ranked] == [(k, i) for k in range(7) for i in range(starts[k + 1] - starts[k])]
+    cells = {}
+    for (i, t, *_), lang, source in zip(rows, string_cells([r[2] or "" for r in rows]), string_cells([r[3] or "" for r in rows]), strict=True):
+        cells.setdefault((i, zlib.crc32((t or "").encode())), (lang, source))
+    assert all(cells[r.doc_id, r.text_crc32] == (r.cell_lang, r.cell_source) for r in got)
+    assert len({r.cell_source for r in got}) > 15  # the common start of the sources hides none of them
+    for curve in {r.curve for r in got}:  # copies of one cell stand side by side
+        places = [k for k, r in enumerate(ranked) if r.curve == curve and r.text_crc32 == zlib.crc32(b"copy " * 9)]
+        assert places == list(range(min(places, default=0), min(places, default=0) + len(places)))
+
+
 def test_curve_visits_neighbours():
     import itertools
 
@@ -384,24 +415,43 @@ def test_copies_are_drawn_one_by_one(spark):
     assert [lang for m in models for lang in m.languages] == sorted({r[2] for r in rows})
 
 
-def test_code_lengths_equal_a_slow_scorer(monkeypatch):
+def slow_bits(seen, context, byte):
+    """Code length of a byte by the definition: seen followers, else an escape with exclusion."""
+    def distribution(context):
+        below = distribution(context[1:]) if context else {x: 1 / len(ppm.ALPHABET) for x in map(int, ppm.ALPHABET)}
+        c = seen.get(context)
+        if not c:
+            return below if context else {x: 1 / len(below) for x in below}
+        t, d, rest = sum(c.values()), len(c), sum(p for x, p in below.items() if x not in c)
+        if rest == 0:
+            return {x: c[x] / t for x in c}
+        return {x: c[x] / (t + d) if x in c else d / (t + d) * p / rest for x, p in below.items()}
+
+    base = distribution(context)
+    assert sum(base.values()) == pytest.approx(1.0)  # each context is a distribution
+    return -np.log2(base[byte])
+
+
+@pytest.mark.parametrize("symbols", ["abc de", "every"])
+def test_code_lengths_equal_a_slow_scorer(monkeypatch, symbols):
     rnd = random.Random(5)
-    text = "".join(rnd.choice("abc de") for _ in range(400)).encode()
-    grams = np.array([int.from_bytes((b"   " + text)[i:i + 4], "big") for i in range(len(text))])
-    g, n = np.unique(grams, return_counts=True)
-    alphabet = np.full(256, 127, np.uint8)
-    for k, b in enumerate(b"abc de"):
-        alphabet[b] = min(k, alphabet[b])
-    rows, bits = ppm._tables(g, n, alphabet, 1000)
-    assert np.exp2(-bits.astype(float)).sum(1) == pytest.approx(1.0, abs=1e-4)  # each context is a distribution
-    model = ppm.Model(["x"], alphabet[ppm.FOLD], [rows], [bits])
-    parts = [b"abc de cab", b"", b"e", b"zz ab", b"dead beef cab" * 9]
+    # "every": in the empty context all bytes are seen, so there is nothing to escape to
+    text = "".join(rnd.choice("abc de") for _ in range(400)).encode() if symbols != "every" else bytes(map(int, ppm.ALPHABET)) * 2
+    padded = b"   " + text
+    grams = np.array([int.from_bytes(padded[i:i + 4], "big") for i in range(len(text))])
+    seen = {}
+    for i in range(3, len(padded)):
+        for k in range(4):
+            c = seen.setdefault(tuple(padded[i - k:i]), {})
+            c[padded[i]] = c.get(padded[i], 0) + 1
+    model = ppm.Model(["x"], [ppm.tree(*np.unique(grams, return_counts=True))])
+    parts = [b"abc de cab", b"", b"e", b"zz Ab 77", b"dead beef cab" * 9]
     off = np.cumsum([0, *map(len, parts)])
     raw = np.frombuffer(b"".join(parts), np.uint8)
     want = []
     for p in parts:
-        s = [int(alphabet[32])] * 3 + [int(model.alphabet[b]) for b in p]
-        want.append(sum(bits[rows[s[i - 3] << 14 | s[i - 2] << 7 | s[i - 1]], s[i]] for i in range(3, len(s))))
+        s = [32] * 3 + [int(ppm.FOLD[b]) for b in p]
+        want.append(sum(slow_bits(seen, tuple(s[i - 3:i]), s[i]) for i in range(3, len(s))))
     for size in (1 << 20, 7, 1):
         monkeypatch.setattr(ppm, "CHUNK_BYTES", size)
         assert ppm.code_lengths(model, off, raw)[:, 0] == pytest.approx(want, rel=1e-5)

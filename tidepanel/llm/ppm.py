@@ -5,17 +5,17 @@ on a bounded sample of labelled documents and frozen. The code length of a byte
 the tree with escapes (method C): in a context seen ``n`` times with ``d`` distinct
 followers, a follower seen ``c`` times costs ``c / (n + d)``, anything else ``d / (n + d)``
 times its share in the next shorter context among the bytes not yet excluded; below the
-empty context every symbol is equally likely. Since the statistics are frozen, the whole
-distribution of each kept context is computed once, and scoring a text is one table look-up
-per byte and language. The language with the shortest total code length wins.
+empty context every byte (case-folded, digits as one) is equally likely. The statistics are
+frozen, so a follower's code length and a context's escape are computed once and kept in
+sorted arrays: nothing is stored for followers that were not seen. A batch is reduced to
+its distinct four-byte grams, which each language codes once. The language with the
+shortest total code length wins.
 
 Every ``lang`` value with a text outside the held-out fold is learned, however rare, with
-an alphabet of all bytes it uses; the bytes it never uses are one symbol, whose share is
-divided equally among them.
+all its contexts and bytes.
 
-``MAX_FIT_DOCS`` documents per language (chosen by hash of id and text, so copies are drawn one by one) bound the fit; ``MAX_CONTEXTS``
-contexts per order and language bound its tables: with n symbols (at most 217), n**3 index
-entries x 2 B + (2 * MAX_CONTEXTS + n + 1) x n x 4 B. Languages are learned, broadcast and
+``MAX_FIT_DOCS`` documents per language (chosen by hash of id and text, so copies are drawn one by one) bound the fit, and its
+distinct grams the tables, at 12 B for each seen follower and context of each order. Languages are learned, broadcast and
 scored in blocks of ``BLOCK_LANGUAGES``: a worker holds one block and ``BUFFER_BYTES`` of
 texts at a time and keeps the best code length and the sum for the score.
 
@@ -28,7 +28,7 @@ are read. Ties go to the alphabetically first language.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -39,9 +39,8 @@ from tidepanel.llm.shingle import collected, utf8
 from tidepanel.session import materialize
 
 ORDER = 3
-SYMBOLS = 128
+PAD = 32  # the bytes before a text
 MAX_FIT_DOCS = 1500
-MAX_CONTEXTS = 12_000
 BLOCK_LANGUAGES = 16
 FOLDS = 5
 CHUNK_BYTES = 1 << 20
@@ -49,14 +48,43 @@ BUFFER_BYTES = 32 << 20  # of texts scored with one block before the next is loa
 RAW_BITS = 8.0  # bits per byte of an uncoded text
 
 
+@dataclass
+class Tree:
+    """Context tree of one language: sorted keys with code lengths, an entry per order.
+
+    A key of order k packs k context bytes and, for ``seen``, the follower.
+    """
+
+    seen: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    escape: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def code(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits of the last byte of every distinct packed gram, given the ``order`` before it."""
+        bits = np.zeros(len(grams))
+        left = np.arange(len(grams))  # grams not yet coded
+        for k in range(order, -1, -1):
+            key = (grams[left] & np.uint32((1 << 8 * (k + 1)) - 1)).astype(np.uint32)
+            at, hit = _found(self.seen[k][0], key)
+            bits[left[hit]] += self.seen[k][1][at[hit]]
+            left, key = left[~hit], key[~hit]
+            at, hit = _found(self.escape[k][0], key >> np.uint32(8))
+            bits[left[hit]] += self.escape[k][1][at[hit]]
+        bits[left] += np.log2(len(ALPHABET))
+        return bits
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``keys`` and which of them are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
+
+
 @dataclass
 class Model:
-    """``bits[l]`` rows of code lengths; ``rows[l]`` maps a packed context to its row."""
+    """Frozen trees of some languages."""
 
-    languages: list[str]
-    alphabet: np.ndarray  # byte -> symbol, for all languages or one row per language
-    rows: list[np.ndarray]
-    bits: list[np.ndarray]
+    languages: list[str] = field(default_factory=list)
+    trees: list[Tree] = field(default_factory=list)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -73,6 +101,7 @@ def _fold_case() -> np.ndarray:
 
 
 FOLD = _fold_case()
+ALPHABET = np.unique(FOLD)
 
 
 def _count_bytes(batches: Iterator):
@@ -85,7 +114,7 @@ def _count_bytes(batches: Iterator):
         raw = FOLD[raw]
         by: dict[str, list[np.ndarray]] = {}
         for i, lang in enumerate(langs):
-            by.setdefault(lang, []).append(np.concatenate([np.full(ORDER, 32, np.uint8), raw[off[i]:off[i + 1]]]))
+            by.setdefault(lang, []).append(np.concatenate([np.full(ORDER, PAD, np.uint8), raw[off[i]:off[i + 1]]]))
         for lang, texts in by.items():
             grams = [x[:-3].astype(np.uint32) << 24 | x[1:-2].astype(np.uint32) << 16 | x[2:-1].astype(np.uint32) << 8 | x[3:]
                      for x in texts if len(x) > ORDER]
@@ -95,79 +124,25 @@ def _count_bytes(batches: Iterator):
                     [pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def _tables(grams: np.ndarray, n: np.ndarray, alphabet: np.ndarray, max_contexts: int,
-            uniform: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Context index and code lengths of one language from its four-byte gram counts.
-
-    ``uniform`` holds each symbol's share below the empty context (equal shares of
-    ``SYMBOLS`` unless given).
-    """
-    s = [alphabet[(grams >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-    uniform = np.full(SYMBOLS, 1.0 / SYMBOLS) if uniform is None else uniform
-    symbols = len(uniform)
-    probs = np.empty((1 + symbols + 2 * max_contexts, symbols))
-    used = 0
-    index = np.zeros(symbols ** ORDER, dtype=np.uint16 if len(probs) <= 1 << 16 else np.int32)
-    row_of: dict[tuple[int, int], int] = {}  # (order, packed context) -> row
+def tree(grams: np.ndarray, n: np.ndarray) -> Tree:
+    """Context tree of one language from its distinct four-byte grams and their counts."""
+    out = Tree()
     for order in range(ORDER + 1):
-        context = np.zeros_like(s[0])
-        for j in range(3 - order, 3):
-            context = context * symbols + s[j]
-        keys, inverse = np.unique(context, return_inverse=True)
-        total = np.bincount(inverse, weights=n, minlength=len(keys))
-        # the most frequent contexts are kept; others use their suffix
-        keep = np.sort(np.argsort(-total, kind="stable")[:max_contexts]) if len(keys) > max_contexts else np.arange(len(keys))
-        place = np.full(len(keys), -1)
-        place[keep] = np.arange(len(keep))
-        keys, total = keys[keep], total[keep]
-        at = place[inverse]
-        counts = np.zeros((len(keys), symbols))
-        np.add.at(counts, (at[at >= 0], s[3][at >= 0]), n[at >= 0])
-        for key, c, t in zip(keys.tolist(), counts, total, strict=True):
-            below = uniform if order == 0 else probs[_suffix_row(row_of, key, order, symbols)]
-            seen = c > 0
-            d = int(seen.sum())
-            p = c / (t + d)
-            rest = below[~seen].sum()
-            if rest > 0:
-                p[~seen] = d / (t + d) * below[~seen] / rest
-            else:
-                p = c / t
-            row_of[order, key] = used
-            # the context claims its slice of the packed three-symbol index
-            index[key::symbols ** order] = used
-            probs[used] = p
-            used += 1
-    return index, (-np.log2(probs[:used])).astype(np.float32)
-
-
-def _suffix_row(row_of: dict[tuple[int, int], int], key: int, order: int, symbols: int) -> int:
-    """Row of the longest kept proper suffix of a context."""
-    for o in range(order - 1, -1, -1):
-        row = row_of.get((o, key % symbols ** o))
-        if row is not None:
-            return row
-    raise KeyError(key)  # the empty context is always kept
-
-
-def _language(grams: np.ndarray, n: np.ndarray, max_contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Alphabet, context index and code lengths of one language over all its bytes."""
-    own = np.unique(np.concatenate([np.unique((grams >> shift) & 255) for shift in (24, 16, 8, 0)]))
-    every = np.unique(FOLD)
-    other = len(every) - len(own)  # bytes this language never uses: the last symbol
-    alphabet = np.full(256, len(own), dtype=np.uint8)
-    alphabet[own] = np.arange(len(own))
-    uniform = np.full(len(own) + (other > 0), 1.0 / len(every))
-    if other:
-        uniform[-1] = other / len(every)
-    rows, bits = _tables(grams, n, alphabet, max_contexts, uniform)
-    if other:
-        bits[:, -1] += np.float32(np.log2(other))
-    return alphabet[FOLD], rows, bits
+        keys, inverse = np.unique(grams.astype(np.uint32) & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        c = np.bincount(inverse, weights=n, minlength=len(keys))
+        # the share of the followers seen here in the next shorter context: they are excluded there
+        below = np.exp2(-out.code(keys, order - 1)) if order else np.full(len(keys), 1.0 / len(ALPHABET))
+        contexts, of = np.unique(keys >> np.uint32(8), return_inverse=True)
+        t, d, used = (np.bincount(of, weights=w, minlength=len(contexts)) for w in (c, np.ones(len(keys)), below))
+        full = d == len(ALPHABET)
+        rest = np.maximum(1.0 - used, 1e-12)
+        out.seen.append((keys, -np.log2(c / np.where(full, t, t + d)[of]).astype(np.float32)))
+        out.escape.append((contexts, np.where(full, 0.0, -np.log2(d / ((t + d) * rest))).astype(np.float32)))
+    return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        max_docs: int = MAX_FIT_DOCS, max_contexts: int = MAX_CONTEXTS) -> Iterator[Model]:
+        max_docs: int = MAX_FIT_DOCS) -> Iterator[Model]:
     """Frozen models of all languages in order, a block at a time, learned from documents outside the held-out fold."""
     d = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
                     F.col(id_col).alias("id")).where(
@@ -185,17 +160,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for first in range(0, len(sizes), BLOCK_LANGUAGES):
         block = [lang for lang, _ in sizes[first:first + BLOCK_LANGUAGES]]
         grams = collected(counted.where(F.col("lang").isin(block)))
-        model, alphabets = Model([], np.empty(0), [], []), []
+        model = Model()
         for lang in block:
             own = grams["lang"] == lang
             if own.any():
-                alphabet, rows, bits = _language(grams["gram"][own], grams["n"][own], max_contexts)
                 model.languages.append(lang)
-                alphabets.append(alphabet)
-                model.rows.append(rows)
-                model.bits.append(bits)
-        if alphabets:
-            model.alphabet = np.stack(alphabets)
+                model.trees.append(tree(grams["gram"][own], grams["n"][own]))
+        if model.languages:
             yield model
 
 
@@ -212,21 +183,16 @@ def code_lengths(model: Model, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
         cuts = np.clip(off[lo:hi], a, b) - a
         ends = np.append(cuts[1:], b - a)
         starts = first[(first > a - ORDER) & (first < b)]
-        for m in range(len(model.languages)):
-            if m == 0 or model.alphabet.ndim > 1:
-                alphabet = model.alphabet if model.alphabet.ndim == 1 else model.alphabet[m]
-                symbols, pad = model.bits[m].shape[1], int(alphabet[32])
-                s = alphabet[raw[a - lead:b]].astype(np.int32)
-                s = np.concatenate([np.full(ORDER - lead, pad, np.int32), s])
-                c = [s[:-3].copy(), s[1:-2].copy(), s[2:-1].copy()]
-                for j in range(ORDER):  # the context of a text's first bytes is padding
-                    at = starts + j
-                    at = at[(at >= a) & (at < b)] - a
-                    for k in range(ORDER - j):
-                        c[k][at] = pad
-                ctx = (c[0] * symbols + c[1]) * symbols + c[2]
-            cost = model.bits[m].ravel()[model.rows[m][ctx].astype(np.int32) * symbols + s[3:]].astype(np.float64)
-            run = np.concatenate([[0.0], np.cumsum(cost)])
+        s = np.concatenate([np.full(ORDER - lead, PAD, np.uint8), FOLD[raw[a - lead:b]]]).astype(np.uint32)
+        c = [s[:-3].copy(), s[1:-2].copy(), s[2:-1].copy()]
+        for j in range(ORDER):  # the context of a text's first bytes is padding
+            at = starts + j
+            at = at[(at >= a) & (at < b)] - a
+            for k in range(ORDER - j):
+                c[k][at] = PAD
+        grams, place = np.unique(c[0] << 24 | c[1] << 16 | c[2] << 8 | s[3:], return_inverse=True)
+        for m, language in enumerate(model.trees):
+            run = np.concatenate([[0.0], np.cumsum(language.code(grams)[place])])
             total[lo:hi, m] += run[ends] - run[cuts]
     return total
 
