@@ -252,6 +252,32 @@ def test_only_maximal_conversations_are_rendered(spark):
     assert chat.render(spark.createDataFrame([], table.schema)).count() == 0
 
 
+def test_hot_conversations_equal_a_plain_loop(spark):
+    rnd = random.Random(4)
+    said = {c: [(t, rnd.choice(["user", "assistant", None]), rnd.choice(["a", "b", "", None, "long " * 50])) for t in range(rnd.randint(1, 30))] for c in range(40)}
+    for c in range(40, 80):  # snapshots of earlier ones
+        said[c] = said[c - 40][:rnd.randint(1, len(said[c - 40]))]
+    # all turns of the null conversation and of conversation 90 have a null or one equal number
+    said[None] = [(None, "user", f"t{i}") for i in range(700)]
+    said[90] = [(5, "user", f"t{i % 300}") for i in range(600)]
+    rows = [(c, *t) for c, turns in said.items() for t in turns]
+    rows += rows[::3]  # repeated rows
+    rnd.shuffle(rows)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    plain = {c: turns for c, turns in said.items() if c is not None and c < 80}
+    keep = {c for c, turns in plain.items()
+            if not any(o != c and [x[1:] for x in v[:len(turns)]] == [x[1:] for x in turns] and (len(v) > len(turns) or o < c) for o, v in plain.items())}
+    got = {}
+    for r in sorted(chat.render(table, segment=64).collect(), key=lambda r: r.segment):
+        got.setdefault(r.conv_id, []).append(r)
+    assert set(got) == keep | {None, 90}
+    for c in keep:
+        assert "".join(r.text for r in got[c]) == "".join(f"<|{a or ''}|>\n{b or ''}\n" for _, a, b in said[c])
+    for c, n in ((None, 700), (90, 300)):
+        lines = "".join(r.text for r in got[c]).split("\n")[1::2]
+        assert len(got[c]) == -(-n // 64) and sorted(lines) == sorted({t[2] for t in said[c]}) and {r.n_turns for r in got[c]} == {n}
+
+
 # ---------------------------------------------------------------- signature trees
 def near_copies():
     rnd = random.Random(9)

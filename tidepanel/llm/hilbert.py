@@ -69,7 +69,7 @@ def curve_index(cells: pd.DataFrame, bits: int) -> pd.Series:
     return pd.Series(index)
 
 
-def _sorted_parts(df: DataFrame, keys: list[str]) -> DataFrame:
+def sorted_parts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows in range partitions sorted by ``keys``, with ``_part`` and ``_place``, stored.
 
     The number of partitions follows the shuffle's bytes, not the cores.
@@ -94,7 +94,7 @@ def string_edges(df: DataFrame, name: str, cells: int) -> list[str]:
     From the counts of the distinct values, added up within range partitions of them.
     """
     counts = df.groupBy(name).agg(F.count("*").alias("_n"))
-    ordered = _sorted_parts(counts, [name])
+    ordered = sorted_parts(counts, [name])
     starts, total = _starts([(r["_part"], r["n"]) for r in ordered.groupBy("_part").agg(F.sum("_n").alias("n")).collect()])
     if not total:
         return []
@@ -138,7 +138,7 @@ def with_curve_index(df: DataFrame, dimensions: dict[str, Column], bits: int = B
 
 def rank(df: DataFrame, keys: list[str], out: str = "rank") -> DataFrame:
     """Adds the global rank (from 0) by ``keys`` without a single-task sort."""
-    ordered = _sorted_parts(df, keys)
+    ordered = sorted_parts(df, keys)
     starts, total = _starts([(r["_part"], r["n"]) for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).collect()])
     offsets = df.sparkSession.createDataFrame(list(starts.items()), "_part int, _start long")
     return (ordered.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_start") + F.col("_place"))
