@@ -104,3 +104,42 @@ def test_scattered_files_give_the_same_answers(spark, staged, scattered):
     assert ST.stream_market_avg(spark, scattered).agg(F.sum("n_events")).first()[0] == ev.count()
     test_predict_update_equals_batch(spark, scattered)
     test_running_r2_final_equals_batch(spark, scattered)
+
+
+def test_keyed_streams_do_not_call_python_per_key(spark, staged, monkeypatch):
+    def refuse(*_a, **_k):
+        raise AssertionError("a Python call for every key and batch")
+
+    monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasGroupedOpsMixin.applyInPandasWithState", refuse)
+    n = load_events(spark, SF_SMALL).count()
+    assert ST.stream_rolling(spark, staged, 5).count() == n
+    assert ST.stream_day_lag(spark, staged).count() == n
+    assert ST.stream_running_r2(spark, staged).agg(F.max("n_rows")).first()[0] == n
+
+
+def test_replayed_batches_count_once(spark, tmp_path):
+    """Rolling and day-lag batches give the same rows when the last one runs again."""
+    def events(rows):
+        return spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    first = events([(1, 1, "2024-01-01 05:00:00", 1.0), (2, 1, "2024-01-01 01:00:00", 3.0), (3, 2, "2024-01-01 02:00:00", None)])
+    second = events([(4, 1, "2024-01-02 05:00:00", 5.0), (5, 2, "2024-01-02 02:00:00", 7.0), (6, 2, "2024-01-02 03:00:00", float("nan"))])
+    end = events([(None, None, "2024-01-12 00:00:00", None)])
+    sink = ST._rolling_sink(str(tmp_path / "roll"), 2)
+    for k, batch in ((0, first), (1, second), (1, second), (2, end), (2, end)):
+        sink(batch, k)
+    log = spark.read.schema(ST.ROLL_LOG).parquet(str(tmp_path / "roll" / "log")).where("emit = 1")
+    got = {r["event_id"]: (r["roll_mean"], r["roll_std"]) for r in log.collect()}
+    assert log.count() == 6
+    assert got == {2: (3.0, 0.0), 1: (2.0, pytest.approx(2 ** 0.5)), 4: (3.0, pytest.approx(8 ** 0.5)),
+                   3: (None, 0.0), 5: (7.0, 0.0), 6: (7.0, 0.0)}
+
+    def day(df):
+        return df.select("event_id", "user_id", (F.dayofmonth("ts") - 1).alias("date_id"), F.hour("ts").alias("time_id"), "value")
+
+    days = str(tmp_path / "days")
+    ST._with_day_lag(day(first), 0, days).collect()
+    for _ in range(2):
+        lag = {r["event_id"]: r["value_lag_1"] for r in ST._with_day_lag(day(second), 1, days).collect()}
+    assert lag == {4: 1.0, 5: 0.0, 6: None}
+    assert spark.read.parquet(days).agg(F.sum("c")).first()[0] == 6

@@ -4,9 +4,10 @@ Input is the event table replayed day after day (``stage_events_by_day``), any n
 files a day, read with ``readStream`` + ``maxFilesPerTrigger`` and run with
 ``trigger(availableNow=True)``. The answers do not depend on how a day is cut into files
 or micro-batches: the watermark allows for the disorder inside a day, values that depend
-on the order of events wait in keyed state until the watermark has passed them, and sums
-are logged per date. State lives in Spark's fault-tolerant state store and sinks are
-idempotent by batch, so a restarted query resumes without double counting.
+on the order of events wait until no earlier event can come, and sums are logged per
+date. State lives in Spark's fault-tolerant state store or in tables beside the
+checkpoint, one folder a batch, and sinks are idempotent by batch, so a restarted query
+resumes without double counting. No operator calls Python per key.
 """
 
 from __future__ import annotations
@@ -15,13 +16,11 @@ import hashlib
 import os
 import uuid
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tidepanel.functions.exprs import is_finite
 from tidepanel.session import checkpoint_path, committed, path_signature
 from tidepanel.sources.fixtures import load_events
 
@@ -127,118 +126,108 @@ def stream_market_avg(spark: SparkSession, path: str, window: str = "1 hour", sl
 
 
 # ---------------------------------------------------------------- L02
-ROLL_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
-                         T.StructField("ts", T.TimestampType()), T.StructField("roll_mean", T.DoubleType()),
-                         T.StructField("roll_std", T.DoubleType())])
-ROLL_STATE = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType())),
-                           T.StructField("wait_ts", T.ArrayType(T.LongType())), T.StructField("wait_id", T.ArrayType(T.LongType())),
-                           T.StructField("wait_value", T.ArrayType(T.DoubleType()))])
-
-
-def _rolling_state_fn(window: int):
-    def fn(key, pdfs, state):
-        values, ts, ids, vals = map(list, state.get) if state.exists else ([], [], [], [])
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                ts += (pdf["ts"].astype("int64") // 1000).tolist()  # the events' microseconds
-                ids += pdf["event_id"].tolist()
-                vals += pdf["value"].tolist()
-        # events up to the watermark are complete and can be put in order
-        bound = state.getCurrentWatermarkMs() * 1000
-        order = sorted(range(len(ts)), key=lambda i: (ts[i], ids[i]))
-        ready = [i for i in order if ts[i] < bound]
-        wait = [i for i in order if ts[i] >= bound]
-        out = None
-        if ready:
-            s = pd.Series(values + [vals[i] for i in ready], dtype=float)
-            mean = s.rolling(window, min_periods=1).mean().to_numpy()[len(values):]
-            std = s.rolling(window, min_periods=2).std(ddof=1).fillna(0.0).to_numpy()[len(values):]
-            values = s.iloc[len(s) - min(len(s), window - 1):].tolist()
-            out = pd.DataFrame({"event_id": [ids[i] for i in ready], "user_id": key[0],
-                                "ts": pd.to_datetime([ts[i] for i in ready], unit="us"), "roll_mean": mean, "roll_std": std})
-        state.update((values, [ts[i] for i in wait], [ids[i] for i in wait], [vals[i] for i in wait]))
-        if wait:
-            state.setTimeoutTimestamp(max(ts[i] for i in wait) // 1000 + 1)
-        if out is not None:
-            yield out
-    return fn
+ROLL_LOG = ("event_id long, user_id long, ts timestamp, value double, done boolean, roll_mean double, roll_std double, "
+            "emit int, keep int")
+
+
+def _rolling_sink(out: str, window: int):
+    """foreachBatch sink of :func:`stream_rolling`: one window over the rows carried from
+    the batch before and the batch's own; ``log/batch=<id>`` takes the rows that are
+    finished (``emit``) and those that later batches need (``keep``). A replayed batch
+    reads the same carried rows and overwrites its own folder."""
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id", "value")
+    frame = by_user.rowsBetween(1 - window, 0)
+
+    def f(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("done", F.lit(False))
+        if batch_id > 0:
+            before = spark.read.schema(ROLL_LOG).parquet(os.path.join(out, "log", f"batch={batch_id - 1}"))
+            rows = rows.unionByName(before.where("keep = 1").select(*rows.columns))
+        # what is older than the disorder below the newest event is complete; the newest
+        # event itself always waits, so the carried rows hold it
+        newest = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") - F.expr(f"INTERVAL {DISORDER}")).alias("b"))
+        ready = F.coalesce(F.col("ts") < F.lit(newest.first()["b"]), F.lit(False))
+        rows = rows.where(F.col("ts").isNotNull() & F.col("event_id").isNotNull()).withColumn("_ready", ready)
+        x = F.when(is_finite(F.col("value")), F.col("value"))
+        rows = rows.select("*", F.avg(x).over(frame).alias("roll_mean"), F.coalesce(F.stddev_samp(x).over(frame), F.lit(0.0)).alias("roll_std"),
+                           F.lead("_ready", window - 1).over(by_user).alias("_full"))
+        emit = F.col("_ready") & ~F.col("done")
+        # kept: waiting rows, and the last ``window - 1`` finished ones of each user
+        keep = ~F.col("_ready") | ~F.coalesce("_full", F.lit(False))
+        rows = rows.select("event_id", "user_id", "ts", "value", F.col("_ready").alias("done"), "roll_mean", "roll_std",
+                           emit.cast("int").alias("emit"), keep.cast("int").alias("keep"))
+        (rows.where("emit = 1 OR keep = 1").write.mode("overwrite").partitionBy("emit", "keep")
+             .parquet(os.path.join(out, "log", f"batch={batch_id}")))
+    return f
 
 
 def stream_rolling(spark: SparkSession, path: str, window: int = 10) -> DataFrame:
     """Per-user trailing ``window``-event mean / std (ddof 1, <2 samples -> 0).
 
-    Row-based frames are not allowed on streams, so each user keeps its last
-    ``window - 1`` values and the events that the watermark has not passed (bounded by
-    the window and the disorder, not by history); those are emitted in event-time order.
+    Row-based frames are not allowed on streams, so every batch carries each user's last
+    ``window - 1`` events and the events that may still be preceded by others (bounded by
+    the window and the disorder, not by history) to the next one; events are emitted in
+    event-time order. The carried rows of all users are one table, so a batch is one
+    grouped window however many users there are.
     """
-    # the condition names ts, so that it is not pushed below the watermark: the closing
-    # marker must move the watermark before it is dropped
-    ev = (read_event_stream(spark, path).select("event_id", "user_id", "ts", "value").withWatermark("ts", DISORDER)
-          .where(F.when(F.col("ts").isNotNull(), F.col("event_id").isNotNull())))
-    out_df = ev.groupBy("user_id").applyInPandasWithState(
-        _rolling_state_fn(window), ROLL_OUT, ROLL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    ev = read_event_stream(spark, path).select("event_id", "user_id", "ts", "value")
 
     def build(out, ck):
-        return (out_df.writeStream.outputMode("append").format("parquet").option("path", os.path.join(out, "data"))
-                .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        return (ev.writeStream.foreachBatch(_rolling_sink(out, window)).option("checkpointLocation", ck)
+                .trigger(availableNow=True).start())
 
-    return spark.read.parquet(os.path.join(_run(build, "roll", spark), "data"))
+    out = _run(build, "roll", spark)
+    log = spark.read.schema(ROLL_LOG + ", batch long").parquet(os.path.join(out, "log"))
+    return log.where("emit = 1").select("event_id", "user_id", "ts", "roll_mean", "roll_std")
 
 
 # ---------------------------------------------------------------- L03
-LAG_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
-                        T.StructField("date_id", T.IntegerType()), T.StructField("time_id", T.IntegerType()),
-                        T.StructField("value", T.DoubleType()), T.StructField("value_lag_1", T.DoubleType())])
-LAG_STATE = T.StructType([T.StructField("prev_date", T.IntegerType()), T.StructField("prev_sum", T.DoubleType()),
-                          T.StructField("prev_cnt", T.DoubleType()), T.StructField("cur_date", T.IntegerType()),
-                          T.StructField("cur_sum", T.DoubleType()), T.StructField("cur_cnt", T.DoubleType())])
-
-
-def _lag_state_fn(key, pdfs, state):
-    """State of one (user, hour): the finished previous day's sum / count and the
-    running day's. Keying by hour spreads a busy user over 24 independent keys."""
-    if state.exists:
-        pd_, ps, pc, cd, cs, cc = state.get
-    else:
-        pd_, ps, pc, cd, cs, cc = None, 0.0, 0.0, None, 0.0, 0.0
-    rows = [p for p in pdfs if len(p)]
-    if not rows:
-        return
-    pdf = pd.concat(rows).sort_values(["date_id", "event_id"])
-    out = []
-    for d, day in pdf.groupby("date_id", sort=True):
-        d = int(d)
-        if cd is not None and d != cd:
-            pd_, ps, pc = cd, cs, cc
-            cs, cc = 0.0, 0.0
-        cd = d
-        lag = ps / pc if (pd_ is not None and pd_ == d - 1 and pc > 0) else np.nan
-        cs += float(day["value"].sum())
-        cc += float(len(day))
-        out.append(pd.DataFrame({"event_id": day["event_id"].to_numpy(), "user_id": day["user_id"].to_numpy(),
-                                 "date_id": day["date_id"].to_numpy(), "time_id": day["time_id"].to_numpy(),
-                                 "value": day["value"].to_numpy(), "value_lag_1": np.full(len(day), lag)}))
-    state.update((pd_, float(ps), float(pc), cd, float(cs), float(cc)))
-    yield pd.concat(out)
-
-
-def _lag_stream(spark: SparkSession, path: str) -> DataFrame:
-    ev = read_event_stream(spark, path).select("event_id", "user_id", "date_id", "time_id", "value").where(F.col("event_id").isNotNull())
-    return ev.groupBy("user_id", "time_id").applyInPandasWithState(
-        _lag_state_fn, LAG_OUT, LAG_STATE, "append", GroupStateTimeout.NoTimeout)
+def _with_day_lag(batch: DataFrame, batch_id: int, days: str) -> DataFrame:
+    """The batch's rows with ``value_lag_1``, the mean of their (user, hour) on the day before.
+
+    The batch's sums per (user, hour, day) are logged first, in a folder per day and batch
+    (a replayed batch overwrites its own); only the days before the batch's own are read
+    again. Days come in order, so those are complete.
+    """
+    spark = batch.sparkSession
+    own = batch.groupBy("user_id", "time_id", "date_id").agg(
+        F.sum(F.coalesce(F.nanvl("value", F.lit(None).cast("double")), F.lit(0.0))).alias("s"), F.count(F.lit(1)).alias("c"))
+    (own.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date_id", "batch").parquet(days))
+    earlier = [r["date_id"] - 1 for r in batch.select("date_id").where("date_id IS NOT NULL").distinct().collect()]  # the days of a batch
+    log = spark.read.schema("user_id long, time_id int, s double, c long, date_id int, batch long").parquet(days)
+    log = log.where(F.col("date_id").isin(earlier) & (F.col("batch") <= batch_id))
+    prev = log.groupBy("user_id", "time_id", (F.col("date_id") + 1).alias("date_id")).agg((F.sum("s") / F.sum("c")).alias("value_lag_1"))
+    prev = prev.select(*[F.col(k).alias(f"_{k}") for k in ("user_id", "time_id", "date_id")], "value_lag_1").hint("merge")
+    same = [batch[k].eqNullSafe(prev[f"_{k}"]) for k in ("user_id", "time_id", "date_id")]
+    return batch.join(prev, same, "left").select(*batch.columns, "value_lag_1")
+
+
+def _lag_events(spark: SparkSession, path: str) -> DataFrame:
+    return read_event_stream(spark, path).select("event_id", "user_id", "date_id", "time_id", "value").where(F.col("event_id").isNotNull())
 
 
 def stream_day_lag(spark: SparkSession, path: str) -> DataFrame:
     """Previous-day mean value of the same (user, hour), handed over as day D arrives.
 
-    Keyed state per (user, hour) holds two day summaries (bounded)."""
-    lagged = _lag_stream(spark, path)
+    The state is a log of sums per (user, hour), of which a batch reads the day before
+    its own: one join a batch however many keys there are."""
+    ev = _lag_events(spark, path)
+
+    def sink(out):
+        def f(batch: DataFrame, batch_id: int) -> None:
+            if batch.isEmpty():
+                return
+            _with_day_lag(batch, batch_id, os.path.join(out, "days")).write.mode("overwrite").parquet(
+                os.path.join(out, "data", f"batch={batch_id}"))
+        return f
 
     def build(out, ck):
-        return (lagged.writeStream.outputMode("append").format("parquet").option("path", os.path.join(out, "data"))
-                .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        return ev.writeStream.foreachBatch(sink(out)).option("checkpointLocation", ck).trigger(availableNow=True).start()
 
-    return spark.read.parquet(os.path.join(_run(build, "lag", spark), "data"))
+    data = spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(_run(build, "lag", spark), "data"))
+    return data.select("event_id", "user_id", "date_id", "time_id", "value", "value_lag_1")
 
 
 # ---------------------------------------------------------------- L04
@@ -248,23 +237,24 @@ def stream_running_r2(spark: SparkSession, path: str) -> DataFrame:
     Every micro-batch logs its partial sums per date (idempotent by batch id), so a date
     spread over several batches is added up; the cumulative score is a running window
     over that small log."""
-    lagged = _lag_stream(spark, path)
+    ev = _lag_events(spark, path)
 
     def sink(out):
         def f(batch: DataFrame, batch_id: int) -> None:
+            if batch.isEmpty():
+                return
             p = F.coalesce(F.col("value_lag_1"), F.lit(0.0))
             y = F.col("value")
-            batch.groupBy("date_id").agg(F.sum((y - p) * (y - p)).alias("sse"), F.sum(y * y).alias("sst"),
-                      F.count(F.lit(1)).cast("bigint").alias("n")).withColumn("batch", F.lit(batch_id)).write.mode(
+            _with_day_lag(batch, batch_id, os.path.join(out, "days")).groupBy("date_id").agg(
+                F.sum((y - p) * (y - p)).alias("sse"), F.sum(y * y).alias("sst"),
+                F.count(F.lit(1)).cast("bigint").alias("n")).withColumn("batch", F.lit(batch_id)).write.mode(
                 "overwrite").parquet(os.path.join(out, "log", f"batch={batch_id}"))
         return f
 
     def build(out, ck):
-        return (lagged.writeStream.outputMode("append").foreachBatch(sink(out))
-                .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        return ev.writeStream.foreachBatch(sink(out)).option("checkpointLocation", ck).trigger(availableNow=True).start()
 
     out = _run(build, "r2", spark)
-    from pyspark.sql import Window
     log = spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(out, "log"))
     log = log.groupBy("date_id").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "sst")])
     w = Window.orderBy("date_id").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
@@ -280,7 +270,6 @@ def stream_predict_update(spark: SparkSession, path: str) -> DataFrame:
     A batch may hold part of a day or several days: a day's prediction uses the logged
     and the batch's own statistics of strictly earlier dates."""
     ev = read_event_stream(spark, path).select("event_id", "user_id", "date_id", "time_id", "value").where(F.col("event_id").isNotNull())
-    from pyspark.sql import Window
 
     def sink(out):
         model_dir = os.path.join(out, "model")
