@@ -61,22 +61,30 @@ def _clip5(c):
     return F.greatest(F.lit(-5.0), F.least(F.lit(5.0), c))
 
 
+def _panel_keys(lineitem: DataFrame) -> DataFrame:
+    """The columns of ``lineitem`` that the panel is made of, with its date and symbol."""
+    return lineitem.select(
+        *_ORDER,
+        ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int").alias("date_id"),
+        F.col("l_suppkey").alias("symbol_id"),
+    )
+
+
 def panel_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """The ``panel`` view of FIXTURES §2.2 as a DataFrame plan.
 
     The only shuffle is the ``time_id`` row number, partitioned by (date, symbol):
     every such group holds one supplier-month, so no key is hot.
     """
-    x = lineitem.select(
-        *_ORDER,
-        ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int").alias("date_id"),
-        F.col("l_suppkey").alias("symbol_id"),
-        F.col("l_quantity").alias("f0"),
-        F.round("l_extendedprice").alias("f1"),
-        F.round(F.col("l_discount") * 100).alias("f2"),
-        F.round(F.col("l_tax") * 100).alias("f3"),
-    )
+    return _panel_columns(_panel_keys(lineitem))
+
+
+def _panel_columns(x: DataFrame) -> DataFrame:
+    """Measures are made after the row number, so the raw columns alone are shuffled."""
     w = Window.partitionBy("date_id", "symbol_id").orderBy(*_ORDER)
+    x = x.withColumn("time_id", (F.row_number().over(w) - 1).cast("int"))
+    x = x.withColumns({"f0": F.col("l_quantity"), "f1": F.round("l_extendedprice"),
+                       "f2": F.round(F.col("l_discount") * 100), "f3": F.round(F.col("l_tax") * 100)})
     f0, f2, f3 = F.col("f0"), F.col("f2"), F.col("f3")
     responders = []
     for k in range(9):
@@ -85,7 +93,7 @@ def panel_from_lineitem(lineitem: DataFrame) -> DataFrame:
                           .alias(f"responder_{k}"))
     return x.select(
         "date_id",
-        (F.row_number().over(w) - 1).cast("int").alias("time_id"),
+        "time_id",
         "symbol_id",
         f0.alias("feature_00"), F.col("f1").alias("feature_01"), f2.alias("feature_02"),
         f3.alias("feature_03"),
@@ -108,16 +116,17 @@ def panel_path(spark: SparkSession, sf_dir: str) -> str:
     and sorted by (date, symbol, time) -- the layout a production panel has: date
     predicates prune row groups, no date is bound to one task, and every later query
     starts from a parquet scan. Its name holds the size and change time of the source,
-    so changed source files get a new copy.
+    so changed source files get a new copy. The raw rows are dealt to the ranges, which
+    hold whole (date, symbol) groups in order: the row number needs no exchange of its own
+    and leaves every file sorted.
     """
     source = os.path.join(sf_dir, "lineitem.parquet")
     tag = hashlib.sha1(f"{_PANEL_VERSION}:{sf_dir}:{path_signature(spark, source)}".encode()).hexdigest()[:12]
     path = checkpoint_path(spark, f"panel_{tag}")
     if committed(spark, path):
         return path
-    (panel_from_lineitem(spark.read.parquet(source)).repartitionByRange("date_id", "symbol_id")
-        .sortWithinPartitions("date_id", "symbol_id", "time_id")
-        .write.mode("overwrite").parquet(path))
+    raw = _panel_keys(spark.read.parquet(source)).repartitionByRange("date_id", "symbol_id")
+    _panel_columns(raw).write.mode("overwrite").parquet(path)
     return path
 
 
