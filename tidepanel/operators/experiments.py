@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidepanel.columns import DATE, TARGET_COLUMN, WEIGHT_COLUMN
 from tidepanel.functions.exprs import fill_null
 from tidepanel.plans.joins import join_small
+from tidepanel.session import reliable_checkpoint
 
 
 def candidate_day_stats(df: DataFrame, candidates: dict[str, Column], target: str = TARGET_COLUMN,
@@ -180,7 +181,11 @@ def seeded_runs(day_stats: DataFrame, specs: list[dict], seeds: list[int], fit_e
 
 
 def paired_delta(runs: DataFrame) -> DataFrame:
-    """Each candidate run joined to its same-seed baseline; unmatched runs dropped."""
+    """Each candidate run joined to its same-seed baseline; unmatched runs dropped.
+
+    The runs (one row per spec and seed) are stored first: both sides read them.
+    """
+    runs = reliable_checkpoint(runs)
     base = runs.where(F.col("kind") == "baseline").select("seed", F.col("score").alias("baseline_score"))
     cand = runs.where(F.col("kind") != "baseline")
     j = join_small(cand, base, ["seed"], "inner")
