@@ -96,9 +96,9 @@ def _block_offsets(df: DataFrame, key: str, block: str) -> DataFrame:
 
 
 def _with_blocks(df: DataFrame, blocks: DataFrame, key: str, block: str, max_rows: int | None = None) -> DataFrame:
-    """Joins a table of blocks to the rows; it is stored, counted, and broadcast if small."""
+    """Left join of a table of blocks to the rows; it is stored, counted, and broadcast if small."""
     side, _ = bounded_broadcast(reliable_checkpoint(blocks), max_rows=max_rows)
-    return df.join(side, df[key].eqNullSafe(side["_key"]) & df[block].eqNullSafe(side["_block"])).drop("_key", "_block")
+    return df.join(side, df[key].eqNullSafe(side["_key"]) & df[block].eqNullSafe(side["_block"]), "left").drop("_key", "_block")
 
 
 def series_index(df: DataFrame, key: str = SYMBOL, block: str = DATE,
@@ -164,12 +164,14 @@ def series_chunks(df: DataFrame, before: int = 0, after: int = 0, key: str = SYM
     positions of the series; every chunk also gets the groups that hold the ``before``
     rows ahead of it and the ``after`` rows behind it. Those rows lie in at most two
     chunks on either side, as ``chunk`` is at least ``before`` and ``after``. All of this
-    is decided on the table of block counts, which is stored, counted and broadcast if
-    small (else joined by a shuffle), so the rows meet one exchange: that of the windows
-    over ``(key, _chunk)`` that follow.
+    is decided on the table of block counts. A series that lies in its first chunk needs no
+    table; the blocks of the others are stored, counted and broadcast if few (else joined by
+    a shuffle), so the rows meet one exchange: that of the windows over ``(key, _chunk)``
+    that follow.
     """
     size = max(chunk or LEAD_CHUNK, before, after)
     b = _block_offsets(df, key, block).withColumn("_chunk", F.floor(F.col("_off") / size).cast("long"))
+    b = b.withColumn("_last", F.max("_chunk").over(Window.partitionBy("_key"))).where(F.col("_last") > 0)
     b = b.withColumn("_own", F.struct("_chunk", F.min("_off").over(Window.partitionBy("_key", "_chunk")).alias("start")))
     earlier = Window.partitionBy("_key").orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("_key").orderBy(F.desc("_chunk")).rangeBetween(Window.unboundedPreceding, -1)
@@ -186,7 +188,9 @@ def series_chunks(df: DataFrame, before: int = 0, after: int = 0, key: str = SYM
         copies += [F.when(F.col("_off") - F.col(f"{c}.start") < after, F.col(f"{up}._chunk")) for c, up in (("_own", "_p1"), ("_p1", "_p2"))]
     to = F.array(F.struct(F.col("_chunk"), F.lit(False).alias("_halo")), *[F.struct(c.alias("_chunk"), F.lit(True).alias("_halo")) for c in copies])
     blocks = b.select("_key", "_block", F.filter(to, lambda t: t["_chunk"].isNotNull()).alias("_to"))
-    return _with_blocks(df, blocks, key, block, max_rows=500_000).select(*df.columns, F.inline("_to"))
+    first = F.array(F.struct(F.lit(0).cast("long").alias("_chunk"), F.lit(False).alias("_halo")))
+    dealt = _with_blocks(df, blocks, key, block, max_rows=500_000)
+    return dealt.select(*df.columns, F.inline(F.coalesce("_to", first)))
 
 
 # ------------------------------------------------------------------- E02-E05 together
@@ -351,10 +355,10 @@ def ranked_subset(importance: DataFrame, k: int | None, feature_col: str = "feat
 def model_frame(df: DataFrame, *, features: list[str] | str | None = None,
                 use_aux: bool = False, use_lags: bool = False, use_market_avg: bool = False,
                 use_rolling: bool = False, engineered: list[str] | str | None = None,
-                window: int = 1000) -> DataFrame:
+                window: int = 1000, lags: list[str] | None = None) -> DataFrame:
     """Model-input chain in the reference order: placeholders -> aux -> lags -> market
     average -> rolling; returns ids, weight, responders and the model inputs. ``features`` and
-    ``engineered`` are lists or named subsets."""
+    ``engineered`` are lists or named subsets; ``lags`` names the lagged responders (all by default)."""
     feats = present_features(df, features)
     eng = present_features(df, engineered) if engineered is not None else feats
     out = add_placeholders(df, ["responder_7", "responder_8"]) if use_aux else df
@@ -363,7 +367,7 @@ def model_frame(df: DataFrame, *, features: list[str] | str | None = None,
     if use_aux or use_rolling:  # both from one exchange; the rolling columns go last
         out = series_features(out, aux=use_aux, rolling=eng if use_rolling else None, window=window)
     if use_lags:
-        out = responder_lag(out)
+        out = responder_lag(out, lags)
     if use_market_avg:
         out = market_average(out, eng)
     last = engineered_columns(eng, False, True) if use_rolling else []

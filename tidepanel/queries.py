@@ -168,7 +168,8 @@ def _roll_sql(w: int, mean: bool, std: bool) -> str:
 
 
 def _roll(spark, sf, w, mean, std):
-    out = FE.rolling_stats(panel(spark, sf), ROLL_FEATURES, window=w)
+    # (date, time, symbol) is unique in the panel: no other column decides the order
+    out = FE.rolling_stats(panel(spark, sf).select(*ID_COLUMNS, *ROLL_FEATURES), ROLL_FEATURES, window=w)
     cols = []
     for f in ROLL_FEATURES:
         if mean:
@@ -210,7 +211,7 @@ _AUX_SQL = """coalesce(responder_8 + lead(responder_8, 4) OVER s, 0.0) AS respon
 SELECT {IDS}, {_AUX_SQL} FROM panel WINDOW s AS (PARTITION BY symbol_id ORDER BY date_id, time_id)""")
 def aux_targets(spark, sf):
     """Forward-shift auxiliary targets."""
-    return FE.add_aux_targets(panel(spark, sf)).select(*ID_COLUMNS, "responder_9", "responder_10")
+    return FE.add_aux_targets(panel(spark, sf).select(*ID_COLUMNS, "responder_6", "responder_8")).select(*ID_COLUMNS, "responder_9", "responder_10")
 
 
 _STD_CTE = ("stats AS (SELECT " + ", ".join(
@@ -264,8 +265,9 @@ FROM panel p LEFT JOIN panel l
 WINDOW s AS (PARTITION BY p.symbol_id ORDER BY p.date_id, p.time_id)""")
 def model_frame(spark, sf):
     """Placeholders -> aux -> lags -> market average -> rolling, in that order."""
-    mf = FE.model_frame(panel(spark, sf), use_aux=True, use_lags=True, use_market_avg=True,
-                        use_rolling=True, engineered=["feature_00"], window=W_SMALL)
+    p = panel(spark, sf).select(*ID_COLUMNS, "feature_00", "weight", "responder_6", "responder_7", "responder_8")
+    mf = FE.model_frame(p, use_aux=True, use_lags=True, use_market_avg=True,
+                        use_rolling=True, engineered=["feature_00"], window=W_SMALL, lags=["responder_6"])
     return mf.select(*ID_COLUMNS, "feature_00", "weight", "responder_6", "responder_9", "responder_10",
                      "responder_6_lag_1", "feature_00_mkt", "feature_00_roll_mean",
                      r6(F.col("feature_00_roll_std")).alias("feature_00_roll_std"))
@@ -928,7 +930,7 @@ def _sweep_runs(spark, sf) -> DataFrame:
     p = panel(spark, sf)
     ns = _bounds(p)
     cands = {"base": F.col("feature_02")}
-    frame = p
+    frame = p.select(*ID_COLUMNS, "weight", "responder_6", *SWEEP_SUBSETS)  # the ids are unique: they decide the order
     for w in SWEEP_W:
         r = FE.rolling_stats(frame, SWEEP_SUBSETS, window=w)
         frame = r.select(*frame.columns, *[F.col(f"{s}_roll_mean").alias(f"{s}_w{w}") for s in SWEEP_SUBSETS])
@@ -1330,10 +1332,11 @@ def walk_forward_wide(spark, sf):
     """K13 + K10: the full model-input chain (lags, market averages, rolling mean/std of
     every feature) into the walk-forward suite; p = 42 inputs, so the day statistics
     are formed by BLAS per task and summed by Spark."""
-    p = panel(spark, sf)
+    lags = [RESPONDER_COLUMNS[0], RESPONDER_COLUMNS[6]]
+    p = panel(spark, sf).select(*ID_COLUMNS, "weight", *PANEL_FEATURES, *lags)
     mf = FE.model_frame(p, use_lags=True, use_market_avg=True, use_rolling=True, engineered=PANEL_FEATURES,
-                        window=W_SMALL)
-    feats = (PANEL_FEATURES + [f"{r}_lag_1" for r in RESPONDER_COLUMNS[:1]] + [f"{r}_lag_1" for r in RESPONDER_COLUMNS[6:7]]
+                        window=W_SMALL, lags=lags)
+    feats = (PANEL_FEATURES + [f"{r}_lag_1" for r in lags]
              + FE.engineered_columns(PANEL_FEATURES, True, True))
     cfg = WF.WalkForwardConfig(features=feats, ridge=1e-2, test_days=TEST_DAYS, valid_days=VALID_DAYS,
                                gap_days=GAP_DAYS)
