@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.columns import ID_COLUMNS, RESPONDER_COLUMNS
+from tidepanel.columns import ID_COLUMNS, LAG_COLUMNS, RESPONDER_COLUMNS
 from tidepanel.operators import features as FE
 from tidepanel.operators import metrics as ME
 from tidepanel.operators import profile as PR
@@ -1329,15 +1329,12 @@ def wls_epochs_score(spark, sf):
 
 @query("walk_forward_wide")
 def walk_forward_wide(spark, sf):
-    """K13 + K10: the full model-input chain (lags, market averages, rolling mean/std of
-    every feature) into the walk-forward suite; p = 42 inputs, so the day statistics
+    """K13 + K10: the full model-input chain (lags of all responders, market averages, rolling
+    mean/std of every feature) into the walk-forward suite; p = 42 inputs, so the day statistics
     are formed by BLAS per task and summed by Spark."""
-    lags = [RESPONDER_COLUMNS[0], RESPONDER_COLUMNS[6]]
-    p = panel(spark, sf).select(*ID_COLUMNS, "weight", *PANEL_FEATURES, *lags)
-    mf = FE.model_frame(p, use_lags=True, use_market_avg=True, use_rolling=True, engineered=PANEL_FEATURES,
-                        window=W_SMALL, lags=lags)
-    feats = (PANEL_FEATURES + [f"{r}_lag_1" for r in lags]
-             + FE.engineered_columns(PANEL_FEATURES, True, True))
+    mf = FE.model_frame(panel(spark, sf), use_lags=True, use_market_avg=True, use_rolling=True, engineered=PANEL_FEATURES,
+                        window=W_SMALL)
+    feats = PANEL_FEATURES + LAG_COLUMNS + FE.engineered_columns(PANEL_FEATURES, True, True)
     cfg = WF.WalkForwardConfig(features=feats, ridge=1e-2, test_days=TEST_DAYS, valid_days=VALID_DAYS,
                                gap_days=GAP_DAYS)
     prep = WF.prepare(mf, cfg)
