@@ -1,8 +1,8 @@
 """Boosted trees on Spark ML: fit with early stopping, predict, refit, continue.
 
-MLlib trees are built level-wise from distributed histograms (one job per level), so
-the fit scales with the cluster. MLlib rejects NaN: missing values become a sentinel
-plus a missing-indicator column, so trees can still route them separately.
+Trees are built level-wise from distributed histograms (one job per level), so the fit
+scales with the cluster; the models are MLlib's. MLlib rejects NaN: missing values become a
+sentinel plus a missing-indicator column, so trees can still route them separately.
 
 Update strategies keep the tree structure in Spark tables:
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.columns import ID_COLUMNS, SYMBOL, TARGET_COLUMN, WEIGHT_COLUMN
+from tidepanel.plans import boosting
 from tidepanel.session import reliable_checkpoint
 
 SENTINEL = -1.0e9
@@ -73,12 +74,16 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
 ROWS_PER_PARTITION = 200_000
 
 
+def _partitions(rows: int) -> int:
+    return max(8, -(-rows // ROWS_PER_PARTITION))
+
+
 def _stable(df: DataFrame, n: int | None) -> DataFrame:
     # Trees are deterministic for a fixed seed *and* partitioning: fix both. The number
     # of partitions follows the rows, never the cores, so the same data gives the same
     # trees on any cluster. Hashing on (symbol, date) keeps partitions even when one
     # symbol dominates.
-    n = n or max(8, -(-df.count() // ROWS_PER_PARTITION))
+    n = n or _partitions(df.count())
     keys = [c for c in ID_COLUMNS if c in df.columns]
     part = [c for c in (SYMBOL, "date_id") if c in df.columns]
     return df.repartition(n, *part).sortWithinPartitions(*keys)
@@ -86,7 +91,20 @@ def _stable(df: DataFrame, n: int | None) -> DataFrame:
 
 def fit(train: DataFrame, features: list[str], params: GBTParams, target: str = TARGET_COLUMN,
         weight: str = WEIGHT_COLUMN, valid: DataFrame | None = None) -> TreeModel:
-    """Weighted boosted trees; early stopping on ``valid`` when given."""
+    """Weighted boosted trees; early stopping on ``valid`` when given.
+
+    The trees are grown from stored bins (:mod:`tidepanel.plans.boosting`); MLlib's own fit, which
+    gives the same trees, stands for settings that draw rows or inputs per tree.
+    """
+    frames = [train] if valid is None else [train, valid]
+    if boosting.fits(params, *frames):
+        n = params.num_partitions or _partitions(sum(df.count() for df in frames))
+        return TreeModel(features, boosting.grow(train, features, params, target, weight, valid, n, SENTINEL))
+    return _fit_mllib(train, features, params, target, weight, valid)
+
+
+def _fit_mllib(train: DataFrame, features: list[str], params: GBTParams, target: str = TARGET_COLUMN,
+               weight: str = WEIGHT_COLUMN, valid: DataFrame | None = None) -> TreeModel:
     data = train.withColumn("_is_valid", F.lit(False))
     if valid is not None:
         data = data.unionByName(valid.withColumn("_is_valid", F.lit(True)))

@@ -113,6 +113,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that its step has written and no longer needs."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def path_signature(spark: SparkSession, path: str) -> str:
     """Length, file count and change time of a file or folder."""
     fs, p = _file_system(spark, path)
