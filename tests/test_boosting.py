@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.operators.splits import nested_split
 from tidepanel.plans import boosting as B
 from tidepanel.plans import gbt as G
 
@@ -63,3 +64,16 @@ def test_unusable_targets_and_weights_are_refused(spark):
             G.fit(df.withColumns(bad), FEATS, PARAMS)
     with pytest.raises(ValueError, match="need rows"):
         G.fit(df.limit(0), FEATS, PARAMS)
+
+
+def test_leaf_refits_and_retrains_need_no_mllib_fit(spark, monkeypatch):
+    monkeypatch.setattr(G, "GBTRegressor", None)
+    df = _rows(spark, 4_000).where("date_id is not null and symbol_id is not null")
+    split = nested_split(0, 39, 8, 6, 1)
+    test = df.where(F.col("date_id").between(split.test_start, split.test_end))
+    for variant in ("refit", "retrain"):
+        out, updates = G.walk_forward(df, FEATS, split, variant, 4, PARAMS)
+        got = out.toPandas()
+        assert updates == 1 and len(got) == test.count()
+        r2 = 1 - (got.weight * (got.responder_6 - got.prediction) ** 2).sum() / (got.weight * got.responder_6 ** 2).sum()
+        assert r2 > 0.5
