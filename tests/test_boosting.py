@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.columns import RESPONDER_COLUMNS
 from tidepanel.operators.splits import nested_split
+from tidepanel.plans import baseline as BL
 from tidepanel.plans import boosting as B
 from tidepanel.plans import gbt as G
 
@@ -77,3 +79,20 @@ def test_leaf_refits_and_retrains_need_no_mllib_fit(spark, monkeypatch):
         assert updates == 1 and len(got) == test.count()
         r2 = 1 - (got.weight * (got.responder_6 - got.prediction) ** 2).sum() / (got.weight * got.responder_6 ** 2).sum()
         assert r2 > 0.5
+
+
+def test_baseline_takes_the_stored_chunks(spark, monkeypatch):
+    df = _rows(spark, 4_000).where("date_id is not null and symbol_id is not null").withColumns(
+        {r: F.col("responder_6") * k for k, r in enumerate(RESPONDER_COLUMNS) if r != "responder_6"})
+    split = nested_split(0, 39, 8, 6, 1)
+    monkeypatch.setattr(G, "GBTRegressor", None)
+    out = BL.run(df, split, PARAMS, engineered=FEATS[:1], window=5)
+    monkeypatch.undo()
+    days = F.col("date_id")
+    want = G._fit_mllib(out.frame.where(days.between(split.train.train_start, split.train.train_end)), out.inputs, PARAMS,
+                        valid=out.frame.where(days.between(split.es_start, split.es_end)))
+    k = len(out.inputs)
+    total = want.base.featureImportances.toArray().reshape(2, k).sum(axis=0)
+    got = {r["feature"]: r["importance"] for r in out.importances.collect()}
+    assert got == pytest.approx(dict(zip(out.inputs, total, strict=True)), abs=1e-6)
+    assert out.oof.count() == out.summary.first()["test_rows"]
